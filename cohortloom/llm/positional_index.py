@@ -44,11 +44,6 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(folded, F.lit(WORD), F.lit(0))
 
 
-def _hinted(df: DataFrame, limit: int = SMALL) -> DataFrame:
-    """df, written and counted before, marked for broadcast if it has no more rows than the limit."""
-    return F.broadcast(df) if df.count() <= limit else df
-
-
 def item_words(benchmark: DataFrame, folder: str) -> DataFrame:
     """item (its id as a string), q, word, n: a row for each place of each item."""
     rows = benchmark.select(F.coalesce(benchmark["item_id"].cast("string"), F.lit("")).alias("item"), words(benchmark["text"]).alias("w"))
@@ -89,19 +84,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     windows = runtime.written(ranked.select("item", "text_no", "len", "s", F.col("r")[0]["q"].alias("p1"), F.col("r")[0]["term"].alias("t1"), F.coalesce(F.get("r", F.lit(1))["q"], F.col("r")[0]["q"]).alias("p2"), F.coalesce(F.get("r", F.lit(1))["term"], F.col("r")[0]["term"]).alias("t2")), folder, "windows")
     anchors = windows.select("item", "text_no", "p1", "p2", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("t1").alias("term"), F.col("p1").alias("q")), F.struct(F.lit(2).alias("side"), F.col("t2").alias("term"), F.col("p2").alias("q")))).alias("a")).select("item", "text_no", "p1", "p2", "a.*").distinct()
     anchors = runtime.written(anchors, folder, "anchors")
-    lists = postings.join(_hinted(anchors), "term").withColumn("delta", F.col("pos") - F.col("q"))
+    lists = postings.join(runtime.if_small(anchors, SMALL), "term").withColumn("delta", F.col("pos") - F.col("q"))
     # the second list is laid out over the places near its own, for proximity; bit 4: exactly there
     off = F.explode(F.when(F.col("side") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(-slop), F.lit(slop))))
     lists = lists.withColumn("off", off).select("item", "text_no", "p1", "p2", *DOC, (F.col("delta") + F.col("off")).alias("delta"), F.when(F.col("side") == 1, 1).when(F.col("off") == 0, 6).otherwise(2).alias("bits"))
     both = lists.groupBy(*DOC, "item", "text_no", "p1", "p2", "delta").agg(F.bit_or("bits").alias("bits")).where("bits & 3 = 3")
     both = runtime.written(both, folder, "aligned")
     # the other terms of the windows that are aligned: what must be where
-    aligned = both.where("bits = 7").join(_hinted(windows.select("item", "text_no", "p1", "p2", "s", "len")), ["item", "text_no", "p1", "p2"])
+    aligned = both.where("bits = 7").join(runtime.if_small(windows.select("item", "text_no", "p1", "p2", "s", "len"), SMALL), ["item", "text_no", "p1", "p2"])
     wanted = aligned.select(*DOC, "item", "text_no", "len", "delta", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("len") - 1)).alias("q")).distinct()
-    wanted = wanted.join(_hinted(items.select("item", "text_no", "q", "term")), ["item", "text_no", "q"]).withColumn("pos", F.col("delta") + F.col("q"))
+    wanted = wanted.join(runtime.if_small(items.select("item", "text_no", "q", "term"), SMALL), ["item", "text_no", "q"]).withColumn("pos", F.col("delta") + F.col("q"))
     wanted = runtime.written(wanted, folder, "wanted")
     asked = runtime.written(wanted.select(*DOC).distinct(), folder, "asked")
-    there = postings.join(_hinted(asked, runtime.BROADCAST_ROWS), DOC, "left_semi").select(*DOC, "pos", "term").distinct()
+    there = postings.join(runtime.if_small(asked), DOC, "left_semi").select(*DOC, "pos", "term").distinct()
     met = wanted.join(there, [*DOC, "pos", "term"])
     line = Window.partitionBy(*DOC, "item", "text_no", "delta").orderBy("q")
     runs = met.withColumn("run", F.col("q") - F.row_number().over(line)).groupBy(*DOC, "item", "text_no", "len", "delta", "run").agg(F.min("pos").alias("low"), F.max("pos").alias("high")).where("high - low + 1 >= len")
@@ -125,4 +120,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     bad = matches(docs, benchmark).where(contaminated()).select(F.col("k1").alias(id_), F.col("k2").alias(key)).distinct()
     bad = runtime.written(bad, runtime.work_folder(docs.sparkSession, "contaminated"), "rows")
     hashed = F.xxhash64(docs["text"])
-    return docs.join(_hinted(bad, runtime.BROADCAST_ROWS), (F.coalesce(docs["doc_id"].cast("long"), hashed) == bad[id_]) & (hashed == bad[key]), "left_anti")
+    return docs.join(runtime.if_small(bad), (F.coalesce(docs["doc_id"].cast("long"), hashed) == bad[id_]) & (hashed == bad[key]), "left_anti")

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A side with at most this many rows of a few longs is broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 100_000
@@ -59,6 +60,11 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a written table or another that is cheap to count, marked for broadcast if it has no more rows than that."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def fresh(name: str, *frames: DataFrame) -> str:
     """A column name near `name` that none of the frames has, whatever the case."""
     taken = {c.lower() for f in frames for c in f.columns}

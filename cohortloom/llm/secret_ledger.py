@@ -119,9 +119,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", ledger: str | None = None) -
     _, spans = scan_documents(docs, ledger)
     blob, at = runtime.fresh("blob", docs), runtime.fresh("spans", docs)
     spans = spans.select(F.col("blob").alias(blob), F.col("spans").alias(at))
-    if spans.count() <= runtime.BROADCAST_ROWS // 10:
-        spans = F.broadcast(spans)
-    joined = docs.withColumn(blob, blob_of(docs["text"])).join(spans, blob, "left")
+    joined = docs.withColumn(blob, blob_of(docs["text"])).join(runtime.if_small(spans, runtime.BROADCAST_ROWS // 10), blob, "left")
     # where each stretch begins and how far all findings before it reach
     reach, text = runtime.fresh("reach", joined), F.col("text")
     far = F.aggregate(F.col(at), F.array(F.lit(0).cast("long")), lambda a, x: F.array_append(a, F.greatest(F.element_at(a, -1), x["end"])))
