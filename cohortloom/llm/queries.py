@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, positional_index, robust_quality, secret_ledger, simhash_gph
+from . import language_id, packing, positional_index, robust_quality, runtime, secret_ledger, simhash_gph, tiered_shards, tokenbin, toxicity, warc
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 
@@ -15,6 +15,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = language_id.fold_of(F.col("doc_id"), 3) == 1
+    model = language_id.train(docs.where(~held_out).select("doc_id", "text", "lang"))
+    found = language_id.predict(docs, model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op2_tokenbin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = runtime.work_folder(spark, "tokens")
+    tokenbin.write_store(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path(BYTE_BPE))
+    return tokenbin.read_store(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op3_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = tiered_shards.shard(_table(spark, sf_dir, "documents"), runtime.work_folder(spark, "shards"))
+    return store.read().select("doc_id", "text", "lang", "source", "n_chars")
+
+
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths, spans = secret_ledger.scan_documents(_table(spark, sf_dir, "documents"))
     kinds = F.array(*[F.lit(r[0]) for r in secret_ledger.RULES])
@@ -25,6 +44,19 @@ def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.coalesce(f"n_{r[0]}", F.lit(0)).cast("long").alias(f"n_{r[0]}") for r in secret_ledger.RULES], F.sha2("spans", 256).alias("base_sha256"), "spans")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held_out = language_id.fold_of(F.col("doc_id"), 5) == 0
+    model = toxicity.train(docs, labels.where(~held_out))
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_simhash_gph(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_gph.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -45,9 +77,10 @@ def op10_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_quality.assess(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
-QUERIES = {f.__name__: f for f in (op4_secret_ledger, op7_simhash_gph, op8_packing, op9_positional_index, op10_robust_quality)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_tokenbin, op3_tiered_shards, op4_secret_ledger, op5_toxicity, op6_warc, op7_simhash_gph, op8_packing, op9_positional_index, op10_robust_quality)}
 
 ORACLE_SQL = {
+    "op3_tiered_shards": "SELECT doc_id, text, lang, source, n_chars FROM documents",
     "op4_secret_ledger": r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 p(kind, rnk, pat, grp, fewest) AS (VALUES
