@@ -77,11 +77,13 @@ def node_stats(voxels: DataFrame, hierarchy: DataFrame, by: list[str], value: st
     v = F.col(value).cast("double")
     valid = F.when(finite(v) & (v > 0), v)
     # labels first: the join and the second level see one row a label
-    labels = voxels.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n"), F.count(valid).alias("k"), F.sum(valid).alias("s"))
+    labels = voxels.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("_n"), F.count(valid).alias("_k"), F.sum(valid).alias("_s"))
     labels = labels.join(F.broadcast(hierarchy), "label")
     sides = {"left": F.col("side") == "L", "right": F.col("side") == "R", "pooled": F.lit(True)}
-    sums = [F.sum(F.when(m, F.col(c))).alias(f"_{c}_{name}") for name, m in sides.items() for c in ("n", "k", "s")]
-    out = labels.groupBy(*by, "composite", "node").agg(*sums)
+    sums = [F.sum(F.when(m, F.col(f"_{c}"))).alias(f"_{c}_{name}") for name, m in sides.items() for c in ("n", "k", "s")]
+    # nodes without any voxel stay, as missing
+    every = labels.select(*by).distinct().crossJoin(F.broadcast(hierarchy.select("composite", "node").distinct()))
+    out = every.join(labels.groupBy(*by, "composite", "node").agg(*sums), [*by, "composite", "node"], "left")
     for name in sides:
         n, k = F.coalesce(f"_n_{name}", F.lit(0)), F.coalesce(f"_k_{name}", F.lit(0))
         state = _state(n, F.when(n > 0, k / n).otherwise(0.0))

@@ -17,7 +17,7 @@ from cohortloom.sources import sinks, stats_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-DRAWS, DRAWN, THRESHOLDS = 50, 200, [round(0.1 * k, 1) for k in range(1, 10)]
+DRAWS, THRESHOLDS = 50, [round(0.1 * k, 1) for k in range(1, 10)]
 
 
 def query(sql: str | None):
@@ -55,12 +55,11 @@ S = "WITH s AS (SELECT l.doc_id AS row_pos, l.quality AS y, l.toxic, d.n_chars,
 
 
 def dense(df: DataFrame) -> DataFrame:
-    """scored rows renumbered from 0 in row_pos order: a count of smaller ids (a broadcast of one column of the cohort), the first DRAWN of them."""
-    ids = df.select("row_pos").orderBy("row_pos").limit(DRAWN)
+    """df with row_pos renumbered from 0 in its order: the cohort's one narrow column is numbered and joined back."""
     from pyspark.sql import Window
 
-    small = ids.withColumn("k", (F.row_number().over(Window.orderBy("row_pos")) - 1).cast("long"))
-    return df.join(F.broadcast(small), "row_pos").drop("row_pos").withColumnRenamed("k", "row_pos")
+    ids = df.select("row_pos").withColumn("k", (F.row_number().over(Window.orderBy("row_pos")) - 1).cast("long"))
+    return df.join(ids, "row_pos").drop("row_pos").withColumnRenamed("k", "row_pos")
 
 
 # --- joins, projections, contracts
@@ -85,16 +84,18 @@ def q_missing_keys(spark, d):
     return assembly.missing_keys(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id").select("doc_id")
 
 
-def _draw_sql(table_: str = "dr") -> str:
-    return f"{table_} AS (SELECT g AS draw, h AS pos, (7919*g + 104729*h + 31*g*h) % {DRAWN} AS row_pos FROM range({DRAWS}) a(g), range({DRAWN}) b(h))"
+DENSE = S + ", k AS (SELECT row_number() OVER (ORDER BY row_pos) - 1 AS row_pos, y, toxic, n_chars, lang, source, p FROM s)"
+DRAW = f"dr AS (SELECT g AS draw, k.row_pos AS pos, (7919*g + 104729*k.row_pos + 31*g*k.row_pos) % (SELECT count(*) FROM k) AS row_pos FROM range({DRAWS}) a(g), k)"
 
 
-DENSE = S + f", k AS (SELECT row_number() OVER (ORDER BY row_pos) - 1 AS row_pos, y, toxic, n_chars, lang, source, p FROM s QUALIFY row_number() OVER (ORDER BY row_pos) <= {DRAWN})"
+def congruential(spark, cohort):
+    return resampling.congruential_draws(spark, DRAWS, cohort.count())
 
 
-@query(DENSE + ", " + _draw_sql() + f" SELECT g AS draw, k.row_pos FROM range({DRAWS}) a(g), k WHERE NOT EXISTS (SELECT 1 FROM dr WHERE dr.draw = g AND dr.row_pos = k.row_pos)")
+@query(DENSE + ", " + DRAW + f" SELECT g AS draw, k.row_pos FROM range({DRAWS}) a(g), k WHERE NOT EXISTS (SELECT 1 FROM dr WHERE dr.draw = g AND dr.row_pos = k.row_pos)")
 def q_oob_rows(spark, d):
-    return resampling.out_of_bag(resampling.congruential_draws(spark, DRAWS, DRAWN), dense(scored(spark, d)))
+    cohort = dense(scored(spark, d))
+    return resampling.out_of_bag(congruential(spark, cohort), cohort)
 
 
 @query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
@@ -172,7 +173,8 @@ def voxels(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("label"), F.col("l_extendedprice").alias("pet"), F.col("l_quantity").alias("brainmask"), F.col("l_returnflag").alias("subject"))
 
 
-REFERENCES = {"cortex": F.col("label") % 2 == 0, "brain": F.lit(True)}
+def references():
+    return {"cortex": F.col("label") % 2 == 0, "brain": F.lit(True)}
 
 
 @query(V + """, r AS (SELECT subject, avg(pet) FILTER (label % 2 = 0 AND brainmask > 0) AS cortex_mean, count(*) FILTER (label % 2 = 0 AND brainmask > 0) AS cortex_count,
@@ -180,14 +182,14 @@ REFERENCES = {"cortex": F.col("label") % 2 == 0, "brain": F.lit(True)}
 SELECT subject, round(cortex_mean, 4) AS cortex_mean, cortex_count, round(brain_mean, 4) AS brain_mean, brain_count, positive_share,
  positive_share >= 0.95 AND cortex_mean > 0 AND cortex_count >= 500 AND brain_mean > 0 AND brain_count >= 1000 AS passed FROM r""")
 def q_reference_gate(spark, d):
-    out = regional.reference_gate(regional.reference_means(voxels(spark, d), REFERENCES, ["subject"]), {"cortex": 500, "brain": 1000})
+    out = regional.reference_gate(regional.reference_means(voxels(spark, d), references(), ["subject"]), {"cortex": 500, "brain": 1000})
     return out.withColumns({c: F.round(c, 4) for c in ("cortex_mean", "brain_mean")})
 
 
 @query(V + ", r AS (SELECT subject, avg(pet) FILTER (label % 2 = 0 AND brainmask > 0) AS m FROM v GROUP BY subject) SELECT subject, label, count(*) AS n, round(sum(CAST(pet / m AS FLOAT)::DOUBLE), 3) AS total FROM v JOIN r USING (subject) GROUP BY subject, label")
 def q_reference_mean_norm(spark, d):
     df = voxels(spark, d)
-    out = regional.normalized(df, regional.reference_means(df, REFERENCES, ["subject"]), "cortex", ["subject"])
+    out = regional.normalized(df, regional.reference_means(df, references(), ["subject"]), "cortex", ["subject"])
     return out.groupBy("subject", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("normalized").cast("double")), 3).alias("total"))
 
 
@@ -241,10 +243,10 @@ def q_normalized_volume(spark, d):
     return regional.normalized_volume(rows, whole, ["subject"]).withColumn("normalized_volume", F.round("normalized_volume", 9))
 
 
-@query("""WITH n AS (SELECT s_nationkey % 2 AS half, s_nationkey AS node, sum(s_acctbal * s_suppkey) AS bv, sum(s_suppkey) AS v, count(*) FILTER (s_acctbal < 0) AS negative_labels FROM supplier GROUP BY ALL),
+@query("""WITH n AS (SELECT s_nationkey % 2 AS half, s_nationkey AS node, sum(s_acctbal * (s_suppkey + 1)) AS bv, sum(s_suppkey + 1) AS v, count(*) FILTER (s_acctbal < 0) AS negative_labels FROM supplier GROUP BY ALL),
 w AS (SELECT half, sum(bv) / sum(v) AS reference FROM n GROUP BY half) SELECT half, node, round(bv / v / reference, 6) AS ratio, negative_labels FROM n JOIN w USING (half)""")
 def q_weighted_reference(spark, d):
-    rows = table(spark, d, "supplier").select((F.col("s_nationkey") % 2).alias("half"), F.col("s_nationkey").alias("node"), F.col("s_acctbal").alias("beta"), F.col("s_suppkey").alias("volume"))
+    rows = table(spark, d, "supplier").select((F.col("s_nationkey") % 2).alias("half"), F.col("s_nationkey").alias("node"), F.col("s_acctbal").alias("beta"), (F.col("s_suppkey") + 1).alias("volume"))
     return rounded(regional.weighted_reference(rows, ["half"], "node", "beta", "volume"), "ratio")
 
 
@@ -453,13 +455,13 @@ def q_largest_absolute(spark, d):
 
 # --- spatial
 
-PTS = "WITH e AS (SELECT vec_id AS pos, label AS hemi, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, embedding[4]::DOUBLE AS value FROM embeddings WHERE vec_id < 400)"
+PTS = "WITH e AS (SELECT vec_id AS pos, label AS hemi, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, embedding[4]::DOUBLE AS value FROM embeddings)"
 KNN = PTS + ", k AS (SELECT a.hemi, a.pos AS src, b.pos AS dst, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS distance FROM e a JOIN e b ON a.hemi = b.hemi AND a.pos <> b.pos), n AS (SELECT *, row_number() OVER (PARTITION BY hemi, src ORDER BY distance, dst) AS rank FROM k QUALIFY row_number() OVER (PARTITION BY hemi, src ORDER BY distance, dst) <= 5)"
 
 
 def points(spark, d):
-    """An atlas-sized table of points: 400 parcels in ten groups."""
-    e = table(spark, d, "embeddings").where("vec_id < 400")
+    """The vectors' first coordinates as points, their labels as hemispheres."""
+    e = table(spark, d, "embeddings")
     return e.select(F.col("vec_id").alias("pos"), F.col("label").alias("hemi"), *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(("x", "y", "z", "value"))])
 
 
@@ -515,13 +517,14 @@ def q_permutations(spark, d):
 
 # --- resampling and splits
 
-BOOT = DENSE + ", " + _draw_sql() + ", q AS (SELECT mo AS model, row_pos, y, 1/(1+exp(-(ln(1+n_chars)-6 - 0.3*mo*toxic))) AS p FROM k, range(3) a(mo)), j AS (SELECT draw, model, y, p FROM dr JOIN q USING (row_pos)), g AS (SELECT draw, model, p, count(*) AS n, sum(y) AS c FROM j GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY draw, model ORDER BY p) - n + (n + 1) / 2 AS rk FROM g), a AS (SELECT draw, model, CASE WHEN sum(c) > 0 AND sum(c) < sum(n) THEN (sum(rk * c) - sum(c) * (sum(c) + 1) / 2) / (sum(c) * (sum(n) - sum(c))) END AS auc FROM r GROUP BY ALL), b AS (SELECT draw, model, avg((y - p) * (y - p)) AS brier FROM j GROUP BY ALL), mt AS (SELECT draw, model, auc, brier FROM a JOIN b USING (draw, model))"
+BOOT = DENSE + ", " + DRAW + ", q AS (SELECT mo AS model, row_pos, y, 1/(1+exp(-(ln(1+n_chars)-6 - 0.3*mo*toxic))) AS p FROM k, range(3) a(mo)), j AS (SELECT draw, model, y, p FROM dr JOIN q USING (row_pos)), g AS (SELECT draw, model, p, count(*) AS n, sum(y) AS c FROM j GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY draw, model ORDER BY p) - n + (n + 1) / 2 AS rk FROM g), a AS (SELECT draw, model, CASE WHEN sum(c) > 0 AND sum(c) < sum(n) THEN (sum(rk * c) - sum(c) * (sum(c) + 1) / 2) / (sum(c) * (sum(n) - sum(c))) END AS auc FROM r GROUP BY ALL), b AS (SELECT draw, model, avg((y - p) * (y - p)) AS brier FROM j GROUP BY ALL), mt AS (SELECT draw, model, auc, brier FROM a JOIN b USING (draw, model))"
 
 
 def drawn_metrics(spark, d):
-    base = dense(scored(spark, d)).crossJoin(F.broadcast(spark.range(3).toDF("model")))
-    preds = base.select("model", "row_pos", "y", C.expit(F.log1p(F.col("n_chars").cast("double")) - 6 - 0.3 * F.col("model") * F.col("toxic")).alias("p"))
-    return resampling.draw_metrics(resampling.congruential_draws(spark, DRAWS, DRAWN), preds)
+    cohort = dense(scored(spark, d))
+    preds = cohort.withColumn("model", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    preds = preds.select("model", "row_pos", "y", C.expit(F.log1p(F.col("n_chars").cast("double")) - 6 - 0.3 * F.col("model") * F.col("toxic")).alias("p"))
+    return resampling.draw_metrics(congruential(spark, cohort), preds)
 
 
 @query(BOOT + ", u AS (SELECT draw, model, 'auc' AS metric, auc AS v FROM mt WHERE auc IS NOT NULL UNION ALL SELECT draw, model, 'brier', brier FROM mt WHERE auc IS NOT NULL) SELECT u.model, metric, round(quantile_cont(v, 0.025), 9) AS lo, round(quantile_cont(v, 0.975), 9) AS hi, any_value(c.valid_draws) AS valid_draws, any_value(c.skipped) AS skipped FROM u JOIN (SELECT model, count(auc) AS valid_draws, count(*) - count(auc) AS skipped FROM mt GROUP BY model) c ON c.model = u.model GROUP BY u.model, metric")
@@ -588,10 +591,11 @@ def q_leave_one_group(spark, d):
     return out.select("held", "n_test", (F.col("n") - F.col("n_test")).alias("n_train"), r6(rate, "test_rate"), r6(rate * (1 - m) * (1 - m) + (1 - rate) * m * m, "prevalence_brier"))
 
 
-@query(FOLD + " SELECT count(*) FILTER (b = 1) AS unplanned, count(*) FILTER (b = 2) AS unused FROM (SELECT repeat, fold, row_pos, bit_or(b) AS b FROM (SELECT repeat, fold, row_pos, 1 AS b FROM f WHERE row_pos % 10 <> 3 UNION ALL SELECT repeat, fold, row_pos, 2 FROM f WHERE row_pos % 10 <> 4) GROUP BY ALL)")
+@query(FOLD + " SELECT count(*) FILTER (b = 1) AS unplanned, count(*) FILTER (b = 2) AS unused FROM (SELECT fold, row_pos, bit_or(b) AS b FROM (SELECT fold, row_pos, repeat + 1 AS b FROM f) GROUP BY ALL)")
 def q_training_isolation(spark, d):
+    # one repeat's folds against the other's: what a fit of the wrong plan would show
     f = folds(spark, d)
-    return splits.isolation_faults(f.where("row_pos % 10 <> 3"), f.where("row_pos % 10 <> 4"))
+    return splits.isolation_faults(f.where("repeat = 0"), f.where("repeat = 1").withColumn("repeat", F.lit(0)))
 
 
 @query(FOLD + ", t AS (SELECT f.repeat, f.fold, CASE WHEN n_chars % 11 > 0 THEN n_chars::DOUBLE END AS v FROM f JOIN documents d ON d.doc_id = f.row_pos), m AS (SELECT repeat, fold, median(v) AS fill FROM t GROUP BY ALL), x AS (SELECT repeat, fold, fill, coalesce(v, fill) AS x FROM t JOIN m USING (repeat, fold)) SELECT repeat, fold, 'v' AS field, round(any_value(fill), 6) AS fill, round(avg(x), 6) AS mean, round(CASE WHEN stddev_pop(x) > 0 THEN stddev_pop(x) ELSE 1 END, 6) AS scale, max(x) = min(x) AS dropped FROM x GROUP BY repeat, fold")
@@ -600,9 +604,9 @@ def q_prep_fold_state(spark, d):
     return rounded(splits.fold_state(folds(spark, d).join(docs, "row_pos"), ["repeat", "fold"], ["v"]), "fill", "mean", "scale")
 
 
-@query(FOLD + ", c AS (SELECT repeat, fold, lang, count(*) AS c, list_position(['es','de','fr','en'], lang) AS o FROM f JOIN documents d ON d.doc_id = f.row_pos WHERE lang <> 'en' GROUP BY ALL) SELECT repeat, fold, arg_max(lang, c * 100 - o) AS fill FROM c GROUP BY ALL")
+@query(FOLD + ", c AS (SELECT repeat, fold, lang, count(*) AS c, list_position(['es','de','fr','en'], lang) AS o FROM f JOIN documents d ON d.doc_id = f.row_pos GROUP BY ALL) SELECT repeat, fold, arg_max(lang, c * 10 - o) AS fill FROM c GROUP BY ALL")
 def q_prep_fold_mode(spark, d):
-    docs = table(spark, d, "documents").where("lang <> 'en'").select(F.col("doc_id").alias("row_pos"), "lang")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("row_pos"), "lang")
     return splits.fold_mode(folds(spark, d).join(docs, "row_pos"), ["repeat", "fold"], "lang", ["es", "de", "fr", "en"])
 
 
@@ -633,9 +637,9 @@ def q_unpivot_table(spark, d):
     return wide.unpivot(["lang"], ["n", "share"], "statistic", "shown")
 
 
-@query("SELECT o_orderkey, CAST(round(CAST(o_totalprice / 7 AS DECIMAL(38,12)), 3) AS VARCHAR) AS shown FROM (SELECT o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM orders WHERE o_orderkey < 500)")
+@query("SELECT o_orderkey, CAST(round(CAST(o_totalprice / 7 AS DECIMAL(38,12)), 3) AS VARCHAR) AS shown FROM (SELECT o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM orders)")
 def q_half_up(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey < 500").select("o_orderkey", F.round("o_totalprice", 2).alias("v"))
+    o = table(spark, d, "orders").select("o_orderkey", F.round("o_totalprice", 2).alias("v"))
     return o.select("o_orderkey", F.round((F.col("v") / 7).cast("decimal(38,12)"), 3).cast("string").alias("shown"))
 
 
@@ -650,3 +654,197 @@ def q_nullable_sink(spark, d):
 def q_parse_structures(spark, d):
     lines = table(spark, d, "documents").select(F.col("doc_id").alias("subject"), F.explode(F.split("text", "\n", -1)).alias("line"))
     return stats_text.structure_volumes(lines).agg(F.count(F.lit(1)).alias("n_parsed"), F.sum(F.length("structure")).cast("long").alias("name_chars"))
+
+
+# --- kernels: no SQL form; tests hold them against closed forms and brute force
+
+
+def design(spark, d) -> DataFrame:
+    """row_pos, y and numeric columns of the labelled documents: a cohort for the kernels."""
+    df = scored(spark, d)
+    n = F.col("n_chars").cast("double")
+    return df.select("row_pos", "y", "source", F.log1p(n).alias("log_chars"), (F.col("lang") == "en").cast("double").alias("english"), F.col("toxic").cast("double").alias("toxic"), F.when(F.col("row_pos") % 13 > 0, (F.col("row_pos") % 101).cast("double")).alias("x1"), F.sin(F.col("row_pos").cast("double")).alias("x2"), (F.substring("source", 4, 2).cast("int") % 2).cast("double").alias("scanner"))
+
+
+COLUMNS = {"C": ["log_chars", "english"], "CP": ["log_chars", "english", "x1", "x2"], "CPT": ["log_chars", "english", "x1", "x2", "toxic"]}
+BINARY = {"english", "toxic", "scanner"}
+
+
+def _plan(spark, d, repeats: int = 1) -> DataFrame:
+    cohort = design(spark, d)
+    return splits.nested(splits.stratified(cohort, "y", 3, repeats, 20260909), "y", 3, 20260910)
+
+
+@query(None)
+def q_elastic_net_nested(spark, d):
+    from cohortloom.plans.prediction import run_nested
+
+    return run_nested(design(spark, d), _plan(spark, d), COLUMNS, BINARY)
+
+
+@query(None)
+def q_masked_net(spark, d):
+    from cohortloom.plans.prediction import run_nested
+
+    columns = {m: [*c, "scanner"] for m, c in COLUMNS.items() if m != "CPT"}
+    return run_nested(design(spark, d), _plan(spark, d), columns, BINARY, unpenalized={"scanner"})
+
+
+@query(None)
+def q_cross_scanner(spark, d):
+    """Two directions: trained on one scanner's rows, tested on the other's."""
+    from cohortloom.plans.prediction import run_nested
+
+    cohort = design(spark, d)
+    outer = cohort.select("row_pos", "y", F.lit(0).alias("repeat"), F.col("scanner").cast("long").alias("fold"))
+    return run_nested(cohort, splits.nested(outer, "y", 3, 7), {m: COLUMNS[m] for m in ("C", "CP")}, BINARY)
+
+
+@query(None)
+def q_calibration_fit(spark, d):
+    from cohortloom.plans.prediction import calibration_table
+
+    return calibration_table(predicted(spark, d), ["model", "repeat"])
+
+
+@query(None)
+def q_development_bootstrap(spark, d):
+    from cohortloom.plans.prediction import Settings, development_bootstrap
+
+    cohort = dense(design(spark, d))
+    draws = resampling.numpy_draws(spark, 8, cohort.count(), 20260921)
+    return development_bootstrap(draws, cohort, {m: COLUMNS[m] for m in ("C", "CP")}, BINARY, Settings(c_grid=(0.1, 1.0), l1_grid=(0.0, 0.5, 1.0)))
+
+
+@query(None)
+def q_hc3_general(spark, d):
+    from cohortloom.plans.prediction import associations
+
+    long = design(spark, d).unpivot(["row_pos", "y", "english"], ["log_chars", "x2"], "region", "value")
+    out = associations(long, ["region"], "value", "y", ["english"], with_influence=False)
+    return ranking.benjamini_hochberg(out.withColumn("family", F.lit("all")), "p", ["family"], ["region"])
+
+
+@query(None)
+def q_influence(spark, d):
+    from cohortloom.plans.prediction import associations
+
+    long = design(spark, d).unpivot(["row_pos", "y", "english", "source"], ["log_chars", "x2"], "region", "value")
+    enough = long.groupBy("source").agg(F.count_distinct("y", "english").alias("cells"), F.count_if(F.col("y") == 0).alias("zeros")).where("cells = 4 and zeros >= 4").select("source")
+    return associations(long.join(enough, "source"), ["source", "region"], "value", "y", ["english"])
+
+
+def _maps(spark, d):
+    import numpy as np
+
+    # one study's matrix: 64 regions of each vector, as a kernel's argument
+    e = table(spark, d, "embeddings").orderBy("vec_id").select("embedding").toPandas()
+    return np.exp(np.array(e["embedding"].tolist(), float))
+
+
+def _clr(x):
+    import numpy as np
+
+    z = np.log(x)
+    return z - z.mean(axis=1, keepdims=True)
+
+
+@query(None)
+def q_pc1(spark, d):
+    from cohortloom.operators import pattern
+
+    f = pattern.first_component(_clr(_maps(spark, d)))
+    s = pattern.sign_by_largest(f["loading"])
+    return spark.createDataFrame([(k, round(float(v * s), 9), f["eigen1"], f["explained"]) for k, v in enumerate(f["loading"])], "region_pos long, loading double, eigen1 double, explained double")
+
+
+@query(None)
+def q_pc1_bootstrap(spark, d):
+    import numpy as np
+
+    from cohortloom.operators import pattern
+
+    x = _clr(_maps(spark, d))
+    f = pattern.first_component(x)
+    indices = np.random.default_rng(20260910).integers(0, len(x), (100, len(x)))
+    return pattern.bootstrap_components(spark, x, f["loading"] * pattern.sign_by_largest(f["loading"]), indices)
+
+
+def _atlas(spark, d):
+    """(coordinates, graph of one hemisphere, map) of 68 parcels made of the vectors' means by label and coordinate."""
+    import numpy as np
+
+    x = _maps(spark, d)
+    angle = np.linspace(0, 5 * np.pi, 34)
+    height = np.linspace(-0.95, 0.95, 34)
+    right = np.column_stack([np.sqrt(1 - height**2) * np.cos(angle), np.sqrt(1 - height**2) * np.sin(angle), height])
+    gap = np.linalg.norm(right[:, None] - right[None], axis=2)
+    np.fill_diagonal(gap, np.inf)
+    near = np.argsort(gap, axis=1, kind="stable")[:, :5]
+    w = np.zeros((34, 34))
+    w[np.arange(34)[:, None], near] = 1
+    return np.vstack([right, right * [-1, 1, 1]]), np.maximum(w, w.T), np.resize(np.log(x.mean(axis=0)), 68)
+
+
+@query(None)
+def q_msr(spark, d):
+    """Spectral nulls of a map: each draw's correlation with it, and Moran's I of its halves."""
+    import numpy as np
+
+    from cohortloom.operators import pattern
+
+    _, w, x = _atlas(spark, d)
+    maps = pattern.hemisphere_nulls(x, w, pattern.random_signs(200, 33, 20260912))
+    rows = [(k, float(np.corrcoef(m, x)[0, 1]), float(pattern.moran(m[:34], w)[0]), float(pattern.moran(m[34:], w)[0])) for k, m in enumerate(maps)]
+    return spark.createDataFrame(rows, "draw long, r double, moran_right double, moran_left double")
+
+
+@query(None)
+def q_spin(spark, d):
+    """Spun maps' Spearman correlations with a fixed gradient and the tail probability of the unspun one."""
+    import numpy as np
+
+    from cohortloom.operators import pattern
+    from cohortloom.operators.linear import ranks
+
+    coords, _, x = _atlas(spark, d)
+    target = ranks(coords[:, 1])
+    values = spark.createDataFrame([(k, float(v)) for k, v in enumerate(ranks(x))], "pos int, value double")
+    t = spark.createDataFrame([("anterior", k, float(v)) for k, v in enumerate(target)], "target string, pos int, t double")
+    null = spatial.map_correlations(spatial.gather_spins(values, pattern.spins(spark, coords, 100, 20260913)), F.broadcast(t))
+    observed = float(np.corrcoef(ranks(x), target)[0, 1])
+    return null.groupBy("target").agg(F.lit(observed).alias("observed"), ranking.tail_p(F.col("r"), F.lit(observed)).alias("p"), F.avg("r").alias("null_mean"))
+
+
+@query(None)
+def q_dat_condition(spark, d):
+    """Partial Spearman correlations given hemisphere and gradients, with what the design leaves of each map."""
+    import numpy as np
+
+    from cohortloom.operators import pattern
+    from cohortloom.operators.linear import partial_spearman
+
+    coords, _, x = _atlas(spark, d)
+    z = pattern.nuisance(coords[:, 1:], 34)
+    others = np.column_stack([np.roll(x, k) for k in (1, 5, 9)])
+    r = partial_spearman(x, others, z)
+    kept = [pattern.retained(c, z) for c in others.T]
+    return spark.createDataFrame([(k, float(v), m["retained"], m["vif"]) for k, (v, m) in enumerate(zip(r, kept))], "target long, partial_rho double, retained double, vif double")
+
+
+@query(None)
+def q_profile_odds(spark, d):
+    """Odds ratio of toxic text with profile bounds on each scanner, or why there is none."""
+    import pandas as pd
+
+    from cohortloom.operators.linear import profile_interval
+
+    def run(pdf):
+        x = pdf[["one", "english", "log_chars"]].to_numpy()
+        try:
+            out = profile_interval(x, pdf["toxic"].to_numpy(), 2)
+        except (ValueError, ArithmeticError) as e:
+            out = {"status": f"{type(e).__name__}: {e}"}
+        return pd.DataFrame([{"scanner": pdf["scanner"].iloc[0], "status": out["status"], **{k: out.get(k) for k in ("log_or", "lo", "hi", "lr", "p")}}])
+
+    return design(spark, d).withColumn("one", F.lit(1.0)).groupBy("scanner").applyInPandas(run, "scanner double, status string, log_or double, lo double, hi double, lr double, p double")

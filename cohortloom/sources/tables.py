@@ -1,10 +1,9 @@
 """Strict sources: schemas are given, never inferred; faults fail, nothing is dropped."""
 
-from __future__ import annotations
-
 import json
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,8 +59,6 @@ def json_documents(spark: SparkSession, path: str, schema: str, strict: bool = T
     """path, document: whole JSON files under a schema. strict: texts pass parse_json first, in their tasks."""
     texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     if strict:
-        import pandas as pd
-
         @F.pandas_udf("string")
         def checked(t: pd.Series) -> pd.Series:
             return t.map(lambda v: json.dumps(parse_json(v)))
@@ -72,8 +69,6 @@ def json_documents(spark: SparkSession, path: str, schema: str, strict: bool = T
 
 def json_objects(text: Column) -> Column:
     """error of a strict parse of each JSON object text (null: fine): repeated keys, non-objects, non-finite numbers."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def fault(t: pd.Series) -> pd.Series:
         def one(v):
