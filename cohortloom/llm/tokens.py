@@ -1,14 +1,17 @@
 """Token ids of whole texts by public tokenizers, fast on texts with many repeated words.
 
 The `tokenizers` library encodes every distinct chunk once and the chunks' ids
-are strung together, where the tokenizer's rules allow a cut: both vocabularies
-split at a space between two other characters before they merge anything. Texts
-with other white space (runs, tabs, leading or trailing) are encoded whole. The
-chunk memory of a worker is emptied when it holds CHUNKS entries.
+are strung together, where the tokenizer's rules allow a cut: byte-level
+vocabularies split at a space between two other characters, and between a letter
+and a full stop or comma that ends a word, before they merge anything. Texts
+with other white space (runs, tabs, leading or trailing), and all texts of a
+tokenizer with other rules, are encoded whole. The chunk memory of a worker is
+emptied when it holds CHUNKS entries.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import chain
@@ -16,12 +19,13 @@ from itertools import chain
 import numpy as np
 
 #: Chunks that a Python worker remembers at most.
-CHUNKS = 1_000_000
+CHUNKS = 700_000
 #: Characters that are cut into chunks at once.
 GULP = 400_000
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 #: White space other than the space and the line break, and NUL, which marks chunks.
-_OTHER = re.compile(r"[\x00\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_OTHER = re.compile(r"[\x00\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]")
+_ENDS = ".,"
 
 
 def _odd(text: str) -> bool:
@@ -29,6 +33,15 @@ def _odd(text: str) -> bool:
     return "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace() or _OTHER.search(text) is not None
 
 
+def _narrow(text: str) -> bool:
+    """Whether all characters are Latin-1: none combines with another, and lower case is a matter of each alone."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class _Numbers(dict):
     """Numbers keys in the order in which they are first asked for; new holds those since it was last emptied."""
 
@@ -46,40 +59,72 @@ class Encoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        rules = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (rules["normalizer"] or {}).get("normalizers", [rules["normalizer"]] if rules["normalizer"] else [])]
+        cuts = [x["type"] for x in (rules["pre_tokenizer"] or {}).get("pretokenizers", [rules["pre_tokenizer"]])]
+        self.lowers = steps == ["NFC", "Replace", "Lowercase"]
+        self.cuttable = (self.lowers and cuts == ["Split", "ByteLevel"]) or (not steps and cuts == ["ByteLevel"])
+        # the same vocabulary without the steps that change nothing: for lower-case Latin-1 text, and for letters alone
+        self.plain, self.letters = self.tokenizer, self.tokenizer
+        if self.lowers:
+            self.plain, self.letters = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = self.tokenizer.pre_tokenizer
+            self.letters.pre_tokenizer = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.end_ids = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in _ENDS}
         self._clear()
 
     def _clear(self) -> None:
         self.known = _Numbers()
         self.ids = np.zeros(1 << 20, np.uint32)
-        self.ends = np.zeros(CHUNKS * 2 + 1, np.int64)
+        self.ends = np.zeros(1 << 18, np.int64)
         self.n = 0
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encodes chunks that aren't known: the text of a key is a space and the key, but for keys that begin with a line break (as they are) or NUL (the first of a text, without it)."""
-        texts = [c[1:] if c[:1] == "\x00" else c if c[0] == "\n" else " " + c for c in chunks]
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self) -> None:
+        """Encodes the new keys: the text of a key is a space and the key, but for keys that begin with a line break (as they are) or NUL (the first of a text, without it)."""
+        keys, n = self.known.new, self.n
+        ended, groups = [], {"tokenizer": ([], []), "plain": ([], []), "letters": ([], [])}
+        for k, c in enumerate(keys):  # grows by the words of ended ones
+            if c[-1] in _ENDS and c[:-1].isalpha():
+                ended.append((k, self.known[c[:-1]], c[-1]))
+                continue
+            kind = "tokenizer"
+            if self.lowers and c == c.lower() and _narrow(c):
+                kind = "letters" if c.isalpha() else "plain"
+            at, texts = groups[kind]
+            at.append(k)
+            if self.lowers:  # white space is dropped anyway
+                texts.append(c[1:] if c[0] == "\x00" or c[0] == "\n" else c)
+            else:
+                texts.append(c[1:] if c[0] == "\x00" else c if c[0] == "\n" else " " + c)
+        coded: list[list[int]] = [[]] * len(keys)
+        for kind, (at, texts) in groups.items():
+            for k, e in zip(at, getattr(self, kind).encode_batch_fast(texts, add_special_tokens=False)):
+                coded[k] = e.ids
+        for k, word, end in ended:
+            coded[k] = (coded[word - n] if word >= n else self.ids[self.ends[word] : self.ends[word + 1]].tolist()) + self.end_ids[end]
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
-        end, n, more = int(self.ends[self.n]), self.n, int(sizes.sum())
-        while end + more > len(self.ids):
+        first, more = int(self.ends[n]), int(sizes.sum())
+        while first + more > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         while n + len(sizes) >= len(self.ends):
             self.ends = np.concatenate((self.ends, np.zeros_like(self.ends)))
-        self.ids[end : end + more] = np.fromiter(chain.from_iterable(coded), np.uint32, more)
-        self.ends[n + 1 : n + 1 + len(sizes)] = end + np.cumsum(sizes)
-        self.n = n + len(chunks)
+        self.ids[first : first + more] = np.fromiter(chain.from_iterable(coded), np.uint32, more)
+        self.ends[n + 1 : n + 1 + len(sizes)] = first + np.cumsum(sizes)
+        self.n, self.known.new = n + len(keys), []
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """The ids (uint32) of each text."""
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
-        odd = [k for k, t in enumerate(texts) if t and _odd(t)]
-        for k, e in zip(odd, self.tokenizer.encode_batch_fast([texts[k] for k in odd], add_special_tokens=False)):
-            out[k] = np.array(e.ids, np.uint32)
+        odd = [k for k, t in enumerate(texts) if t and (not self.cuttable or _odd(t))]
+        for k in odd:
+            out[k] = np.array(self.tokenizer.encode_batch_fast([texts[k]], add_special_tokens=False)[0].ids, np.uint32)
         apart = set(odd)
         even = [k for k, t in enumerate(texts) if t and k not in apart]
         first = 0
-        while first < len(even):  # some hundred thousand characters at a time
+        while first < len(even):  # whole texts, some hundred thousand characters at a time
             last, size = first, 0
             while last < len(even) and (last == first or size + len(texts[even[last]]) <= GULP):
                 size += len(texts[even[last]])
@@ -89,14 +134,15 @@ class Encoder:
         return out
 
     def _even(self, texts: list[str], at: list[int], out: list[np.ndarray]) -> None:
+        if self.lowers:
+            texts = [t.lower() if _narrow(t) else t for t in texts]
         split = [("\x00" + t).replace("\n", " \n").split(" ") for t in texts]
         chunks = list(chain.from_iterable(split))
         if self.n > CHUNKS:
             self._clear()
         where = np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
         if self.known.new:
-            self._learn(self.known.new)
-            self.known.new = []
+            self._learn()
         starts = self.ends[where]
         sizes = self.ends[where + 1] - starts
         total = np.cumsum(sizes)
