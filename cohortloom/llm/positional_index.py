@@ -107,7 +107,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     every = index.where("term is null").select("doc_id", *DOC, F.col("pos").cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     out = every.join(hit, DOC, "left").join(found, DOC, "left").join(near, DOC, "left")
-    return out.select("doc_id", *DOC, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"))
+    out = out.select("doc_id", *DOC, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"))
+    return runtime.settled(out, folder, "matches")
 
 
 def contaminated() -> Column:

@@ -157,6 +157,8 @@ def estimates(stats: DataFrame, folder: str) -> DataFrame:
     rows = stats.select(F.explode(_groups()).alias("g"), *[f"x{i}" for i in range(DIM)])
     spread = rows.groupBy("g").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(DIM)], *_moments())
     spread = runtime.written(spread.where(F.col("n") >= MIN_GROUP).withColumn("size", F.col("n")), folder, "spread")
+    # a row a group and start: broadcast unless there are very many languages and sources; beyond, Spark splits the joins' hot keys
+    sized = F.broadcast if spread.count() <= runtime.BROADCAST_ROWS else lambda df: df
     whole = _from_moments(spread.withColumn("start", F.lit(1)))
     iqr = lambda i: (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349
     middle = spread.select("g", F.lit(0).alias("start"), "size", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIM)], *[(iqr(i) * iqr(i) if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i, j in PAIRS])
@@ -165,7 +167,7 @@ def estimates(stats: DataFrame, folder: str) -> DataFrame:
     half = _chi2_above(1 - COVERAGE, DIM)
     factor = COVERAGE / (1 - _chi2_tail(half, DIM + 2))
     for step in range(1, C_STEPS + 1):
-        near = _distance(rows.join(params.drop("ln_det"), "g"))
+        near = _distance(rows.join(sized(params.drop("ln_det")), "g"))
         binned = near.groupBy("g", "start", "size", F.floor(F.ln(F.col("d2") + 1e-6) * BINS_PER_E).alias("bin")).agg(*_moments())
         # bins are taken up to the one in which the count reaches the coverage
         kept = binned.withColumn("before", F.sum("n").over(in_order) - F.col("n")).where(F.col("before") < COVERAGE * F.col("size"))
@@ -184,7 +186,7 @@ def assess(docs: DataFrame, text: str = "text") -> DataFrame:
     named = docs.select("doc_id", F.col(text).alias("text"), *[x.cast("string").alias(c) for c, x in have.items()])
     stats = _vector(statistics(named)).withColumn("base_failed", base_failed()).withColumn("text_key", F.xxhash64("text")).drop("text")
     stats = runtime.written(stats, folder, "stats")
-    fine = runtime.written(estimates(stats.where(~F.col("base_failed")), folder), folder, "fine")
+    fine = runtime.if_small(runtime.written(estimates(stats.where(~F.col("base_failed")), folder), folder, "fine"))
     judged = stats.withColumn("_g", _groups())
     # the finest group that is large enough: at most three left joins on a table of a row a group
     flat = [c for c in fine.columns if c != "g"]
@@ -193,7 +195,8 @@ def assess(docs: DataFrame, text: str = "text") -> DataFrame:
     judged = judged.withColumn("_p", F.coalesce("_p0", "_p1", "_p2"))
     judged = _distance(judged.select(*stats.columns, *[F.col(f"_p.{c}").alias(c) for c in flat]))
     limit = _chi2_above(REJECT_TAIL, DIM)
-    return judged.withColumn("distance", F.col("d2")).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= limit, F.lit(True))).select(*stats.columns, "distance", "kept")
+    judged = judged.withColumn("distance", F.col("d2")).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= limit, F.lit(True)))
+    return runtime.settled(judged.select(*stats.columns, "distance", "kept"), folder, "quality-verdicts")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
@@ -201,4 +204,4 @@ def keep_good(docs: DataFrame) -> DataFrame:
     id_, key = runtime.fresh("rejected_id", docs), runtime.fresh("rejected_key", docs)
     bad = assess(docs).where(~F.col("kept")).select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).distinct()
     bad = runtime.written(bad, runtime.work_folder(docs.sparkSession, "rejected"), "rows")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[id_]) & (F.xxhash64(docs["text"]) == bad[key]), "left_anti")
+    return docs.join(runtime.if_small(bad), docs["doc_id"].eqNullSafe(bad[id_]) & (F.xxhash64(docs["text"]) == bad[key]), "left_anti")

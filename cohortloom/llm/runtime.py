@@ -49,6 +49,13 @@ def written(df: DataFrame, folder: str, name: str, codec: str = "zstd") -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, folder: str, tag: str) -> DataFrame:
+    """df, written to a folder of its own; the folder of what it was made from is deleted."""
+    out = written(df, work_folder(df.sparkSession, tag), "result")
+    delete_folder(df.sparkSession, folder)
+    return out
+
+
 def open_fs(uri: str):
     """(file system, path) for a shared-folder URI, in a Python worker or the driver."""
     from pyarrow import fs

@@ -313,7 +313,7 @@ def near_duplicates(docs: DataFrame, tau: int = 3, width: int = 3) -> DataFrame:
     found = components(edges(nodes.where("node is not null"), tau, folder), folder)
     named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     named = runtime.written(named, folder, "named")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return runtime.settled(fps.join(named, "fp").select("doc_id", "fp", "component_id"), folder, "near-duplicates")
 
 
 def keep_one(docs: DataFrame, tau: int = 3, width: int = 3) -> DataFrame:
@@ -323,4 +323,4 @@ def keep_one(docs: DataFrame, tau: int = 3, width: int = 3) -> DataFrame:
     drop = found.where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias(gone)).distinct()
     drop = runtime.written(drop.join(stay, gone, "left_anti"), runtime.work_folder(docs.sparkSession, "duplicates"), "rows")
-    return docs.join(drop, docs["doc_id"] == drop[gone], "left_anti")
+    return docs.join(runtime.if_small(drop), docs["doc_id"] == drop[gone], "left_anti")
