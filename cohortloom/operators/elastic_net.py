@@ -128,16 +128,17 @@ def fit(x: np.ndarray, y: np.ndarray, c: float, l1: float, penalized: np.ndarray
         else:
             break
         w, value = new, next_value
-    # the intercept alone, so that predictions balance to the last digits
+    # the unpenalized part alone, so that predictions balance to the last digits
+    free = (p.a == 0) & (p.c == 0)
     for _ in range(20):
         q = _expit(p.x @ w)
-        off = float(np.mean(q - y))
-        if abs(off) < 2e-16:
+        off = p.x[:, free].T @ (q - y) / n
+        if np.abs(off).max() < 2e-16:
             break
-        w[0] -= off / float(np.mean(q * (1 - q)))
+        w[free] -= np.linalg.solve((p.x[:, free] * (q * (1 - q))[:, None]).T @ p.x[:, free] / n, off)
     gap, balance = p.gap(w)
     kkt = p.residual(w, p.slope(w))
-    if not (kkt <= ACCEPT and -1e-12 <= gap <= GAP and (penalized is not None or balance <= BALANCE)):
+    if not (kkt <= ACCEPT and -1e-12 <= gap <= GAP and balance <= BALANCE):
         raise NotCertified(f"first-order residual {kkt:.3g}, duality gap {gap:.3g}, balance {balance:.3g}")
     return Fit(float(w[0] - middle @ w[1:]), w[1:].copy(), kkt, gap, value, steps)
 
