@@ -96,3 +96,51 @@ def test_imaging(spark):
     assert imaging.bounding_boxes(v).where("label = 1").first().j_max == 1
     with pytest.raises(PySparkException):
         spark.createDataFrame([(1.5,)], "l double").select(imaging.integer_labels(F.col("l"))).collect()
+
+
+def test_external_cohort(spark):
+    from cohortloom.plans import spatial
+
+    rng = np.random.default_rng(11)
+    n, regions = 8, [f"r{k}" for k in range(20)]
+    raw = np.exp(rng.normal(size=(30, 20)) * 0.1 + np.outer(rng.normal(size=30), np.linspace(-1, 1, 20)))
+    v = rng.normal(size=(n, 3))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    coords = np.vstack([v, v * [-1, 1, 1]])
+    targets, names = rng.normal(size=(2 * n, 3)), ["a", "b", "c"]
+    out = spatial.external_cohort(spark, raw, regions, ("r3", "r4"), list(range(2 * n)), targets, names, coords, rng.normal(size=(2 * n, 2)), boots=20, nulls=30)
+    load = {r.region: r.loading for r in out["pattern"].collect()}
+    assert load["r3"] + load["r4"] > 0 and out["bootstrap"].where("degenerate").count() == 0
+    for name in ("spectral", "conditional"):
+        rows = out[name].collect()
+        assert len(rows) == 3 and all(1 / 31 - 1e-12 <= r.p <= r.q + 1e-12 <= 1 + 1e-9 for r in rows)
+    spun = {r.target: r for r in out["spins"].collect()}
+    from cohortloom.operators.linear import ranks
+
+    x = np.array([load[r] for r in regions[: 2 * n]])
+    for k, name in enumerate(names):
+        assert spun[name].rho == pytest.approx(np.corrcoef(ranks(x), ranks(targets[:, k]))[0, 1])
+    assert out["intervals"].count() == 3
+    with pytest.raises(ContractError):
+        spatial.spatial_family(out["bootstrap"].select("draw"), spark.createDataFrame([("a", 0.1)], "target string, observed double"), 18)
+
+
+def test_spin_tail(spark):
+    from cohortloom.plans import spatial
+
+    perms = [list(range(6)), list(range(5, -1, -1)), [5, 0, 1, 2, 3, 4]]
+    spins = spark.createDataFrame(list(enumerate(perms)), "draw long, perm array<int>")
+    x = np.arange(6.0)
+    r = spatial.spin_statistics(spark, x, x[:, None], ["t"], spins).first()
+    assert r.rho == pytest.approx(1) and r.p == 0.75
+
+
+def test_graph_rules():
+    from cohortloom.plans import spatial
+
+    c = np.array([[0.0, 0, 0], [1, 0, 0], [2.1, 0, 0], [9, 0, 0]])
+    a, b = spatial.graph_weights(c, 1), spatial.graph_weights(c, 1, from_first=True)
+    assert (a == b).all() and (a == a.T).all() and a[3, 2] == 1
+    with pytest.raises(ValueError):
+        spatial.graph_weights(np.zeros((3, 3)), 1)
+    assert spatial.graph_weights(np.zeros((3, 3)), 1, from_first=True).sum() > 0
