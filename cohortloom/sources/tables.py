@@ -125,3 +125,34 @@ def selection_manifest(df: DataFrame) -> DataFrame:
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
     """path, bytes, sha256 of files, hashed where they are read."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def scanner_metadata(spark: SparkSession, path: str, needed: tuple[str, ...] = ("study_id", "scanner"), optional: tuple[str, ...] = ("epilepsy_type",)) -> DataFrame:
+    """The needed columns and those of the optional ones that are there, as plain strings: words like NA stay words, all else is left behind."""
+    head = spark.read.option("header", True).option("inferSchema", False).option("nullValue", "\x00").csv(path)
+    if not set(needed) <= set(head.columns):
+        raise ContractError(f"columns {sorted(set(needed) - set(head.columns))} are missing")
+    return head.select(*needed, *[c for c in optional if c in head.columns])
+
+
+def array_bundle(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """row_pos, values of one matrix of a NumPy bundle, to be kept as Parquet; objects in it are refused."""
+    import numpy as np
+
+    with np.load(path, allow_pickle=False) as bundle:
+        rows = np.atleast_2d(np.asarray(bundle[name], float))
+    if not np.isfinite(rows).all():
+        raise ContractError(f"{name} holds non-finite numbers")
+    return spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(rows)], "row_pos long, values array<double>")
+
+
+def model_input(document: dict, columns: list[str], outcome: str = "outcome") -> dict:
+    """A model-input document with unique string ids, a row of the given columns for each, and outcomes of 0 or 1; else an error."""
+    ids, rows, y = document.get("participant_ids"), document.get("rows"), document.get(outcome)
+    if not (isinstance(ids, list) and isinstance(rows, list) and isinstance(y, list) and len(ids) == len(rows) == len(y) > 1):
+        raise ContractError("ids, rows and outcomes must be lists of one length")
+    if len(set(ids)) != len(ids) or not all(isinstance(i, str) and i for i in ids):
+        raise ContractError("ids must be unique strings")
+    if any(type(v) is not int or v not in (0, 1) for v in y) or any(set(r) != set(columns) for r in rows):
+        raise ContractError("outcomes must be 0 or 1 and rows have exactly the model's columns")
+    return document

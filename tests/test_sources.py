@@ -75,3 +75,24 @@ def test_sinks(spark, tmp_path):
     (tmp_path / "f").write_text("y")
     with pytest.raises(ContractError):
         sinks.verify(m, {"a": 1})
+
+
+def test_more_sources(spark, tmp_path, capsys):
+    import numpy as np
+
+    from cohortloom.__main__ import main
+
+    (tmp_path / "m.csv").write_text("study_id,scanner,extra\nA,NA,1\nB,,2\n")
+    got = tables.scanner_metadata(spark, str(tmp_path / "m.csv"))
+    assert got.columns == ["study_id", "scanner"] and got.where("scanner = 'NA'").count() == 1
+    with pytest.raises(ContractError):
+        tables.scanner_metadata(spark, str(tmp_path / "m.csv"), ("study_id", "site"))
+    np.savez(tmp_path / "a.npz", x=np.arange(6.0).reshape(2, 3))
+    assert [tuple(r) for r in tables.array_bundle(spark, str(tmp_path / "a.npz"), "x").orderBy("row_pos").collect()] == [(0, [0.0, 1.0, 2.0]), (1, [3.0, 4.0, 5.0])]
+    fine = {"participant_ids": ["a", "b"], "rows": [{"x": 1}, {"x": 2}], "outcome": [0, 1]}
+    assert tables.model_input(fine, ["x"]) is fine
+    for bad in ({**fine, "outcome": [0, 0.5]}, {**fine, "participant_ids": ["a", "a"]}, {**fine, "rows": [{"x": 1}, {"y": 2}]}):
+        with pytest.raises(ContractError):
+            tables.model_input(bad, ["x"])
+    assert main(["environment"]) == 0 and "pyspark" in capsys.readouterr().out
+    assert main(["queries"]) == 0 and "q_brier" in capsys.readouterr().out
