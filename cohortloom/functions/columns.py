@@ -74,6 +74,13 @@ def unbiased_kurtosis(x: Column) -> Column:
     return ((n + 1) * F.kurtosis(x) + 6) * (n - 1) / ((n - 2) * (n - 3))
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Aggregate: Pearson correlation of the complete pairs, within -1 and 1; null without spread."""
+    x, y = F.when(y.isNotNull(), x.cast("double")), F.when(x.isNotNull(), y.cast("double"))
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.greatest(F.least(F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0)), F.lit(1.0)), F.lit(-1.0))
+
+
 def unit(values: Column) -> Column:
     """An array scaled to length 1; null at length 0."""
     norm = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, v: a + v * v))

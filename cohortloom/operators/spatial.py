@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.functions.columns import required
+from cohortloom.functions.columns import correlation, required
 from cohortloom.operators.ranking import average_rank
 
 
@@ -52,21 +52,20 @@ def moran(values: DataFrame, edges: DataFrame, by: list[str], pos: str = "pos",
 
 def map_correlations(maps: DataFrame, targets: DataFrame) -> DataFrame:
     """draw, target, r: Pearson correlation of every map (draw, pos, value) with every target (target, pos, t), within -1 and 1; null without spread."""
-    r = F.corr("value", "t")
-    return maps.join(targets, "pos").groupBy("draw", "target").agg(F.when((F.stddev_pop("value") > 0) & (F.stddev_pop("t") > 0), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).alias("r"))
+    return maps.join(targets, "pos").groupBy("draw", "target").agg(correlation(F.col("value"), F.col("t")).alias("r"))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """by, rho: Pearson correlation of average ranks."""
     keys = [F.col(c) for c in by]
     ranked = df.select(*by, average_rank(F.col(x), keys).alias("_x"), average_rank(F.col(y), keys).alias("_y"))
-    return ranked.groupBy(*by).agg(F.corr("_x", "_y").alias("rho"))
+    return ranked.groupBy(*by).agg(correlation(F.col("_x"), F.col("_y")).alias("rho"))
 
 
 def partial_one(df: DataFrame, x: str, y: str, covariate: str, by: list[str]) -> DataFrame:
     """by, r: correlation of x and y given one covariate, from three correlations of one pass."""
-    s = df.groupBy(*by).agg(F.corr(x, y).alias("a"), F.corr(x, covariate).alias("b"), F.corr(y, covariate).alias("c"))
-    return s.select(*by, ((F.col("a") - F.col("b") * F.col("c")) / F.sqrt((1 - F.col("b") * F.col("b")) * (1 - F.col("c") * F.col("c")))).alias("r"))
+    s = df.groupBy(*by).agg(*[correlation(F.col(u), F.col(v)).alias(n) for n, u, v in (("a", x, y), ("b", x, covariate), ("c", y, covariate))])
+    return s.select(*by, ((F.col("a") - F.col("b") * F.col("c")) / F.nullif(F.sqrt((1 - F.col("b") * F.col("b")) * (1 - F.col("c") * F.col("c"))), F.lit(0.0))).alias("r"))
 
 
 def residual_one(df: DataFrame, y: str, x: str, by: list[str]) -> DataFrame:
