@@ -96,8 +96,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
             doc_type = b.column(0).type
             for k in range(0, b.num_rows, _BATCH):
                 names = b.column(0).slice(k, _BATCH).to_pylist()
-                for name, ids in zip(names, encode([t or "" for t in b.column(1).slice(k, _BATCH).to_pylist()])):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                for name, ids in zip(names, encode([t or "" for t in b.column(1).slice(k, _BATCH).to_pylist()], end_id)):
                     packer.add((name, len(ids)), ids)
                 if packer.out:
                     yield _rows(doc_type, part, [(number + i, p, False) for i, p in enumerate(packer.out)])
@@ -116,8 +115,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
         merged = merged.groupBy("group").applyInPandas(_merger(capacity, open_windows), "own long, window long, filled int, group long, to long, to_window long, at long")
         left = runtime.written(merged, folder, f"left{level}")
     moved = left.select(F.col("own").cast("int").alias("bundle"), "window", "to", "to_window", "at")
-    whole = pieces.where("filled = 0").withColumn("to", F.col("bundle").cast("long")).withColumn("to_window", F.col("window")).withColumn("at", F.lit(0).cast("long"))
-    parts = whole.unionByName(pieces.where("filled > 0").join(moved, ["bundle", "window"]))
+    # one pass over the pieces: only open windows have another place than their own
+    parts = pieces.join(runtime.if_small(moved), ["bundle", "window"], "left").withColumns({"to": F.coalesce("to", F.col("bundle").cast("long")), "to_window": F.coalesce("to_window", "window"), "at": F.coalesce("at", F.lit(0).cast("long"))})
     sequence = F.shiftleft(F.col("to"), 40) + F.col("to_window")
     return parts.select("doc_id", "start", "length", "ids", "doc_tokens", sequence.alias("sequence_id"), (F.col("offset") + F.col("at")).alias("offset"))
 

@@ -51,7 +51,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int, width: int) -
     def run(batches):
         encode = encoder(tokenizer)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_serial(np.append(x, end_id), width) for x in encode([t or "" for t in b.column(1).to_pylist()])], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([_serial(x, width) for x in encode([t or "" for t in b.column(1).to_pylist()], end_id)], pa.binary())], ["ids"])
 
     samples = [r[0] for r in sample.mapInArrow(run, "ids binary").limit(2 * DICT_DOCS).collect()]
     try:
@@ -95,9 +95,9 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0) -
                     out = fs.open_output_stream(where)
                     out.write(struct.pack(HEADER, MAGIC, width, digest))
                 frames, sizes = [], []
-                for ids in encode([t or "" for t in b.column(1).slice(k, _BATCH).to_pylist()]):
-                    frames.append(squeeze.compress(_serial(np.append(ids, np.uint32(end_id)), width)))
-                    sizes.append(len(ids) + 1)
+                for ids in encode([t or "" for t in b.column(1).slice(k, _BATCH).to_pylist()], end_id):
+                    frames.append(squeeze.compress(_serial(ids, width)))
+                    sizes.append(len(ids))
                 out.write(b"".join(frames))
                 lengths = np.array([len(f) for f in frames], np.int64)
                 index.append(pa.RecordBatch.from_arrays([b.column(0).slice(k, _BATCH), pa.array(at + np.cumsum(lengths) - lengths), pa.array(lengths), pa.array(sizes, pa.int64())], ["doc_id", "offset", "size", "n_tokens"]))
