@@ -27,8 +27,8 @@ def strict_binary(x: Column, name: str) -> Column:
 
 
 def logit(p: Column, clip: float = 1e-6) -> Column:
-    p = F.least(F.greatest(p, F.lit(clip)), F.lit(1 - clip))
-    return F.ln(p / (1 - p))
+    q = F.least(F.greatest(p, F.lit(clip)), F.lit(1 - clip))
+    return F.when(p.isNotNull(), F.ln(q / (1 - q)))  # greatest and least pass over nulls
 
 
 def expit(z: Column) -> Column:
@@ -78,7 +78,8 @@ def correlation(x: Column, y: Column) -> Column:
     """Aggregate: Pearson correlation of the complete pairs, within -1 and 1; null without spread."""
     x, y = F.when(y.isNotNull(), x.cast("double")), F.when(x.isNotNull(), y.cast("double"))
     spread = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.greatest(F.least(F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0)), F.lit(1.0)), F.lit(-1.0))
+    r = F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))
+    return F.when(r.isNotNull(), F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0)))  # greatest and least pass over nulls
 
 
 def unit(values: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortloom.functions.columns import required
+
 
 def average_rank(x: Column, by: list[Column]) -> Column:
     """Rank within the group, ties sharing their mean rank."""
@@ -23,8 +25,14 @@ def rank_table(df: DataFrame, x: str, by: list[str]) -> DataFrame:
     return counts.withColumn("rank", before + (F.col("n") + 1) / F.lit(2.0))
 
 
+def _probabilities(df: DataFrame, p: str) -> DataFrame:
+    """df, whose p must all lie between 0 and 1: a family with a gap can't be corrected."""
+    return df.withColumn(p, required(F.coalesce(F.col(p).between(0.0, 1.0), F.lit(False)), F.col(p), f"{p} must lie between 0 and 1"))
+
+
 def benjamini_hochberg(df: DataFrame, p: str, family: list[str], tie: list[str], out: str = "q") -> DataFrame:
     """Step-up adjusted p: from the largest on, the smallest of p x m / rank so far, at most 1."""
+    df = _probabilities(df, p)
     up = Window.partitionBy(*family).orderBy(p, *tie)
     down = up.rowsBetween(0, Window.unboundedFollowing)
     m = F.count(F.lit(1)).over(Window.partitionBy(*family))
@@ -33,6 +41,7 @@ def benjamini_hochberg(df: DataFrame, p: str, family: list[str], tie: list[str],
 
 def holm(df: DataFrame, p: str, family: list[str], tie: list[str], out: str = "p_holm") -> DataFrame:
     """Step-down adjusted p: the largest of p x (m - rank + 1), at most 1, so far."""
+    df = _probabilities(df, p)
     up = Window.partitionBy(*family).orderBy(p, *tie)
     m = F.count(F.lit(1)).over(Window.partitionBy(*family))
     return df.withColumn("_r", F.row_number().over(up)).withColumn("_m", m).withColumn("_s", F.least(F.lit(1.0), F.col(p) * (F.col("_m") - F.col("_r") + 1))).withColumn(out, F.max("_s").over(up.rowsBetween(Window.unboundedPreceding, 0))).drop("_r", "_m", "_s")

@@ -113,7 +113,7 @@ def test_map_correlations_without_spread(spark):
     maps = spark.createDataFrame([(0, k, 1.0) for k in range(4)] + [(1, k, float(k)) for k in range(4)], "draw int, pos int, value double")
     t = spark.createDataFrame([("t", k, float(-k)) for k in range(4)], "target string, pos int, t double")
     got = {r.draw: r.r for r in spatial.map_correlations(maps, t).collect()}
-    assert got[0] is None and got[1] == -1.0
+    assert got[0] is None and got[1] == pytest.approx(-1.0)
 
 
 def test_twin_points_fail(spark):
@@ -132,3 +132,11 @@ def test_distribution_counts_what_is_not_finite(spark):
     df = spark.createDataFrame([("g", v) for v in (1.0, -1.0, float("nan"), float("inf"), None)], "g string, x double")
     r = metrics.distribution(df, "x", ["g"]).first()
     assert (r.n_finite, r.n_other, r.min, r.max, r.positive) == (2, 3, -1.0, 1.0, 0.5)
+
+
+def test_gaps_in_a_family_fail(spark):
+    df = spark.createDataFrame([("f", 1, 0.1), ("f", 2, None)], "f string, k int, p double")
+    for adjust in (ranking.benjamini_hochberg, ranking.holm):
+        with pytest.raises(PySparkException):
+            adjust(df, "p", ["f"], ["k"]).collect()
+    assert df.select(C.logit(F.col("p")).alias("z")).where("z is null").count() == 1
