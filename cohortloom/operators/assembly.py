@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.columns import required, within
@@ -52,17 +52,15 @@ def reference_dummies(levels: Mapping[str, list]) -> list[Column]:
     return out
 
 
-def z_score(x: Column, by: list[Column] | None = None, sample: bool = True) -> Column:
-    """Standard score over all rows or within groups; divides by n - 1 (sample) or n."""
-    w = Window.partitionBy(*(by or [F.lit(0)]))
-    return (x - F.avg(x).over(w)) / (F.stddev_samp(x) if sample else F.stddev_pop(x)).over(w)
+def standardized(df: DataFrame, columns: list[str], sample: bool = True, by: list[str] | None = None) -> DataFrame:
+    """df with z_<column> over all its rows or within groups; divides by n - 1 (sample) or n.
 
-
-def standardized(df: DataFrame, columns: list[str], sample: bool = True) -> DataFrame:
-    """df with z_<column> over all its rows: one aggregation, whose row is broadcast (no window over one partition)."""
-    moments = df.agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[(F.stddev_samp if sample else F.stddev_pop)(c).alias(f"_s_{c}") for c in columns])
-    out = df.crossJoin(F.broadcast(moments))
-    return out.select(*df.columns, *[((F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).alias(f"z_{c}") for c in columns])
+    One aggregation, whose rows are joined back: no window has a whole group.
+    """
+    by = by or []
+    moments = df.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns], *[(F.stddev_samp if sample else F.stddev_pop)(c).alias(f"_s_{c}") for c in columns])
+    out = df.join(moments, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by]) if by else df.crossJoin(F.broadcast(moments))
+    return out.select(*df.columns, *[((F.col(c) - F.col(f"_m_{c}")) / F.nullif(F.col(f"_s_{c}"), F.lit(0.0))).alias(f"z_{c}") for c in columns])
 
 
 def log_frequency(raw: str, supplied: str | None = None) -> Column:

@@ -1,7 +1,8 @@
 """Ranks, multiplicity adjustments, ordered selections and tail counts.
 
-Each works within `family`: a family is a declared list of tests or a group of
-rows, and its window is that group alone.
+Groups of rows may be of any size: their ranks and running sums are made in two
+levels, so that no task has a whole group. A family is a declared list of tests
+and is corrected in one window.
 """
 
 from __future__ import annotations
@@ -12,17 +13,58 @@ from pyspark.sql import functions as F
 from cohortloom.functions.columns import required
 
 
-def average_rank(x: Column, by: list[Column]) -> Column:
-    """Rank within the group, ties sharing their mean rank."""
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*by, x))
-    return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (ties - 1) / F.lit(2.0)
+BUCKETS = 1024
+
+
+def _bucketed(df: DataFrame, by: list[str], x: str) -> DataFrame:
+    """df with _bucket: the place of x among equal steps from its group's smallest to its largest value, nulls first.
+
+    Bounds are exact, so that a plan that is run twice deals its rows alike.
+    """
+    bounds = df.groupBy(*[F.col(c).alias(f"_b_{c}") for c in by]).agg(F.min(x).cast("double").alias("_low"), F.max(x).cast("double").alias("_high"))
+    on = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by]
+    joined = df.join(bounds, on) if by else df.crossJoin(F.broadcast(bounds))
+    step = (F.col(x).cast("double") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+    bucket = F.coalesce(F.least(F.floor(step * BUCKETS), F.lit(BUCKETS - 1)).cast("int"), F.lit(0))
+    return joined.withColumn("_bucket", F.when(F.col(x).isNull(), -1).otherwise(bucket)).drop("_low", "_high", *[f"_b_{c}" for c in by])
+
+
+def running_sums(df: DataFrame, by: list[str], x: str, sums: dict[str, str]) -> DataFrame:
+    """df, one row for each x of a group, with the sum over smaller x of each named column.
+
+    Two levels: within a bucket of x, and over the buckets' totals; no task has a whole group.
+    """
+    placed = _bucketed(df, by, x)
+    totals = placed.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_t_{o}") for o, c in sums.items()])
+    upto = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_bucket").alias("_at"), *[F.coalesce(F.sum(f"_t_{o}").over(upto), F.lit(0)).alias(f"_s_{o}") for o in sums])
+    inside = Window.partitionBy(*by, "_bucket").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
+    on = [F.col("_bucket") == F.col("_at"), *[F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by]]
+    out = placed.join(before, on).withColumns({o: F.col(f"_s_{o}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for o, c in sums.items()})
+    return out.select(*df.columns, *sums)
+
+
+def numbered(df: DataFrame, by: list[str], x: str, rest: list[str], out: str = "row_number") -> DataFrame:
+    """df with each row's number from 1 in its group in the order of x and rest, in two levels as running_sums()."""
+    placed = _bucketed(df, by, x)
+    totals = placed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_bucket").alias("_at"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_s"))
+    on = [F.col("_bucket") == F.col("_at"), *[F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by]]
+    inside = Window.partitionBy(*by, "_bucket").orderBy(x, *rest)
+    return placed.join(before, on).withColumn(out, F.col("_s") + F.row_number().over(inside)).select(*df.columns, out)
 
 
 def rank_table(df: DataFrame, x: str, by: list[str]) -> DataFrame:
-    """by, x, rank (average), n for each distinct value: built from counts, so that repeated values are combined map-side."""
+    """by, x, rank (ties share their mean rank), n for each distinct value: built from counts, so that repeated values are combined map-side."""
     counts = df.groupBy(*by, x).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*[F.col(c) for c in by]).orderBy(x).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return counts.withColumn("rank", before + (F.col("n") + 1) / F.lit(2.0))
+    return running_sums(counts, by, x, {"_before": "n"}).select(*by, x, (F.col("_before") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"), "n")
+
+
+def average_ranks(df: DataFrame, x: str, by: list[str], out: str = "rank") -> DataFrame:
+    """df with each row's rank in its group, ties sharing their mean rank."""
+    ranks = rank_table(df, x, by).select(*[F.col(c).alias(f"_r_{c}") for c in (*by, x)], F.col("rank").alias(out))
+    return df.join(ranks, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in (*by, x)]).select(*df.columns, out)
 
 
 def _probabilities(df: DataFrame, p: str) -> DataFrame:
@@ -48,27 +90,30 @@ def holm(df: DataFrame, p: str, family: list[str], tie: list[str], out: str = "p
 
 
 def roc_points(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
-    """Distinct thresholds from high to low with true and false positive rates, and each step's share of the area."""
+    """by, threshold, tpr, fpr, area: rates at each distinct threshold, and its step's share of the area."""
     steps = df.groupBy(*by, p).agg(F.sum((F.col(y) == 1).cast("long")).alias("_t"), F.sum((F.col(y) == 0).cast("long")).alias("_f"))
-    down = Window.partitionBy(*by).orderBy(F.col(p).desc())
-    so_far = down.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    out = steps.withColumn("tpr", F.sum("_t").over(so_far) / F.sum("_t").over(whole)).withColumn("fpr", F.sum("_f").over(so_far) / F.sum("_f").over(whole))
-    last = lambda c: F.coalesce(F.lag(c).over(down), F.lit(0.0))
-    return out.withColumn("area", (F.col("fpr") - last("fpr")) * (F.col("tpr") + last("tpr")) / 2).select(*by, F.col(p).alias("threshold"), "tpr", "fpr", "area")
+    steps = steps.withColumn("_down", -F.col(p))
+    sums = running_sums(steps, by, "_down", {"_tb": "_t", "_fb": "_f"})
+    whole = df.groupBy(*[F.col(c).alias(f"_w_{c}") for c in by]).agg(F.count_if(F.col(y) == 1).alias("_pos"), F.count_if(F.col(y) == 0).alias("_neg"))
+    out = sums.join(F.broadcast(whole) if not by else whole, [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in by]) if by else sums.crossJoin(F.broadcast(whole))
+    pos, neg = F.nullif(F.col("_pos"), F.lit(0)), F.nullif(F.col("_neg"), F.lit(0))
+    tpr, fpr = (F.col("_tb") + F.col("_t")) / pos, (F.col("_fb") + F.col("_f")) / neg
+    area = F.col("_f") / neg * (tpr + F.col("_tb") / pos) / 2
+    return out.select(*by, F.col(p).alias("threshold"), tpr.alias("tpr"), fpr.alias("fpr"), area.alias("area"))
 
 
 def tolerant_minimum(df: DataFrame, value: str, by: list[str], order: list[str], slack: float = 1e-8) -> DataFrame:
     """Of the rows within slack of their group's minimum, the first in the given order."""
-    best = F.min(value).over(Window.partitionBy(*by))
-    near = df.withColumn("_best", best).where(F.col(value) <= F.col("_best") + slack)
-    return near.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n", "_best")
+    best = df.groupBy(*[F.col(c).alias(f"_m_{c}") for c in by]).agg(F.min(value).alias("_best"))
+    near = df.join(best, [F.col(c).eqNullSafe(F.col(f"_m_{c}")) for c in by]).where(F.col(value) <= F.col("_best") + slack)
+    first = near.groupBy(*by).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
+    return first.select("_row.*")
 
 
 def largest_absolute(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
     """The row with the largest absolute value of each group, ties by name."""
-    w = Window.partitionBy(*by).orderBy(F.abs(F.col(value)).desc(), name)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    first = df.groupBy(*by).agg(F.min_by(F.struct(*df.columns), F.struct((-F.abs(F.col(value))).alias("v"), F.col(name).alias("n"))).alias("_row"))
+    return first.select("_row.*")
 
 
 def tail_p(null: Column, observed: Column, slack: float = 1e-12) -> Column:

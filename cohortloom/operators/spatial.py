@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions.columns import correlation, required
-from cohortloom.operators.ranking import average_rank
+from cohortloom.operators.ranking import average_ranks
 
 
 def nearest(points: DataFrame, k: int, by: list[str], pos: str = "pos", coords: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
@@ -41,8 +41,8 @@ def averaged(edges: DataFrame, hemispheres: int = 2) -> DataFrame:
 
 def moran(values: DataFrame, edges: DataFrame, by: list[str], pos: str = "pos", value: str = "value") -> DataFrame:
     """by, moran: n / sum(w) x sum(w zi zj) / sum(z^2) of each map over one edge list."""
-    w = Window.partitionBy(*by)
-    z = values.select(*by, F.col(pos).alias("pos"), (F.col(value) - F.avg(value).over(w)).alias("z"))
+    means = values.groupBy(*by).agg(F.avg(value).alias("_mean"))
+    z = values.join(means, by).select(*by, F.col(pos).alias("pos"), (F.col(value) - F.col("_mean")).alias("z"))
     spread = z.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col("z") * F.col("z")).alias("_ss"))
     i = z.select(*by, F.col("pos").alias("src"), F.col("z").alias("zi"))
     j = z.select(*by, F.col("pos").alias("dst"), F.col("z").alias("zj"))
@@ -57,8 +57,7 @@ def map_correlations(maps: DataFrame, targets: DataFrame) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """by, rho: Pearson correlation of average ranks."""
-    keys = [F.col(c) for c in by]
-    ranked = df.select(*by, average_rank(F.col(x), keys).alias("_x"), average_rank(F.col(y), keys).alias("_y"))
+    ranked = average_ranks(average_ranks(df.select(*by, x, y), x, by, "_x"), y, by, "_y")
     return ranked.groupBy(*by).agg(correlation(F.col("_x"), F.col("_y")).alias("rho"))
 
 

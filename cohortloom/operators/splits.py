@@ -8,9 +8,11 @@ rows of a class in the order of a hash of (seed, repeat, row_pos) take folds in
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.operators.ranking import numbered
+
 
 def fold_count(df: DataFrame, y: str) -> DataFrame:
     """One row: class sizes and the largest of 5, 4, 3 folds that leaves 2 of the smaller class in each test part and 3 in training; null if none does."""
@@ -20,15 +22,16 @@ def fold_count(df: DataFrame, y: str) -> DataFrame:
     return sizes.withColumn("folds", F.when(fits(5), 5).when(fits(4), 4).when(fits(3), 3))
 
 
-def in_turn(strata: list[Column], order: list[Column], folds: int) -> Column:
-    """Fold numbers dealt in turn to the rows of each stratum."""
-    return F.pmod(F.row_number().over(Window.partitionBy(*strata).orderBy(*order)) - 1, F.lit(folds))
+def dealt(df: DataFrame, strata: list[str], order: Column, tie: str, folds: int, out: str = "fold") -> DataFrame:
+    """df with fold numbers dealt in turn to the rows of each stratum in the order of a number, ties by another column."""
+    rows = numbered(df.withColumn("_order", order), strata, "_order", [tie], "_k")
+    return rows.withColumn(out, (F.col("_k") - 1) % folds).drop("_order", "_k")
 
 
 def stratified(df: DataFrame, y: str, folds: int, repeats: int, seed: int, row: str = "row_pos") -> DataFrame:
     """repeat, row, y, fold: every row is tested once in each repeat."""
     out = df.select(row, y, F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
-    return out.withColumn("fold", in_turn([F.col("repeat"), F.col(y)], [F.xxhash64(F.lit(seed), "repeat", row), F.col(row)], folds))
+    return dealt(out, ["repeat", y], F.xxhash64(F.lit(seed), "repeat", row), row, folds)
 
 
 def nested(outer: DataFrame, y: str, inner_folds: int, seed: int, row: str = "row_pos") -> DataFrame:
@@ -36,7 +39,7 @@ def nested(outer: DataFrame, y: str, inner_folds: int, seed: int, row: str = "ro
     folds = outer.groupBy("repeat").agg((F.max("fold") + 1).alias("_n"))
     every = outer.join(folds, "repeat").withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
     rows = every.select("repeat", F.col("_k").alias("fold"), F.lit(None).cast("int").alias("inner_fold"), F.when(F.col("fold") == F.col("_k"), "test").otherwise("train").alias("role"), row, y)
-    inner = rows.where("role = 'train'").withColumn("_i", in_turn([F.col("repeat"), F.col("fold"), F.col(y)], [F.xxhash64(F.lit(seed), "repeat", "fold", row), F.col(row)], inner_folds))
+    inner = dealt(rows.where("role = 'train'"), ["repeat", "fold", y], F.xxhash64(F.lit(seed), "repeat", "fold", row), row, inner_folds, "_i")
     inner = inner.withColumn("inner_fold", F.explode(F.sequence(F.lit(0), F.lit(inner_folds - 1)))).select("repeat", "fold", "inner_fold", F.when(F.col("_i") == F.col("inner_fold"), "validation").otherwise("inner_train").alias("role"), row, y)
     return rows.unionByName(inner)
 
@@ -44,7 +47,7 @@ def nested(outer: DataFrame, y: str, inner_folds: int, seed: int, row: str = "ro
 def grouped(df: DataFrame, group: str, y: str, folds: int) -> DataFrame:
     """group, y, fold of each distinct group: copies of a person share a fold."""
     people = df.groupBy(group).agg(F.max(y).alias(y))
-    return people.withColumn("fold", in_turn([F.col(y)], [F.col(group)], folds))
+    return dealt(people, [y], F.col(group), group, folds)
 
 
 def coverage(plan: DataFrame, rows: DataFrame, row: str = "row_pos") -> DataFrame:

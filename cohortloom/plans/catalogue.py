@@ -55,11 +55,8 @@ S = "WITH s AS (SELECT l.doc_id AS row_pos, l.quality AS y, l.toxic, d.n_chars,
 
 
 def dense(df: DataFrame) -> DataFrame:
-    """df with row_pos renumbered from 0 in its order: the cohort's one narrow column is numbered and joined back."""
-    from pyspark.sql import Window
-
-    ids = df.select("row_pos").withColumn("k", (F.row_number().over(Window.orderBy("row_pos")) - 1).cast("long"))
-    return df.join(ids, "row_pos").drop("row_pos").withColumnRenamed("k", "row_pos")
+    """df with row_pos renumbered from 0 in its order."""
+    return ranking.numbered(df, [], "row_pos", [], "_k").withColumn("row_pos", F.col("_k") - 1).drop("_k")
 
 
 # --- joins, projections, contracts
@@ -145,7 +142,8 @@ def q_zscore_samp(spark, d):
 
 @query("SELECT doc_id, round((n_chars - avg(n_chars) OVER (PARTITION BY lang)) / stddev_pop(n_chars) OVER (PARTITION BY lang), 6) AS z FROM documents")
 def q_zscore_pop(spark, d):
-    return table(spark, d, "documents").select("doc_id", r6(assembly.z_score(F.col("n_chars"), [F.col("lang")], sample=False), "z"))
+    z = assembly.standardized(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), ["n_chars"], sample=False, by=["lang"])
+    return z.select("doc_id", r6("z_n_chars", "z"))
 
 
 @query(S + " SELECT column_name AS column, round(share, 6) AS share, share > 0.2 AS rejected FROM (SELECT 'lang' AS column_name, avg(CAST(lang IS NULL AS INT)) AS share FROM s UNION ALL SELECT 'half', avg(CAST(n_chars % 2 = 0 AS INT)) FROM s)")
@@ -429,16 +427,14 @@ def q_argmin_tie(spark, d):
 
 @query("SELECT doc_id, lang, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2 AS rank FROM documents")
 def q_rank_average(spark, d):
-    return table(spark, d, "documents").select("doc_id", "lang", ranking.average_rank(F.col("n_chars"), [F.col("lang")]).alias("rank"))
+    return ranking.average_ranks(table(spark, d, "documents").select("doc_id", "lang", "n_chars"), "n_chars", ["lang"]).select("doc_id", "lang", "rank")
 
 
 @query("WITH m AS (SELECT user_id, median(value) AS p50, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM events GROUP BY user_id) SELECT user_id, round(p50, 6) AS p50, round(lo, 6) AS lo, round(hi, 6) AS hi, row_number() OVER (ORDER BY p50, user_id) AS rank FROM m")
 def q_median_order(spark, d):
-    from pyspark.sql import Window
-
-    # one row a user, ranked for a report
     m = table(spark, d, "events").groupBy("user_id").agg(F.percentile("value", F.array(F.lit(0.5), F.lit(0.025), F.lit(0.975))).alias("q"))
-    return m.withColumn("rank", F.row_number().over(Window.orderBy(F.col("q")[0], "user_id"))).select("user_id", *[r6(F.col("q")[k], n) for k, n in enumerate(("p50", "lo", "hi"))], "rank")
+    m = ranking.numbered(m.withColumn("p50", F.col("q")[0]), [], "p50", ["user_id"], "rank")
+    return m.select("user_id", *[r6(F.col("q")[k], n) for k, n in enumerate(("p50", "lo", "hi"))], "rank")
 
 
 @query("SELECT l_suppkey AS target, round((1 + count(*) FILTER (abs(l_discount - 0.05) >= abs(0.04) - 1e-12)) / (count(*) + 1), 9) AS p, round((1 + count(*) FILTER (abs(l_discount - 0.05) >= abs(0.09 - 0.05) - 1e-12)) / (count(*) + 1), 9) AS p_centred FROM lineitem GROUP BY 1")
@@ -553,7 +549,7 @@ FOLD = "WITH f AS (SELECT doc_id AS row_pos, quality AS y, re AS repeat, (row_nu
 def folds(spark, d):
     rows = table(spark, d, "labels").select(F.col("doc_id").alias("row_pos"), F.col("quality").alias("y"), F.explode(F.sequence(F.lit(0), F.lit(1))).alias("repeat"))
     order = (F.col("row_pos") * (7919 + 2 * F.col("repeat"))) % 10007
-    return rows.withColumn("fold", splits.in_turn([F.col("repeat"), F.col("y")], [order, F.col("row_pos")], 5))
+    return splits.dealt(rows, ["repeat", "y"], order, "row_pos", 5)
 
 
 @query(FOLD + " SELECT repeat, count(*) FILTER (c = 1) AS tested_once, count(*) FILTER (c <> 1) AS others, (SELECT count(*) FROM labels) AS n_rows FROM (SELECT repeat, row_pos, count(*) AS c FROM f GROUP BY ALL) GROUP BY repeat")
