@@ -62,7 +62,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (longs)."""
     body = F.coalesce(F.col(text), F.lit(""))
     # one column for each step: Spark keeps a step that is used twice as a projection of its own
-    df = docs.withColumn("_trim", F.regexp_replace(body, rf"^{SPACE}+|{SPACE}+$", ""))
+    df = docs.withColumn("_trim", F.regexp_replace(body, rf"\A{SPACE}+|{SPACE}+\z", ""))
     df = df.withColumn("_words", F.when(F.col("_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_trim", rf"{SPACE}+")))
     df = df.withColumn("_hash", F.transform("_words", lambda w: F.xxhash64(w)))
     df = df.withColumn("n_words", F.size("_hash").cast("long"))

@@ -6,6 +6,8 @@ a re-read of files in the shared folder and nothing else.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,13 +18,21 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 
+_own: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where the
-    cluster names one, else (local tests) a temporary folder set for this session."""
+    cluster names one, else (local runs and tests) a folder of this application's
+    own, which goes when the driver ends."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="cohortloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            path = tempfile.mkdtemp(prefix="cohortloom-")
+            atexit.register(shutil.rmtree, path, ignore_errors=True)
+            _own[app] = f"file://{path}"
+        root = _own[app]
     return root.rstrip("/")
 
 

@@ -19,9 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7 on shingles of five words: one document of each group. SimHash links at 3 bits are those of
-    texts whose shingle sets are alike in well over 0.8."""
-    return simhash_gph.keep_one(docs, width=5)
+    """Operator 7 as its contract has it, three-word shingles and 3 of 64 bits: one document of each group."""
+    return simhash_gph.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

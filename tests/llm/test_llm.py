@@ -16,7 +16,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "lorem ipsum dolor sit amet " * 8000
-AWKWARD = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "one two"), (5, "one two"), (None, "no id here"), (None, None), (6, LONG), (7, "é\tü  ß\n\nx\r\n"), (8, "ÀÉ 中文 \U0001f600 naïve"), (9, "one two")]
+AWKWARD = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "one two"), (5, "one two"), (None, "no id here"), (None, None), (6, LONG), (7, "é\tü  ß\n\nx\r\n"), (8, "ÀÉ 中文 \U0001f600 naïve"), (9, "one two"), (10, "a b \u0085"), (11, "x \u2028")]
 
 
 def docs(spark, rows=AWKWARD, extra=True):
