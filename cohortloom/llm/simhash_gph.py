@@ -54,21 +54,25 @@ def _fold(text: str) -> bytes:
     return text.encode("utf-8", "replace").translate(_LOWER).translate(_TO_SPACE)
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """64-bit SimHash: a bit is 1 if it is set in over half the shingles' hashes."""
+def shingles(text: str | None, width: int = 3) -> np.ndarray:
+    """The hash of each of a text's word shingles; none if it has no words."""
     from xxhash import xxh64_intdigest as digest
 
     words = _fold(text or "").split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - width + 1)
     # white space runs collapse to one space, so a shingle is a slice of one string
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))[:n].tolist()
     stops = (ends[min(width, len(words)) - 1 :] - 1).tolist()
-    hashes = np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n)
-    return int(_majority(hashes))
+    return np.fromiter((digest(line[a:b], SEED) for a, b in zip(starts, stops)), np.uint64, n)
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """64-bit SimHash: a bit is 1 if it is set in over half the shingles' hashes."""
+    return int(_majority(shingles(text, width)))
 
 
 def _majority(hashes: np.ndarray) -> np.uint64:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import packing, positional_index, robust_quality, runtime, secret_ledger, simhash_gph
+from cohortloom.llm import near_sets, packing, positional_index, robust_quality, runtime, secret_ledger
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7 as its contract has it, three-word shingles and 3 of 64 bits: one document of each group."""
-    return simhash_gph.keep_one(docs)
+    """One document of each group of texts that share 0.8 or more of their five-word shingles, by verified links."""
+    return near_sets.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("near duplicates", near_dedup), ("decontamination", decontaminate), ("secret scans", mask_secrets), ("packing", pack)]
 
-#: MCD estimates, SimHash and tokenizers have no SQL form; tests/llm holds the stages against brute-force versions.
+#: MCD estimates, similar sets and tokenizers have no SQL form; tests/llm holds the stages against brute-force versions.
 ORACLE_SQL = None
 
 

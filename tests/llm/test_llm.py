@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cohortloom.llm import language_id, packing, positional_index, robust_quality, runtime, secret_ledger, simhash_gph, tiered_shards, tokenbin, tokens, toxicity, warc
+from cohortloom.llm import language_id, near_sets, packing, positional_index, robust_quality, runtime, secret_ledger, simhash_gph, tiered_shards, tokenbin, tokens, toxicity, warc
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -133,6 +133,36 @@ def test_thresholds_meet_the_pigeonhole_sum(spark):
     assert sum(t + 1 for _, _, t in parts) == 4 and all(t >= 0 for _, _, t in parts)
 
 
+def test_stage_links_all_pairs_at_the_threshold_and_no_others(spark):
+    rng = np.random.default_rng(11)
+    texts = [t for _, t in AWKWARD if t is not LONG]
+    for k in range(12):
+        base = gibberish(700 + k, 300)
+        texts.append(" ".join(base))
+        for edits in (1, 4, 6, 6, 7, 8, 12):
+            copy = list(base)
+            for j in rng.choice(300, edits, replace=False):
+                copy[j] = f"zz{j}"
+            texts.append(" ".join(copy))
+    rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts)]
+    sets = {}
+    for i, t in rows:
+        w = words(t)
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    group = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            both, all_ = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if j < i and 10 * both >= 8 * all_ and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    assert {r.doc_id: r.component_id for r in near_sets.near_duplicates(docs(spark, rows)).collect()} == group
+    assert sorted(r.doc_id for r in near_sets.keep_one(docs(spark, rows)).collect()) == sorted(set(group.values()))
+    import corpus_pipeline
+
+    assert corpus_pipeline.near_dedup(spark, docs(spark, rows), "").count() == len(set(group.values()))
+
+
 # --- 10
 
 
