@@ -202,6 +202,25 @@ def test_outliers_go_and_clean_documents_stay(spark):
     assert robust_quality.keep_good(df).columns == df.columns
 
 
+def test_each_statistic_alone_rejects(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, "\n".join(" ".join(gibberish(10 * k + j, int(rng.integers(10, 15)))) for j in range(9))) for k in range(300)]
+    lines = rows[0][1].split("\n")
+    one = lines[:8] + [lines[0].split(" ", 4)[0]] * 2  # a repeated line of ten
+    rows.append((900, "\n".join(one)))
+    rows.append((1000, " ".join(2 * w for w in rows[1][1].split(" "))))  # long words
+    rows.append((1001, " ".join(w + "#" for w in rows[2][1].split(" "))))  # symbols
+    short = " ".join(lines[3].split(" ")[:4])
+    rows.append((1002, "\n".join(x for y in [*lines[:3], *lines[4:7]] for x in (y, short))))  # five of twelve lines repeat, no eight words do
+    words_ = rows[3][1].split()
+    rows.append((1003, " ".join(words_[:90] + words_[:13])))  # a quarter of the words repeat
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], SCHEMA)
+    got = {r.doc_id: r for r in robust_quality.assess(df).collect()}
+    assert not any(got[k].base_failed for k in (1000, 1001, 1002, 1003))
+    assert got[1002].n_dup_lines == 5 and got[1002].n_repeat_words == 0 and got[1003].n_repeat_words > 0 and got[1003].n_dup_lines == 0
+    assert {k for k, r in got.items() if not r.kept} == {1000, 1001, 1002, 1003}
+
+
 def test_mcd_resists_a_quarter_of_outliers(spark):
     rng = np.random.default_rng(2)
     x = np.vstack([rng.normal(0, 0.3, (300, 4)), rng.normal(5, 0.1, (80, 4))])
