@@ -4,8 +4,8 @@ The `tokenizers` library encodes each distinct chunk and the chunks' ids are
 strung together, where the tokenizer's rules allow a cut: byte-level
 vocabularies split at a space between two other characters, and between a letter
 and a full stop or comma that ends a word, before they merge anything. Texts
-with other white space (runs, tabs, leading or trailing), and all texts of a
-tokenizer with other rules, are encoded whole.
+with other white space (runs, tabs, leading or trailing) or with the content of
+an added token, and all texts of a tokenizer with other rules, are encoded whole.
 
 Chunks are found, hashed (128 bits, by random polynomials) and looked up for
 many texts at once in NumPy. A worker remembers some 50 bytes for each chunk
@@ -93,6 +93,9 @@ class Encoder:
         cuts = [x["type"] for x in (rules["pre_tokenizer"] or {}).get("pretokenizers", [rules["pre_tokenizer"]])]
         self.lowers = steps == ["NFC", "Replace", "Lowercase"]
         self.cuttable = (self.lowers and cuts == ["Split", "ByteLevel"]) or (not steps and cuts == ["ByteLevel"])
+        # what the tokenizer takes out of a text before all other steps, or after the normalizer
+        self.added = [x["content"] for x in rules["added_tokens"]]
+        self.added_lower = [x.lower() for x in self.added]
         # the same vocabulary without the steps that change nothing: for lower-case Latin-1 text, and for letters alone
         self.plain, self.letters = self.tokenizer, self.tokenizer
         if self.lowers:
@@ -108,6 +111,15 @@ class Encoder:
         self.inverse = np.ones((2, 1), _U64)
         self._clear()
 
+    def _whole(self, text: str) -> bool:
+        """Whether the text can't be cut into chunks."""
+        if not self.cuttable or _odd(text) or any(x in text for x in self.added):
+            return True
+        if not self.lowers:
+            return False
+        low = text.lower()
+        return any(x in low for x in self.added_lower)
+
     def _clear(self, room: int = 0) -> None:
         """Forgets all; room: chunks that one text, which may be of any length, needs at once."""
         self.table = _Table(max(CHUNKS, 2 * room) + 1)
@@ -161,7 +173,7 @@ class Encoder:
         """The ids (little-endian uint32) of each text, and end after them."""
         tail = np.zeros(0, "<u4") if end is None else np.array([end], "<u4")
         out: list[np.ndarray] = [tail] * len(texts)
-        odd = [k for k, t in enumerate(texts) if t and (not self.cuttable or _odd(t))]
+        odd = [k for k, t in enumerate(texts) if t and self._whole(t)]
         for k in odd:
             out[k] = np.append(np.array(self.tokenizer.encode_batch_fast([texts[k]], add_special_tokens=False)[0].ids, "<u4"), tail)
         apart = set(odd)

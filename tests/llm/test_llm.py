@@ -361,6 +361,16 @@ def test_encoder_matches_the_library(name, end, monkeypatch):
         assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids + [end], t
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_takes_added_tokens_like_the_library(name):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    texts = [t for x in ("<|startoftext|>", "<|endoftext|>") for t in (f"a {x} b", x, f"a{x}b c", f"word {x}. e", f"A {x.upper()} b", f"été {x} b", f"中文 {x} b", f"a {x[:-1]} b")]
+    for t, ids in zip(texts, tokens.Encoder(public_tokenizers.path(name))(texts, 1)):
+        assert ids.tolist() == plain.encode(t, add_special_tokens=False).ids + [1], t
+
+
 def test_token_store_round_trip(spark):
     from tokenizers import Tokenizer
 
