@@ -726,8 +726,7 @@ def q_influence(spark, d):
     from cohortloom.plans.prediction import associations
 
     long = design(spark, d).unpivot(["row_pos", "y", "english", "source"], ["log_chars", "x2"], "region", "value")
-    enough = long.groupBy("source").agg(F.count_distinct("y", "english").alias("cells"), F.count_if(F.col("y") == 0).alias("zeros")).where("cells = 4 and zeros >= 4").select("source")
-    return associations(long.join(enough, "source"), ["source", "region"], "value", "y", ["english"])
+    return associations(long, ["source", "region"], "value", "y", ["english"], with_status=True)
 
 
 def _maps(spark, d):

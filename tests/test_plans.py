@@ -144,3 +144,20 @@ def test_graph_rules():
     with pytest.raises(ValueError):
         spatial.graph_weights(np.zeros((3, 3)), 1)
     assert spatial.graph_weights(np.zeros((3, 3)), 1, from_first=True).sum() > 0
+
+
+def test_influence_has_a_row_for_every_source(spark, monkeypatch):
+    """Three cells of (y, english) are of full rank; what can't be fitted has a status, not a gap."""
+    from cohortloom.plans import catalogue
+
+    rng = np.random.default_rng(8)
+    cells = {"four": [(0, 0), (0, 1), (1, 0), (1, 1)], "three": [(0, 0), (1, 0), (1, 1)], "one class": [(1, 0), (1, 1)], "tied": [(0, 0), (1, 1)]}
+    rows = [(s, float(y), float(e), float(rng.normal()), float(rng.normal())) for s, c in cells.items() for y, e in c * 5] + [("few", 1.0, 0.0, 1.0, 2.0), ("few", 0.0, 1.0, 2.0, 1.0)]
+    made = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "row_pos long, source string, y double, english double, log_chars double, x2 double")
+    monkeypatch.setattr(catalogue, "design", lambda spark, d: made)
+    got = {(r.source, r.region): r for r in catalogue.q_influence(spark, "").collect()}
+    assert set(got) == {(s, c) for s in [*cells, "few"] for c in ("log_chars", "x2")}
+    for (s, _), r in got.items():
+        assert (r.status == "ok") == (s in ("four", "three")) == (r.estimate is not None and r.loo_min is not None)
+        assert r.status == "ok" or r.status.startswith("not estimable: ") and r.se is None and r.sign_changes is None
+    assert got["few", "x2"].n == 2 and got["three", "x2"].n == 15
