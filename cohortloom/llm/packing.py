@@ -4,9 +4,11 @@ Each partition keeps `open_windows` windows. A document's full windows leave at
 once; what is left of it goes to the open window that it fills best. When it
 fits in none, the fullest window is topped up with a cut of it and emitted, or
 emitted as it is if it is full. What is open at a partition's end is merged:
-windows of ever larger bundles of partitions are put together, best fit first
-and without cuts, until one bundle is left; a bundle holds at most
-FAN_IN x open_windows windows, whatever the number of partitions.
+the windows of FAN_IN bundles (first: partitions) are put together, the largest
+first, each into the window that it fills best, without cuts; the fullest are
+final, and only `open_windows` of them stay open for the next level. So a merge
+reads at most FAN_IN x open_windows windows, whatever the number of partitions,
+and takes a constant number of steps for each of them.
 
 Defined results: null text is an empty document, which is its end id alone; a
 null doc_id and repeated rows are documents like any other; an empty table
@@ -106,37 +108,70 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
             yield _rows(doc_type, part, [(number + i, p, True) for i, (_, p) in enumerate(packer.open)])
 
     pieces = runtime.written(df.mapInArrow(run, f"doc_id {id_type}, {_PIECE}"), folder, "pieces")
-    left = pieces.where("filled > 0").groupBy("bundle", "window").agg(F.max("filled").alias("filled")).select(F.array("bundle", "window").alias("seq"), F.lit(0).cast("long").alias("at"), F.col("bundle").cast("long").alias("group"), "filled", F.col("bundle").cast("long").alias("own"), "window")
-    left = runtime.written(left.select("own", "window", "filled", "group", F.col("own").alias("to"), F.col("window").alias("to_window"), "at"), folder, "left0")
+    left = pieces.where("filled > 0").groupBy("bundle", "window").agg(F.max("filled").alias("filled"))
+    # own, window: an open window; head, head_window: the window that it is part of by now, from `at` on; group: its bundle, -1 once it is final
+    left = runtime.written(left.select(F.col("bundle").cast("long").alias("own"), "window", "filled", F.col("bundle").cast("long").alias("head"), F.col("window").alias("head_window"), F.lit(0).cast("long").alias("at"), F.col("bundle").cast("long").alias("group")), folder, "left0")
     level, groups = 0, left.agg(F.coalesce(F.max("group"), F.lit(0))).first()[0] + 1
     while groups > 1 or level == 0:
         groups, level = (groups + FAN_IN - 1) // FAN_IN, level + 1
-        merged = left.withColumn("group", F.floor(F.col("group") / FAN_IN).cast("long"))
-        merged = merged.groupBy("group").applyInPandas(_merger(capacity, open_windows), "own long, window long, filled int, group long, to long, to_window long, at long")
-        left = runtime.written(merged, folder, f"left{level}")
-    moved = left.select(F.col("own").cast("int").alias("bundle"), "window", "to", "to_window", "at")
+        # a row a window that is still open: its size is that of all windows in it
+        heads = left.where("group >= 0").groupBy("head", "head_window", (F.floor(F.col("group") / FAN_IN).cast("long")).alias("group")).agg(F.sum("filled").cast("int").alias("filled"))
+        merged = heads.groupBy("group").applyInPandas(_merger(capacity, open_windows), _MOVE)
+        merged = runtime.written(merged, folder, f"moves{level}")
+        now = left.join(runtime.if_small(merged), ["head", "head_window"], "left")
+        left = runtime.written(now.select("own", "window", "filled", F.coalesce("to", "head").alias("head"), F.coalesce("to_window", "head_window").alias("head_window"), (F.col("at") + F.coalesce("more", F.lit(0))).alias("at"), F.coalesce("next", F.lit(-1)).cast("long").alias("group")), folder, f"left{level}")
+    moved = left.select(F.col("own").cast("int").alias("bundle"), "window", F.col("head").alias("to"), F.col("head_window").alias("to_window"), "at")
     # one pass over the pieces: only open windows have another place than their own
     parts = pieces.join(runtime.if_small(moved), ["bundle", "window"], "left").withColumns({"to": F.coalesce("to", F.col("bundle").cast("long")), "to_window": F.coalesce("to_window", "window"), "at": F.coalesce("at", F.lit(0).cast("long"))})
     sequence = F.shiftleft(F.col("to"), 40) + F.col("to_window")
     return parts.select("doc_id", "start", "length", "ids", "doc_tokens", sequence.alias("sequence_id"), (F.col("offset") + F.col("at")).alias("offset"))
 
 
+_MOVE = "head long, head_window long, to long, to_window long, more long, next long"
+
+
+def best_fit(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
+    """(number of the bin, place in it) of each size, in the order given: into the fullest bin that takes it, else a new one.
+
+    Bins are stacked by their free space and a bit for each free space says
+    whether there is one: a step costs the same for any number of bins.
+    """
+    stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
+    some, bins, out = 0, 0, []
+    for size in sizes:
+        fits = some >> size
+        if fits:
+            free = size + (fits & -fits).bit_length() - 1
+            b = stacks[free].pop()
+            if not stacks[free]:
+                some ^= 1 << free
+        else:
+            free, b = capacity, bins
+            bins += 1
+        out.append((b, capacity - free))
+        free -= size
+        if free:
+            stacks[free].append(b)
+            some |= 1 << free
+    return out
+
+
 def _merger(capacity: int, open_windows: int):
-    """Puts the windows of a bundle together, the largest first, each into the window that it fills best."""
+    """Puts the windows of a bundle together; `next` is the bundle for those that stay open, -1 for others."""
 
     def merge(pdf):
-        heads = pdf.groupby(["to", "to_window"])["filled"].sum().reset_index().sort_values(["filled", "to", "to_window"], ascending=[False, True, True])
-        placed: dict = {}
-        bins: list[list] = []  # free, head, used
-        for to, window, filled in heads.itertuples(index=False):
-            fit = min((x for x in bins if x[0] >= filled), key=lambda x: x[0], default=None)
-            if fit is None:
-                fit = [capacity, (to, window), 0]
-                bins.append(fit)
-            placed[to, window] = (fit[1], fit[2])
-            fit[0] -= filled
-            fit[2] += filled
-        at = [placed[k] for k in zip(pdf["to"], pdf["to_window"])]
-        return pdf.assign(to=[h[0] for h, _ in at], to_window=[h[1] for h, _ in at], at=[old + more for old, (_, more) in zip(pdf["at"], at)])
+        import pandas as pd
+
+        pdf = pdf.sort_values(["filled", "head", "head_window"], ascending=[False, True, True])
+        placed = best_fit(pdf["filled"].tolist(), capacity)
+        b, at = np.array([x for x, _ in placed]), np.array([x for _, x in placed])
+        first = np.unique(b, return_index=True)[1]
+        total = np.bincount(b, pdf["filled"])
+        # the emptiest bins stay open
+        stay = np.zeros(len(total), bool)
+        stay[np.argsort(total, kind="stable")[:open_windows]] = True
+        stay &= total < capacity
+        head, window = pdf["head"].to_numpy(), pdf["head_window"].to_numpy()
+        return pd.DataFrame({"head": head, "head_window": window, "to": head[first][b], "to_window": window[first][b], "more": at, "next": np.where(stay[b], pdf["group"].to_numpy(), -1)})
 
     return merge

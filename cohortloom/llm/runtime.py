@@ -23,10 +23,14 @@ _own: dict[str, str] = {}
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where the
-    cluster names one, else (local runs and tests) a folder of this application's
-    own, which goes when the driver ends."""
+    cluster names one; else, with a local master only, a folder of this application's
+    own, which goes when the driver ends. On a cluster without one this fails: each
+    machine would write to a disk of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and all executors of {master} share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             path = tempfile.mkdtemp(prefix="cohortloom-")
@@ -37,8 +41,12 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def work_folder(spark: SparkSession, tag: str) -> str:
-    """A fresh folder below the shared root."""
-    return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    """A fresh folder below the shared root. Its file system deletes what is left of it when the application ends."""
+    path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    fs, at = _hadoop(spark, path)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
 
 
 def _hadoop(spark: SparkSession, path: str):
