@@ -5,12 +5,16 @@ judged by minimum-covariance-determinant (MCD) estimates for each language and
 source. The estimates come from concentration steps ("C-steps"): each step is
 one aggregation of sufficient statistics by (group, start, distance bin), with
 map-side combining, so that a source with a third of all rows costs one small
-partial row for each bin and task. The group tables hold
-|languages| x |sources| rows and are joined without a broadcast hint.
+partial row for each bin and task. Every group has an estimate of its own: its
+moments are joined by PRIOR_ROWS rows' worth of those of its parent (language
+and source: the language; language: all rows), so that a group of a few rows
+leans on its parent and a large one on itself, without a size at which the rule
+changes. The group tables hold |languages| x |sources| rows.
 
 Defined results: null text has no words and fails; null language or source is a
 group of its own (shared with the empty string); an empty table gives an empty
-result; repeated rows are judged alike; other columns are ignored.
+result; repeated rows are judged alike; a distance of exactly the limit is kept;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +41,11 @@ DIM = len(VECTOR)
 
 COVERAGE = 0.75
 C_STEPS = 6
-MIN_GROUP = 100
+#: Rows' worth of its parent's moments that a group's own moments are joined by.
+PRIOR_ROWS = 100
 REJECT_TAIL = 1e-6
+#: Quantiles are of entries rounded down to multiples of 1 / GRID: exact counts of few values, whatever the order of merging.
+GRID = 256
 BINS_PER_E = 32
 
 
@@ -63,17 +70,17 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (longs)."""
     body = F.coalesce(F.col(text), F.lit(""))
     # one column for each step: Spark keeps a step that is used twice as a projection of its own
-    df = docs.withColumn("_trim", F.regexp_replace(body, rf"\A{SPACE}+|{SPACE}+\z", ""))
-    df = df.withColumn("_words", F.when(F.col("_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_trim", rf"{SPACE}+")))
-    df = df.withColumn("_hash", F.transform("_words", lambda w: F.xxhash64(w)))
-    df = df.withColumn("n_words", F.size("_hash").cast("long"))
-    df = df.withColumn(
-        "_spans",
-        F.when(
-            F.col("n_words") >= REPEAT_SPAN,
-            F.transform(F.sequence(F.lit(0), F.col("n_words").cast("int") - REPEAT_SPAN), lambda i: F.xxhash64(*[F.get("_hash", i + k) for k in range(REPEAT_SPAN)])),
-        ).otherwise(F.array().cast("array<bigint>")),
-    )
+    df = docs.withColumn("_parts", F.split(body, rf"{SPACE}+", -1))
+    # only the first and the last part can be empty
+    first = (F.element_at("_parts", 1) == "").cast("int")
+    last = ((F.size("_parts") > 1) & (F.element_at("_parts", -1) == "")).cast("int")
+    df = df.withColumn("_words", F.when(first + last == 0, F.col("_parts")).otherwise(F.slice("_parts", first + 1, F.size("_parts") - first - last)))
+    df = df.withColumn("n_words", F.size("_words").cast("long"))
+    # hashes of one word, then of two, four and eight in a row
+    pairs = lambda x, k: F.zip_with(x, F.slice(x, k + 1, F.greatest(F.size(x) - k, F.lit(0))), lambda a, b: F.xxhash64(a, b))
+    known = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731  f of x, which is computed once
+    eight = known(F.transform("_words", lambda w: F.xxhash64(w)), lambda one: known(pairs(one, 1), lambda two: known(pairs(two, 2), lambda four: pairs(four, 4))))
+    df = df.withColumn("_spans", F.when(F.col("n_words") >= REPEAT_SPAN, F.slice(eight, 1, F.col("n_words").cast("int") - REPEAT_SPAN + 1)).otherwise(F.array().cast("array<bigint>")))
     # most texts repeat no span; only the others are sorted
     df = df.withColumn(
         "_sorted",
@@ -91,12 +98,12 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     df = df.withColumn("_lines", F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     return (
-        df.withColumn("word_chars", (F.length(body) - F.regexp_count(body, F.lit(SPACE))).cast("long"))
+        df.withColumn("word_chars", F.length(F.array_join("_words", "")).cast("long"))
         .withColumn("n_symbols", F.regexp_count(body, F.lit(SYMBOLS)).cast("long"))
         .withColumn("n_lines", F.size("_lines").cast("long"))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
         .withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-        .drop("_trim", "_words", "_hash", "_spans", "_sorted", "_starts", "_lines")
+        .drop("_parts", "_words", "_spans", "_sorted", "_starts", "_lines")
     )
 
 
@@ -111,76 +118,90 @@ def _vector(df: DataFrame) -> DataFrame:
 
 
 def _groups() -> Column:
-    """A row's groups, finest first: language and source, language, all."""
+    """A row's groups with their parents, finest first: language and source, language, all (whose parent is null)."""
     lang, source = F.coalesce(F.col("lang"), F.lit("")), F.coalesce(F.col("source"), F.lit(""))
-    return F.array(F.to_json(F.struct(lang.alias("l"), source.alias("s"))), F.to_json(F.struct(lang.alias("l"))), F.lit("{}"))
+    names = [F.to_json(F.struct(lang.alias("l"), source.alias("s"))), F.to_json(F.struct(lang.alias("l"))), F.lit("{}"), F.lit(None).cast("string")]
+    return F.array(*[F.struct(names[k].alias("g"), names[k + 1].alias("parent")) for k in range(3)])
 
 
 PAIRS = [(i, j) for i in range(DIM) for j in range(i + 1)]
 
 
-def _factored(params: DataFrame) -> DataFrame:
-    """m0.. and v_ij (covariances) to m0.., the Cholesky factor l_ij and ln_det; spread below FLOORS counts as FLOORS."""
-    cov = {(i, j): F.col(f"v{i}{j}") + (F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0)) for i, j in PAIRS}
-    for i, j in PAIRS:  # one entry after the other: each is a column that the next ones use
-        known = cov[i, j]
-        for k in range(j):
-            known = known - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-        params = params.withColumn(f"l{i}{j}", F.sqrt(known) if i == j else known / F.col(f"l{j}{j}"))
-    return params.withColumn("ln_det", sum((2 * F.ln(F.col(f"l{i}{i}")) for i in range(1, DIM)), 2 * F.ln(F.col("l00"))))
+# The algebra below is written as SQL text: a call for each expression, not for each of its terms.
+
+
+def _factored(shape: DataFrame) -> DataFrame:
+    """shape (m0.., covariances v_ij) with the Cholesky factor l_ij and ln_det; spread below FLOORS counts as FLOORS."""
+    entries = []
+    for i, j in PAIRS:  # one entry after the other, in one projection: each is a column that the next ones use
+        known = " - ".join([f"(v{i}{j} + {FLOORS[i] ** 2 if i == j else 0.0}D)", *[f"l{i}{k} * l{j}{k}" for k in range(j)]])
+        entries.append(f"sqrt({known}) as l{i}{j}" if i == j else f"({known}) / l{j}{j} as l{i}{j}")
+    return shape.selectExpr("*", *entries, " + ".join(f"2 * ln(l{i}{i})" for i in range(DIM)) + " as ln_det")
 
 
 def _distance(df: DataFrame) -> DataFrame:
-    for i in range(DIM):
-        known = F.col(f"x{i}") - F.col(f"m{i}")
-        for k in range(i):
-            known = known - F.col(f"l{i}{k}") * F.col(f"y{k}")
-        df = df.withColumn(f"y{i}", known / F.col(f"l{i}{i}"))
-    return df.withColumn("d2", sum((F.col(f"y{i}") * F.col(f"y{i}") for i in range(1, DIM)), F.col("y0") * F.col("y0")))
+    entries = ["(" + " - ".join([f"x{i}", f"m{i}", *[f"l{i}{k} * y{k}" for k in range(i)]]) + f") / l{i}{i} as y{i}" for i in range(DIM)]
+    return df.selectExpr("*", *entries, " + ".join(f"y{i} * y{i}" for i in range(DIM)) + " as d2")
+
+
+SHAPE = [f"m{i}" for i in range(DIM)] + [f"v{i}{j}" for i, j in PAIRS]
+SUMS = ["n", *[f"s{i}" for i in range(DIM)], *[f"p{i}{j}" for i, j in PAIRS]]
 
 
 def _moments() -> list[Column]:
-    return [F.count(F.lit(1)).alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(DIM)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in PAIRS]]
+    return [F.expr(x) for x in ("cast(count(1) as double) as n", *[f"sum(x{i}) as s{i}" for i in range(DIM)], *[f"sum(x{i} * x{j}) as p{i}{j}" for i, j in PAIRS])]
+
+
+def _shape(df: DataFrame, factor: float = 1.0) -> DataFrame:
+    """Means and covariances (times factor) of the sums in df."""
+    return df.selectExpr("*", *[f"s{i} / n as m{i}" for i in range(DIM)], *[f"(p{i}{j} / n - s{i} * s{j} / n / n) * {factor!r}D as v{i}{j}" for i, j in PAIRS])
 
 
-def _from_moments(df: DataFrame, factor: float = 1.0) -> DataFrame:
-    n = F.col("n")
-    return df.select("g", "start", "size", *[(F.col(f"s{i}") / n).alias(f"m{i}") for i in range(DIM)], *[((F.col(f"p{i}{j}") / n - F.col(f"s{i}") * F.col(f"s{j}") / n / n) * factor).alias(f"v{i}{j}") for i, j in PAIRS])
+def _leaning(own: DataFrame, before: DataFrame) -> DataFrame:
+    """own's groups (g, parent, start, size, n and their shape), joined by PRIOR_ROWS rows' worth of their parent's shape in `before`."""
+    up = before.selectExpr("g as parent", "start", f"struct({', '.join(SHAPE)}) as up")
+    both = own.join(up, ["parent", "start"], "left").selectExpr("g", "start", "size", *SHAPE, f"coalesce(up, struct({', '.join(SHAPE)})) as up", f"n / (n + {PRIOR_ROWS}D) as w")
+    mean = [f"w * m{i} + (1 - w) * up.m{i} as m{i}" for i in range(DIM)]
+    cov = [f"w * v{i}{j} + (1 - w) * up.v{i}{j} + w * (1 - w) * (m{i} - up.m{i}) * (m{j} - up.m{j}) as v{i}{j}" for i, j in PAIRS]
+    return both.selectExpr("g", "start", "size", *mean, *cov)
 
 
 def estimates(stats: DataFrame, folder: str) -> DataFrame:
-    """MCD location and factor for each group with at least MIN_GROUP rows that pass the base rules.
+    """MCD location and factor for each group (language and source, language, all) of rows that pass the base rules.
 
     stats: a written table of lang, source and x0..; two deterministic starts
     (medians with interquartile scales; mean and covariance of all rows), C_STEPS
     concentration steps each, the smaller determinant wins.
     """
-    rows = stats.select(F.explode(_groups()).alias("g"), *[f"x{i}" for i in range(DIM)])
-    spread = rows.groupBy("g").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i in range(DIM)], *_moments())
-    spread = runtime.written(spread.where(F.col("n") >= MIN_GROUP).withColumn("size", F.col("n")), folder, "spread")
+    rows = stats.select(F.explode(_groups()).alias("_group"), *[f"x{i}" for i in range(DIM)]).select("_group.*", *[f"x{i}" for i in range(DIM)])
+    quantiles = [F.expr(f"percentile(floor(x{i} * {GRID}) / {GRID}, array(0.25, 0.5, 0.75)) as q{i}") for i in range(DIM)]
+    spread = rows.groupBy("g", "parent").agg(*quantiles, *_moments())
+    spread = runtime.written(spread.withColumn("size", F.col("n")), folder, "spread")
     # a row a group and start: broadcast unless there are very many languages and sources; beyond, Spark splits the joins' hot keys
     sized = F.broadcast if spread.count() <= runtime.BROADCAST_ROWS else lambda df: df
-    whole = _from_moments(spread.withColumn("start", F.lit(1)))
-    iqr = lambda i: (F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349
-    middle = spread.select("g", F.lit(0).alias("start"), "size", *[F.col(f"q{i}")[1].alias(f"m{i}") for i in range(DIM)], *[(iqr(i) * iqr(i) if i == j else F.lit(0.0)).alias(f"v{i}{j}") for i, j in PAIRS])
-    params = runtime.written(_factored(middle.unionByName(whole)), folder, "params0")
+    whole = _shape(spread).withColumn("start", F.lit(1))
+    middle = spread.selectExpr("*", *[f"q{i}[1] as m{i}" for i in range(DIM)], *[f"power((q{i}[2] - q{i}[0]) / 1.349D, 2) as v{i}{j}" if i == j else f"0D as v{i}{j}" for i, j in PAIRS], "0 as start")
+    about = ["g", "parent", "start", "size", "n", *SHAPE]
+    own = runtime.written(middle.select(*about).unionByName(whole.select(*about)), folder, "own")
+    params = runtime.written(_factored(_leaning(own, sized(own))), folder, "params0")
     in_order = Window.partitionBy("g", "start").orderBy("bin")
     half = _chi2_above(1 - COVERAGE, DIM)
     factor = COVERAGE / (1 - _chi2_tail(half, DIM + 2))
     for step in range(1, C_STEPS + 1):
-        near = _distance(rows.join(sized(params.drop("ln_det")), "g"))
-        binned = near.groupBy("g", "start", "size", F.floor(F.ln(F.col("d2") + 1e-6) * BINS_PER_E).alias("bin")).agg(*_moments())
+        near = _distance(rows.join(sized(params.drop("ln_det", *[f"v{i}{j}" for i, j in PAIRS])), "g"))
+        binned = near.groupBy("g", "parent", "start", "size", F.floor(F.ln(F.col("d2") + 1e-6) * BINS_PER_E).alias("bin")).agg(*_moments())
         # bins are taken up to the one in which the count reaches the coverage
         kept = binned.withColumn("before", F.sum("n").over(in_order) - F.col("n")).where(F.col("before") < COVERAGE * F.col("size"))
-        sums = kept.groupBy("g", "start", "size").agg(*[F.sum(c).alias(c) for c in ("n", *[f"s{i}" for i in range(DIM)], *[f"p{i}{j}" for i, j in PAIRS])])
-        params = runtime.written(_factored(_from_moments(sums, factor)), folder, f"params{step}")
+        sums = kept.groupBy("g", "parent", "start", "size").agg(*[F.expr(f"sum({c}) as {c}") for c in SUMS])
+        # a step leans on its parents' shapes of the step before
+        params = runtime.written(_factored(_leaning(_shape(sums, factor), sized(params))), folder, f"params{step}")
     best = Window.partitionBy("g").orderBy("ln_det", "start")
-    return params.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r", "start", "size", "ln_det")
+    return params.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r", "start", "size", "ln_det", *[f"v{i}{j}" for i, j in PAIRS])
 
 
 def assess(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, text_key (xxhash64 of the text), lang, source, the statistics, base_failed, distance (null
-    where no group is large enough) and kept, one row for each row of docs."""
+    where no row of the language and source passes the base rules) and kept, one row for each row of docs."""
     spark = docs.sparkSession
     folder = runtime.work_folder(spark, "quality")
     have = {c: F.col(c) if c in docs.columns else F.lit(None).cast("string") for c in ("lang", "source")}
@@ -188,15 +209,9 @@ def assess(docs: DataFrame, text: str = "text") -> DataFrame:
     stats = _vector(statistics(named)).withColumn("base_failed", base_failed()).withColumn("text_key", F.xxhash64("text")).drop("text")
     stats = runtime.written(stats, folder, "stats")
     fine = runtime.if_small(runtime.written(estimates(stats.where(~F.col("base_failed")), folder), folder, "fine"))
-    judged = stats.withColumn("_g", _groups())
-    # the finest group that is large enough: at most three left joins on a table of a row a group
-    flat = [c for c in fine.columns if c != "g"]
-    for k in range(3):
-        judged = judged.join(fine.select(F.col("g").alias(f"_g{k}"), F.struct(*flat).alias(f"_p{k}")), F.col("_g")[k] == F.col(f"_g{k}"), "left")
-    judged = judged.withColumn("_p", F.coalesce("_p0", "_p1", "_p2"))
-    judged = _distance(judged.select(*stats.columns, *[F.col(f"_p.{c}").alias(c) for c in flat]))
+    judged = stats.withColumn("g", _groups()[0]["g"]).join(fine, "g", "left")
     limit = _chi2_above(REJECT_TAIL, DIM)
-    judged = judged.withColumn("distance", F.col("d2")).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= limit, F.lit(True)))
+    judged = _distance(judged).withColumn("distance", F.col("d2")).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= limit, F.lit(True)))
     return runtime.settled(judged.select(*stats.columns, "distance", "kept"), folder, "quality-verdicts")
 
 

@@ -577,3 +577,63 @@ def test_schema_types_survive(spark):
     df = spark.createDataFrame([(1, "a b c")], T.StructType([T.StructField("doc_id", T.IntegerType()), T.StructField("text", T.StringType())]))
     assert simhash_gph.near_duplicates(df).schema["doc_id"].dataType == T.IntegerType()
     assert packing.pack(df, public_tokenizers.path("word_bpe_49k.json")).schema["doc_id"].dataType == T.IntegerType()
+
+
+# --- bounds and switches
+
+
+def test_open_windows_merge_in_bounded_bundles():
+    """1,000 partitions of 32 open windows: a bundle hands on at most open_windows, and best fit is that of the plain search."""
+    import pandas as pd
+
+    rng = np.random.default_rng(12)
+    merge = packing._merger(2048, 32)
+    left = pd.DataFrame({"head": np.repeat(np.arange(1000), 32), "head_window": np.tile(np.arange(32), 1000), "filled": rng.integers(1, 2048, 32_000)})
+    total, group, final = left["filled"].sum(), left["head"] // packing.FAN_IN, 0
+    while True:
+        nxt = []
+        for g, part in left.groupby(group):
+            assert len(part) <= packing.FAN_IN * 32
+            moved = merge(part.assign(group=g)).merge(part, on=["head", "head_window"])
+            size = moved.groupby(["to", "to_window", "next"])["filled"].sum().reset_index()
+            assert size["filled"].max() <= 2048 and (size["next"] >= 0).sum() <= 32
+            final += size[size["next"] < 0]["filled"].sum()
+            nxt.append(size[size["next"] >= 0])
+        left = pd.concat(nxt).rename(columns={"to": "head", "to_window": "head_window"})
+        if left["next"].max() == 0:
+            break
+        group = left["next"] // packing.FAN_IN
+        left = left[["head", "head_window", "filled"]]
+    assert final + left["filled"].sum() == total
+    sizes = sorted(rng.integers(1, 2048, 500).tolist(), reverse=True)
+    bins, want = [], []
+    for n in sizes:
+        fit = min((x for x in bins if 2048 - x >= n), key=lambda x: 2048 - x, default=None)
+        want.append(0 if fit is None else fit)
+        if fit is not None:
+            bins.remove(fit)
+        bins.append((fit or 0) + n)
+    assert [at for _, at in packing.best_fit(sizes, 2048)] == want
+
+
+def test_quality_words_of_long_white_space(spark):
+    import time
+
+    rows = [(1, "a" + " " * 1_000_000 + "b"), (2, " \n" * 300_000), (3, "\t" + "x y " * 200_000)]
+    began = time.time()
+    got = {r.doc_id: (r.n_words, r.word_chars) for r in robust_quality.assess(docs(spark, rows, extra=False)).collect()}
+    assert got == {1: (2, 2), 2: (0, 0), 3: (400_000, 400_000)} and time.time() - began < 120
+
+
+def test_every_group_has_an_estimate_that_leans_on_its_parent(spark):
+    """Groups of one and of 300 rows: the former is nearly its parent, the latter nearly itself."""
+    rng = np.random.default_rng(21)
+    rows = [("en", "big", *map(float, r)) for r in rng.normal(0, 0.3, (300, 4))] + [("en", "one", 2.0, 2.0, 2.0, 2.0), ("de", "few", 0.5, 0.5, 0.5, 0.5)]
+    stats = spark.createDataFrame(rows, "lang string, source string, x0 double, x1 double, x2 double, x3 double")
+    folder = runtime.work_folder(spark, "t")
+    got = {r.g: r for r in robust_quality.estimates(runtime.written(stats, folder, "stats"), folder).collect()}
+    assert len(got) == 6
+    one, en = got['{"l":"en","s":"one"}'], got['{"l":"en"}']
+    assert abs(one.m0 - (2 + 100 * en.m0) / 101) < 0.02 and abs(got['{"l":"en","s":"big"}'].m0) < 0.1
+    judged = {r["_2"]: r.d2 for r in robust_quality._distance(spark.createDataFrame([("one", 2.0, 2.0, 2.0, 2.0)], "_2 string, x0 double, x1 double, x2 double, x3 double").crossJoin(spark.createDataFrame([one]))).collect()}
+    assert judged["one"] > 50  # a single row doesn't vouch for itself
