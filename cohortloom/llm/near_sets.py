@@ -1,45 +1,63 @@
-"""Near-duplicates by the similarity of shingle sets: all pairs that share 0.8 of their five-word shingles, and no others.
+"""SimHash near-duplicates by similarity: pairs that share 0.8 of their five-word shingles, and no others.
 
-1. Sets: the distinct hashes (XXH64, seed 42) of a text's word shingles. Texts
+Operator 7 (simhash_gph) with fingerprints long enough for that similarity. 64
+bits can't tell 0.8 from chance: such a pair differs in 9.7 of them on average,
+and all pairs within 14 bits are too many. Here:
+
+1. Fingerprints: the set of a text's shingle hashes gives WORDS x 64 bits. Texts
    of equal sets are one node, named by the set's 128-bit digest.
-2. Candidates: ROWS minima of hash functions make a band; two sets meet if they
-   agree in one of BANDS bands. A pair of similarity s never meets with a chance
-   of (1 - s ** ROWS) ** BANDS: 2e-8 at 0.8, less above.
-3. Verification: shared shingles are counted on the whole sets; only a pair of
-   at least THRESHOLD is an edge. Every band's members are compared with its
-   smallest node first; then all other pairs of members, except those that the
-   edges found so far connect anyway, so that n near copies cost about n comparisons.
-4. Components: as in simhash_gph.
+2. Correlated bits of a word are put next to each other, in blocks of eight, and
+   blocks in a row make partitions, as in simhash_gph.
+3. Thresholds: a pair of the threshold's similarity agrees in a partition, within
+   t bits, with a chance that only its width and t decide. Dynamic programming
+   picks partitions of 16, 24 or 32 bits and t = 0, 1 or none for each, with
+   the fewest estimated candidates (by exact block histograms of all nodes) and
+   probes, so that the chance that no partition agrees is at most 1 - RECALL.
+   More similar pairs are missed less: at 0.9 practically never.
+4. Probe: nodes meet in cells (partition, value) and are compared by CHECK further
+   words of bits and by their sets' sizes. Each node is verified against its
+   smallest partner first; then all other pairs of partners, except those that
+   the links found so far connect anyway: n near copies cost about n verifications.
+5. Cells over CELL_ROWS rows: first only rows of the same block of them are
+   compared; then, since their largest component is one already, that one with
+   all others and all others with each other, in blocks.
+6. Verify: shared shingles are counted on the whole sets; only a pair of at least
+   THRESHOLD is a link. Components as in simhash_gph.
 
 Defined results: words are those of simhash_gph; texts of fewer words than a
 shingle are one shingle; texts without words are equal to each other; rows
-without doc_id are never compared and stay.
+without doc_id are never compared and stay; rows that repeat a doc_id with
+different texts are one document.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import runtime
-from .simhash_gph import components, shingles
+from .simhash_gph import BITS, BLOCKS, CELL_ROWS, PROBE_COST, block_chances, components, grown_order, permuted, shingles, summed_rows, unpacked
 
 WIDTH = 5
 #: Smallest similarity (shared by all distinct shingles of two texts), in percent.
 THRESHOLD = 80
-ROWS, BANDS = 5, 45
-#: Pairs of one first set that a task verifies; more are dealt to several.
+#: Fingerprint words that partitions are taken from, words that candidates are checked by, and the chance that a pair at THRESHOLD meets.
+WORDS, CHECK, RECALL = 16, 2, 0.99
+#: The chance that the check words part a pair at THRESHOLD.
+CHECK_MISS = 1e-4
+#: Verified pairs of one first set that a task takes; more are dealt to several.
 PAIRS = 256
 #: Texts whose sets a Python worker holds at once.
 SLICE = 256
+_UNIT = 0.01
 
 _turn = np.random.default_rng(20260801)
-_FLIP = _turn.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
-_TIMES = _turn.integers(0, 1 << 31, (BANDS * ROWS, 1), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_MIX = _turn.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _turn.integers(0, 1 << 63, BANDS, dtype=np.uint64)
+_TIMES = _turn.integers(0, 1 << 63, (2, WORDS + CHECK), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_LANES = np.uint64(0x0101010101010101)
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -47,13 +65,33 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(shingles(text, WIDTH))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A 64-bit value for each band."""
-    low = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
-    for k in range(0, len(short), 1024):
-        np.minimum(low, ((short[None, k : k + 1024] ^ _FLIP) * _TIMES).min(axis=1), out=low)
-    return (low.reshape(BANDS, ROWS).astype(np.uint64) * _MIX).sum(axis=1, dtype=np.uint64) + _PLUS
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """WORDS + CHECK words; a bit is 1 if it is set in over half the hashes, mixed anew for each word."""
+    total = np.zeros((8, WORDS + CHECK, 8), np.int64)
+    for k in range(0, len(hashes), 255):  # a byte counts up to 255
+        x = hashes[k : k + 255, None] * _TIMES[0]
+        x ^= x >> np.uint64(32)
+        x *= _TIMES[1]
+        x ^= x >> np.uint64(29)
+        for lane in range(8):
+            total[lane] += (x >> np.uint64(lane) & _LANES).sum(axis=0, dtype=np.uint64).view(np.uint8).reshape(-1, 8)
+    bits = (2 * total > len(hashes)).transpose(1, 2, 0).reshape(WORDS + CHECK, BITS)  # word, byte, lane
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def differing(similarity: float) -> float:
+    """The chance that a bit differs in two sets of that similarity and, which is the worst case, equal size."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def _within(bits: int, p: float, most: int) -> float:
+    return sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(most + 1))
+
+
+def check_bits() -> int:
+    """Check bits that a candidate may differ in."""
+    p = differing(THRESHOLD / 100)
+    return next(c for c in range(CHECK * BITS + 1) if _within(CHECK * BITS, p, c) >= 1 - CHECK_MISS)
 
 
 def _small(batches):
@@ -70,17 +108,158 @@ def _digest(hashes: np.ndarray) -> bytes:
 
 
 def _sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node (the set's digest), n (its size) and the bands' values of each row."""
+    """doc_id, node (the set's digest), n (its size) and fp (the fingerprint's words) of each row."""
 
     def run(batches):
         for b in _small(batches):
             sets = [shingle_set(t.as_py()) for t in b.column(1)]
-            values = pa.array(np.concatenate([bands(s) for s in sets]).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS), values)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), lists], ["doc_id", "node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_digest(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int32()), pa.array([wide_fingerprint(s).tobytes() for s in sets], pa.binary())], ["doc_id", "node", "n", "fp"])
 
     df = runtime.only(docs).where("doc_id is not null")
-    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, node binary, n int, bands array<long>")
+    return df.mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, node binary, n int, fp binary")
+
+
+def _words(column) -> np.ndarray:
+    """Rows x words of a column of fingerprints."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WORDS + CHECK)
+
+
+def bit_orders(nodes: DataFrame) -> list[list[int]]:
+    """The order of each word's bits, correlated ones next to each other."""
+
+    def of(column):
+        bits = [unpacked(np.ascontiguousarray(w)).astype(np.float32) for w in _words(column)[:, :WORDS].T]
+        return np.concatenate([[len(column)], *[(b.T @ b).ravel() for b in bits]])
+
+    both = summed_rows(nodes.select("fp"), of, 1 + WORDS * BITS * BITS)
+    return [grown_order(c, both[0]) for c in both[1:].reshape(WORDS, BITS, BITS)]
+
+
+def plan(nodes: DataFrame, orders: list[list[int]]) -> list[tuple[int, int, int, int]]:
+    """(word, first bit, number of bits, threshold) of the partitions that are probed."""
+
+    def of(column):
+        words = [permuted(np.ascontiguousarray(w), o).view(np.uint8).reshape(-1, BLOCKS) for w, o in zip(_words(column).T, orders)]
+        return np.concatenate([np.bincount(c, minlength=256) for w in words for c in w.T]).astype(float)
+
+    histogram = summed_rows(nodes.select("fp"), of, WORDS * BLOCKS * 256).reshape(WORDS, BLOCKS, 256)
+    n = max(1.0, histogram[0, 0].sum())
+    p, wanted = differing(THRESHOLD / 100), math.ceil(-math.log(1 - RECALL) / _UNIT)
+    gains = {(w, t): int(-math.log1p(-_within(w, p, t)) / _UNIT) for w in (16, 24, 32) for t in (0, 1)}
+    # the cheapest way to each gain, one block after the other
+    ways: list[dict[int, tuple[float, tuple]]] = [{} for _ in range(WORDS * BLOCKS + 1)]
+    ways[0][0] = (0.0, ())
+    for word in range(WORDS):
+        chances = block_chances(histogram[word] / n, 1)
+        for block in range(BLOCKS):
+            at = word * BLOCKS + block
+            options = [(1, 0, 0.0, None)]
+            for size in (2, 3, 4):
+                if block + size <= BLOCKS:
+                    chance = np.array([1.0])
+                    for x in chances[block : block + size]:
+                        chance = np.convolve(chance, x)[:2]
+                    for t in (0, 1):
+                        cost = n * n / 2 * chance[: t + 1].sum() + PROBE_COST * n * (1 + t * (8 * size + 1))
+                        options.append((size, gains[8 * size, t], cost, (word, 8 * block, 8 * size, t)))
+            for gain, (cost, chosen) in ways[at].items():
+                for size, more, extra, part in options:
+                    to = min(wanted, gain + more)
+                    if cost + extra < ways[at + size].get(to, (math.inf,))[0]:
+                        ways[at + size][to] = (cost + extra, chosen if part is None else (chosen, part))
+    chosen, parts = ways[-1][wanted][1], []
+    while chosen:
+        chosen, part = chosen
+        parts.append(part)
+    return parts[::-1]
+
+
+def _cells(nodes: DataFrame, orders: list[list[int]], parts: list[tuple[int, int, int, int]], label: str) -> DataFrame:
+    """part, value, role (0: is there; 1: probes from nearby), node, n, check (words), label of every node in every cell that it is in or probes."""
+    schema = nodes.schema[label].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            words = _words(b.column(2))
+            bits = [permuted(np.ascontiguousarray(words[:, w]), orders[w]) for w in range(WORDS)]
+            checks = [pa.array(np.ascontiguousarray(words[:, WORDS + k]).view(np.int64)) for k in range(CHECK)]
+            for k, (word, first, width, t) in enumerate(parts):
+                own = bits[word] >> np.uint64(first) & np.uint64((1 << width) - 1)
+                for mask in [0, *(1 << x for x in range(width if t else 0))]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array((own ^ np.uint64(mask)).view(np.int64)), pa.array(np.full(len(own), int(mask != 0), np.int32)), b.column(0), b.column(1), *checks, b.column(3)], ["part", "value", "role", "node", "n", *[f"check{k}" for k in range(CHECK)], "label"])
+
+    checks = ", ".join(f"check{k} long" for k in range(CHECK))
+    return nodes.select("node", "n", "fp", label).mapInArrow(run, f"part int, value long, role int, node binary, n int, {checks}, label {schema}")
+
+
+def _partners(rows: dict[str, np.ndarray], limit: int, labels: np.ndarray | None):
+    """(i, j) arrays, i < j, of the rows of a group that may be similar; rows: group, role, n, checks, side.
+
+    With labels, only rows of different labels are compared.
+    """
+    group, role, n, side = rows["group"], rows["role"], rows["n"], rows["side"]
+    sizes = np.diff(np.append(np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))), len(group))) if len(group) else np.zeros(0, int)
+    for k in range(1, int(sizes.max(initial=1))):
+        i = np.flatnonzero(group[k:] == group[:-k])
+        j = i + k
+        apart = sum(np.bitwise_count(c[i] ^ c[j]).astype(np.int32) for c in rows["checks"])
+        ok = (apart <= limit) & ((role[i] == 0) | (role[j] == 0)) & ((side[i] != side[j]) | (side[i] < 0)) & (100 * np.minimum(n[i], n[j]).astype(np.int64) >= THRESHOLD * np.maximum(n[i], n[j]).astype(np.int64))
+        if labels is not None:
+            ok &= labels[i] != labels[j]
+        if ok.any():
+            yield i[ok], j[ok]
+
+
+_KEYS = ["part", "value", "kind", "low", "high"]
+
+
+def _compared(dealt: DataFrame, first: bool) -> DataFrame:
+    """Pairs a < b of nodes that may be similar, of the cells of dealt (with _KEYS and side).
+
+    first: of each node in each cell only the one with its smallest partner, and a
+    null b where a has others; else every pair of nodes of different labels.
+    """
+    limit = check_bits()
+
+    def run(batches):
+        rest: pa.Table | None = None
+
+        def done(t: pa.Table):
+            new = np.zeros(t.num_rows, bool)
+            for c in _KEYS:
+                v = t.column(c).to_numpy()
+                new[1:] |= v[1:] != v[:-1]
+            rows = {c: t.column(c).to_numpy() for c in ("role", "n", "side")} | {"group": np.cumsum(new), "checks": [t.column(f"check{k}").to_numpy().view(np.uint64) for k in range(CHECK)]}
+            node = t.column("node").combine_chunks()
+            if first:
+                best, number = np.full(t.num_rows, -1, np.int64), np.zeros(t.num_rows, np.int64)
+                for i, j in _partners(rows, limit, None):
+                    best[j] = i  # rows are in order of node: the last partner found is the smallest
+                    number[i] += 1
+                    number[j] += 1
+                b = np.flatnonzero(best >= 0)
+                more = np.flatnonzero(number > 0)
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(best[b])), node.take(pa.array(b))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(more)), pa.nulls(len(more), pa.binary())], ["a", "b"])
+            else:
+                _, label = np.unique(np.array(t.column("label").to_pylist(), object), return_inverse=True)
+                for i, j in _partners(rows, limit, label):
+                    yield pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], ["a", "b"])
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            v = np.stack([t.column(c).to_numpy().astype(np.int64) for c in _KEYS])
+            last = np.flatnonzero((v != v[:, -1:]).any(axis=0))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield from done(t.slice(0, cut))
+            rest = t.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield from done(rest)
+
+    found = dealt.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "node").mapInArrow(run, "a binary, b binary")
+    return found.select(F.when(F.col("b").isNull(), F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b")).distinct()
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -103,14 +282,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, folder: str, ta
     rows = runtime.only(docs)
     sets = _sets(rows.join(runtime.if_small(which), rows["doc_id"] == F.col("wanted_id"), "left_semi"))
     sets = runtime.written(sets.dropDuplicates(["node"]), folder, f"{tag}-sets")
-    # a first set with many pairs goes to several tasks
-    many = runtime.written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("parts")).where("parts > 1"), folder, f"{tag}-many")
-    many = runtime.if_small(many)
+    # a first set with many pairs goes to several tasks, once to each
+    many = runtime.if_small(runtime.written(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("int").alias("parts")).where("parts > 1"), folder, f"{tag}-many"))
     left = pairs.join(many, "a", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"))).drop("parts")
     first = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")).join(many, "a", "left")
     first = first.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    both = left.join(first, ["a", "part"]).join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
-
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").join(first, ["a", "part"])
     n = F.size(F.array_intersect("x", "y"))
     alike = F.lit(100) * n >= F.lit(THRESHOLD) * (F.size("x") + F.size("y") - n)
     out = runtime.written(both.where(alike).select("a", "b"), folder, f"{tag}-edges")
@@ -118,28 +295,62 @@ def _verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, folder: str, ta
     return out
 
 
+def _blocks(count) -> F.Column:
+    return F.ceil(count / (CELL_ROWS // 2)).cast("int")
+
+
+def _dealt_once(cells: DataFrame, large: DataFrame) -> DataFrame:
+    """Every row once: a large cell's rows in blocks that are not compared with each other."""
+    block = F.when(F.col("rows").isNull(), 0).otherwise(F.pmod(F.xxhash64("node", "part"), _blocks(F.col("rows"))).cast("int"))
+    return cells.join(large, ["part", "value"], "left").select(*cells.columns, F.lit(0).alias("kind"), block.alias("low"), F.lit(0).alias("high"), F.lit(-1).alias("side"))
+
+
+def _dealt_again(cells: DataFrame, large: DataFrame, folder: str) -> DataFrame:
+    """Cells that aren't large as they are; of large ones the largest label's rows meet all others, and all others each other, in blocks."""
+    fixed = lambda kind, low, high, side: [kind.alias("kind"), low.alias("low"), high.alias("high"), side.alias("side")]
+    zero, none = F.lit(0), F.lit(-1)
+    plain = cells.join(large, ["part", "value"], "left_anti").select(*cells.columns, *fixed(zero, zero, zero, none))
+    inside = cells.join(large.select("part", "value"), ["part", "value"], "left_semi")
+    sizes = inside.groupBy("part", "value", "label").count()
+    top = sizes.groupBy("part", "value").agg(F.max_by("label", F.struct("count", "label")).alias("top"), F.max("count").alias("own"), F.sum("count").alias("all"))
+    top = runtime.written(top, folder, "large-labels")
+    inside = inside.join(runtime.if_small(top), ["part", "value"]).withColumn("is_top", F.col("label") == F.col("top"))
+    tops, others = _blocks(F.col("own")), F.greatest(F.lit(1), _blocks(F.col("all") - F.col("own")))
+    at = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    first = inside.where("is_top and own < all").withColumns({"low": at(tops), "high": every(others)}).select(*cells.columns, *fixed(F.lit(1), F.col("low"), F.col("high"), zero))
+    second = inside.where("not is_top").withColumns({"low": every(tops), "high": at(others)}).select(*cells.columns, *fixed(F.lit(1), F.col("low"), F.col("high"), F.lit(1)))
+    third = inside.where("not is_top").withColumns({"mine": at(others), "other": every(others)}).select(*cells.columns, *fixed(F.lit(2), F.least("mine", "other"), F.greatest("mine", "other"), F.when(F.col("mine") == F.col("other"), -1).otherwise((F.col("mine") > F.col("other")).cast("int"))))
+    return plain.union(first).union(second).union(third)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, component_id (smallest doc_id reachable by links), a row for each row of docs that has a doc_id."""
     spark = docs.sparkSession
     folder = runtime.work_folder(spark, "near-sets")
     sketches = runtime.written(_sketches(docs), folder, "sketches")
-    ids = runtime.written(sketches.groupBy("node").agg(F.min("doc_id").alias("doc_id")), folder, "nodes")
-    cells = sketches.select("node", "n", F.explode("bands").alias("value")).distinct()
-    shared = cells.groupBy("value").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("node", "n")).alias("low")).where("k > 1").drop("k")
-    shared = runtime.written(shared, folder, "shared")
-    members = runtime.written(cells.join(runtime.if_small(shared), "value"), folder, "members")
-    alike = lambda n, m: F.lit(100) * F.least(n, m) >= F.lit(THRESHOLD) * F.greatest(n, m)
-    stars = runtime.written(members.where((F.col("node") != F.col("low.node")) & alike(F.col("n"), F.col("low.n"))).select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct(), folder, "stars")
+    nodes = sketches.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("fp").alias("fp"))
+    nodes = runtime.written(nodes, folder, "nodes")
+    ids = nodes.select("node", "doc_id")
+    orders = bit_orders(nodes)
+    parts = plan(nodes, orders)
+    cells = _cells(nodes.withColumn("none", F.lit(None).cast("binary")), orders, parts, "none")
+    large = cells.groupBy("part", "value").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > CELL_ROWS)
+    large = runtime.written(large, folder, "large")
+    met = runtime.written(_compared(_dealt_once(cells, runtime.if_small(large)), True), folder, "met")
+    stars = runtime.written(met.where("b is not null").groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), folder, "stars")
     links = _verified(stars, docs, ids, folder, "stars")
     found = runtime.written(components(links, f"{folder}/stars-components"), folder, "found")
-    # members that their band's smallest node doesn't connect: all pairs between different components
-    placed = members.join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    placed = runtime.written(placed, folder, "placed")
-    mixed = runtime.written(placed.groupBy("value").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("value"), folder, "mixed")
-    rest = runtime.written(placed.join(runtime.if_small(mixed), "value", "left_semi").where(F.col("node") != F.col("low.node")), folder, "rest")
-    x, y = rest.select("value", F.col("node").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca")), rest.select("value", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    others = x.join(y, "value").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    others = runtime.written(others, folder, "others")
+    # all nodes that have a partner, or are in a large cell, under their component so far
+    touched = runtime.written(met.where("b is null").select(F.col("a").alias("node")).distinct(), folder, "touched")
+    if large.isEmpty():
+        again = nodes.join(runtime.if_small(touched), "node", "left_semi")
+    else:
+        again = nodes
+    labelled = again.join(found, "node", "left").select("node", "n", "fp", F.coalesce("component", "node").alias("label"))
+    labelled = runtime.written(labelled, folder, "labelled")
+    cells = _cells(labelled, orders, parts, "label")
+    others = runtime.written(_compared(_dealt_again(cells, runtime.if_small(large), folder), False), folder, "others")
     more = _verified(others, docs, ids, folder, "others")
     found = components(links.union(more), f"{folder}/components")
     placed = sketches.select("doc_id", "node").join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).select("doc_id", "c")

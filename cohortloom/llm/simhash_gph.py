@@ -97,31 +97,37 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     return df.mapInArrow(run, f"doc_id {id_type}, fp long")
 
 
-def _unpack(fps: np.ndarray) -> np.ndarray:
+def unpacked(fps: np.ndarray) -> np.ndarray:
+    """Rows x 64 bits, the lowest first."""
     return np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
-def _summed(df: DataFrame, of, size: int) -> np.ndarray:
-    """The sum over all of df of a fixed number of counts that `of` makes of an array of fingerprints."""
+def summed_rows(df: DataFrame, of, size: int) -> np.ndarray:
+    """The sum over all of df of a fixed number of counts that `of` makes of the first column of a batch."""
 
     def run(batches):
         total = np.zeros(size)
         for b in batches:
-            total += of(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            total += of(b.column(0))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], ["k", "v"])
 
-    rows = df.select("fp").mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
+    rows = df.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(size)
     for k, v in rows:
         out[k] = v
     return out
 
 
-def bit_order(fps: DataFrame) -> list[int]:
-    """The 64 bits, correlated ones next to each other: groups of eight grown greedily from the most correlated pair left."""
-    both = _summed(fps, lambda x: (lambda b: np.concatenate((b.T @ b, [[len(x)] + [0] * (BITS - 1)])).ravel())(_unpack(x).astype(np.float32)), BITS * (BITS + 1))
-    n = max(1.0, both[BITS * BITS])
-    co = both[: BITS * BITS].reshape(BITS, BITS) / n
+def _fps(column) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def grown_order(together: np.ndarray, n: float) -> list[int]:
+    """The 64 bits, correlated ones next to each other: groups of eight grown greedily from the most correlated pair left.
+
+    together: how many of n fingerprints have bits i and j both set.
+    """
+    co = together / max(1.0, n)
     p = np.diag(co)
     sd = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     corr = np.abs(co - np.outer(p, p)) / np.outer(sd, sd)
@@ -139,19 +145,27 @@ def bit_order(fps: DataFrame) -> list[int]:
     return order
 
 
+def bit_order(fps: DataFrame) -> list[int]:
+    """grown_order of all fingerprints."""
+    both = summed_rows(fps.select("fp"), lambda c: (lambda b: np.concatenate((b.T @ b, [[len(c)] + [0] * (BITS - 1)])).ravel())(unpacked(_fps(c)).astype(np.float32)), BITS * (BITS + 1))
+    return grown_order(both[: BITS * BITS].reshape(BITS, BITS), both[BITS * BITS])
+
+
+def block_chances(shares: np.ndarray, most: int) -> list[list[float]]:
+    """For each block's shares of its 256 values: the chances that two fingerprints differ in 0..most of its bits."""
+    distance = np.bitwise_count(np.arange(256)[:, None] ^ np.arange(256)[None, :])
+    return [[np.outer(h, h)[distance == d].sum() for d in range(most + 1)] for h in shares]
+
+
 def permuted(fps: np.ndarray, order: list[int]) -> np.ndarray:
-    return np.ascontiguousarray(np.packbits(_unpack(fps)[:, order], axis=1, bitorder="little")).view(np.uint64).ravel()
+    return np.ascontiguousarray(np.packbits(unpacked(fps)[:, order], axis=1, bitorder="little")).view(np.uint64).ravel()
 
 
 def plan(fps: DataFrame, order: list[int], tau: int = 3) -> list[tuple[int, int, int]]:
     """(first bit, number of bits, threshold) of the partitions that are probed."""
-    histogram = _summed(fps, lambda x: np.concatenate([np.bincount(c, minlength=256) for c in permuted(x, order).view(np.uint8).reshape(-1, 8).T]).astype(float), BLOCKS * 256).reshape(BLOCKS, 256)
+    histogram = summed_rows(fps.select("fp"), lambda x: np.concatenate([np.bincount(c, minlength=256) for c in permuted(_fps(x), order).view(np.uint8).reshape(-1, 8).T]).astype(float), BLOCKS * 256).reshape(BLOCKS, 256)
     n = max(1.0, histogram[0].sum())
-    distance = np.array([[bin(a ^ b).count("1") for b in range(256)] for a in range(256)])
-    block = []
-    for h in histogram / n:  # chances that two fingerprints differ in 0..tau bits of a block
-        pair = np.outer(h, h)
-        block.append([pair[distance == d].sum() for d in range(tau + 1)])
+    block = block_chances(histogram / n, tau)
     best: tuple[float, list] = (float("inf"), [])
     for m in range(FEWEST, MOST + 1):
         edges = [round(k * BLOCKS / m) for k in range(m + 1)]

@@ -133,10 +133,13 @@ def test_thresholds_meet_the_pigeonhole_sum(spark):
     assert sum(t + 1 for _, _, t in parts) == 4 and all(t >= 0 for _, _, t in parts)
 
 
-def test_stage_links_all_pairs_at_the_threshold_and_no_others(spark):
+@pytest.mark.parametrize("cell", [4, 2048])
+def test_stage_links_all_pairs_at_the_threshold_and_no_others(spark, monkeypatch, cell):
+    """cell 4: nearly all cells are cut into blocks."""
+    monkeypatch.setattr(near_sets, "CELL_ROWS", cell)
     rng = np.random.default_rng(11)
     texts = [t for _, t in AWKWARD if t is not LONG]
-    for k in range(12):
+    for k in range(12 if cell > 4 else 3):
         base = gibberish(700 + k, 300)
         texts.append(" ".join(base))
         for edits in (1, 4, 6, 6, 7, 8, 12):
@@ -163,6 +166,36 @@ def test_stage_links_all_pairs_at_the_threshold_and_no_others(spark):
     assert corpus_pipeline.near_dedup(spark, docs(spark, rows), "").count() == len(set(group.values()))
 
 
+def test_wide_fingerprints_meet_at_the_threshold():
+    """Bits by hand; pairs of similarity 0.8 agree in a partition, and in the check bits, as often as planned."""
+    rng = np.random.default_rng(31)
+    h = rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2)
+    x = h * near_sets._TIMES[0, 3]
+    x = (x ^ x >> np.uint64(32)) * near_sets._TIMES[1, 3]
+    x ^= x >> np.uint64(29)
+    assert int(near_sets.wide_fingerprint(h)[3]) == sum(1 << b for b in range(64) if 2 * int((x >> np.uint64(b) & np.uint64(1)).sum()) > 300)
+    assert not near_sets.wide_fingerprint(h[:0]).any()
+    met = near = 0
+    for _ in range(400):
+        both, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (160, 20, 20))
+        f, g = near_sets.wide_fingerprint(np.concatenate((both, a))), near_sets.wide_fingerprint(np.concatenate((both, b)))
+        d = f ^ g
+        met += bool((d[: near_sets.WORDS].view(np.uint16) == 0).any())
+        near += int(np.bitwise_count(d[near_sets.WORDS :]).sum()) <= near_sets.check_bits()
+    assert met >= 0.97 * 400 and near >= 0.99 * 400
+
+
+def test_thresholds_of_partitions_reach_the_recall(spark):
+    rng = np.random.default_rng(6)
+    rows = [(bytes([k]), 9, near_sets.wide_fingerprint(rng.integers(0, 1 << 63, 50, dtype=np.uint64)).tobytes()) for k in range(50)]
+    nodes = spark.createDataFrame(rows, "node binary, n int, fp binary")
+    parts = near_sets.plan(nodes, near_sets.bit_orders(nodes))
+    p, miss = near_sets.differing(0.8), 1.0
+    for _, _, width, t in parts:
+        miss *= 1 - near_sets._within(width, p, t)
+    assert miss <= 1 - near_sets.RECALL and len({(w, f) for w, f, _, _ in parts}) == len(parts)
+
+
 # --- 10
 
 
