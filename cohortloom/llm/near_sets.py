@@ -15,14 +15,17 @@ and all pairs within 14 bits are too many. Here:
    probes, so that the chance that no partition agrees is at most 1 - RECALL.
    More similar pairs are missed less: at 0.9 practically never.
 4. Probe: nodes meet in cells (partition, value) and are compared by CHECK further
-   words of bits and by their sets' sizes. Each node is verified against its
-   smallest partner first; then all other pairs of partners, except those that
-   the links found so far connect anyway: n near copies cost about n verifications.
-5. Cells over CELL_ROWS rows: first only rows of the same block of them are
-   compared; then, since their largest component is one already, that one with
-   all others and all others with each other, in blocks.
-6. Verify: shared shingles are counted on the whole sets; only a pair of at least
-   THRESHOLD is a link. Components as in simhash_gph.
+   words of bits and by their sets' sizes. A cell emits, for each of its rows, the
+   nearest partner and at most one edge of a spanning forest of all partners, never
+   its pairs. Cells over CELL_ROWS rows are cut into blocks, and every pair of
+   blocks is compared in a task of its own.
+5. Verify: shared shingles are counted on the whole sets; only a pair of at least
+   THRESHOLD is a link. First each node and its nearest partner: n near copies cost
+   about n verifications, and mostly become one component. What the spanning
+   forests connect is a family; in families that are more than one component, the
+   largest is verified against all other members and these against each other, in
+   blocks, by products of incidence matrices, which emit links and no pairs.
+6. Components as in simhash_gph.
 
 Defined results: words are those of simhash_gph; texts of fewer words than a
 shingle are one shingle; texts without words are equal to each other; rows
@@ -40,19 +43,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import runtime
-from .simhash_gph import BITS, BLOCKS, CELL_ROWS, PROBE_COST, block_chances, components, grown_order, permuted, shingles, summed_rows, unpacked
+from .simhash_gph import BITS, BLOCKS, CELL_ROWS, PROBE_COST, block_chances, components, connected, grown_order, permuted, shingles, summed_rows, unpacked
 
 WIDTH = 5
 #: Smallest similarity (shared by all distinct shingles of two texts), in percent.
 THRESHOLD = 80
 #: Fingerprint words that partitions are taken from, words that candidates are checked by, and the chance that a pair at THRESHOLD meets.
-WORDS, CHECK, RECALL = 16, 2, 0.99
+WORDS, CHECK, RECALL = 16, 4, 0.99
 #: The chance that the check words part a pair at THRESHOLD.
 CHECK_MISS = 1e-4
 #: Verified pairs of one first set that a task takes; more are dealt to several.
 PAIRS = 256
 #: Texts whose sets a Python worker holds at once.
 SLICE = 256
+#: Sets and hashes in them that a block of a family has, about; hashes in a row; columns of an incidence matrix.
+BLOCK_SETS, BLOCK_HASHES, PIECE, COLUMNS = 256, 500_000, 1024, 4096
 _UNIT = 0.01
 
 _turn = np.random.default_rng(20260801)
@@ -174,9 +179,8 @@ def plan(nodes: DataFrame, orders: list[list[int]]) -> list[tuple[int, int, int,
     return parts[::-1]
 
 
-def _cells(nodes: DataFrame, orders: list[list[int]], parts: list[tuple[int, int, int, int]], label: str) -> DataFrame:
-    """part, value, role (0: is there; 1: probes from nearby), node, n, check (words), label of every node in every cell that it is in or probes."""
-    schema = nodes.schema[label].dataType.simpleString()
+def _cells(nodes: DataFrame, orders: list[list[int]], parts: list[tuple[int, int, int, int]]) -> DataFrame:
+    """cell (partition and value), role (0: is there; 1: probes from nearby), node, n, check (words) of every node in every cell that it is in or probes."""
 
     def run(batches):
         for b in batches:
@@ -184,82 +188,66 @@ def _cells(nodes: DataFrame, orders: list[list[int]], parts: list[tuple[int, int
             bits = [permuted(np.ascontiguousarray(words[:, w]), orders[w]) for w in range(WORDS)]
             checks = [pa.array(np.ascontiguousarray(words[:, WORDS + k]).view(np.int64)) for k in range(CHECK)]
             for k, (word, first, width, t) in enumerate(parts):
-                own = bits[word] >> np.uint64(first) & np.uint64((1 << width) - 1)
+                own = bits[word] >> np.uint64(first) & np.uint64((1 << width) - 1) | np.uint64(k << 32)
                 for mask in [0, *(1 << x for x in range(width if t else 0))]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array((own ^ np.uint64(mask)).view(np.int64)), pa.array(np.full(len(own), int(mask != 0), np.int32)), b.column(0), b.column(1), *checks, b.column(3)], ["part", "value", "role", "node", "n", *[f"check{k}" for k in range(CHECK)], "label"])
+                    yield pa.RecordBatch.from_arrays([pa.array((own ^ np.uint64(mask)).view(np.int64)), pa.array(np.full(len(own), int(mask != 0), np.int32)), b.column(0), b.column(1), *checks], ["cell", "role", "node", "n", *[f"check{k}" for k in range(CHECK)]])
 
     checks = ", ".join(f"check{k} long" for k in range(CHECK))
-    return nodes.select("node", "n", "fp", label).mapInArrow(run, f"part int, value long, role int, node binary, n int, {checks}, label {schema}")
+    return nodes.select("node", "n", "fp").mapInArrow(run, f"cell long, role int, node binary, n int, {checks}")
 
 
-def _partners(rows: dict[str, np.ndarray], limit: int, labels: np.ndarray | None):
-    """(i, j) arrays, i < j, of the rows of a group that may be similar; rows: group, role, n, checks, side.
-
-    With labels, only rows of different labels are compared.
-    """
-    group, role, n, side = rows["group"], rows["role"], rows["n"], rows["side"]
-    sizes = np.diff(np.append(np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))), len(group))) if len(group) else np.zeros(0, int)
-    for k in range(1, int(sizes.max(initial=1))):
-        i = np.flatnonzero(group[k:] == group[:-k])
-        j = i + k
-        apart = sum(np.bitwise_count(c[i] ^ c[j]).astype(np.int32) for c in rows["checks"])
-        ok = (apart <= limit) & ((role[i] == 0) | (role[j] == 0)) & ((side[i] != side[j]) | (side[i] < 0)) & (100 * np.minimum(n[i], n[j]).astype(np.int64) >= THRESHOLD * np.maximum(n[i], n[j]).astype(np.int64))
-        if labels is not None:
-            ok &= labels[i] != labels[j]
-        if ok.any():
-            yield i[ok], j[ok]
-
-
-_KEYS = ["part", "value", "kind", "low", "high"]
-
-
-def _compared(dealt: DataFrame, first: bool) -> DataFrame:
-    """Pairs a < b of nodes that may be similar, of the cells of dealt (with _KEYS and side).
-
-    first: of each node in each cell only the one with its smallest partner, and a
-    null b where a has others; else every pair of nodes of different labels.
-    """
-    limit = check_bits()
+def _groups(batches, keys: list[str]):
+    """The rows of the batches, sorted by keys, as tables of whole groups."""
+    rest: pa.Table | None = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = t if rest is None else pa.concat_tables([rest, t])
+        last = np.zeros(t.num_rows, bool)
+        for c in keys:
+            v = np.array(t.column(c).to_pylist(), object) if pa.types.is_binary(t.column(c).type) else t.column(c).to_numpy()
+            last |= v != v[-1]
+        cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
+        if cut:
+            yield t.slice(0, cut)
+        rest = t.slice(cut)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _compared(cells: DataFrame, large: DataFrame) -> DataFrame:
+    """a, b, d: of each node in each cell its nearest partner, d bits away, and (d null) spanning forests of all partners. large: cell, rows."""
+    limit, keys = check_bits(), ["cell", "block"]
+    blocks = F.coalesce(_blocks(F.col("rows"), F.lit(CELL_ROWS // 2)), F.lit(1))
+    dealt = cells.join(large, "cell", "left").withColumn("mine", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    # side: -1 in a block with itself; else rows of 0 are compared with rows of 1
+    side = F.when(F.col("mine") == F.col("other"), -1).otherwise((F.col("mine") > F.col("other")).cast("int"))
+    dealt = dealt.select(*cells.columns, (F.shiftleft(F.least("mine", "other").cast("long"), 32) + F.greatest("mine", "other")).alias("block"), side.alias("side"))
 
     def run(batches):
-        rest: pa.Table | None = None
-
-        def done(t: pa.Table):
+        for t in _groups(batches, keys):
             new = np.zeros(t.num_rows, bool)
-            for c in _KEYS:
+            for c in keys:
                 v = t.column(c).to_numpy()
                 new[1:] |= v[1:] != v[:-1]
-            rows = {c: t.column(c).to_numpy() for c in ("role", "n", "side")} | {"group": np.cumsum(new), "checks": [t.column(f"check{k}").to_numpy().view(np.uint64) for k in range(CHECK)]}
+            group, (role, n, side) = np.cumsum(new), (t.column(c).to_numpy() for c in ("role", "n", "side"))
+            checks, n = [t.column(f"check{k}").to_numpy().view(np.uint64) for k in range(CHECK)], n.astype(np.int64)
+            label, best, least = np.arange(t.num_rows), np.full(t.num_rows, -1), np.full(t.num_rows, CHECK * BITS + 1)
+            sizes = np.diff(np.append(np.flatnonzero(np.concatenate(([True], new[1:]))), t.num_rows))
+            for k in range(1, int(sizes.max(initial=1))):
+                i = np.flatnonzero(group[k:] == group[:-k])
+                j = i + k
+                apart = sum(np.bitwise_count(c[i] ^ c[j]).astype(np.int64) for c in checks)
+                ok = (apart <= limit) & ((role[i] == 0) | (role[j] == 0)) & ((side[i] != side[j]) | (side[i] < 0)) & (100 * np.minimum(n[i], n[j]) >= THRESHOLD * np.maximum(n[i], n[j]))
+                i, j, apart = i[ok], j[ok], apart[ok]
+                for x, y in ((i, j), (j, i)):
+                    nearer = apart < least[x]
+                    best[x[nearer]], least[x[nearer]] = y[nearer], apart[nearer]
+                label = connected(label, i, j)
             node = t.column("node").combine_chunks()
-            if first:
-                best, number = np.full(t.num_rows, -1, np.int64), np.zeros(t.num_rows, np.int64)
-                for i, j in _partners(rows, limit, None):
-                    best[j] = i  # rows are in order of node: the last partner found is the smallest
-                    number[i] += 1
-                    number[j] += 1
-                b = np.flatnonzero(best >= 0)
-                more = np.flatnonzero(number > 0)
-                yield pa.RecordBatch.from_arrays([node.take(pa.array(best[b])), node.take(pa.array(b))], ["a", "b"])
-                yield pa.RecordBatch.from_arrays([node.take(pa.array(more)), pa.nulls(len(more), pa.binary())], ["a", "b"])
-            else:
-                _, label = np.unique(np.array(t.column("label").to_pylist(), object), return_inverse=True)
-                for i, j in _partners(rows, limit, label):
-                    yield pa.RecordBatch.from_arrays([node.take(pa.array(i)), node.take(pa.array(j))], ["a", "b"])
+            for a, b, d in ((np.flatnonzero(best >= 0), best[best >= 0], pa.array(least[best >= 0], pa.int32())), (tied := np.flatnonzero(label != np.arange(len(label))), label[tied], pa.nulls(len(tied), pa.int32()))):
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(a)), node.take(pa.array(b)), d], ["a", "b", "d"])
 
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            t = t if rest is None else pa.concat_tables([rest, t])
-            v = np.stack([t.column(c).to_numpy().astype(np.int64) for c in _KEYS])
-            last = np.flatnonzero((v != v[:, -1:]).any(axis=0))
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if cut:
-                yield from done(t.slice(0, cut))
-            rest = t.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield from done(rest)
-
-    found = dealt.repartition(*_KEYS).sortWithinPartitions(*_KEYS, "node").mapInArrow(run, "a binary, b binary")
-    return found.select(F.when(F.col("b").isNull(), F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.when(F.col("b").isNotNull(), F.greatest("a", "b")).alias("b")).distinct()
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary, d int").distinct()
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -295,33 +283,87 @@ def _verified(pairs: DataFrame, docs: DataFrame, ids: DataFrame, folder: str, ta
     return out
 
 
-def _blocks(count) -> F.Column:
-    return F.ceil(count / (CELL_ROWS // 2)).cast("int")
-
-
-def _dealt_once(cells: DataFrame, large: DataFrame) -> DataFrame:
-    """Every row once: a large cell's rows in blocks that are not compared with each other."""
-    block = F.when(F.col("rows").isNull(), 0).otherwise(F.pmod(F.xxhash64("node", "part"), _blocks(F.col("rows"))).cast("int"))
-    return cells.join(large, ["part", "value"], "left").select(*cells.columns, F.lit(0).alias("kind"), block.alias("low"), F.lit(0).alias("high"), F.lit(-1).alias("side"))
+def _blocks(count, size):
+    return F.ceil(count / size).cast("int")
+
+
+def shared(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set of xs and each of ys share, by products of incidence matrices of COLUMNS hashes."""
+    sets = xs + ys
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    hashes, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1  # hashes of one set only are shared by none
+    use = times[column] > 1
+    of, column = of[use], number[column[use]]
+    order = np.argsort(column, kind="stable")
+    of, column = of[order], column[order]
+    out = np.zeros((len(xs), len(ys)), np.int64)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        lo, hi = np.searchsorted(column, (first, first + COLUMNS))
+        there = np.zeros((len(sets), COLUMNS), np.float32)
+        there[of[lo:hi], column[lo:hi] - first] = 1
+        out += (there[: len(xs)] @ there[len(xs) :].T).astype(np.int64)
+    return out
 
 
-def _dealt_again(cells: DataFrame, large: DataFrame, folder: str) -> DataFrame:
-    """Cells that aren't large as they are; of large ones the largest label's rows meet all others, and all others each other, in blocks."""
-    fixed = lambda kind, low, high, side: [kind.alias("kind"), low.alias("low"), high.alias("high"), side.alias("side")]
-    zero, none = F.lit(0), F.lit(-1)
-    plain = cells.join(large, ["part", "value"], "left_anti").select(*cells.columns, *fixed(zero, zero, zero, none))
-    inside = cells.join(large.select("part", "value"), ["part", "value"], "left_semi")
-    sizes = inside.groupBy("part", "value", "label").count()
-    top = sizes.groupBy("part", "value").agg(F.max_by("label", F.struct("count", "label")).alias("top"), F.max("count").alias("own"), F.sum("count").alias("all"))
-    top = runtime.written(top, folder, "large-labels")
-    inside = inside.join(runtime.if_small(top), ["part", "value"]).withColumn("is_top", F.col("label") == F.col("top"))
-    tops, others = _blocks(F.col("own")), F.greatest(F.lit(1), _blocks(F.col("all") - F.col("own")))
+def _families_verified(members: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
+    """a, b: links between the labels of each family's members that suffice to connect what is similar. members: node, doc_id, n, family, label."""
+    sizes = members.groupBy("family", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("h"))
+    top = sizes.groupBy("family").agg(F.max_by(F.struct("label", "k", "h"), F.struct("k", "label")).alias("top"), F.sum("k").alias("k"), F.sum("h").alias("h"), F.count(F.lit(1)).alias("labels"))
+    # a family of two was verified by its only pair
+    blocks = lambda k, h: F.greatest(F.lit(1), _blocks(k, F.lit(BLOCK_SETS)), _blocks(h, F.lit(BLOCK_HASHES)))
+    top = top.where("labels > 1 and k > 2").select("family", F.col("top.label").alias("top"), blocks(F.col("top.k"), F.col("top.h")).alias("tops"), blocks(F.col("k") - F.col("top.k"), F.col("h") - F.col("top.h")).alias("others"))
+    top = runtime.written(top, folder, "unsettled")
+    rows = runtime.written(members.join(runtime.if_small(top), "family").withColumn("is_top", F.col("label") == F.col("top")).drop("top"), folder, "unsettled-members")
+    which = runtime.written(rows.select(F.col("doc_id").alias("wanted_id")).distinct(), folder, "unsettled-ids")
+    texts = runtime.only(docs)
+    sets = _sets(texts.join(runtime.if_small(which), texts["doc_id"] == F.col("wanted_id"), "left_semi")).dropDuplicates(["node"])
+    # a set in pieces: a batch of rows stays small
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), (F.size("hashes") - 1)), F.lit(PIECE)), lambda at: F.slice("hashes", at + 1, F.lit(PIECE)))
+    sets = runtime.written(sets.select("node", F.posexplode(pieces).alias("piece", "hashes")), folder, "unsettled-sets")
     at = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    first = inside.where("is_top and own < all").withColumns({"low": at(tops), "high": every(others)}).select(*cells.columns, *fixed(F.lit(1), F.col("low"), F.col("high"), zero))
-    second = inside.where("not is_top").withColumns({"low": every(tops), "high": at(others)}).select(*cells.columns, *fixed(F.lit(1), F.col("low"), F.col("high"), F.lit(1)))
-    third = inside.where("not is_top").withColumns({"mine": at(others), "other": every(others)}).select(*cells.columns, *fixed(F.lit(2), F.least("mine", "other"), F.greatest("mine", "other"), F.when(F.col("mine") == F.col("other"), -1).otherwise((F.col("mine") > F.col("other")).cast("int"))))
-    return plain.union(first).union(second).union(third)
+    keys, tops, others = ["family", "kind", "low", "high"], F.col("tops"), F.col("others")
+    first = rows.where("is_top").withColumns({"low": at(tops), "high": every(others)}).withColumns({"kind": F.lit(1), "side": F.lit(0)})
+    second = rows.where("not is_top").withColumns({"low": every(tops), "high": at(others)}).withColumns({"kind": F.lit(1), "side": F.lit(1)})
+    third = rows.where("not is_top").withColumns({"mine": at(others), "other": every(others)}).withColumns({"kind": F.lit(2), "low": F.least("mine", "other"), "high": F.greatest("mine", "other"), "side": F.when(F.col("mine") == F.col("other"), 0).otherwise((F.col("mine") > F.col("other")).cast("int"))})
+    columns = [*keys, "side", "label", "node"]
+    dealt = first.select(*columns).union(second.select(*columns)).union(third.select(*columns)).join(sets, "node")
+
+    def run(batches):
+        for t in _groups(batches, keys):
+            group: list[dict] = []
+            for r in t.to_batches():
+                for key, side, label, node, piece, hashes in zip(zip(*(r.column(c).to_pylist() for c in keys)), r.column("side").to_pylist(), r.column("label").to_pylist(), r.column("node").to_pylist(), r.column("piece").to_pylist(), r.column("hashes")):
+                    if group and group[-1]["key"] != key:
+                        yield _links(group)
+                        group = []
+                    if piece == 0:
+                        group.append({"key": key, "side": side, "label": label, "hashes": []})
+                    group[-1]["hashes"].append(hashes.values.to_numpy())
+            if group:
+                yield _links(group)
+
+    found = dealt.repartition(*keys).sortWithinPartitions(*keys, "node", "piece").mapInArrow(run, "a binary, b binary")
+    return runtime.written(found.distinct(), folder, "more")
+
+
+def _links(group: list[dict]) -> pa.RecordBatch:
+    """Edges between labels that connect those of similar sets of a group: of its two sides, or all of them where there is one."""
+    sides = [[g for g in group if g["side"] == s] for s in (0, 1)]
+    xs, ys = sides if sides[1] else (sides[0], sides[0])
+    names = sorted({g["label"] for g in group})
+    place = {v: k for k, v in enumerate(names)}
+    label = np.arange(len(names))
+    if xs and len(names) > 1:
+        sets = [[np.concatenate(g["hashes"]) for g in s] for s in (xs, ys)]
+        both = shared(*sets)
+        n = [np.array([len(s) for s in x]) for x in sets]
+        i, j = np.nonzero(100 * both >= THRESHOLD * (n[0][:, None] + n[1][None, :] - both))
+        of = [np.array([place[g["label"]] for g in s]) for s in (xs, ys)]
+        label = connected(label, of[0][i], of[1][j])
+    tied = np.flatnonzero(label != np.arange(len(names)))
+    return pa.RecordBatch.from_arrays([pa.array([names[k] for k in tied], pa.binary()), pa.array([names[k] for k in label[tied]], pa.binary())], ["a", "b"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -334,24 +376,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = nodes.select("node", "doc_id")
     orders = bit_orders(nodes)
     parts = plan(nodes, orders)
-    cells = _cells(nodes.withColumn("none", F.lit(None).cast("binary")), orders, parts, "none")
-    large = cells.groupBy("part", "value").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > CELL_ROWS)
-    large = runtime.written(large, folder, "large")
-    met = runtime.written(_compared(_dealt_once(cells, runtime.if_small(large)), True), folder, "met")
-    stars = runtime.written(met.where("b is not null").groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), folder, "stars")
+    cells = _cells(nodes, orders, parts)
+    large = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > CELL_ROWS)
+    large = runtime.if_small(runtime.written(large, folder, "large"))
+    met = runtime.written(_compared(cells, large), folder, "met")
+    nearest = met.where("d is not null").groupBy("a").agg(F.min(F.struct("d", "b"))["b"].alias("b"))
+    stars = runtime.written(nearest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), folder, "stars")
     links = _verified(stars, docs, ids, folder, "stars")
     found = runtime.written(components(links, f"{folder}/stars-components"), folder, "found")
-    # all nodes that have a partner, or are in a large cell, under their component so far
-    touched = runtime.written(met.where("b is null").select(F.col("a").alias("node")).distinct(), folder, "touched")
-    if large.isEmpty():
-        again = nodes.join(runtime.if_small(touched), "node", "left_semi")
-    else:
-        again = nodes
-    labelled = again.join(found, "node", "left").select("node", "n", "fp", F.coalesce("component", "node").alias("label"))
-    labelled = runtime.written(labelled, folder, "labelled")
-    cells = _cells(labelled, orders, parts, "label")
-    others = runtime.written(_compared(_dealt_again(cells, runtime.if_small(large), folder), False), folder, "others")
-    more = _verified(others, docs, ids, folder, "others")
+    family = runtime.written(components(met.where("d is null").select("a", "b"), f"{folder}/families"), folder, "family")
+    members = family.withColumnRenamed("component", "family").join(found, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    members = runtime.written(members.join(nodes.select("node", "doc_id", "n"), "node").select("node", "doc_id", "n", "family", "label"), folder, "members")
+    more = _families_verified(members, docs, folder)
     found = components(links.union(more), f"{folder}/components")
     placed = sketches.select("doc_id", "node").join(found, "node", "left").withColumn("c", F.coalesce("component", "node")).select("doc_id", "c")
     placed = runtime.written(placed, folder, "rows")

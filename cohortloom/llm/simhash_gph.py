@@ -225,6 +225,19 @@ def _cells(nodes: DataFrame, order: list[int], parts: list[tuple[int, int, int]]
     return nodes.select("node", "fp").mapInArrow(run, f"part int, value long, role int, node {id_type}, fp long")
 
 
+def connected(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label (of each row the number of one of its component's rows, the smallest's that of itself), with rows a and b joined."""
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return label
+        low = np.minimum(x, y)
+        np.minimum.at(label, x, low)
+        np.minimum.at(label, y, low)
+        while not (label[label] == label).all():
+            label = label[label]
+
+
 def _linked(group: np.ndarray, fps: np.ndarray, role: np.ndarray, side: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (row, row) that connect what is linked within each group; rows are in the order of group.
 
@@ -233,25 +246,12 @@ def _linked(group: np.ndarray, fps: np.ndarray, role: np.ndarray, side: np.ndarr
     """
     n = len(group)
     label = np.arange(n)
-
-    def join(a: np.ndarray, b: np.ndarray) -> None:
-        nonlocal label
-        while True:
-            x, y = label[a], label[b]
-            if (x == y).all():
-                return
-            low = np.minimum(x, y)
-            np.minimum.at(label, x, low)
-            np.minimum.at(label, y, low)
-            while not (label[label] == label).all():
-                label = label[label]
-
     sizes = np.diff(np.append(np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))), n)) if n else np.zeros(0, int)
     for k in range(1, int(sizes.max(initial=1))):
         i = np.flatnonzero(group[k:] == group[:-k])
         j = i + k
         ok = (np.bitwise_count(fps[i] ^ fps[j]) <= tau) & ((role[i] == 0) | (role[j] == 0)) & ((side[i] != side[j]) | (side[i] < 0))
-        join(i[ok], j[ok])
+        label = connected(label, i[ok], j[ok])
     tied = np.flatnonzero(label != np.arange(n))
     return tied, label[tied]
 
