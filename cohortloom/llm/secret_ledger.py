@@ -1,16 +1,18 @@
 """Secret scans over a ledger of content-addressed blobs, with DataFrame functions only.
 
 Every version of a text is a blob, addressed by its SHA-256. A ledger folder
-holds what has been scanned, as (blob, rule_version, run), and the findings of
-each run. A scan deals each blob that has no ledger row under the rule version
-to one task, copies are dropped before the shuffle, and the findings are joined
-back to every path. Findings are written before the ledger rows that vouch for
-them, so a run that dies leaves findings that no ledger row names, and the next
-run scans those blobs again.
+holds what has been scanned, as (blob, rule_version, run), the findings of each
+run, and the paths of each version that was committed. A scan first finds the
+blobs without a ledger row under the rule version, by their addresses alone, and
+writes that list; then one text of each of them is dealt to a task: copies are
+dropped in the tasks that read them, before the shuffle. Findings are joined back
+to every path of every version. Findings are written before the ledger rows that
+vouch for them, so a run that dies leaves findings that no ledger row names, and
+the next run scans those blobs again.
 
 Defined results: null text is the empty blob; null and repeated doc_ids are
-paths like any other; an empty table gives an empty result; other columns are
-ignored.
+paths like any other; an empty table gives an empty result; a version that is
+committed twice has its paths twice; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from . import runtime
 
@@ -75,21 +76,24 @@ def scan(blobs: DataFrame) -> DataFrame:
 
 
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:  # nothing has been written there yet
-        return spark.createDataFrame([], schema)
+    fs, at = runtime._hadoop(spark, path)
+    return spark.read.schema(schema).parquet(path) if fs.exists(at) else spark.createDataFrame([], schema)
 
 
-def update(blobs: DataFrame, ledger: str, rule_version: str = RULE_VERSION) -> None:
-    """Scans the rows of blobs (blob, text) that the ledger folder doesn't have under rule_version, and records them."""
+def update(blobs: DataFrame, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """Scans the rows of blobs (blob, text) that the ledger folder doesn't have under rule_version, and records them; returns the blobs scanned."""
     spark = blobs.sparkSession
     run = uuid.uuid4().hex
     seen = _table(spark, f"{ledger}/scanned", LEDGER).where(F.col("rule_version") == rule_version).select("blob").distinct()
-    unseen = blobs.join(seen, "blob", "left_anti").dropDuplicates(["blob"])
     tag = [F.lit(rule_version).alias("rule_version"), F.lit(run).alias("run")]
-    scan(unseen).select("blob", *tag, "rank", "start", "end").write.mode("append").parquet(f"{ledger}/findings")
-    blobs.join(seen, "blob", "left_anti").select("blob").distinct().select("blob", *tag).write.mode("append").parquet(f"{ledger}/scanned")
+    unseen = runtime.written(blobs.select("blob").distinct().join(seen, "blob", "left_anti").select("blob", *tag), f"{ledger}/unseen", run)
+    if unseen.isEmpty():
+        return unseen.select("blob")
+    # one row a blob and task goes to the shuffle; few unseen blobs are broadcast, and then other texts aren't shuffled at all
+    one = blobs.groupBy("blob").agg(F.first("text").alias("text")).join(runtime.if_small(unseen.select("blob")), "blob", "left_semi")
+    scan(one).select("blob", *tag, "rank", "start", "end").write.mode("append").parquet(f"{ledger}/findings")
+    unseen.write.mode("append").parquet(f"{ledger}/scanned")
+    return unseen.select("blob")
 
 
 def findings(spark: SparkSession, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
@@ -103,23 +107,47 @@ def blob_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
+PATHS = "version string, doc_id {}, blob string"
+
+
+def commit(docs: DataFrame, ledger: str, version: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """Records the paths of a version of the corpus and scans the blobs that no version before it had; returns those."""
+    named = runtime.only(docs).select("doc_id", blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    named.select(F.lit(version).alias("version"), "doc_id", "blob").write.mode("append").parquet(f"{ledger}/paths")
+    return update(named.select("blob", "text"), ledger, rule_version)
+
+
+def paths(spark: SparkSession, ledger: str, id_type: str = "long") -> DataFrame:
+    """version, doc_id, blob of every path of every version."""
+    return _table(spark, f"{ledger}/paths", PATHS.format(id_type))
+
+
+def spans_of(spark: SparkSession, ledger: str, rule_version: str = RULE_VERSION) -> DataFrame:
+    """blob, spans of every blob with findings. spans: array of (start, rank, end), in order."""
+    return findings(spark, ledger, rule_version).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end"))).alias("spans"))
+
+
 def scan_documents(docs: DataFrame, ledger: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, blob of every row; blob, spans of every blob with findings). spans: array of (start, rank, end), in order."""
+    """(doc_id, blob of every row; blob, spans of every blob with findings), with a ledger of its own if none is given."""
     spark = docs.sparkSession
     folder = runtime.work_folder(spark, "secrets")
     ledger = ledger or f"{folder}/ledger"
     named = runtime.only(docs).select("doc_id", blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
     update(named.select("blob", "text"), ledger)
-    spans = findings(spark, ledger).groupBy("blob").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end"))).alias("spans"))
-    return named.select("doc_id", "blob"), runtime.written(spans, folder, "spans")
+    return named.select("doc_id", "blob"), runtime.written(spans_of(spark, ledger), folder, "spans")
+
+
+#: Spans of 20 bytes that a broadcast table of findings has at most.
+BROADCAST_SPANS = 200_000
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", ledger: str | None = None) -> DataFrame:
     """docs with each stretch of overlapping findings in text replaced by mark; n_chars, where there is one, follows."""
     _, spans = scan_documents(docs, ledger)
     blob, at = runtime.fresh("blob", docs), runtime.fresh("spans", docs)
+    size = spans.agg(F.coalesce(F.sum(F.size("spans") + 4), F.lit(0))).first()[0]  # an address is as large as a few spans
     spans = spans.select(F.col("blob").alias(blob), F.col("spans").alias(at))
-    joined = docs.withColumn(blob, blob_of(docs["text"])).join(runtime.if_small(spans, runtime.BROADCAST_ROWS // 10), blob, "left")
+    joined = docs.withColumn(blob, blob_of(docs["text"])).join(F.broadcast(spans) if size <= BROADCAST_SPANS else spans, blob, "left")
     # where each stretch begins and how far all findings before it reach
     reach, text = runtime.fresh("reach", joined), F.col("text")
     far = F.aggregate(F.col(at), F.array(F.lit(0).cast("long")), lambda a, x: F.array_append(a, F.greatest(F.element_at(a, -1), x["end"])))
