@@ -4,38 +4,58 @@ A store folder holds immutable Parquet files and manifests v00000001.json and
 so on; a manifest lists the files of its version. An arrival is appended as it
 comes, each file of it a run. Runs whose sizes fall into the same tier (sizes
 up to a factor FAN_IN apart) are merged, once there are FAN_IN of them, into
-files of about target_bytes, without a shuffle: a task reads the runs of one
-file to be and writes it. Every change is a new manifest, put in place by a
-rename that fails if the version exists; the loser re-reads the newest version
-and applies its change to that, or drops a merge whose runs are gone.
+files of about target_bytes, without a shuffle: one job reads up to BATCH_RUNS
+runs, a task those of one file to be, and one commit puts its files in place of
+them, so that neither a plan nor a repeat after a failure grows with the store.
+Every change is a new manifest, put in place by a rename that fails if the
+version exists; the loser re-reads the newest version and applies its change to
+that, or drops a merge whose runs are gone.
+
+A writer leaves an intent, which names its data folder, before it writes and
+takes it away after its commit. vacuum() deletes only files that no retained
+version lists, that no intent covers, and that are older than a grace time.
 
 Defined results: rows are kept as they are, with nulls, repeats and all columns;
-an empty arrival adds a version without runs; readers of an older version still
-find its files until vacuum().
+an arrival may bring columns that the store doesn't have (null in all other
+rows) and lack others, in any order; one whose column has another type than the
+store's is refused before anything is written; an empty arrival adds a version
+without runs; readers of an older version find its files until vacuum() drops it.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 from . import runtime
 
 FAN_IN = 4
 TARGET_BYTES = 128 << 20
 SMALLEST = 1 << 16
+#: Runs that a merge job reads at most.
+BATCH_RUNS = 4096
+#: Seconds for which vacuum() leaves files and versions alone.
+GRACE = 24 * 3600
 
 
 class TieredStore:
     def __init__(self, spark: SparkSession, folder: str, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN):
         self.spark, self.folder, self.target, self.fan_in = spark, folder.rstrip("/"), target_bytes, fan_in
 
-    def _files(self, path: str) -> list[tuple[str, int]]:
+    def _status(self, path: str) -> list[tuple[str, int, float]]:
+        """(path, bytes, seconds since 1970 of the last change) of what is in a folder."""
         fs, at = runtime._hadoop(self.spark, path)
-        return [(f.getPath().toString(), f.getLen()) for f in fs.listStatus(at)] if fs.exists(at) else []
+        return [(f.getPath().toString(), f.getLen(), f.getModificationTime() / 1000) for f in fs.listStatus(at)] if fs.exists(at) else []
+
+    def _files(self, path: str) -> list[tuple[str, int]]:
+        return [(p, n) for p, n, _ in self._status(path)]
 
     def version(self) -> int:
         """The newest version; 0 before the first."""
@@ -77,15 +97,37 @@ class TieredStore:
                 if "FileAlreadyExists" not in str(e):
                     raise
 
-    def _write(self, df: DataFrame) -> list[dict]:
-        path = f"{self.folder}/data/{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
-        return [{"path": p, "bytes": n} for p, n in self._files(path) if p.endswith(".parquet")]
+    @contextmanager
+    def _writing(self, df: DataFrame) -> Iterator[list[dict]]:
+        """Writes df to a data folder of its own, which an intent covers until the block's end; the files written."""
+        name = uuid.uuid4().hex
+        fs, intent = runtime._hadoop(self.spark, f"{self.folder}/intents/{name}")
+        fs.create(intent, False).close()
+        try:
+            path = f"{self.folder}/data/{name}"
+            df.write.option("compression", "zstd").parquet(path)
+            yield [{"path": p, "bytes": n} for p, n in self._files(path) if p.endswith(".parquet")]
+        finally:
+            fs.delete(intent, False)
+
+    @staticmethod
+    def _merged_schema(old: str | None, new: StructType) -> str:
+        """old with the columns that only new has; null columns are allowed in all of them."""
+        fields = list(StructType.fromJson(json.loads(old)).fields) if old else []
+        have = {f.name: f.dataType for f in fields}
+        low = {n.lower(): n for n in have}
+        for f in new.fields:
+            if f.name in have and have[f.name] != f.dataType:
+                raise ValueError(f"column {f.name} is {have[f.name].simpleString()} in the store and {f.dataType.simpleString()} in the arrival")
+            if f.name not in have and f.name.lower() in low:
+                raise ValueError(f"column {f.name} differs from the store's {low[f.name.lower()]} in case alone")
+        return StructType([StructField(f.name, f.dataType, True) for f in [*fields, *(f for f in new.fields if f.name not in have)]]).json()
 
     def append(self, arrival: DataFrame) -> dict:
         """Adds the arrival's rows as small shards, one for each of its partitions."""
-        runs = self._write(arrival)
-        return self._commit(lambda m: {"schema": m["schema"] or arrival.schema.json(), "runs": m["runs"] + runs})
+        self._merged_schema(self.manifest()["schema"], arrival.schema)  # refused before anything is written
+        with self._writing(arrival) as runs:
+            return self._commit(lambda m: {"schema": self._merged_schema(m["schema"], arrival.schema), "runs": m["runs"] + runs})
 
     def _tier(self, size: int) -> int:
         return max(0, math.floor(math.log(max(size, SMALLEST) / SMALLEST, self.fan_in)))
@@ -99,24 +141,19 @@ class TieredStore:
         return next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= self.fan_in), [])
 
     def compact(self) -> dict:
-        """Merges until no tier has FAN_IN runs; returns the newest manifest."""
-        while chosen := self._full_tier((m := self.manifest())["runs"]):
-            groups: list[list[dict]] = [[]]
-            for r in chosen:
-                if groups[-1] and sum(x["bytes"] for x in groups[-1]) + r["bytes"] > self.target:
-                    groups.append([])
-                groups[-1].append(r)
-            merged = None
-            for g in groups:
-                part = self._read(m["schema"], [r["path"] for r in g]).coalesce(1)
-                merged = part if merged is None else merged.union(part)
-            new, gone = self._write(merged), {r["path"] for r in chosen}
-            self._commit(lambda now: {"schema": now["schema"], "runs": [r for r in now["runs"] if r["path"] not in gone] + new} if gone <= {r["path"] for r in now["runs"]} else None)
-        return m
+        """Merges until no tier has FAN_IN runs that merging makes fewer; returns the newest manifest."""
+        while True:
+            m = self.manifest()
+            chosen = self._full_tier(m["runs"])[:BATCH_RUNS]
+            files = math.ceil(sum(r["bytes"] for r in chosen) / self.target)
+            if files >= len(chosen):
+                return m
+            # one scan of all runs; its partitions, each of some whole runs, are strung together for each file
+            with self._writing(self._read(m["schema"], [r["path"] for r in chosen]).coalesce(files)) as new:
+                gone = {r["path"] for r in chosen}
+                self._commit(lambda now: {"schema": now["schema"], "runs": [r for r in now["runs"] if r["path"] not in gone] + new} if gone <= {r["path"] for r in now["runs"]} else None)
 
     def _read(self, schema: str, paths: list[str]) -> DataFrame:
-        from pyspark.sql.types import StructType
-
         kind = StructType.fromJson(json.loads(schema)) if schema else StructType([])
         return self.spark.read.schema(kind).parquet(*paths) if paths else self.spark.createDataFrame([], kind)
 
@@ -124,17 +161,28 @@ class TieredStore:
         m = self.manifest(version)
         return self._read(m["schema"], [r["path"] for r in m["runs"]])
 
-    def vacuum(self) -> int:
-        """Deletes files that the newest version doesn't list; returns their number."""
-        keep = {r["path"] for r in self.manifest()["runs"]}
-        gone = [p for folder, _ in self._files(f"{self.folder}/data") for p, _ in self._files(folder) if p.endswith(".parquet") and p not in keep]
+    def vacuum(self, grace: float = GRACE) -> int:
+        """Drops versions that were replaced over `grace` seconds ago, and files that then no version
+        lists, no intent covers and that are older than that too; returns the number of files."""
+        before = time.time() - grace
+        newest = self.version()
+        stamps = sorted((int(p.rsplit("/", 1)[1][1:-5]), p, t) for p, _, t in self._status(f"{self.folder}/manifests") if p.endswith(".json"))
+        # a version ends when the next one is put in place
+        old = [(v, p) for (v, p, _), (_, _, ended) in zip(stamps, stamps[1:]) if v < newest and ended < before]
+        for _, p in old:
+            runtime.delete_folder(self.spark, p)
+        # intents are read before the manifests: a writer that commits in between is in one or the other
+        covered = {p.rsplit("/", 1)[1] for p, _ in self._files(f"{self.folder}/intents")}
+        dropped = {v for v, _ in old}
+        keep = {r["path"] for v, _, _ in stamps if v not in dropped for r in self.manifest(v)["runs"]} | {r["path"] for r in self.manifest()["runs"]}
+        gone = [p for folder, _ in self._files(f"{self.folder}/data") if folder.rsplit("/", 1)[1] not in covered for p, _, t in self._status(folder) if p.endswith(".parquet") and p not in keep and t < before]
         for p in gone:
             runtime.delete_folder(self.spark, p)
         return len(gone)
 
 
 def shard(docs: DataFrame, folder: str, target_bytes: int = TARGET_BYTES) -> TieredStore:
-    """Appends docs to the store in folder, compacts it and drops what no longer counts."""
+    """Appends docs to the store in folder, compacts it and drops what has not counted for GRACE seconds."""
     store = TieredStore(docs.sparkSession, folder, target_bytes)
     store.append(docs)
     store.compact()

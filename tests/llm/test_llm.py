@@ -364,6 +364,25 @@ def test_ledger_scans_only_what_is_new(spark):
     assert not secret_ledger.findings(spark, ledger).where("blob = 'b'").count()
 
 
+def test_versions_on_one_ledger(spark):
+    """The second version scans only new blobs, and findings come back for the paths of both."""
+    ledger = f"{runtime.work_folder(spark, 'secrets')}/ledger"
+    first, second = AWKWARD + SECRETS[:2], AWKWARD + SECRETS + [(40, SECRETS[0][1])]
+    assert secret_ledger.commit(docs(spark, first), ledger, "v1").count() == len({t or "" for _, t in first})
+    assert secret_ledger.commit(docs(spark, second), ledger, "v2").count() == len({t for _, t in SECRETS[2:]})
+    assert secret_ledger.commit(docs(spark, second), ledger, "v3").count() == 0
+    spans = {r.blob: [tuple(s) for s in r.spans] for r in secret_ledger.spans_of(spark, ledger).collect()}
+    for version, rows in (("v1", first), ("v2", second), ("v3", second)):
+        got = sorted((r.doc_id is None, r.doc_id or 0, spans.get(r.blob, [])) for r in secret_ledger.paths(spark, ledger).where(f"version = '{version}'").collect())
+        assert got == sorted((i is None, i or 0, brute_secrets(t)) for i, t in rows)
+
+
+def test_copies_are_dropped_before_the_shuffle(spark, capfd):
+    df = docs(spark, SECRETS, extra=False).select(secret_ledger.blob_of(F.col("text")).alias("blob"), "text")
+    plan = df.groupBy("blob").agg(F.first("text").alias("text"))._jdf.queryExecution().executedPlan().toString()
+    assert "partial_first" in plan.split("Exchange")[1]
+
+
 def test_redaction(spark):
     df = docs(spark, AWKWARD + SECRETS)
     got = {r.doc_id: r for r in secret_ledger.redact(df, "#").where("doc_id is not null").collect()}
@@ -472,7 +491,8 @@ def test_tiered_store(spark):
     want = same(docs(spark, AWKWARD * 7))
     assert same(store.read().withColumn("k", F.lit(0)).drop("k")) == sorted(sum([same(docs(spark, AWKWARD)) for _ in range(7)], []))
     assert len(want) == store.read().count() and store.read(3).count() == 3 * len(AWKWARD)
-    assert store.vacuum() > 0 and store.read().count() == len(want)
+    assert store.vacuum() == 0 and store.read(3).count() == 3 * len(AWKWARD)  # all of it is recent
+    assert store.vacuum(grace=-1) > 0 and store.read().count() == len(want)
     # a lost race: the change is applied to the newest version
     other = tiered_shards.TieredStore(spark, store.folder)
     fired = []
@@ -490,6 +510,53 @@ def test_tiered_store(spark):
     assert nothing.read().count() == 0
 
 
+def test_vacuum_spares_writers_and_readers(spark, monkeypatch):
+    """An append that is paused before its commit, and a reader of the version before shard()."""
+    folder = runtime.work_folder(spark, "tiers")
+    slow, other = (tiered_shards.TieredStore(spark, folder, fan_in=2) for _ in range(2))
+    other.append(docs(spark, extra=False).repartition(1))
+    old = other.read(1)
+    commit = slow._commit
+
+    def paused(change):
+        other.append(docs(spark, extra=False).repartition(1))
+        other.compact()
+        assert other.vacuum(grace=-1) > 0  # the two runs that are one file now
+        return commit(change)
+
+    monkeypatch.setattr(slow, "_commit", paused)
+    slow.append(docs(spark, extra=False).repartition(1))
+    assert other.read().count() == 3 * len(AWKWARD) and not other._files(f"{folder}/intents")
+    before = other.read()
+    tiered_shards.shard(docs(spark, extra=False).repartition(3), folder)
+    assert before.count() == 3 * len(AWKWARD) and other.read().count() == 4 * len(AWKWARD)
+    with pytest.raises(Exception):  # what vacuum() without grace has dropped is gone
+        old.collect()
+
+
+def test_arrivals_of_other_columns(spark):
+    store = tiered_shards.TieredStore(spark, runtime.work_folder(spark, "tiers"), fan_in=2)
+    store.append(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    store.append(spark.createDataFrame([(True, 2)], "new boolean, doc_id long"))
+    store.compact()
+    assert sorted(map(tuple, store.read().select("doc_id", "text", "new").collect())) == [(1, "a", None), (2, None, True)]
+    n = store.version()
+    for bad in ("doc_id string", "Text string"):
+        with pytest.raises(ValueError):
+            store.append(spark.createDataFrame([("x",)], bad))
+    assert store.version() == n
+
+
+def test_compaction_of_many_runs_is_one_plan(spark, monkeypatch):
+    store = tiered_shards.TieredStore(spark, runtime.work_folder(spark, "tiers"), target_bytes=1 << 20)
+    store.append(docs(spark, extra=False).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(100)))).repartition(300, F.rand(5)))
+    runs, plans, write = len(store.manifest()["runs"]), [], store._writing
+    monkeypatch.setattr(store, "_writing", lambda df: plans.append(df._jdf.queryExecution().logical().toString()) or write(df))
+    store.compact()
+    assert runs > 250 and len(store.manifest()["runs"]) < 4 and len(plans) == 1 and "Union" not in plans[0]
+    assert store.read().count() == 100 * len(AWKWARD)
+
+
 # --- 6
 
 
