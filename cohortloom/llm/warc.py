@@ -7,8 +7,8 @@ SEGMENT_BYTES become a first segment and continuation records. Every record is
 a gzip member. A task writes archives under names of its own; the manifest
 table names those that count.
 
-Reading: records are parsed in their tasks; only those of segmented records are
-shuffled, by origin identifier, put in order by segment number, and checked for
+Reading: every archive is inflated once, into a table of records; only segments
+are then shuffled, by origin identifier, put in order by segment number, and checked for
 gaps and for the total length that the last one states; then the chunked
 framing is decoded and the payload's digest checked. A group is one record.
 
@@ -169,46 +169,75 @@ def reassemble(segments: list[tuple[int, int | None, bytes]]) -> bytes:
     return block
 
 
-def read_archives(manifest: DataFrame, id_type: str = "long") -> DataFrame:
-    """page_id, payload (binary; null for revisits), payload_bytes, payload_digest, record_type, refers_to of every page in the archives."""
-    integer = lambda v: None if v is None else int(v)
-    whole_type = f"page_id {id_type}, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to {id_type}"
-    arrow = {"int": pa.int32(), "smallint": pa.int16()}.get(id_type, pa.int64())
+#: Records, and bytes of them, that go to Spark at once.
+BATCH_RECORDS, BATCH_BYTES = 256, 8 << 20
+_TYPES = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
+
 
-    def records(batches, segmented: bool):
+def read_archives(manifest: DataFrame, id_type: str = "bigint", folder: str | None = None) -> DataFrame:
+    """page_id, payload (binary; null for revisits), payload_bytes, payload_digest, record_type, refers_to of every page in the archives.
+
+    folder: where the table of records goes.
+    """
+    folder = folder or runtime.work_folder(manifest.sparkSession, "records")
+    id_arrow = _TYPES[id_type]
+    integer = lambda v: None if v is None else int(v)
+    name = (lambda v: v) if id_type == "string" else integer
+    page = [("page_id", id_arrow), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", id_arrow)]
+    part = [("origin", pa.string()), ("segment", pa.int32()), ("total", pa.int64())]
+
+    def batch(rows: list[tuple], fields) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], [n for n, _ in fields])
+
+    def batched(rows: Iterator[tuple], fields, bulk: int) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for r in rows:
+            held.append(r)
+            size += len(r[bulk] or b"")
+            if len(held) == BATCH_RECORDS or size >= BATCH_BYTES:
+                yield batch(held, fields)
+                held, size = [], 0
+        if held:
+            yield batch(held, fields)
+
+    def parsed(path: str) -> Iterator[tuple]:
+        """A row a record: whole ones with their payload, segments (segment is not null) with their block."""
+        fs, where = runtime.open_fs(path)
+        with fs.open_input_stream(where, compression=None) as file:
+            for h, block in _stream(file):
+                claimed, kind = h.get("WARC-Payload-Digest", "").removeprefix("sha1:"), h["WARC-Type"]
+                if "WARC-Segment-Number" in h:
+                    yield name(h.get("Page-ID")), block, None, claimed, "response", None, h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"]), int(h["WARC-Segment-Number"]), integer(h.get("WARC-Segment-Total-Length"))
+                elif kind == "revisit":
+                    size = int(dict(x.split(": ", 1) for x in block.decode().split("\r\n")[1:] if x)["Content-Length"])
+                    yield name(h.get("Page-ID")), None, size, claimed, kind, name(h.get("Refers-To-Page-ID")), None, None, None
+                elif kind != "warcinfo":
+                    payload = payload_of(block, claimed)
+                    yield name(h.get("Page-ID")), payload, len(payload), claimed, kind, None, None, None, None
+
+    def read(batches):
         for b in batches:
             for path in b.column(0).to_pylist():
-                fs, where = runtime.open_fs(path)
-                with fs.open_input_stream(where, compression=None) as file:
-                    for h, block in _stream(file):
-                        if h["WARC-Type"] != "warcinfo" and ("WARC-Segment-Number" in h) == segmented:
-                            yield h, block
-
-    def whole(batches):
-        for h, block in records(batches, False):
-            claimed, revisit = h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"] == "revisit"
-            payload = None if revisit else payload_of(block, claimed)
-            size = int(dict(x.split(": ", 1) for x in block.decode().split("\r\n")[1:] if x)["Content-Length"]) if revisit else len(payload)
-            yield pa.RecordBatch.from_arrays([pa.array([integer(h.get("Page-ID"))], arrow), pa.array([payload], pa.binary()), pa.array([size], pa.int64()), pa.array([claimed]), pa.array([h["WARC-Type"]]), pa.array([integer(h.get("Refers-To-Page-ID"))], arrow)], ["page_id", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    def parts(batches):
-        for h, block in records(batches, True):
-            origin = h.get("WARC-Segment-Origin-ID", h["WARC-Record-ID"])
-            yield pa.RecordBatch.from_arrays([pa.array([integer(h.get("Page-ID"))], arrow), pa.array([origin]), pa.array([int(h["WARC-Segment-Number"])], pa.int32()), pa.array([integer(h.get("WARC-Segment-Total-Length"))], pa.int64()), pa.array([h.get("WARC-Payload-Digest", "").removeprefix("sha1:")]), pa.array([block], pa.binary())], ["page_id", "origin", "segment", "total", "claimed", "block"])
+                yield from batched(parsed(path), [*page, *part], 1)
 
     def joined(batches):
-        for b in batches:
-            for row in b.to_pylist():
-                block = reassemble([(s["segment"], s["total"], s["block"]) for s in row["segments"]])
-                payload = payload_of(block, row["claimed"])
-                yield pa.RecordBatch.from_arrays([pa.array([row["page_id"]], arrow), pa.array([payload], pa.binary()), pa.array([len(payload)], pa.int64()), pa.array([row["claimed"]]), pa.array(["response"]), pa.array([None], arrow)], ["page_id", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+        def rows():
+            for b in batches:
+                for k in range(b.num_rows):  # a group at a time as Python objects
+                    row = b.slice(k, 1).to_pylist()[0]
+                    payload = payload_of(reassemble([(s["segment"], s["total"], s["payload"]) for s in row["segments"]]), row["claimed"])
+                    yield row["page_id"], payload, len(payload), row["claimed"], "response", None
 
+        yield from batched(rows(), page, 1)
+
+    whole_type = f"page_id {id_type}, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to {id_type}"
     files = manifest.select("path").repartition(max(1, manifest.count()))
-    groups = files.mapInArrow(parts, f"page_id {id_type}, origin string, segment int, total long, claimed string, block binary").groupBy("origin").agg(F.max("page_id").alias("page_id"), F.max("claimed").alias("claimed"), F.collect_list(F.struct("segment", "total", "block")).alias("segments"))
-    return files.mapInArrow(whole, whole_type).union(groups.mapInArrow(joined, whole_type))
+    records = runtime.written(files.mapInArrow(read, f"{whole_type}, origin string, segment int, total long"), folder, "records")
+    segments = records.where("segment is not null").groupBy("origin").agg(F.max("page_id").alias("page_id"), F.max("payload_digest").alias("claimed"), F.collect_list(F.struct("segment", "total", "payload")).alias("segments"))
+    return records.where("segment is null").select([n for n, _ in page]).union(segments.mapInArrow(joined, whole_type))
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """read_archives() of write_archives() of pages."""
     folder = folder or runtime.work_folder(pages.sparkSession, "warc")
-    return read_archives(write_archives(pages, folder), pages.schema["page_id"].dataType.simpleString())
+    return read_archives(write_archives(pages, folder), pages.schema["page_id"].dataType.simpleString(), folder)

@@ -582,6 +582,11 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages(spark, rows).where("false")).count() == 0
 
 
+def test_warc_ids_of_other_types(spark):
+    df = spark.createDataFrame([("b", "u", "x" * 70_000), ("a", "u", "x" * 70_000), ("c", None, None), ("007", "u", "y")], "page_id string, url string, html string")
+    assert {tuple(r) for r in warc.round_trip(df).select("page_id", "payload_bytes", "record_type", "refers_to").collect()} == {("b", 70_000, "response", None), ("a", 70_000, "revisit", "b"), ("c", 0, "response", None), ("007", 1, "response", None)}
+
+
 def test_segments_are_checked():
     block = b"abcdefghij"
     parts = [(2, None, b"def"), (3, 10, b"ghij"), (1, None, b"abc")]
