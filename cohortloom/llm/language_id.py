@@ -4,8 +4,8 @@ A text's character bigrams and trigrams (letters folded to lower case, all else
 a space) are counted in 2^13 hashed bins; the vector of the square roots of
 their shares goes to one-versus-one linear SVMs, first between the languages'
 families, then between the languages of the winning family. The SVMs are fitted
-in the driver on at most about SAMPLE documents of each language, chosen by a
-hash of doc_id; every text is classified whole.
+in the driver on about SAMPLE documents of each language, 2 SAMPLE rows at most,
+chosen by hashes, as sparse rows; every text is classified whole.
 
 Defined results: `und`, score 0, for null texts, texts without a letter, and
 where there is nothing to learn from; null lang is never learned; repeated and
@@ -86,24 +86,34 @@ def vectors(texts: list[str]) -> np.ndarray:
     return np.sqrt(x / np.maximum(x.sum(axis=1, keepdims=True), 1))
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30) -> np.ndarray:
+#: A sparse row: places of entries other than 0, and the entries.
+Row = tuple[np.ndarray, np.ndarray]
+
+
+def rooted(at: np.ndarray, n: np.ndarray) -> Row:
+    """The square roots of the shares of counts n at places `at`."""
+    return at.astype(np.int64), np.sqrt(n / max(1, n.sum()))
+
+
+def fit_svm(rows: list[Row], y: np.ndarray, c: float = 10.0, epochs: int = 30) -> np.ndarray:
     """Weights, bias last, of a linear SVM (hinge loss; dual coordinate descent) for y of +1 and -1."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    norm, alpha, w = (x * x).sum(axis=1), np.zeros(len(x)), np.zeros(x.shape[1])
+    norm, alpha, w, bias = np.array([v @ v + 1 for _, v in rows]), np.zeros(len(rows)), np.zeros(BINS), 0.0
     turn = np.random.default_rng(7)
     # both classes weigh the same
     cap = np.where(y > 0, len(y) / max(1, (y > 0).sum()), len(y) / max(1, (y < 0).sum())) * c / 2
     for _ in range(epochs):
         moved = 0.0
-        for i in turn.permutation(len(x)):
-            new = min(max(alpha[i] - (y[i] * (x[i] @ w) - 1) / norm[i], 0.0), cap[i])
+        for i in turn.permutation(len(rows)):
+            at, v = rows[i]
+            new = min(max(alpha[i] - (y[i] * (w[at] @ v + bias) - 1) / norm[i], 0.0), cap[i])
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w[at] += (new - alpha[i]) * y[i] * v
+                bias += (new - alpha[i]) * y[i]
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-4 * c:
             break
-    return w
+    return np.append(w, bias)
 
 
 def family(lang: str) -> str:
@@ -113,7 +123,7 @@ def family(lang: str) -> str:
 class Model:
     """Decisions of a two-level tree: between families, then within one."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x: list[Row], langs: list[str]):
         self.langs = sorted(set(langs))
         self.families = sorted({family(v) for v in self.langs})
         y, f = np.array(langs), np.array([family(v) for v in langs])
@@ -123,7 +133,7 @@ class Model:
         for level, a, b in self.pairs:
             label = y if level else f
             use = (label == a) | (label == b)
-            rows.append(fit_svm(x[use], np.where(label[use] == a, 1.0, -1.0)))
+            rows.append(fit_svm([x[k] for k in np.flatnonzero(use)], np.where(label[use] == a, 1.0, -1.0)))
         self.weights = np.array(rows).T if rows else np.zeros((BINS + 1, 0))
 
     def _vote(self, margins: np.ndarray, level: str, names: list[str]) -> tuple[str, float]:
@@ -163,6 +173,7 @@ def train(labelled: DataFrame) -> Model:
     for lang, n in sizes.items():
         share = F.when(F.col("lang") == lang, int(min(1.0, SAMPLE / n) * (1 << 20))).otherwise(share)
     sample = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) < share).select("text", "lang")
+    sample = runtime.at_most(sample, 2 * SAMPLE, "lang")
 
     def run(batches):
         for b in batches:
@@ -172,12 +183,9 @@ def train(labelled: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([c[at].astype("<f4").tobytes()], pa.binary())], ["lang", "at", "n"])
 
     rows = sorted(map(tuple, sample.mapInArrow(run, "lang string, at binary, n binary").collect()))
-    x = np.zeros((len(rows), BINS), np.float32)
-    for k, (_, at, n) in enumerate(rows):
-        x[k, np.frombuffer(at, "<u2")] = np.frombuffer(n, "<f4")
-    some = x.sum(axis=1) > 0
-    x = np.sqrt(x / np.maximum(x.sum(axis=1, keepdims=True), 1))
-    return Model(x[some], [r[0] for r, ok in zip(rows, some) if ok])
+    x = [rooted(np.frombuffer(at, "<u2"), np.frombuffer(n, "<f4")) for _, at, n in rows]
+    some = [k for k, (at, _) in enumerate(x) if len(at)]
+    return Model([x[k] for k in some], [rows[k][0] for k in some])
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:

@@ -11,7 +11,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side with at most this many rows of a few longs is broadcast; beyond, joins shuffle.
@@ -90,6 +90,13 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def at_most(df: DataFrame, rows: int, by: str) -> DataFrame:
+    """At most `rows` rows of df for each value of `by`, chosen by a hash of all columns; each task hands on no more than that."""
+    place = fresh("place", df)
+    order = Window.partitionBy(by).orderBy(F.xxhash64(*df.columns, F.lit(17)), *df.columns)
+    return df.withColumn(place, F.row_number().over(order)).where(F.col(place) <= rows).drop(place)
+
+
 def fresh(name: str, *frames: DataFrame) -> str:
     """A column name near `name` that none of the frames has, whatever the case."""
     taken = {c.lower() for f in frames for c in f.columns}
