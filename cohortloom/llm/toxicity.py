@@ -122,7 +122,7 @@ def _fit(doc: np.ndarray, feature: np.ndarray, y: np.ndarray, ratio: np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits a model on at most about SAMPLE rows of each class of labels (doc_id, toxic), whole texts of up to a million characters."""
+    """Fits a model on about SAMPLE rows of each class of labels (doc_id, toxic), 2 SAMPLE at most, whole texts of up to a million characters."""
     labels = labels.select(labels["doc_id"].alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     sizes = dict(labels.groupBy("toxic").count().collect())
     share = F.lit(0)
@@ -130,9 +130,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         share = F.when(F.col("toxic") == label, int(min(1.0, SAMPLE / n) * (1 << 20))).otherwise(share)
     chosen = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 20)) < share)
     folder = runtime.work_folder(docs.sparkSession, "toxicity")
-    # the sample is bounded by 2 x SAMPLE labels, and so can be broadcast
+    # 2 SAMPLE distinct labels of a class at most: they can be broadcast; rows that repeat a doc_id are bounded likewise
+    chosen = runtime.written(runtime.at_most(chosen.distinct(), 2 * SAMPLE, "toxic"), folder, "chosen")
     sample = runtime.only(docs).where((F.col("text") != "") & (F.length("text") <= 1_000_000)).join(F.broadcast(chosen), "doc_id")
-    sample = runtime.written(sample.select("text", "toxic").repartition(TASKS, F.xxhash64("text")), folder, "sample")
+    sample = runtime.at_most(sample.select("text", "toxic"), 2 * SAMPLE, "toxic")
+    sample = runtime.written(sample.repartition(TASKS, F.xxhash64("text")), folder, "sample")
 
     def counted(batches):
         total, n = np.zeros((2, 1 << SPACE), np.uint16), np.zeros(2, np.int64)

@@ -650,6 +650,77 @@ def test_toxicity_on_held_out_texts(spark):
     assert {r.score for r in toxicity.score(docs(spark), none).collect()} == {0.0} or max(r.score for r in toxicity.score(docs(spark), none).collect()) < 1e-9
 
 
+def test_language_votes_by_hand(spark):
+    """Margins and votes of every text from dictionaries of n-grams; equal texts of two languages tie the same way every time."""
+    rows = [(k, speech(g, k), g) for k, g in enumerate(["en", "de", "fr", "es"] * 8)] + [(900 + k, "tie tie tie", g) for k, g in enumerate(["en", "de"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df)
+
+    def grams(text):
+        t = " " + "".join(c.lower() if c.isalpha() else " " for c in text) + " "
+        out = {}
+        for n in (2, 3):
+            for k in range(len(t) - n + 1):
+                if t[k : k + 2] != "  ":
+                    a, b, *c = map(ord, t[k : k + n])
+                    h = (a * 0x9E3779B1 + b * 0x85EBCA6B) % 2**32 >> 7 if n == 2 else (a * 0x27D4EB2F + b * 0x165667B1 + c[0] * 0xC2B2AE3D) % 2**32 >> 9
+                    out[h % language_id.BINS] = out.get(h % language_id.BINS, 0) + 1
+        return out
+
+    def vote(text):
+        n = grams(text)
+        margins = [sum((c / sum(n.values())) ** 0.5 * w[h] for h, c in n.items()) + w[-1] for w in model.weights.T]
+        level, names, p = "", model.families, 1.0
+        while True:
+            of = [(a, b, m) for (where, a, b), m in zip(model.pairs, margins) if where == level]
+            wins = {v: sum((m > 0) == (v == a) for a, b, m in of if v in (a, b)) for v in names}
+            best = [v for v in names if wins[v] == max(wins.values())]
+            if level:
+                return best
+            level = best[0]
+            names = [v for v in model.langs if language_id.family(v) == level]
+
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(df, model).collect()}
+    assert all(got[i] in vote(t) for i, t, _ in rows)
+    again = {r.doc_id: r.lang_pred for r in language_id.predict(df.repartition(3), language_id.train(df.repartition(5))).collect()}
+    assert again == got and got[900] == got[901]
+
+
+def test_samples_are_bounded_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE", 5)
+    df = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"), F.lit(1).alias("toxic"))
+    assert runtime.at_most(df, 10, "lang").count() == 10
+    assert language_id.train(df).langs in ([], ["en"])  # a doc_id that repeats is in the sample or not: never more than 2 SAMPLE rows
+
+
+def test_toxicity_ratios_and_scores_by_hand(spark):
+    """Log-count ratios of all n-grams by sets of bins, and the score as a sum over those that a text has; labels that contradict each other both count."""
+    rows = [(k, " ".join(gibberish(k, 12)) + (" flotz" if k % 3 == 0 else "")) for k in range(60)] + [(61, "x"), (62, "")]
+    marks = [(k, int(k % 3 == 0)) for k in range(60)] + [(61, 0), (61, 1)]
+    model = toxicity.train(docs(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int"))
+
+    def bins(text):
+        t = " " + "".join(c.lower() if c.isalpha() else " " for c in text) + " "
+        out = set()
+        for n in toxicity.SIZES:
+            for k in range(len(t) - n + 1):
+                h = ord(t[k])
+                for c in t[k + 1 : k + n]:
+                    h = (h * 0x01000193 + ord(c)) % 2**32
+                out.add((h + n) * 0x9E3779B1 % 2**32 >> 32 - toxicity.SPACE)
+        return out
+
+    of = dict(rows)
+    have = {y: [bins(of[i]) for i, label in marks if label == y] for y in (0, 1)}
+    for b, r in zip(model.bins.tolist(), model.ratio):
+        p, q = (sum(b in x for x in have[y]) for y in (1, 0))
+        want = np.log((p + 0.5) / (len(have[1]) + 1)) - np.log((q + 0.5) / (len(have[0]) + 1))
+        assert p >= 2 and r == pytest.approx(want, rel=1e-5)
+    weight = dict(zip(model.bins.tolist(), model.ratio * model.weight))
+    for r in toxicity.score(docs(spark, rows), model).collect():
+        assert r.score == pytest.approx(1 / (1 + np.exp(-model.bias - sum(weight.get(b, 0) for b in bins(of[r.doc_id])))), rel=1e-6)
+
+
 # --- pipeline
 
 
