@@ -75,7 +75,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = positional_index.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     n = lambda c: F.size(c).cast("long")
-    return found.select("doc_id", "n_words", "n_hit", n("items").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), positional_index.contaminated().alias("contaminated"), n("near_items").alias("n_near_items"))
+    return found.select("doc_id", "n_words", "n_hit", n("items").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), positional_index.contaminated().alias("contaminated"))
 
 
 def op10_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,5 +106,28 @@ a AS (SELECT r, count(*) FILTER (rnk = 0) AS n_assign, count(*) FILTER (rnk = 1)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM d LEFT JOIN a USING (r)
+""",
+    "op6_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+h AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS hex, coalesce(page_id = first, first IS NULL) AS own, first FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(((CAST('0x' || substr(hex, 1 + 5 * i // 4, 2) AS INTEGER) >> CAST(3 - (5 * i) % 4 AS INTEGER)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+       CASE WHEN own THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT own THEN first END AS refers_to
+FROM h
+""",
+    "op9_positional_index": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS v FROM benchmark),
+i AS (SELECT item, least(13, len(v)) AS n, v, unnest(range(1, len(v) - least(13, len(v)) + 2)) AS k FROM b WHERE len(v) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(list_slice(v, k, k + n - 1), ' ') AS gram FROM i),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n),
+grams AS (SELECT r, n, k, array_to_string(list_slice(w, k, k + n - 1), ' ') AS gram FROM places),
+hits AS (SELECT r, n, k, item FROM grams JOIN windows USING (n, gram)),
+words AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(k, k + n)) AS pos FROM hits) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """,
 }

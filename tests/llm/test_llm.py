@@ -813,3 +813,26 @@ def test_every_group_has_an_estimate_that_leans_on_its_parent(spark):
     assert abs(one.m0 - (2 + 100 * en.m0) / 101) < 0.02 and abs(got['{"l":"en","s":"big"}'].m0) < 0.1
     judged = {r["_2"]: r.d2 for r in robust_quality._distance(spark.createDataFrame([("one", 2.0, 2.0, 2.0, 2.0)], "_2 string, x0 double, x1 double, x2 double, x3 double").crossJoin(spark.createDataFrame([one]))).collect()}
     assert judged["one"] > 50  # a single row doesn't vouch for itself
+
+
+# --- SQL
+
+
+@pytest.mark.parametrize("name", ["op3_tiered_shards", "op4_secret_ledger", "op6_warc", "op9_positional_index"])
+def test_queries_agree_with_their_sql(spark, name):
+    import os
+
+    import duckdb
+
+    from cohortloom.llm.queries import ORACLE_SQL, QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("the test tables aren't there")
+    con = duckdb.connect()
+    for f in os.listdir(folder):
+        con.execute(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{folder}/{f}'")
+    got, want = QUERIES[name](spark, folder), con.sql(ORACLE_SQL[name])
+    columns = sorted(got.columns)
+    assert columns == sorted(want.columns)
+    assert sorted(map(str, got.select(*columns).rdd.map(tuple).collect())) == sorted(map(str, want.select(", ".join(columns)).fetchall()))
