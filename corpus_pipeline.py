@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that share 0.8 or more of their five-word shingles, by verified links."""
+    """Operator 7 on five-word shingles: one document of each group of texts that share 0.8 or more of them, by verified links."""
     return near_sets.keep_one(docs)
 
 
@@ -52,4 +52,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = runtime.written(docs, folder, f"stage{k}")
+            if k:
+                runtime.delete_folder(spark, f"{folder}/stage{k - 1}")
     return docs

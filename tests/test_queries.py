@@ -62,3 +62,21 @@ def test_entry_without_the_training_data_part(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; n = e.queries(); assert n and not any(k.startswith('op') or k == 'pipeline' for k in n); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+
+
+def test_a_broken_training_data_part_is_not_hidden(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "cohortloom", tmp_path / "cohortloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    (tmp_path / "cohortloom" / "llm").mkdir()
+    (tmp_path / "cohortloom" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "cohortloom" / "llm" / "queries.py").write_text("import a_module_that_is_not_there\n")
+    code = "import __spark_entry__ as e; e.queries()"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.returncode and "a_module_that_is_not_there" in done.stderr
