@@ -6,7 +6,9 @@ from itertools import permutations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class Degenerate(ValueError):
@@ -25,6 +27,45 @@ def first_component(x: np.ndarray) -> dict:
     return {"centre": centre, "loading": vt[0], "scores": z @ vt[0], "eigen1": float(e[0]), "eigen2": float(e[1]), "explained": float(e[0] / e.sum()), "near_tie": bool(e[0] - e[1] <= 1e-10 * e[0])}
 
 
+def moments(rows: DataFrame, column: str) -> tuple[float, np.ndarray, np.ndarray]:
+    """(number, sum, sum of outer products) of a column of equally long arrays: a bounded number of figures reaches the driver."""
+
+    def run(batches):
+        n = total = products = None
+        for b in batches:
+            if b.num_rows:
+                x = np.array(b.column(0).to_pylist(), float)
+                add = (len(x), x.sum(axis=0), x.T @ x)
+                n, total, products = add if n is None else (n + add[0], total + add[1], products + add[2])
+        if n:
+            k = len(total)
+            at = np.arange(k)
+            i = np.concatenate(([-2], np.full(k, -1), np.repeat(at, k)))
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(np.concatenate(([0], at, np.tile(at, k)))), pa.array(np.concatenate(([n], total, products.ravel())).astype(float))], ["i", "j", "v"])
+
+    found = rows.select(column).mapInArrow(run, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    k = sum(r.i == -1 for r in found)
+    n, total, products = 0.0, np.zeros(k), np.zeros((k, k))
+    for i, j, v in found:
+        if i == -2:
+            n = v
+        elif i == -1:
+            total[j] = v
+        else:
+            products[i, j] = v
+    return n, total, products
+
+
+def component_of_moments(n: float, total: np.ndarray, products: np.ndarray) -> dict:
+    """first_component() without scores, from moments() of the rows."""
+    centre = total / n
+    cov = (products - n * np.outer(centre, centre)) / (n - 1)
+    if np.trace(cov) * (n - 1) <= np.finfo(float).eps * max(np.trace(products), np.finfo(float).tiny):
+        raise Degenerate("no variance between rows")
+    e, v = np.linalg.eigh(cov)
+    return {"centre": centre, "loading": v[:, -1], "eigen1": float(e[-1]), "eigen2": float(e[-2]), "explained": float(e[-1] / e.sum())}
+
+
 def sign_by_largest(loading: np.ndarray) -> float:
     """The sign that makes the largest absolute entry positive."""
     return -1.0 if loading[np.argmax(np.abs(loading))] < 0 else 1.0

@@ -1,7 +1,7 @@
 """Ranks, multiplicity adjustments, ordered selections and tail counts.
 
 Groups of rows may be of any size: their ranks and running sums are made in two
-levels, so that no task has a whole group. A family is a declared list of tests
+levels, so that no task has a whole group, unless most of its rows have one value. A family is a declared list of tests
 and is corrected in one window.
 """
 
@@ -14,19 +14,30 @@ from cohortloom.functions.columns import required
 
 
 BUCKETS = 1024
+#: Slices of each doubling of a value's size.
+SLICES = 256
 
 
 def _bucketed(df: DataFrame, by: list[str], x: str) -> DataFrame:
-    """df with _bucket: the place of x among equal steps from its group's smallest to its largest value, nulls first.
-
-    Bounds are exact, so that a plan that is run twice deals its rows alike.
+    """df with _bucket, a long that doesn't fall as x grows within a group, nulls first.
+
+    It is the place of x among BUCKETS equal steps from its group's smallest to its
+    largest value, and within a step its place among the SLICES of each doubling: a
+    single extreme value leaves the steps empty but not the slices, and values of
+    nearly one size share slices but not steps. Both only grow with x, so a group has
+    at most as many buckets as steps and slices together. Bounds are exact, so that a
+    plan that is run twice deals its rows alike. Rows of one value share a bucket.
     """
     bounds = df.groupBy(*[F.col(c).alias(f"_b_{c}") for c in by]).agg(F.min(x).cast("double").alias("_low"), F.max(x).cast("double").alias("_high"))
     on = [F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by]
-    joined = df.join(bounds, on) if by else df.crossJoin(F.broadcast(bounds))
-    step = (F.col(x).cast("double") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
-    bucket = F.coalesce(F.least(F.floor(step * BUCKETS), F.lit(BUCKETS - 1)).cast("int"), F.lit(0))
-    return joined.withColumn("_bucket", F.when(F.col(x).isNull(), -1).otherwise(bucket)).drop("_low", "_high", *[f"_b_{c}" for c in by])
+    joined = df.join(bounds, on) if by else df.crossJoin(bounds)
+    v = F.col(x).cast("double")
+    step = (v - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+    bucket = F.coalesce(F.least(F.floor(step * BUCKETS), F.lit(BUCKETS - 1)).cast("long"), F.lit(0))
+    # doubles lie between 2 ** -1074 and 2 ** 1024
+    size = F.floor(F.log2(F.abs(v)) * SLICES).cast("long") + 1100 * SLICES
+    slice_ = F.when((v == 0) | F.isnan(v) | (F.abs(v) == float("inf")), 0).when(v < 0, -size).otherwise(size)
+    return joined.withColumn("_bucket", F.when(F.col(x).isNull(), -1).otherwise(bucket * (1 << 21) + slice_ + (1 << 20))).drop("_low", "_high", *[f"_b_{c}" for c in by])
 
 
 def running_sums(df: DataFrame, by: list[str], x: str, sums: dict[str, str]) -> DataFrame:

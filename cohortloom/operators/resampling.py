@@ -29,7 +29,9 @@ def congruential_draws(spark: SparkSession, draws: int, n: int, a: int = 7919, b
 
 def out_of_bag(draws: DataFrame, rows: DataFrame) -> DataFrame:
     """draw, row_pos of rows that a draw doesn't have."""
-    every = draws.select("draw").distinct().crossJoin(F.broadcast(rows.select("row_pos")))
+    # one row with the draws' numbers, as many as the analysis asks for, meets every row
+    numbers = draws.agg(F.collect_set("draw").alias("_draws"))
+    every = rows.select("row_pos").crossJoin(numbers).select(F.explode("_draws").alias("draw"), "row_pos")
     return every.join(draws.select("draw", "row_pos").distinct(), ["draw", "row_pos"], "left_anti")
 
 

@@ -744,11 +744,18 @@ def _clr(x):
     return z - z.mean(axis=1, keepdims=True)
 
 
+def _centred(spark, d) -> DataFrame:
+    """z: each vector's centred log ratios, the vector being the logarithms of a composition."""
+    e = F.col("embedding").cast("array<double>")
+    mean = F.aggregate(e, F.lit(0.0), lambda s, v: s + v) / F.size(e)
+    return table(spark, d, "embeddings").select("vec_id", F.transform(e, lambda v: v - mean).alias("z"))
+
+
 @query(None)
 def q_pc1(spark, d):
     from cohortloom.operators import pattern
 
-    f = pattern.first_component(_clr(_maps(spark, d)))
+    f = pattern.component_of_moments(*pattern.moments(_centred(spark, d), "z"))
     s = pattern.sign_by_largest(f["loading"])
     return spark.createDataFrame([(k, round(float(v * s), 9), f["eigen1"], f["explained"]) for k, v in enumerate(f["loading"])], "region_pos long, loading double, eigen1 double, explained double")
 
@@ -769,7 +776,7 @@ def _atlas(spark, d):
     """(coordinates, graph of one hemisphere, map) of 68 parcels made of the vectors' means by label and coordinate."""
     import numpy as np
 
-    x = _maps(spark, d)
+    x = np.array([r.m for r in table(spark, d, "embeddings").select(F.posexplode("embedding").alias("k", "v")).groupBy("k").agg(F.avg(F.exp(F.col("v").cast("double"))).alias("m")).orderBy("k").collect()])
     angle = np.linspace(0, 5 * np.pi, 34)
     height = np.linspace(-0.95, 0.95, 34)
     right = np.column_stack([np.sqrt(1 - height**2) * np.cos(angle), np.sqrt(1 - height**2) * np.sin(angle), height])
@@ -778,7 +785,7 @@ def _atlas(spark, d):
     near = np.argsort(gap, axis=1, kind="stable")[:, :5]
     w = np.zeros((34, 34))
     w[np.arange(34)[:, None], near] = 1
-    return np.vstack([right, right * [-1, 1, 1]]), np.maximum(w, w.T), np.resize(np.log(x.mean(axis=0)), 68)
+    return np.vstack([right, right * [-1, 1, 1]]), np.maximum(w, w.T), np.resize(np.log(x), 68)
 
 
 @query(None)

@@ -140,3 +140,35 @@ def test_gaps_in_a_family_fail(spark):
         with pytest.raises(PySparkException):
             adjust(df, "p", ["f"], ["k"]).collect()
     assert df.select(C.logit(F.col("p")).alias("z")).where("z is null").count() == 1
+
+
+def test_an_extreme_value_leaves_no_bucket_with_most_rows(spark):
+    from pyspark.sql import functions as F
+
+    from cohortloom.operators import ranking
+
+    rng = np.random.default_rng(8)
+    x = np.concatenate((rng.lognormal(5, 1, 5000), [1e12], -rng.lognormal(2, 1, 500), [0.0, 0.0]))
+    near = np.concatenate((1 + 1e-6 * rng.random(5000),))
+    rows = [("a", float(v)) for v in x] + [("b", float(v)) for v in near]
+    df = spark.createDataFrame(rows, "g string, x double")
+    placed = ranking._bucketed(df, ["g"], "x")
+    share = placed.groupBy("g", "_bucket").count().groupBy("g").agg(F.max("count").alias("m"), F.count(F.lit(1)).alias("k")).collect()
+    assert all(r.m <= 0.03 * 5000 and r.k < 6000 for r in share)
+    for g, values in (("a", x), ("b", near)):
+        got = sorted((r.x, r["rank"]) for r in ranking.average_ranks(df, "x", ["g"]).where(F.col("g") == g).collect())
+        order = np.sort(values)
+        want = [(np.searchsorted(order, v) + np.searchsorted(order, v, "right") + 1) / 2 for v in order]
+        assert [r for _, r in got] == want
+        pairs = placed.where(F.col("g") == g).orderBy("x").select("_bucket").collect()
+        assert all(a[0] <= b[0] for a, b in zip(pairs, pairs[1:]))
+
+
+def test_component_of_moments_is_that_of_the_rows(spark):
+    from cohortloom.operators import pattern
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(200, 6)) * [3, 1, 1, 2, 1, 1]
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "z array<double>").repartition(5)
+    a, b = pattern.component_of_moments(*pattern.moments(df, "z")), pattern.first_component(x)
+    assert abs(abs(a["loading"] @ b["loading"]) - 1) < 1e-12 and abs(a["eigen1"] - b["eigen1"]) < 1e-9 and abs(a["explained"] - b["explained"]) < 1e-12
