@@ -37,15 +37,31 @@ def hc3(a: np.ndarray, v: np.ndarray) -> dict:
     return {"beta": beta, "se": se, "lo": beta - half, "hi": beta + half, "p": np.array([t_two_sided(b / s, dof) for b, s in zip(beta, se)]), "residuals": res, "leverage": lev, "cooks": cooks, "cov": cov, "dof": dof}
 
 
-def influence(a: np.ndarray, v: np.ndarray, sd: float, column: int = 1) -> dict:
-    """Refits without each row in turn (minimum norm where that lowers the rank), variance inflation, Cook's distances."""
-    full = hc3(a, v)
-    loo = np.array([np.linalg.lstsq(np.delete(a, k, 0), np.delete(v, k), rcond=None)[0][column] / sd for k in range(len(v))])
-    vif = []
+def pooled_sd(v: np.ndarray, y: np.ndarray) -> float:
+    """The standard deviation of v within the two groups of y."""
+    n1, n0 = (y == 1).sum(), (y == 0).sum()
+    return float(np.sqrt(((n1 - 1) * v[y == 1].var(ddof=1) + (n0 - 1) * v[y == 0].var(ddof=1)) / (n1 + n0 - 2)))
+
+
+def leave_one_out(a: np.ndarray, v: np.ndarray, column: int = 1) -> np.ndarray:
+    """The column's coefficient refitted without each row in turn (minimum norm where that lowers the rank)."""
+    return np.array([np.linalg.lstsq(np.delete(a, k, 0), np.delete(v, k), rcond=None)[0][column] for k in range(len(v))])
+
+
+def inflation(a: np.ndarray) -> list[float]:
+    """Variance inflation of each column but the first."""
+    out = []
     for j in range(1, a.shape[1]):
         rest = np.delete(a, j, 1)
         e = a[:, j] - rest @ np.linalg.lstsq(rest, a[:, j], rcond=None)[0]
-        vif.append(float(np.sum((a[:, j] - a[:, j].mean()) ** 2) / (e @ e)))
+        out.append(float(np.sum((a[:, j] - a[:, j].mean()) ** 2) / (e @ e)))
+    return out
+
+
+def influence(a: np.ndarray, v: np.ndarray, sd: float, column: int = 1) -> dict:
+    """Refits without each row in turn (minimum norm where that lowers the rank), variance inflation, Cook's distances."""
+    full = hc3(a, v)
+    loo, vif = leave_one_out(a, v, column) / sd, inflation(a)
     whole = full["beta"][column] / sd
     return {"loo_min": float(loo.min()), "loo_max": float(loo.max()), "sign_changes": int((np.sign(loo) != np.sign(whole)).sum()), "largest_change": int(np.argmax(np.abs(loo - whole))), "vif": vif, "max_cooks": float(full["cooks"].max()), "max_leverage": float(full["leverage"].max()), "cooks_over_4_n": int((full["cooks"] > 4 / len(v)).sum())}
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.columns import wilson
-from cohortloom.operators.ranking import rank_table
+from cohortloom.operators.ranking import rank_table, running_sums
 
 #: Five bins in two roundings: halves of a fifth of one, and decimal fractions.
 EDGES_FIFTHS = (1 / 5, 2 * (1 / 5), 3 * (1 / 5), 4 * (1 / 5))
@@ -26,6 +26,31 @@ def auc(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
     return sums.select(*by, F.when((a > 0) & (b > 0), (F.col("_s") - a * (a + 1) / F.lit(2.0)) / (a * b)).alias("auc"), "n_pos", "n_neg")
 
 
+def pair_auc(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
+    """by, above, equal, pairs, auc: how many pairs of a positive and a negative row are in order or tied, counted exactly.
+
+    Pairs aren't made: below each distinct probability's positives are as many negatives as a running sum says.
+    """
+    counts = df.groupBy(*by, p).agg(F.sum((F.col(y) == 1).cast("long")).alias("_pos"), F.sum((F.col(y) == 0).cast("long")).alias("_neg"))
+    sums = running_sums(counts, by, p, {"_below": "_neg"})
+    n = F.nullif(F.sum("_pos") * F.sum("_neg"), F.lit(0))
+    above, equal = F.sum(F.col("_pos") * F.col("_below")), F.sum(F.col("_pos") * F.col("_neg"))
+    return sums.groupBy(*by).agg(above.alias("above"), equal.alias("equal"), n.alias("pairs")).withColumn("auc", (F.col("above") + F.col("equal") / F.lit(2.0)) / F.col("pairs"))
+
+
+def held_out_prevalence(df: DataFrame, y: str, group: str) -> DataFrame:
+    """group, n_test, n_train, test_rate, prevalence_brier: each group's mean squared distance from the rate of all others.
+
+    A training sum is the whole less the group's.
+    """
+    groups = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_test"), F.sum(y).alias("_k"))
+    whole = groups.agg(F.sum("n_test").alias("_n"), F.sum("_k").alias("_all"))
+    out = groups.crossJoin(whole).withColumn("n_train", F.col("_n") - F.col("n_test"))
+    out = out.withColumns({"_m": (F.col("_all") - F.col("_k")) / F.nullif(F.col("n_train"), F.lit(0)), "test_rate": F.col("_k") / F.col("n_test")})
+    m, rate = F.col("_m"), F.col("test_rate")
+    return out.select(group, "n_test", "n_train", "test_rate", (rate * (1 - m) * (1 - m) + (1 - rate) * m * m).alias("prevalence_brier"))
+
+
 def brier(y: Column, p: Column) -> Column:
     """Aggregate: mean squared error."""
     return F.avg((p - y) * (p - y))

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions.columns import required
 from cohortloom.operators.ranking import numbered
 
 
@@ -50,6 +51,20 @@ def grouped(df: DataFrame, group: str, y: str, folds: int) -> DataFrame:
     return dealt(people, [y], F.col(group), group, folds)
 
 
+def joint_inner(outer: DataFrame, scanner: DataFrame, y: str, inner_folds: int, seed: int, fewest: int = 3, row: str = "row_pos") -> DataFrame:
+    """nested() with inner folds dealt within each cell of scanner and outcome; a training cell of fewer than `fewest` rows fails.
+
+    scanner: row, scanner (0 or 1). The outer folds are as they are.
+    """
+    joint = outer.join(scanner.select(row, "scanner"), row).withColumn("_cell", 2 * F.col("scanner").cast("int") + F.col(y).cast("int"))
+    plan = nested(joint.select("repeat", row, "fold", F.col("_cell").alias("_y")), "_y", inner_folds, seed, row)
+    cells = plan.where("role = 'train'").groupBy("repeat", "fold", "_y").agg(F.count(F.lit(1)).alias("_n"))
+    least = cells.groupBy("repeat", "fold").agg(F.min("_n").alias("_least"), F.count(F.lit(1)).alias("_cells"))
+    ok = (F.col("_least") >= fewest) & (F.col("_cells") == 4)
+    checked = plan.join(least, ["repeat", "fold"]).withColumn("fold", required(ok, F.col("fold"), f"a cell of scanner and outcome has fewer than {fewest} training rows"))
+    return checked.select("repeat", "fold", "inner_fold", "role", row, (F.col("_y") % 2).alias(y))
+
+
 def coverage(plan: DataFrame, rows: DataFrame, row: str = "row_pos") -> DataFrame:
     """repeat, n_rows, tested_once, others: how many rows are tested exactly once in each repeat."""
     n = rows.agg(F.count(F.lit(1)).alias("n_rows"))

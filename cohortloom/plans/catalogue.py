@@ -576,17 +576,6 @@ def q_grouped_folds(spark, d):
     return splits.grouped(e, "user_id", "y", 3)
 
 
-@query(S + ", t AS (SELECT source AS held, count(*) AS n_test, avg(y) AS test_rate FROM s GROUP BY 1) SELECT held, n_test, (SELECT count(*) FROM s) - n_test AS n_train, round(test_rate, 6) AS test_rate, round((SELECT avg((s.y - tr.m) * (s.y - tr.m)) FROM s, (SELECT avg(y) AS m FROM s WHERE source <> held) tr WHERE s.source = held), 6) AS prevalence_brier FROM t")
-def q_leave_one_group(spark, d):
-    df = scored(spark, d)
-    # training sums are the whole less the group's
-    groups = df.groupBy(F.col("source").alias("held")).agg(F.count(F.lit(1)).alias("n_test"), F.sum("y").alias("k"))
-    whole = groups.agg(F.sum("n_test").alias("n"), F.sum("k").alias("all_k"))
-    out = groups.crossJoin(F.broadcast(whole)).withColumn("m", (F.col("all_k") - F.col("k")) / (F.col("n") - F.col("n_test"))).withColumn("rate", F.col("k") / F.col("n_test"))
-    m, rate = F.col("m"), F.col("rate")
-    return out.select("held", "n_test", (F.col("n") - F.col("n_test")).alias("n_train"), r6(rate, "test_rate"), r6(rate * (1 - m) * (1 - m) + (1 - rate) * m * m, "prevalence_brier"))
-
-
 @query(FOLD + " SELECT count(*) FILTER (b = 1) AS unplanned, count(*) FILTER (b = 2) AS unused FROM (SELECT fold, row_pos, bit_or(b) AS b FROM (SELECT fold, row_pos, repeat + 1 AS b FROM f) GROUP BY ALL)")
 def q_training_isolation(spark, d):
     # one repeat's folds against the other's: what a fit of the wrong plan would show
@@ -609,36 +598,11 @@ def q_prep_fold_mode(spark, d):
 # --- sources and sinks
 
 
-@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
-def q_parse_json_props(spark, d):
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
-
-
-@query("SELECT doc_id, len(list_filter(regexp_split_to_array(trim(text, ' ' || chr(9) || chr(10) || chr(13)), '\\s+'), x -> x <> '')) AS n_fields, count_lines AS n_lines FROM (SELECT doc_id, text, len(string_split(text, chr(10))) AS count_lines FROM documents)".replace("x -> x <> ''", "lambda x: x <> ''"))
-def q_parse_tokens(spark, d):
-    t = F.regexp_replace("text", r"^\s+|\s+$", "")
-    return table(spark, d, "documents").select("doc_id", F.size(F.filter(F.split(t, r"\s+"), lambda x: x != "")).alias("n_fields"), F.size(F.split("text", "\n", -1)).alias("n_lines"))
-
-
 @query("SELECT doc_id, sha256(text) AS sha256, length(text) AS n FROM documents")
 def q_digest(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.length("text").cast("long").alias("n"))
 
 
-@query("SELECT lang, unnest(['n', 'share']) AS statistic, unnest([count(*)::VARCHAR, printf('%.1f%%', 100.0 * count(*) / (SELECT count(*) FROM documents))]) AS shown FROM documents GROUP BY lang")
-def q_unpivot_table(spark, d):
-    docs = table(spark, d, "documents")
-    n = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("all"))))
-    wide = n.select("lang", F.col("n").cast("string").alias("n"), F.format_string("%.1f%%", 100.0 * F.col("n") / F.col("all")).alias("share"))
-    return wide.unpivot(["lang"], ["n", "share"], "statistic", "shown")
-
-
-@query("SELECT o_orderkey, CAST(round(CAST(o_totalprice / 7 AS DECIMAL(38,12)), 3) AS VARCHAR) AS shown FROM (SELECT o_orderkey, round(o_totalprice, 2) AS o_totalprice FROM orders)")
-def q_half_up(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", F.round("o_totalprice", 2).alias("v"))
-    return o.select("o_orderkey", F.round((F.col("v") / 7).cast("decimal(38,12)"), 3).cast("string").alias("shown"))
-
-
 @query("SELECT event_id, CASE WHEN value > 100 THEN NULL ELSE value END AS value FROM events")
 def q_nullable_sink(spark, d):
     inf = F.lit(float("inf"))
@@ -850,3 +814,6 @@ def q_profile_odds(spark, d):
         return pd.DataFrame([{"scanner": pdf["scanner"].iloc[0], "status": out["status"], **{k: out.get(k) for k in ("log_or", "lo", "hi", "lr", "p")}}])
 
     return design(spark, d).withColumn("one", F.lit(1.0)).groupBy("scanner").applyInPandas(run, "scanner double, status string, log_or double, lo double, hi double, lr double, p double")
+
+
+from cohortloom.plans import catalogue_more  # noqa: E402, F401  it adds its queries to QUERIES and SQL

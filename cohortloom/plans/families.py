@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from functools import reduce
 
 import pandas as pd
@@ -99,3 +100,18 @@ def processing_comparisons(variants: tuple[str, ...] = VARIANTS[1:], core: str =
     """Pairs (a, b) to be compared as a - b: the first four variants with the core and the matched variant, and CP with C, CPT with CP, for all."""
     first = [(f"{v}_{m}", b) for v in variants[:4] for m in ("CP", "CPT") for b in (f"{core}_{m}", *((f"{matched}_{m}",) if v != matched else ()))]
     return first + [p for v in variants for p in ((f"{v}_CP", f"{core}_C"), (f"{v}_CPT", f"{v}_CP"))]
+
+
+#: The families by name; each takes the arguments of its function.
+FAMILIES = {"morphometric": morphometric_family, "extended": extended_family, "processing": processing_family}
+
+
+def run_family(name: str, long: DataFrame, cohort: DataFrame, **arguments) -> DataFrame:
+    """The named family's rows; an unknown name, or arguments that the family doesn't have, fail before any fit."""
+    if name not in FAMILIES:
+        raise ContractError(f"no family {name!r}; known: {sorted(FAMILIES)}")
+    try:
+        inspect.signature(FAMILIES[name]).bind(long, cohort, **arguments)
+    except TypeError as e:
+        raise ContractError(f"{name}: {e}") from e
+    return FAMILIES[name](long, cohort, **arguments)

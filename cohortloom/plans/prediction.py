@@ -8,6 +8,7 @@ replaces a failed fit: it returns a status, and results() fails on any but PASS.
 from __future__ import annotations
 
 import json
+import math
 import time
 from dataclasses import dataclass, field
 
@@ -33,6 +34,32 @@ class Settings:
     inner_folds: int = 3
     thresholds: tuple[float, ...] = tuple(round(0.1 * k, 1) for k in range(1, 10))
     max_missing: float = 0.2
+    #: Seconds that one task of a model may take: checked between fits, not within one.
+    seconds: float = 3600.0
+
+    def __post_init__(self) -> None:
+        if not (isinstance(self.seconds, (int, float)) and math.isfinite(self.seconds) and self.seconds > 0):
+            raise ContractError("a time limit is a finite positive number")
+
+    @classmethod
+    def from_documents(cls, model: dict, regions: dict) -> tuple[Settings, list[str]]:
+        """(settings, regional columns) of two frozen documents: all their entries are known, none is missing, and each has its own kind."""
+        kinds = {"clinical": list, "categories": dict, "c_grid": list, "l1_grid": list, "seed": int, "repeats": int, "inner_folds": int, "thresholds": list, "max_missing": float, "seconds": float}
+        if set(model) != set(kinds) or set(regions) != {"regions"}:
+            raise ContractError(f"unknown or missing entries: {sorted(set(model) ^ set(kinds)) + sorted(set(regions) ^ {'regions'})}")
+        for k, kind in kinds.items():
+            if type(model[k]) is not kind or (kind is int and model[k] < 1):
+                raise ContractError(f"{k} must be a {kind.__name__}" + (" of 1 or more" if kind is int else ""))
+        for k in ("c_grid", "l1_grid", "thresholds"):
+            if not model[k] or any(type(v) is not float or not math.isfinite(v) for v in model[k]) or sorted(set(model[k])) != model[k]:
+                raise ContractError(f"{k} must be rising finite numbers")
+        names = regions["regions"]
+        if not isinstance(names, list) or not names or len(set(names)) != len(names) or not all(isinstance(n, str) and n for n in [*names, *model["clinical"]]):
+            raise ContractError("columns must be unique names")
+        if not set(model["categories"]) <= set(model["clinical"]):
+            raise ContractError("a category isn't a clinical column")
+        made = {k: tuple(v) if isinstance(v, list) else v for k, v in model.items()}
+        return cls(**made | {"categories": {k: tuple(v) for k, v in model["categories"].items()}}), names
 
     def column_sets(self, pet: list[str], t1: list[str], extra: str | None = None) -> dict[str, list[str]]:
         """C, CP, CPT and CT; extra is added to each."""
@@ -107,7 +134,7 @@ def run_nested(cohort: DataFrame, plan: DataFrame, columns: dict[str, list[str]]
     needed = sorted({c for names in columns.values() for c in names})
     rows = plan.select("repeat", "fold", "inner_fold", "role", "row_pos").join(cohort.select("row_pos", "y", *[F.col(c).cast("double") for c in needed]), "row_pos")
     tasks = rows.withColumn("model", F.explode(F.array(*[F.lit(m) for m in columns]))).withColumns({"repeat": F.col("repeat").cast("int"), "fold": F.col("fold").cast("int"), "inner_fold": F.col("inner_fold").cast("int")})
-    return tasks.groupBy("model", "repeat", "fold").applyInPandas(task_kernel(columns, binary, settings.c_grid, settings.l1_grid, unpenalized, verify), RESULT)
+    return tasks.groupBy("model", "repeat", "fold").applyInPandas(task_kernel(columns, binary, settings.c_grid, settings.l1_grid, unpenalized, verify, settings.seconds), RESULT)
 
 
 def results(predictions: DataFrame) -> DataFrame:
@@ -165,6 +192,25 @@ def associations(df: DataFrame, by: list[str], value: str, response: str, covari
     return df.groupBy(*by).applyInPandas(run, f"{schema}, {ASSOCIATION}" + (", status string" if with_status else ""))
 
 
+INFLUENCE = "row_pos long, coefficient double, change double, sign_changed boolean, leverage double, cooks double, vif double"
+
+
+def influence_rows(df: DataFrame, by: list[str], value: str, response: str, covariates: list[str]) -> DataFrame:
+    """by and INFLUENCE: for each person the response's standardized coefficient without them, its change, leverage and Cook's distance; the response's variance inflation."""
+    schema = ", ".join(f"{c} {t}" for c, t in df.dtypes if c in by)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row_pos", kind="stable")
+        y, v = pdf[response].to_numpy(float), pdf[value].to_numpy(float)
+        a = np.column_stack([np.ones(len(y)), y, *([pdf[covariates].to_numpy(float)] if covariates else [])])
+        f, sd = linear.hc3(a, v), linear.pooled_sd(v, y)
+        loo, whole = linear.leave_one_out(a, v) / sd, f["beta"][1] / sd
+        out = {"row_pos": pdf["row_pos"].to_numpy(), "coefficient": loo, "change": loo - whole, "sign_changed": np.sign(loo) != np.sign(whole), "leverage": f["leverage"], "cooks": f["cooks"], "vif": linear.inflation(a)[0]}
+        return pd.DataFrame({c: pdf[c].iloc[0] for c in by} | out)
+
+    return df.groupBy(*by).applyInPandas(run, f"{schema}, {INFLUENCE}")
+
+
 DEVELOPMENT = "draw long, model string, bag_auc double, bag_brier double, original_auc double, original_brier double, oob_auc double, oob_brier double, people int, c double, l1 double, status string"
 
 
@@ -180,7 +226,7 @@ def development_bootstrap(draws: DataFrame, cohort: DataFrame, columns: dict[str
 
     def one(draw: int, at: np.ndarray, model: str) -> dict:
         base = {"draw": draw, "model": model, "people": len(set(at))} | dict.fromkeys(("bag_auc", "bag_brier", "original_auc", "original_brier", "oob_auc", "oob_brier", "c", "l1"))
-        names = columns[model]
+        names, began = columns[model], time.monotonic()
         kinds, x = np.array([c in binary for c in names]), whole[names].to_numpy(float)
         turn, fold = np.random.default_rng(settings.seed + 200_000 + draw), {}
         for label in (0, 1):
@@ -196,12 +242,17 @@ def development_bootstrap(draws: DataFrame, cohort: DataFrame, columns: dict[str
                 tr, va = at[inner != k], at[inner == k]
                 prep = elastic_net.prepare(x[tr], kinds)
                 parts.append((prep(x[tr]), y_all[tr], prep(x[va]), y_all[va]))
-            grid = [(float(np.mean([np.mean((elastic_net.fit(a, b, c, l1).probabilities(v) - w) ** 2) for a, b, v, w in parts])), c, l1) for c in settings.c_grid for l1 in settings.l1_grid]
+            grid = []
+            for c in settings.c_grid:
+                for l1 in settings.l1_grid:
+                    if time.monotonic() - began > settings.seconds:
+                        raise TimeoutError("the time for a task is over")
+                    grid.append((float(np.mean([np.mean((elastic_net.fit(a, b, c, l1).probabilities(v) - w) ** 2) for a, b, v, w in parts])), c, l1))
             low = min(g[0] for g in grid)
             best = min((g for g in grid if g[0] <= low + 1e-8), key=lambda g: (g[1], g[2]))
             prep = elastic_net.prepare(x[at], kinds)
             p = elastic_net.fit(prep(x[at]), y_all[at], best[1], best[2]).probabilities(prep(x))
-        except (ValueError, ArithmeticError) as e:
+        except (ValueError, ArithmeticError, TimeoutError) as e:
             return base | {"status": f"{type(e).__name__}: {e}"}
         out = np.setdiff1d(np.arange(len(y_all)), at)
         score = lambda r: (linear.rank_auc(y_all[r], p[r]), float(np.mean((p[r] - y_all[r]) ** 2)) if len(r) else None)

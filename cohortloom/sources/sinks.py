@@ -68,3 +68,50 @@ def freeze(paths: list[str], document: dict) -> dict:
 def verify(manifest: dict, document: dict) -> None:
     if freeze([r["path"] for r in manifest["rows"]], document) != manifest:
         raise ContractError("a frozen file or document has changed")
+
+
+def write_arrays(spark, path: str, arrays: dict) -> None:
+    """Named NumPy arrays as one Parquet table (name, kind, shape, values) at a fresh target; objects and non-finite numbers are refused."""
+    import numpy as np
+
+    rows = []
+    for name, a in arrays.items():
+        a = np.asarray(a)
+        if a.dtype.kind not in "fiub" or not np.isfinite(a.astype(float)).all():
+            raise ContractError(f"{name} must be an array of finite numbers")
+        rows.append((name, a.dtype.str, list(a.shape), a.astype(float).ravel().tolist()))
+    spark.createDataFrame(rows, "name string, kind string, shape array<long>, values array<double>").coalesce(1).write.mode("errorifexists").parquet(path)
+
+
+def read_arrays(spark, path: str) -> dict:
+    """The arrays that write_arrays() wrote."""
+    import numpy as np
+
+    return {r.name: np.array(r["values"]).astype(np.dtype(r.kind)).reshape(r.shape) for r in spark.read.parquet(path).collect()}
+
+
+def payload(document) -> dict:
+    """A copy of a display document as JSON would give it back: text keys, plain numbers, no number that isn't finite."""
+    if not isinstance(document, dict):
+        raise ContractError("a payload is an object")
+    try:
+        return json.loads(json.dumps(document_json(document), allow_nan=False, sort_keys=True))
+    except ValueError as e:
+        raise ContractError(f"a payload can't be written: {e}") from e
+
+
+def status_document(path: str, spark, run) -> dict:
+    """Runs run() and leaves a status document beside its output, whether it passes or fails; a failure is raised after that."""
+    import time
+
+    began, error = time.time(), None
+    try:
+        run()
+        status = {"status": "PASS"}
+    except Exception as e:  # noqa: BLE001  kept in the document and raised again
+        error, status = e, {"status": "FAILED", "error": f"{type(e).__name__}: {e}"}
+    status |= {"schema_version": 1, "elapsed_seconds": round(time.time() - began, 3)}
+    spark.createDataFrame([(json.dumps(status, sort_keys=True),)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+    if error is not None:
+        raise error
+    return status

@@ -146,6 +146,26 @@ def array_bundle(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(rows)], "row_pos long, values array<double>")
 
 
+def feature_config(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """regions (label, side, node, composite) and references (reference, label) of a regional configuration document.
+
+    The document has `composites` (name to list of nodes), `nodes` (name to {left, right} label ids) and
+    `references` (name to label ids); a node in no or several composites, and a label of two nodes, fail.
+    """
+    raw = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())  # one small document
+    document = parse_json(raw)
+    if not isinstance(document, dict) or set(document) != {"composites", "nodes", "references"}:
+        raise ContractError("a configuration has composites, nodes and references")
+    of = [(node, c) for c, nodes in document["composites"].items() for node in nodes]
+    if sorted(n for n, _ in of) != sorted(document["nodes"]):
+        raise ContractError("every node must be in exactly one composite")
+    sides = [(int(label), side, node, dict(of)[node]) for node, pair in document["nodes"].items() for side, label in (("L", pair["left"]), ("R", pair["right"]))]
+    if len({s[0] for s in sides}) != len(sides):
+        raise ContractError("a label belongs to two nodes")
+    references = [(r, int(label)) for r, labels in document["references"].items() for label in labels]
+    return {"regions": spark.createDataFrame(sides, "label int, side string, node string, composite string"), "references": spark.createDataFrame(references, "reference string, label int")}
+
+
 def model_input(document: dict, columns: list[str], outcome: str = "outcome") -> dict:
     """A model-input document with unique string ids, a row of the given columns for each, and outcomes of 0 or 1; else an error."""
     ids, rows, y = document.get("participant_ids"), document.get("rows"), document.get(outcome)
@@ -155,4 +175,40 @@ def model_input(document: dict, columns: list[str], outcome: str = "outcome") ->
         raise ContractError("ids must be unique strings")
     if any(type(v) is not int or v not in (0, 1) for v in y) or any(set(r) != set(columns) for r in rows):
         raise ContractError("outcomes must be 0 or 1 and rows have exactly the model's columns")
+    if "plan" in document:
+        _check_plan(document["plan"], len(ids), y)
     return document
+
+
+def _check_plan(plan, n: int, y: list[int]) -> None:
+    """A saved nested plan: every repeat tests each person once, training is the rest, inner parts split the training rows, both classes everywhere."""
+
+    def positions(x) -> set:
+        if not isinstance(x, list) or any(type(v) is not int or not 0 <= v < n for v in x) or len(set(x)) != len(x):
+            raise ContractError("a plan's positions must be distinct integers of the cohort")
+        return set(x)
+
+    everyone, tested = set(range(n)), {}
+    if not isinstance(plan, list) or not plan:
+        raise ContractError("a plan is a list of splits")
+    for split in plan:
+        if not isinstance(split, dict) or set(split) != {"repeat", "fold", "train", "test", "inner_seed", "inner"} or any(type(split[k]) is not int or split[k] < 0 for k in ("repeat", "fold", "inner_seed")):
+            raise ContractError("a split has repeat, fold, train, test, inner_seed and inner")
+        train, test = positions(split["train"]), positions(split["test"])
+        if train | test != everyone or train & test:
+            raise ContractError("train and test must divide the cohort")
+        if tested.setdefault(split["repeat"], set()) & test:
+            raise ContractError("a person is tested twice in a repeat")
+        tested[split["repeat"]] |= test
+        seen: set = set()
+        for pair in split["inner"]:
+            fit, check = positions(pair["train"]), positions(pair["validation"])
+            if fit | check != train or fit & check or seen & check:
+                raise ContractError("inner parts must divide the training rows, each validated once")
+            seen |= check
+            if any(len({y[k] for k in part}) < 2 for part in (fit, check)):
+                raise ContractError("an inner part has one class")
+        if seen != train:
+            raise ContractError("inner parts must validate every training row")
+    if any(t != everyone for t in tested.values()):
+        raise ContractError("a repeat doesn't test everyone")

@@ -161,3 +161,104 @@ def test_influence_has_a_row_for_every_source(spark, monkeypatch):
         assert (r.status == "ok") == (s in ("four", "three")) == (r.estimate is not None and r.loo_min is not None)
         assert r.status == "ok" or r.status.startswith("not estimable: ") and r.se is None and r.sign_changes is None
     assert got["few", "x2"].n == 2 and got["three", "x2"].n == 15
+
+
+def test_settings_of_documents_and_time_limits():
+    from cohortloom.operators.contracts import ContractError
+    from cohortloom.plans.prediction import Settings
+
+    model = {"clinical": ["age", "sex"], "categories": {"sex": ["f", "m"]}, "c_grid": [0.1, 1.0], "l1_grid": [0.0], "seed": 5, "repeats": 2, "inner_folds": 3, "thresholds": [0.5], "max_missing": 0.2, "seconds": 60.0}
+    made, regions = Settings.from_documents(model, {"regions": ["a", "b"]})
+    assert made.c_grid == (0.1, 1.0) and made.categories == {"sex": ("f", "m")} and made.seconds == 60 and regions == ["a", "b"]
+    for change in ({"seed": True}, {"seed": 0}, {"c_grid": [1.0, 0.1]}, {"c_grid": [float("nan")]}, {"categories": {"x": ["a"]}}, {"extra": 1}, {"max_missing": 0}):
+        with pytest.raises(ContractError):
+            Settings.from_documents(model | change, {"regions": ["a"]})
+    with pytest.raises(ContractError):
+        Settings.from_documents(model, {"regions": ["a", "a"]})
+    for seconds in (0, -1, float("inf"), float("nan"), "60"):
+        with pytest.raises(ContractError):
+            Settings(seconds=seconds)
+
+
+def test_a_task_over_its_time_is_kept_as_a_failure(spark):
+    from cohortloom.operators import splits
+    from cohortloom.plans.prediction import Settings, run_nested
+
+    rng = np.random.default_rng(3)
+    cohort = spark.createDataFrame([(k, k % 2, float(v)) for k, v in enumerate(rng.normal(size=40))], "row_pos long, y int, x double")
+    plan = splits.nested(splits.stratified(cohort, "y", 2, 1, 1), "y", 2, 2)
+    got = run_nested(cohort, plan, {"m": ["x"]}, set(), Settings(seconds=1e-9))
+    assert {r.status for r in got.collect()} == {"TimeoutError: the time for a task is over"}
+
+
+def test_family_dispatcher(spark):
+    from cohortloom.operators.contracts import ContractError
+    from cohortloom.plans import families
+
+    df = spark.range(1)
+    for name, arguments in (("unknown", {}), ("extended", {"wrong": 1})):
+        with pytest.raises(ContractError):
+            families.run_family(name, df, df, **arguments)
+
+
+def test_joint_inner_folds_need_three_a_cell(spark):
+    from pyspark.errors import PySparkException
+
+    from cohortloom.operators import splits
+
+    rows = spark.createDataFrame([(k, k % 2, int(k < 4)) for k in range(60)], "row_pos long, y int, scanner int")
+    outer = splits.stratified(rows, "y", 3, 1, 1)
+    with pytest.raises(PySparkException):
+        splits.joint_inner(outer, rows, "y", 3, 2).collect()
+    even = rows.withColumn("scanner", (rows.row_pos / 2).cast("int") % 2)
+    plan = splits.joint_inner(outer, even, "y", 3, 2)
+    faults = splits.plan_faults(plan).first()
+    assert not any(faults)
+    cells = {tuple(r)[:-1]: r["count"] for r in plan.where("role = 'validation'").join(even.select("row_pos", "scanner"), "row_pos").groupBy("fold", "inner_fold", "scanner", "y").count().collect()}
+    assert len(cells) == 36 and min(cells.values()) >= 3
+
+
+def test_bridge_against_plain_loops(spark):
+    from cohortloom.operators import linear
+    from cohortloom.plans import bridge
+
+    rng = np.random.default_rng(5)
+    clr, y = rng.normal(size=(30, 6)), (np.arange(30) % 2)
+    rows = rng.integers(0, 30, (4, 30))
+    rows[3] = np.where(y[rows[3]] == 1, rows[3], rows[3] // 2 * 2 + 1)  # one class: no response fit
+    kinds = np.arange(30) % 3
+    types = np.column_stack([kinds == 1, kinds == 2]).astype(float)
+    loading = rng.normal(size=6)
+    s = bridge.repeated_scores(clr, rows[0], loading, 2.0)
+    assert np.allclose(s, (clr[rows[0]] - clr[rows[0]].mean(axis=0)) @ loading / 2) and len(set(s)) == len(set(rows[0]))
+    draws = spark.createDataFrame([(k, r.tolist(), loading.tolist()) for k, r in enumerate(rows)], "draw long, rows array<int>, loading array<double>")
+    got = bridge.bridge_draws(draws, clr, y, types, clr[:, :2], 2.0)
+    table = {(r.draw, r.quantity): r for r in got.collect()}
+    a = np.column_stack([np.ones(30), types[rows[0]]])
+    b = np.linalg.lstsq(a, s, rcond=None)[0]
+    assert abs(table[0, "type_1"].value - b[1]) < 1e-10 and abs(table[0, "type_difference"].value - (b[1] - b[2])) < 1e-10
+    assert abs(table[0, "region_1"].value - np.corrcoef(linear.ranks(s), linear.ranks(clr[rows[0], 1]))[0, 1]) < 1e-10
+    assert table[3, "response"].value is None and bridge.failures(got).count() == 1
+    scopes = {r.quantity: r.scope for r in bridge.bridge_intervals(got, 4).collect()}
+    assert scopes["response"].startswith("diagnostic") and scopes["type_1"].startswith("percentile over people")
+    p = spark.createDataFrame([("type", 0.03), ("response", 0.02)], "test string, p double")
+    assert {r.test: round(r.p_holm, 9) for r in bridge.primary_tests(p).collect()} == {"type": 0.04, "response": 0.04}
+
+
+def test_display_joins_fail_loudly(spark):
+    from pyspark.errors import PySparkException
+
+    from cohortloom.operators import display
+
+    left = spark.createDataFrame([(1, 0.5), (2, 0.6)], "k long, v double")
+    same = left.withColumnRenamed("v", "w")
+    assert display.matched_once(left, same, ["k"], ["w"]).count() == 2
+    for right in (same.limit(1), same.union(same.limit(1)), same.union(spark.createDataFrame([(3, 0.1)], "k long, w double"))):
+        with pytest.raises(PySparkException):
+            display.matched_once(left, right, ["k"], ["w"]).collect()
+    with pytest.raises(PySparkException):
+        display.same_version(left, left.withColumn("v", left.v + 1e-9), ["k"], ["v"]).collect()
+    with pytest.raises(PySparkException):
+        display.with_interval(spark.createDataFrame([(0.5, 0.6, 0.7)], "v double, lo double, hi double"), "v", "lo", "hi").collect()
+    with pytest.raises(PySparkException):
+        display.display_bins(spark.createDataFrame([(1, 0.1), (0, 0.3)], "y int, p double"), "y", "p", []).collect()

@@ -96,3 +96,61 @@ def test_more_sources(spark, tmp_path, capsys):
             tables.model_input(bad, ["x"])
     assert main(["environment"]) == 0 and "pyspark" in capsys.readouterr().out
     assert main(["queries"]) == 0 and "q_brier" in capsys.readouterr().out
+
+
+def test_arrays_payloads_and_status(spark, tmp_path):
+    import numpy as np
+
+    arrays = {"a": np.arange(6).reshape(2, 3), "b": np.array(1.5)}
+    sinks.write_arrays(spark, str(tmp_path / "arrays"), arrays)
+    back = sinks.read_arrays(spark, str(tmp_path / "arrays"))
+    assert all(np.array_equal(back[k], v) and back[k].dtype == v.dtype for k, v in arrays.items())
+    for bad in (np.array([np.nan]), np.array(["x"]), np.array([None])):
+        with pytest.raises(ContractError):
+            sinks.write_arrays(spark, str(tmp_path / "bad"), {"a": bad})
+    assert sinks.payload({1: np.float64(2), "x": (1, float("inf"))}) == {"1": 2.0, "x": [1, None]}
+    with pytest.raises(ContractError):
+        sinks.payload([1])
+    assert sinks.status_document(str(tmp_path / "ok"), spark, lambda: None)["status"] == "PASS"
+    with pytest.raises(ZeroDivisionError):
+        sinks.status_document(str(tmp_path / "failed"), spark, lambda: 1 / 0)
+    assert '"status": "FAILED"' in spark.read.text(str(tmp_path / "failed")).first()[0]
+
+
+def test_feature_config(spark, tmp_path):
+    good = '{"composites": {"c": ["n", "m"]}, "nodes": {"n": {"left": 1, "right": 2}, "m": {"left": 3, "right": 4}}, "references": {"r": [7, 8]}}'
+    (tmp_path / "a.json").write_text(good)
+    got = tables.feature_config(spark, str(tmp_path / "a.json"))
+    assert sorted(map(tuple, got["regions"].collect())) == [(1, "L", "n", "c"), (2, "R", "n", "c"), (3, "L", "m", "c"), (4, "R", "m", "c")] and got["references"].count() == 2
+    for bad in (good.replace('"m"]', '"n"]'), good.replace('"left": 3', '"left": 1'), good.replace('"references"', '"refs"')):
+        (tmp_path / "b.json").write_text(bad)
+        with pytest.raises(ContractError):
+            tables.feature_config(spark, str(tmp_path / "b.json"))
+
+
+def test_model_input_checks_its_plan():
+    y = [0, 1] * 6
+    rest = lambda test: [k for k in range(12) if k not in test]
+
+    def split(test):
+        train = rest(test)
+        return {"repeat": 0, "fold": test[0] // 4, "train": train, "test": test, "inner_seed": 1, "inner": [{"train": train[4:], "validation": train[:4]}, {"train": train[:4], "validation": train[4:]}]}
+
+    document = {"participant_ids": [f"p{k}" for k in range(12)], "rows": [{"a": 1}] * 12, "outcome": y, "plan": [split([0, 1, 2, 3]), split([4, 5, 6, 7]), split([8, 9, 10, 11])]}
+    assert tables.model_input(document, ["a"]) is document
+
+    def broken(change):
+        import copy
+
+        d = copy.deepcopy(document)
+        change(d["plan"])
+        with pytest.raises(ContractError):
+            tables.model_input(d, ["a"])
+
+    broken(lambda p: p.pop())
+    broken(lambda p: p[0]["test"].append(4))
+    broken(lambda p: p[0]["train"].pop())
+    broken(lambda p: p[0]["inner"][0]["validation"].append(p[0]["inner"][0]["train"][0]))
+    broken(lambda p: p[0]["inner"].pop())
+    broken(lambda p: p[0].update(test=[0, 1, 2, 3.0]))
+    broken(lambda p: p[1].update(test=[0, 1, 2, 3], train=rest([0, 1, 2, 3])))
