@@ -6,12 +6,15 @@ to broadcast), dealt by document: lists of one document are in one task, and a
 term that is everywhere loads no task more than others. Then, for each window
 of an item:
 
-1. the lists of its two rarest terms are read and shifted by the terms' places
-   in the item; where both name the same document and the same alignment, the
-   window may occur there (within SLOP places: a proximity match);
+1. the lists of its two rarest terms that occur at all are read and shifted by
+   the terms' places in the item; where both name the same document and the same
+   alignment, the window may occur there, or near there, if they are within SLOP
+   places of it;
 2. for these alignments only, the lists of the window's other terms are
    intersected in the same way; unbroken runs as long as a window are exact
-   phrase matches.
+   phrase matches;
+3. a proximity match has NEAR_PERCENT or more of a window's terms within SLOP
+   places of an alignment.
 
 Defined results: null text has no words; rows without doc_id are judged by
 their text; rows that repeat give repeated results; items of equal words all
@@ -30,6 +33,7 @@ from . import runtime
 WORD = r"[0-9a-z\x{80}-\x{10FFFF}]+"
 WINDOW = 13
 SLOP = 3
+NEAR_PERCENT = 80
 MIN_PERCENT = 5
 #: Benchmark terms and anchors up to this many are broadcast.
 SMALL = 500_000
@@ -69,6 +73,20 @@ def build_index(docs: DataFrame, terms: DataFrame | None, folder: str) -> DataFr
     return runtime.written(rows.select("doc_id", *DOC, "pos", F.when(F.col("word").isNotNull(), F.col("term")).alias("term")), folder, "index")
 
 
+def _near(both: DataFrame, windows: DataFrame, items: DataFrame, postings: DataFrame, slop: int, folder: str) -> DataFrame:
+    """k1, k2, item of proximity matches: alignments at which NEAR_PERCENT of a window's terms are within slop places."""
+    at = both.join(runtime.if_small(windows.select("item", "text_no", "p1", "p2", "s", "len"), SMALL), ["item", "text_no", "p1", "p2"])
+    at = at.select(*DOC, "item", "text_no", "s", "len", "delta").distinct()
+    wanted = at.withColumn("q", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("len") - 1)))
+    wanted = wanted.join(runtime.if_small(items.select("item", "text_no", "q", "term"), SMALL), ["item", "text_no", "q"])
+    wanted = wanted.withColumn("off", F.explode(F.sequence(F.lit(-slop), F.lit(slop)))).withColumn("pos", F.col("delta") + F.col("q") + F.col("off"))
+    asked = runtime.written(both.select(*DOC).distinct(), folder, "near-asked")
+    there = postings.join(runtime.if_small(asked), DOC, "left_semi").select(*DOC, "pos", "term").distinct()
+    group = [*DOC, "item", "text_no", "s", "len", "delta"]
+    met = wanted.join(there, [*DOC, "pos", "term"]).select(*group, "q").distinct().groupBy(*group).agg(F.count(F.lit(1)).alias("met"))
+    return met.where(100 * F.col("met") >= NEAR_PERCENT * F.col("len")).select(*DOC, "item").distinct()
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """doc_id, k1, k2, n_words, n_hit, items (sorted array of ids), near_items (of proximity matches), a row for each row of docs."""
     folder = runtime.work_folder(docs.sparkSession, "index")
@@ -79,10 +97,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     postings = index.where("term is not null")
     counts = runtime.written(postings.groupBy("term").count(), folder, "counts")
     items = items.withColumn("term", F.xxhash64("word")).drop("word").withColumn("len", F.least(F.col("n"), F.lit(window)))
-    # windows of terms that all occur somewhere, with their two rarest places
+    # windows whose terms all occur somewhere (exact matches), or enough of them (proximity), with their two rarest places
     in_window = items.join(counts, "term").withColumn("s", F.explode(F.sequence(F.greatest(F.lit(0), F.col("q") - F.col("len") + 1), F.least(F.col("q"), F.col("n") - F.col("len")))))
-    ranked = in_window.groupBy("item", "text_no", "len", "s").agg(F.sort_array(F.collect_list(F.struct("count", "q", "term"))).alias("r")).where(F.size("r") == F.col("len"))
-    windows = runtime.written(ranked.select("item", "text_no", "len", "s", F.col("r")[0]["q"].alias("p1"), F.col("r")[0]["term"].alias("t1"), F.coalesce(F.get("r", F.lit(1))["q"], F.col("r")[0]["q"]).alias("p2"), F.coalesce(F.get("r", F.lit(1))["term"], F.col("r")[0]["term"]).alias("t2")), folder, "windows")
+    ranked = in_window.groupBy("item", "text_no", "len", "s").agg(F.sort_array(F.collect_list(F.struct("count", "q", "term"))).alias("r"))
+    ranked = ranked.where(100 * F.size("r") >= NEAR_PERCENT * F.col("len")).withColumn("whole", F.size("r") == F.col("len"))
+    windows = runtime.written(ranked.select("item", "text_no", "len", "s", "whole", F.col("r")[0]["q"].alias("p1"), F.col("r")[0]["term"].alias("t1"), F.coalesce(F.get("r", F.lit(1))["q"], F.col("r")[0]["q"]).alias("p2"), F.coalesce(F.get("r", F.lit(1))["term"], F.col("r")[0]["term"]).alias("t2")), folder, "windows")
     anchors = windows.select("item", "text_no", "p1", "p2", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("t1").alias("term"), F.col("p1").alias("q")), F.struct(F.lit(2).alias("side"), F.col("t2").alias("term"), F.col("p2").alias("q")))).alias("a")).select("item", "text_no", "p1", "p2", "a.*").distinct()
     anchors = runtime.written(anchors, folder, "anchors")
     lists = postings.join(runtime.if_small(anchors, SMALL), "term").withColumn("delta", F.col("pos") - F.col("q"))
@@ -92,7 +111,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     both = lists.groupBy(*DOC, "item", "text_no", "p1", "p2", "delta").agg(F.bit_or("bits").alias("bits")).where("bits & 3 = 3")
     both = runtime.written(both, folder, "aligned")
     # the other terms of the windows that are aligned: what must be where
-    aligned = both.where("bits = 7").join(runtime.if_small(windows.select("item", "text_no", "p1", "p2", "s", "len"), SMALL), ["item", "text_no", "p1", "p2"])
+    aligned = both.where("bits = 7").join(runtime.if_small(windows.where("whole").select("item", "text_no", "p1", "p2", "s", "len"), SMALL), ["item", "text_no", "p1", "p2"])
     wanted = aligned.select(*DOC, "item", "text_no", "len", "delta", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("len") - 1)).alias("q")).distinct()
     wanted = wanted.join(runtime.if_small(items.select("item", "text_no", "q", "term"), SMALL), ["item", "text_no", "q"]).withColumn("pos", F.col("delta") + F.col("q"))
     wanted = runtime.written(wanted, folder, "wanted")
@@ -104,7 +123,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     runs = runtime.written(runs, folder, "runs")
     hit = runs.select(*DOC, F.explode(F.sequence("low", "high")).alias("pos")).distinct().groupBy(*DOC).agg(F.count(F.lit(1)).alias("n_hit"))
     found = runs.groupBy(*DOC).agg(F.sort_array(F.collect_set("item")).alias("items"))
-    near = both.groupBy(*DOC).agg(F.sort_array(F.collect_set("item")).alias("near_items"))
+    near = runtime.written(_near(both, windows, items, postings, slop, folder), folder, "near")
+    near = near.groupBy(*DOC).agg(F.sort_array(F.collect_set("item")).alias("near_items"))
     every = index.where("term is null").select("doc_id", *DOC, F.col("pos").cast("long").alias("n_words"))
     none = F.array().cast("array<string>")
     out = every.join(hit, DOC, "left").join(found, DOC, "left").join(near, DOC, "left")

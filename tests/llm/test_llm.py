@@ -308,6 +308,40 @@ def test_decontamination_matches_brute_force(spark, monkeypatch, small):
     assert {r.n_hit for r in positional_index.matches(docs(spark, rows), bench.where("false")).collect()} == {0}
 
 
+def brute_near(text, items, slop=3):
+    """Items with a window of whose terms four fifths are within slop places of an alignment that has the two rarest of them there."""
+    w, found = index_words(text), set()
+    for name, item in items:
+        v = index_words(item)
+        n = min(13, len(v))
+        for s in range(len(v) - n + 1) if n else ():
+            for delta in range(-len(v), len(w) + 1):
+                met = sum(any(v[q] == w[p] for p in range(max(0, delta + q - slop), min(len(w), delta + q + slop + 1))) for q in range(s, s + n))
+                if 100 * met >= 80 * n:
+                    found.add(str(name))
+    return found
+
+
+def test_proximity_matches(spark):
+    """None that brute force hasn't; all of a text with words put in, left out or replaced, also by one that occurs nowhere else."""
+    a, b = gibberish(40, 30), gibberish(41, 13)
+    b[5] = "common"  # a word that is left out below must not be one of the two rarest
+    items = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join([*b[:12], "nowhereelse"]))]
+    rows = [
+        (1, " ".join(a[:8] + ["gap"] + a[8:])),
+        (2, " ".join(gibberish(42, 20) + b[:5] + b[6:] + gibberish(43, 20))),
+        (3, " ".join(gibberish(44, 9) + b[:12] + ["other"])),
+        (4, " ".join(reversed(b))),
+        (5, " ".join(x for y in b for x in (y, "zz", "zz", "zz", "zz"))),
+        (6, " ".join([*gibberish(45, 200), *["common"] * 40])),
+        (7, " ".join(b[:6] + gibberish(46, 30) + b[6:])),
+    ]
+    got = {r.doc_id: set(r.near_items) for r in positional_index.matches(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {i: brute_near(t, items) for i, t in rows}
+    assert all(got[i] <= want[i] for i, _ in rows)
+    assert got[1] == {"1"} and "2" in got[2] and got[3] >= {"2", "3"} and not got[5] and not got[6] and not got[7]
+
+
 def test_proximity_and_filter(spark):
     a = gibberish(12, 30)
     near = a[:8] + ["gap"] + a[8:]
