@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with their DuckDB SQL where there is one."""
+"""The registered queries of the twelve operators, with their DuckDB SQL where there is one."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, packing, positional_index, robust_quality, runtime, secret_ledger, simhash_gph, tiered_shards, tokenbin, toxicity, warc
+from . import byte_pairs, delta_lloyd, language_id, packing, positional_index, robust_quality, runtime, secret_ledger, simhash_gph, tiered_shards, tokenbin, toxicity, warc
 
-BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+BYTE_BPE, WORD_BPE, RANKS = "byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +82,40 @@ def op10_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_quality.assess(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_tokenbin, op3_tiered_shards, op4_secret_ledger, op5_toxicity, op6_warc, op7_simhash_gph, op8_packing, op9_positional_index, op10_robust_quality)}
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    found = byte_pairs.decode(byte_pairs.encode(_table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = delta_lloyd.with_inertia(delta_lloyd.cluster(_table(spark, sf_dir, "embeddings")))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def _lloyd_sql(k: int = delta_lloyd.K, rounds: int = delta_lloyd.ROUNDS, dim: int = delta_lloyd.DIM) -> str:
+    """Plain Lloyd rounds, one after the other, each with all distances; of a distance and a number the smallest d * k + c is the nearest."""
+    steps = [
+        f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({delta_lloyd.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim})""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{delta_lloyd.SALT}' || vec_id), v) - 1 AS c, v FROM kept WHERE vec_id IS NOT NULL QUALIFY row_number() OVER (ORDER BY sha256('{delta_lloyd.SALT}' || vec_id), v) <= {k})",
+    ]
+    nearest = f"SELECT r, min(CAST(list_sum(list_transform(range(1, {dim + 1}), lambda i: (kept.v[i] - m.v[i]) * (kept.v[i] - m.v[i]))) AS BIGINT) * {k} + m.c) AS best FROM kept, c%d m GROUP BY r"
+    for n in range(rounds):
+        steps += [
+            f"a{n} AS MATERIALIZED ({nearest % n})",
+            f"s{n} AS (SELECT best % {k} AS c, i, sum(v[i]) AS s, count(*) AS n FROM a{n} JOIN kept USING (r), range(1, {dim + 1}) t(i) GROUP BY ALL)",
+            f"g{n} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{n} GROUP BY c)",
+            f"c{n + 1} AS MATERIALIZED (SELECT c, coalesce(g{n}.v, c{n}.v) AS v FROM c{n} LEFT JOIN g{n} USING (c))",
+        ]
+    last = f"f AS MATERIALIZED (SELECT r, best % {k} AS c, best // {k} AS d FROM ({nearest % rounds}))"
+    return "WITH " + ",\n".join([*steps, last]) + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM f JOIN kept USING (r) JOIN c{rounds} USING (c)"""
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_tokenbin, op3_tiered_shards, op4_secret_ledger, op5_toxicity, op6_warc, op7_simhash_gph, op8_packing, op9_positional_index, op10_robust_quality, op11_byte_pairs, op12_delta_lloyd)}
 
 ORACLE_SQL = {
     "op3_tiered_shards": "SELECT doc_id, text, lang, source, n_chars FROM documents",
@@ -130,4 +163,5 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """,
+    "op12_delta_lloyd": _lloyd_sql(),
 }
