@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from . import byte_pairs, delta_lloyd, language_id, packing, positional_index, robust_quality, runtime, secret_ledger, simhash_gph, tiered_shards, tokenbin, toxicity, warc
 
 BYTE_BPE, WORD_BPE, RANKS = "byte_bpe_50k.json", "word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"
+#: Of so many arrivals of about one size at least a tier's fill is in one tier: something is merged at every scale.
+ARRIVALS = 2 * tiered_shards.FAN_IN - 1
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,15 +32,28 @@ def op2_tokenbin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = tiered_shards.shard(_table(spark, sf_dir, "documents"), runtime.work_folder(spark, "shards"))
+    """All documents as ARRIVALS arrivals, by a hash of doc_id, then compacted; read from the newest manifest."""
+    docs, folder = _table(spark, sf_dir, "documents"), runtime.work_folder(spark, "shards")
+    store = tiered_shards.TieredStore(spark, folder)
+    for k in range(ARRIVALS):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)) == k))
+    store.compact()
+    store.vacuum()
     return store.read().select("doc_id", "text", "lang", "source", "n_chars")
 
 
+def drafts(docs: DataFrame) -> DataFrame:
+    """A version of the corpus before the table's: a third of the documents with another text, a seventh not there yet, the others as they are."""
+    h = F.xxhash64("doc_id")
+    edited = F.when(F.pmod(h, F.lit(3)) == 0, F.concat_ws("\n", F.lit("draft"), "text")).otherwise(F.col("text"))
+    return docs.where((F.pmod(h, F.lit(7)) != 0) | F.col("doc_id").isNull()).select("doc_id", edited.alias("text"))
+
+
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two versions of the corpus on one ledger, the second of them unchanged and so without a scan; the findings of the second's paths."""
+    """Two versions of the corpus on one ledger, drafts and the table: the second scans edited and new texts alone. The findings of the second's paths."""
     docs, ledger = _table(spark, sf_dir, "documents"), f"{runtime.work_folder(spark, 'secrets')}/ledger"
-    for version in ("first", "second"):
-        secret_ledger.commit(docs, ledger, version)
+    secret_ledger.commit(drafts(docs), ledger, "first")
+    secret_ledger.commit(docs, ledger, "second")
     paths = secret_ledger.paths(spark, ledger, docs.schema["doc_id"].dataType.simpleString()).where("version = 'second'")
     spans = secret_ledger.spans_of(spark, ledger)
     kinds = F.array(*[F.lit(r[0]) for r in secret_ledger.RULES])
@@ -75,7 +90,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = positional_index.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     n = lambda c: F.size(c).cast("long")
-    return found.select("doc_id", "n_words", "n_hit", n("items").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), positional_index.contaminated().alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", n("items").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), positional_index.contaminated().alias("contaminated"), n("near_items").alias("n_near_items"), F.sha2(F.array_join("near_items", ","), 256).alias("near_items_sha256"))
 
 
 def op10_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,10 +173,20 @@ places AS (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes W
 grams AS (SELECT r, n, k, array_to_string(list_slice(w, k, k + n - 1), ' ') AS gram FROM places),
 hits AS (SELECT r, n, k, item FROM grams JOIN windows USING (n, gram)),
 words AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(k, k + n)) AS pos FROM hits) GROUP BY r),
-items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
-""",
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r),
+terms AS (SELECT DISTINCT unnest(v) AS word FROM b),
+posts AS MATERIALIZED (SELECT r, pos, word FROM (SELECT r, unnest(range(len(w))) AS pos, unnest(w) AS word FROM d) SEMI JOIN terms USING (word)),
+counts AS (SELECT word, count(*) AS c FROM posts GROUP BY word),
+w AS MATERIALIZED (SELECT row_number() OVER () AS win, item, n, v, k - 1 AS s FROM (SELECT DISTINCT item, n, v, k FROM i)),
+places_of AS MATERIALIZED (SELECT win, item, n, q, word FROM (SELECT win, item, n, unnest(range(s, s + n)) AS q, unnest(v[s + 1 : s + n]) AS word FROM w)),
+ranked AS (SELECT win, item, n, list({'q': q, 'word': word} ORDER BY c, q) AS l FROM places_of JOIN counts USING (word) GROUP BY ALL),
+anchors AS (SELECT win, item, n, l[1].q AS p1, l[1].word AS t1, coalesce(l[2].q, l[1].q) AS p2, coalesce(l[2].word, l[1].word) AS t2 FROM ranked WHERE 100 * len(l) >= NEAR_PERCENT * n),
+lined AS MATERIALIZED (SELECT DISTINCT a.r, win, item, n, a.pos - p1 AS delta FROM anchors JOIN posts a ON a.word = t1 JOIN posts o ON o.r = a.r AND o.word = t2 AND o.pos - p2 - a.pos + p1 BETWEEN -SLOP AND SLOP),
+met AS (SELECT DISTINCT lined.r, lined.win, lined.item, lined.n, lined.delta, f.q FROM lined JOIN places_of f USING (win) JOIN posts p ON p.r = lined.r AND p.word = f.word AND p.pos - f.q - lined.delta BETWEEN -SLOP AND SLOP),
+near AS (SELECT r, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS near_names FROM (SELECT DISTINCT r, item FROM (SELECT r, item, win, n, delta, count(*) AS c FROM met GROUP BY ALL) WHERE 100 * c >= NEAR_PERCENT * n) GROUP BY r)
+SELECT doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near_items, sha256(coalesce(near_names, '')) AS near_items_sha256
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r) LEFT JOIN near USING (r)
+""".replace("NEAR_PERCENT", str(positional_index.NEAR_PERCENT)).replace("SLOP", str(positional_index.SLOP)),
     "op12_delta_lloyd": _lloyd_sql(),
 }

@@ -2,8 +2,8 @@
 
 1. Fingerprints: each text's word shingles are hashed (XXH64, seed 42) and
    summed up in its task; a row of 8 bytes leaves it.
-2. Copies collapse: only distinct fingerprints are searched, each named by the
-   smallest doc_id that has it. A group of exact copies costs one row.
+2. Copies collapse: only distinct fingerprints are searched, each a node of that
+   name. A group of exact copies costs one row.
 3. Bits that are correlated go to one partition: a 64 x 64 co-occurrence
    matrix, summed over all fingerprints, orders them.
 4. Thresholds: if partition i is given t_i >= -1 and sum(t_i) = tau - m + 1, a
@@ -15,7 +15,9 @@
    are compared in blocks in NumPy; a cell emits at most one edge for each of
    its rows, never its pairs. Cells over CELL_ROWS are cut into blocks of
    rows and every pair of blocks is compared in a task of its own.
-6. Components: alternating large-star and small-star rounds on written edges.
+6. Components: alternating large-star and small-star rounds on written edges;
+   the smallest doc_id of each is looked up afterwards, so that fingerprints
+   which only rows without doc_id have connect others like any other.
 
 Defined results: null and empty texts, and texts without words, have fingerprint
 0 and link like any other; texts of fewer words than a shingle are hashed whole;
@@ -40,6 +42,8 @@ BITS, BLOCKS = 64, 8
 SEED = 42
 #: Rows of a cell that one comparison takes at once; larger cells are cut into blocks.
 CELL_ROWS = 2048
+#: Cells that are cut, up to which their list is broadcast; beyond, it is joined in SALTS parts, so that no cell's rows are in one task.
+CUT_CELLS, SALTS = 1_000_000, 32
 #: Estimated cost of a probe row in candidate comparisons.
 PROBE_COST = 200.0
 FEWEST, MOST = 2, 6
@@ -256,6 +260,14 @@ def _linked(group: np.ndarray, fps: np.ndarray, role: np.ndarray, side: np.ndarr
     return tied, label[tied]
 
 
+def _with_blocks(cells: DataFrame, large: DataFrame) -> DataFrame:
+    """cells with the number of blocks of those that large lists."""
+    if large.count() <= CUT_CELLS:
+        return cells.join(F.broadcast(large), ["part", "value"], "left")
+    salted = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return cells.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted, ["part", "value", "salt"], "left").drop("salt")
+
+
 def edges(nodes: DataFrame, tau: int = 3, folder: str | None = None) -> DataFrame:
     """a, b: links of distinct fingerprints, enough to connect all that are within tau bits. nodes: node, fp, both unique."""
     order = bit_order(nodes)
@@ -265,7 +277,8 @@ def edges(nodes: DataFrame, tau: int = 3, folder: str | None = None) -> DataFram
         cells = runtime.written(cells, folder, "cells")
     # a cell of over CELL_ROWS rows becomes blocks of about half as many; each pair of blocks meets in a cell of its own
     large = cells.groupBy("part", "value").count().where(F.col("count") > CELL_ROWS).select("part", "value", F.ceil(F.col("count") / (CELL_ROWS // 2)).cast("int").alias("blocks"))
-    dealt = cells.join(large, ["part", "value"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    large = runtime.written(large, folder, "large") if folder else large
+    dealt = _with_blocks(cells, large).withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", other).select("part", "value", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.when(F.col("block") == F.col("other"), -1).otherwise((F.col("block") > F.col("other")).cast("int")).alias("side"), "role", "node", "fp")
     keys = ["part", "value", "low", "high"]
@@ -326,10 +339,11 @@ def near_duplicates(docs: DataFrame, tau: int = 3, width: int = 3) -> DataFrame:
     """doc_id, fp (long), component_id (smallest doc_id reachable by links of at most tau bits), a row for each row of docs."""
     folder = runtime.work_folder(docs.sparkSession, "simhash")
     fps = runtime.written(fingerprints(docs, width), folder, "fingerprints")
-    nodes = runtime.written(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), folder, "nodes")
-    # a fingerprint that only rows without id have is named by none: it has no component
-    found = components(edges(nodes.where("node is not null"), tau, folder), folder)
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    nodes = runtime.written(fps.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), folder, "nodes")
+    found = runtime.written(components(edges(nodes.select(F.col("fp").alias("node"), "fp"), tau, folder), folder).withColumnRenamed("node", "fp"), folder, "found")
+    least = runtime.written(found.join(nodes, "fp").groupBy("component").agg(F.min("doc_id").alias("component_id")), folder, "least")
+    joined = found.join(runtime.if_small(least), "component").select("fp", "component_id", F.lit(True).alias("joined"))
+    named = nodes.join(joined, "fp", "left").select("fp", F.when(F.col("joined"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     named = runtime.written(named, folder, "named")
     return runtime.settled(fps.join(named, "fp").select("doc_id", "fp", "component_id"), folder, "near-duplicates")
 

@@ -89,8 +89,7 @@ def test_simhash_matches_brute_force(spark):
     assert len(got) == len(rows)
     fps = sorted({brute_fingerprint(t) for _, t in rows})
     assert sorted((r.doc_id is None, r.doc_id or 0, r.fp & (2**64 - 1)) for r in got) == sorted((i is None, i or 0, brute_fingerprint(t)) for i, t in rows)
-    named = [f for f in fps if any(i is not None and brute_fingerprint(t) == f for i, t in rows)]
-    comp = dict(zip(named, brute_components(named)))
+    comp = dict(zip(fps, brute_components(fps)))
     smallest = {}
     for i, t in rows:
         if i is not None:
@@ -98,10 +97,21 @@ def test_simhash_matches_brute_force(spark):
             smallest[c] = min(smallest.get(c, i), i)
     for r in got:
         f = r.fp & (2**64 - 1)
-        assert r.component_id == (smallest[comp[f]] if f in comp else None)
+        assert r.component_id == smallest.get(comp[f])
     assert simhash_gph.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("cuts", [1_000_000, -1])
+def test_a_row_without_id_connects_others(spark, monkeypatch, cuts):
+    """Two ids that only a fingerprint without one links; one without id that links to none."""
+    monkeypatch.setattr(simhash_gph, "CUT_CELLS", cuts)
+    of = {"a": 0, "b": 0b111111, "c": 0b000111, "d": 1 << 40 | 0xFFFF}
+    monkeypatch.setattr(simhash_gph, "fingerprints", lambda df, width=3: df.select("doc_id", F.element_at(F.create_map(*[F.lit(x) for p in of.items() for x in p]), F.col("text")).cast("long").alias("fp")))
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (None, "d"), (None, "d")], "doc_id long, text string")
+    got = [(r.doc_id, r.fp, r.component_id) for r in simhash_gph.near_duplicates(rows).collect()]
+    assert sorted(got, key=str) == sorted([(1, 0, 1), (2, 0b111111, 1), (None, 0b000111, 1), *[(None, of["d"], None)] * 2], key=str)
+
+
 @pytest.mark.parametrize("cell", [4, 2048])
 def test_links_in_every_plan(spark, monkeypatch, cell):
     """Random and clustered fingerprints; cells cut into blocks; thresholds of all kinds."""
@@ -411,6 +421,19 @@ def test_versions_on_one_ledger(spark):
         assert got == sorted((i is None, i or 0, brute_secrets(t)) for i, t in rows)
 
 
+def test_query_s_second_version_scans_edited_and_new_texts_alone(spark):
+    from cohortloom.llm.queries import drafts
+
+    ledger = f"{runtime.work_folder(spark, 'secrets')}/ledger"
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    of = lambda df: {r.text or "" for r in df.collect()}
+    first, second = of(drafts(table)), of(table)
+    assert secret_ledger.commit(drafts(table), ledger, "first").count() == len(first)
+    scanned = secret_ledger.commit(table, ledger, "second").count()
+    assert 0 < scanned == len(second - first) < len(second) and first - second
+    assert secret_ledger.paths(spark, ledger).where("version = 'second'").count() == table.count()
+
+
 def test_copies_are_dropped_before_the_shuffle(spark, capfd):
     df = docs(spark, SECRETS, extra=False).select(secret_ledger.blob_of(F.col("text")).alias("blob"), "text")
     plan = df.groupBy("blob").agg(F.first("text").alias("text"))._jdf.queryExecution().executedPlan().toString()
@@ -544,6 +567,18 @@ def test_tiered_store(spark):
     assert nothing.read().count() == 0
 
 
+def test_query_merges_runs(spark, monkeypatch):
+    from cohortloom.llm import queries
+
+    stores = []
+    make = tiered_shards.TieredStore
+    monkeypatch.setattr(tiered_shards, "TieredStore", lambda *a: stores.append(make(*a)) or stores[-1])
+    got = queries.op3_tiered_shards(spark, "/root/testdata/sf0.001")
+    store = stores[0]
+    assert store.version() > queries.ARRIVALS and len(store.manifest()["runs"]) < len(store.manifest(queries.ARRIVALS)["runs"])
+    assert got.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count() == store.read(queries.ARRIVALS).count()
+
+
 def test_vacuum_spares_writers_and_readers(spark, monkeypatch):
     """An append that is paused before its commit, and a reader of the version before shard()."""
     folder = runtime.work_folder(spark, "tiers")
