@@ -131,17 +131,17 @@ def pooled_sd(df: DataFrame, y: str, x: str, by: list[str]) -> DataFrame:
     """by, pooled_sd: the standard deviation within the two groups of y."""
     parts = [F.count_if(F.col(y) == g) for g in (0, 1)], [F.var_samp(F.when(F.col(y) == g, F.col(x))) for g in (0, 1)]
     (n0, n1), (v0, v1) = parts
-    return df.groupBy(*by).agg(F.sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / (n0 + n1 - 2)).alias("pooled_sd"))
+    return df.groupBy(*by).agg(F.sqrt(((n0 - 1) * v0 + (n1 - 1) * v1) / F.nullif(n0 + n1 - 2, F.lit(0))).alias("pooled_sd"))
 
 
 def two_group_hc3(df: DataFrame, y: str, x: str, by: list[str]) -> DataFrame:
-    """by, difference, se, t: difference of two groups' means and its HC3 standard error in closed form, no fit needed."""
+    """by, difference, se, t: difference of two groups' means and its HC3 standard error in closed form, no fit needed; se and t are null where a group has one row, t where se is 0."""
     cells = [c for g in (0, 1) for c in (F.avg(F.when(F.col(y) == g, F.col(x))).alias(f"_m{g}"), F.var_pop(F.when(F.col(y) == g, F.col(x))).alias(f"_v{g}"), F.count_if(F.col(y) == g).alias(f"_n{g}"))]
     s = df.groupBy(*by).agg(*cells)
     # leverage is 1/n in a group: residuals grow by n / (n - 1)
-    term = lambda g: F.col(f"_v{g}") * F.col(f"_n{g}") / ((F.col(f"_n{g}") - 1) * (F.col(f"_n{g}") - 1))
+    term = lambda g: F.col(f"_v{g}") * F.col(f"_n{g}") / F.nullif((F.col(f"_n{g}") - 1) * (F.col(f"_n{g}") - 1), F.lit(0))
     out = s.withColumn("difference", F.col("_m1") - F.col("_m0")).withColumn("se", F.sqrt(term(0) + term(1)))
-    return out.select(*by, "difference", "se", (F.col("difference") / F.col("se")).alias("t"))
+    return out.select(*by, "difference", "se", (F.col("difference") / F.nullif(F.col("se"), F.lit(0.0))).alias("t"))
 
 
 def density_grid(df: DataFrame, x: str, by: list[str], points: int = 500, reach: float = 3.0) -> DataFrame:

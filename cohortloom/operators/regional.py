@@ -68,26 +68,37 @@ def state_of(severity_: Column) -> Column:
     return F.element_at(F.array(F.lit("pass"), F.lit("attention"), F.lit("missing")), severity_ + 1)
 
 
-def node_stats(voxels: DataFrame, hierarchy: DataFrame, by: list[str], value: str = "pet") -> DataFrame:
-    """For each group and node: left, right and pooled means, asymmetry and worst status.
+def label_sums(voxels: DataFrame, by: list[str], value: str = "pet", total: str = "double") -> DataFrame:
+    """by, label, n, k, s: measurements, valid ones (finite and above zero) and their sum. Sums of sums are sums: parts of a table can be summed apart.
 
-    hierarchy: label, side (L or R), node, composite. Pooled sums add both sides' voxels: each label is
-    summed once, and nodes are made of label sums, not of voxels.
+    total: the sum's type; a decimal makes it independent of the order of rows and parts.
     """
     v = F.col(value).cast("double")
     valid = F.when(finite(v) & (v > 0), v)
-    # labels first: the join and the second level see one row a label
-    labels = voxels.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("_n"), F.count(valid).alias("_k"), F.sum(valid).alias("_s"))
-    labels = labels.join(F.broadcast(hierarchy), "label")
+    return voxels.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n"), F.count(valid).alias("k"), F.sum(valid.cast(total)).alias("s"))
+
+
+def node_stats(voxels: DataFrame, hierarchy: DataFrame, by: list[str], value: str = "pet") -> DataFrame:
+    """nodes_of() the label_sums() of voxels: the join and the second level see one row a label, not voxels."""
+    return nodes_of(label_sums(voxels, by, value), hierarchy, by)
+
+
+def nodes_of(labels: DataFrame, hierarchy: DataFrame, by: list[str]) -> DataFrame:
+    """For each group and node: left, right and pooled means, asymmetry and worst status.
+
+    labels: by, label, n, k, s as of label_sums(); hierarchy: label, side (L or R), node, composite. Pooled sums add
+    both sides' measurements. The hierarchy is broadcast where its size allows, as Spark decides.
+    """
+    labels = labels.select(*by, "label", *[F.col(c).alias(f"_{c}") for c in "nks"]).join(hierarchy, "label")
     sides = {"left": F.col("side") == "L", "right": F.col("side") == "R", "pooled": F.lit(True)}
     sums = [F.sum(F.when(m, F.col(f"_{c}"))).alias(f"_{c}_{name}") for name, m in sides.items() for c in ("n", "k", "s")]
     # nodes without any voxel stay, as missing
-    every = labels.select(*by).distinct().crossJoin(F.broadcast(hierarchy.select("composite", "node").distinct()))
+    every = labels.select(*by).distinct().crossJoin(hierarchy.select("composite", "node").distinct())
     out = every.join(labels.groupBy(*by, "composite", "node").agg(*sums), [*by, "composite", "node"], "left")
     for name in sides:
         n, k = F.coalesce(f"_n_{name}", F.lit(0)), F.coalesce(f"_k_{name}", F.lit(0))
         state = _state(n, F.when(n > 0, k / n).otherwise(0.0))
-        out = out.withColumn(f"_state_{name}", state).withColumn(name, F.when(~state.startswith("missing"), F.col(f"_s_{name}") / k))
+        out = out.withColumn(f"_state_{name}", state).withColumn(name, F.when(~state.startswith("missing"), F.col(f"_s_{name}").cast("double") / k))
     worst = F.greatest(*[severity(F.col(f"_state_{name}")) for name in sides])
     total = F.col("left") + F.col("right")
     return out.select(*by, "composite", "node", "left", "right", "pooled", F.when(total != 0, 2 * (F.col("left") - F.col("right")) / total).alias("asymmetry"), state_of(worst).alias("status"))

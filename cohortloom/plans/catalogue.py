@@ -209,7 +209,7 @@ b AS (SELECT subject, composite, node, CASE WHEN nl >= 10 THEN l END AS l, CASE
 
 def hierarchy(spark, d):
     s, n, r = (table(spark, d, t) for t in ("supplier", "nation", "region"))
-    joined = s.join(F.broadcast(n), s.s_nationkey == n.n_nationkey).join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    joined = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     return joined.select(F.col("s_suppkey").alias("label"), F.when(F.col("s_suppkey") % 2 == 0, "L").otherwise("R").alias("side"), F.col("n_name").alias("node"), F.col("r_name").alias("composite"))
 
 

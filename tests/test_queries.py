@@ -59,6 +59,7 @@ def test_entry_without_the_training_data_part(tmp_path):
 
     root = Path(__file__).resolve().parent.parent
     shutil.copytree(root / "cohortloom", tmp_path / "cohortloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(root / "jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; n = e.queries(); assert n and not any(k.startswith('op') or k == 'pipeline' for k in n); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
@@ -72,6 +73,7 @@ def test_a_broken_training_data_part_is_not_hidden(tmp_path):
 
     root = Path(__file__).resolve().parent.parent
     shutil.copytree(root / "cohortloom", tmp_path / "cohortloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(root / "jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     (tmp_path / "cohortloom" / "llm").mkdir()
     (tmp_path / "cohortloom" / "llm" / "__init__.py").write_text("")
