@@ -676,21 +676,41 @@ def q_development_bootstrap(spark, d):
     return development_bootstrap(draws, cohort, {m: COLUMNS[m] for m in ("C", "CP")}, BINARY, Settings(c_grid=(0.1, 1.0), l1_grid=(0.0, 0.5, 1.0)))
 
 
-@query(None)
+#: HC3 of v on y given english, a 0/1 column: residuals of y and v from their means by english have all that is needed. Group columns: {by}.
+HC3 = """WITH c AS (SELECT l.doc_id AS row_pos, l.quality AS y, d.source, (d.lang = 'en')::INT AS english, ln(1 + d.n_chars) AS log_chars, sin(l.doc_id::DOUBLE) AS x2 FROM labels l JOIN documents d USING (doc_id)),
+lo AS (SELECT row_pos, y, source, english, unnest(['log_chars', 'x2']) AS region, unnest([log_chars, x2]) AS v FROM c),
+r AS (SELECT *, y - avg(y) OVER (PARTITION BY {by}, english) AS yt, v - avg(v) OVER (PARTITION BY {by}, english) AS vt, count(*) OVER (PARTITION BY {by}, english) AS ng FROM lo),
+b AS (SELECT {by}, sum(yt * vt) / nullif(sum(yt * yt), 0) AS b, sum(yt * yt) AS ss, count(*) AS n, count(DISTINCT english) AS levels,
+        sqrt(((count(*) FILTER (y = 0) - 1) * var_samp(v) FILTER (y = 0) + (count(*) FILTER (y = 1) - 1) * var_samp(v) FILTER (y = 1)) / nullif(count(*) - 2, 0)) AS sd FROM r GROUP BY {by}),
+e AS (SELECT r.*, b, ss, n, levels, sd, vt - b * yt AS e, 1 / ng + yt * yt / nullif(ss, 0) AS h FROM r JOIN b USING ({by})),
+f AS (SELECT *, b - yt / nullif(ss, 0) * e / CASE WHEN h < 1 - 1e-8 THEN 1 - h END AS loo FROM e),
+g AS (SELECT {by}, any_value(n) AS n, any_value(b) AS b, any_value(sd) AS sd, sqrt(sum(pow(yt / nullif(ss, 0) * e / CASE WHEN h < 1 - 1e-8 THEN 1 - h END, 2))) AS se, max(h) AS max_leverage, max(e * e * h / CASE WHEN h < 1 - 1e-8 THEN pow(1 - h, 2) END) * (any_value(n) - 3) / (3 * nullif(sum(e * e), 0)) AS max_cooks,
+        min(loo) AS low, max(loo) AS high, count(*) FILTER (sign(loo) <> sign(b)) AS sign_changes, any_value(n) - 3 AS dof,
+        CASE WHEN any_value(n) <= 3 OR any_value(levels) < 2 OR any_value(ss) / any_value(n) < 1e-9 THEN 'not estimable: rank' WHEN max(h) >= 1 - 1e-8 THEN 'not estimable: leverage' WHEN NOT coalesce(any_value(sd) > 0, false) THEN 'not estimable: deviation' ELSE 'ok' END AS status FROM f GROUP BY {by})"""
+#: Student's two-sided tail of b / se with dof degrees of freedom, by Simpson's rule over the angle whose tangent is t / sqrt(dof).
+STUDENT = "2 * exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(pi()) * list_sum(list_transform(range(0, 4001), lambda i: CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(cos(a + (pi() / 2 - a) * i / 4000), dof - 1))) * (pi() / 2 - a) / 12000"
+
+
+@query(HC3.format(by="region") + f", p AS (SELECT *, {STUDENT} AS p FROM (SELECT *, atan(abs(b / se) / sqrt(dof)) AS a FROM g)), o AS (SELECT *, row_number() OVER (ORDER BY p, region) AS rn, count(*) OVER () AS m FROM p) SELECT region, n, round(b, 6) AS estimate, round(se, 6) AS se, round(b / sd, 6) AS standardized, round(max_leverage, 6) AS max_leverage, round(max_cooks, 6) AS max_cooks, round(p, 6) AS p, round(least(1, min(p * m / rn) OVER (ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM o")
 def q_hc3_general(spark, d):
-    from cohortloom.plans.prediction import associations
+    """Two regions' effects given a covariate, each of the whole cohort, with their family's q."""
+    from cohortloom.operators.least_squares import associations
 
     long = design(spark, d).unpivot(["row_pos", "y", "english"], ["log_chars", "x2"], "region", "value")
     out = associations(long, ["region"], "value", "y", ["english"], with_influence=False)
-    return ranking.benjamini_hochberg(out.withColumn("family", F.lit("all")), "p", ["family"], ["region"])
+    out = ranking.benjamini_hochberg(out.withColumn("family", F.lit("all")), "p", ["family"], ["region"])
+    return rounded(out.select("region", F.col("n").cast("long").alias("n"), "estimate", "se", "standardized", "max_leverage", "max_cooks", "p", "q"), "estimate", "se", "standardized", "max_leverage", "max_cooks", "p", "q")
 
 
-@query(None)
+@query(HC3.format(by="source, region") + " SELECT source, region, n, status, " + ", ".join(f"CASE WHEN status = 'ok' THEN {c} END AS {n}" for c, n in (("round(b, 6)", "estimate"), ("round(se, 6)", "se"), ("round(b / sd, 6)", "standardized"), ("round(low / sd, 6)", "loo_min"), ("round(high / sd, 6)", "loo_max"), ("sign_changes", "sign_changes"), ("round(max_leverage, 6)", "max_leverage"), ("round(max_cooks, 6)", "max_cooks"))) + " FROM g")
 def q_influence(spark, d):
-    from cohortloom.plans.prediction import associations
+    """Every source's effects and what they are without each person in turn; sources that can't be fitted say why."""
+    from cohortloom.operators.least_squares import associations
 
     long = design(spark, d).unpivot(["row_pos", "y", "english", "source"], ["log_chars", "x2"], "region", "value")
-    return associations(long, ["source", "region"], "value", "y", ["english"], with_status=True)
+    out = associations(long, ["source", "region"], "value", "y", ["english"], with_status=True)
+    out = out.select("source", "region", F.col("n").cast("long").alias("n"), "status", "estimate", "se", "standardized", "loo_min", "loo_max", F.col("sign_changes").cast("long").alias("sign_changes"), "max_leverage", "max_cooks")
+    return rounded(out, "estimate", "se", "standardized", "loo_min", "loo_max", "max_leverage", "max_cooks")
 
 
 def _maps(spark, d):

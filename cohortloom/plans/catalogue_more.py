@@ -125,29 +125,27 @@ def q_matched_once(spark, d):
 # --- associations by closed forms
 
 
-TWO = S + ", g AS (SELECT source, y, count(*) AS n, avg(ln(1 + n_chars)) AS m, var_pop(ln(1 + n_chars)) AS v FROM s GROUP BY ALL), w AS (SELECT a.source, a.n AS n0, a.m AS m0, a.v AS v0, b.n AS n1, b.m AS m1, b.v AS v1 FROM g a JOIN g b ON a.source = b.source AND a.y = 0 AND b.y = 1 WHERE least(a.n, b.n) >= 3)"
+TWO = S + ", r AS (SELECT source, row_pos, y, ln(1 + n_chars) AS x FROM s), g AS (SELECT source, count(*) FILTER (y = 0) AS n0, count(*) FILTER (y = 1) AS n1, coalesce(avg(x) FILTER (y = 0), 0) AS m0, coalesce(avg(x) FILTER (y = 1), 0) AS m1, var_pop(x) FILTER (y = 0) AS v0, var_pop(x) FILTER (y = 1) AS v1 FROM r GROUP BY source), w AS (SELECT *, sqrt((n0 * v0 + n1 * v1) / nullif(n0 + n1 - 2, 0)) AS sd, m1 - m0 AS whole, CASE WHEN n0 + n1 <= 2 OR least(n0, n1) = 0 THEN 'not estimable: rank' WHEN least(n0, n1) = 1 THEN 'not estimable: leverage' WHEN NOT n0 * v0 + n1 * v1 > 0 THEN 'not estimable: deviation' ELSE 'ok' END AS status FROM g)"
 
 
-def two_groups(spark, d):
-    df = design(spark, d).select("row_pos", "source", "y", "log_chars")
-    few = df.groupBy("source").agg(F.count_if(F.col("y") == 0).alias("n0"), F.count_if(F.col("y") == 1).alias("n1")).where("least(n0, n1) >= 3").select("source")
-    return assembly.members(df, few, "source")
+def sources(spark, d):
+    return design(spark, d).select("row_pos", "source", "y", "log_chars")
 
 
-@query(TWO + " SELECT source, n0 + n1 AS n, round(m1 - m0, 6) AS estimate, round(sqrt(n0 * v0 / ((n0 - 1) * (n0 - 1)) + n1 * v1 / ((n1 - 1) * (n1 - 1))), 6) AS se, round((m1 - m0) / sqrt((n0 * v0 + n1 * v1) / (n0 + n1 - 2)), 6) AS standardized, round(1 / least(n0, n1), 9) AS max_leverage FROM w")
+@query(TWO + " SELECT source, n0 + n1 AS n, status, CASE WHEN status = 'ok' THEN round(whole, 6) END AS estimate, CASE WHEN status = 'ok' THEN round(sqrt(n0 * v0 / ((n0 - 1) * (n0 - 1)) + n1 * v1 / ((n1 - 1) * (n1 - 1))), 6) END AS se, CASE WHEN status = 'ok' THEN round(whole / sd, 6) END AS standardized, CASE WHEN status = 'ok' THEN round(1 / least(n0, n1), 9) END AS max_leverage FROM w")
 def q_association_rows(spark, d):
-    from cohortloom.plans.prediction import associations
+    from cohortloom.operators.least_squares import associations
 
-    out = associations(two_groups(spark, d), ["source"], "log_chars", "y", [], with_influence=False)
-    return out.select("source", F.col("n").cast("long").alias("n"), F.round("estimate", 6).alias("estimate"), F.round("se", 6).alias("se"), F.round("standardized", 6).alias("standardized"), F.round("max_leverage", 9).alias("max_leverage"))
+    out = associations(sources(spark, d), ["source"], "log_chars", "y", [], with_influence=False, with_status=True)
+    return out.select("source", F.col("n").cast("long").alias("n"), "status", F.round("estimate", 6).alias("estimate"), F.round("se", 6).alias("se"), F.round("standardized", 6).alias("standardized"), F.round("max_leverage", 9).alias("max_leverage"))
 
 
-@query(TWO + ", r AS (SELECT s.source, row_pos, y, ln(1 + n_chars) AS x, w.* EXCLUDE (source), sqrt((n0 * v0 + n1 * v1) / (n0 + n1 - 2)) AS sd, (m1 - m0) AS whole FROM s JOIN w USING (source)), l AS (SELECT *, CASE WHEN y = 1 THEN (n1 * m1 - x) / (n1 - 1) - m0 ELSE m1 - (n0 * m0 - x) / (n0 - 1) END AS loo FROM r) SELECT source, row_pos, round(loo / sd, 6) AS coefficient, round((loo - whole) / sd, 6) AS change, sign(loo) <> sign(whole) AS sign_changed, round(CASE WHEN y = 1 THEN 1 / n1 ELSE 1 / n0 END, 9) AS leverage, round(vif, 6) AS vif FROM (SELECT *, 1.0 AS vif FROM l)")
+@query(TWO + ", l AS (SELECT r.source, row_pos, y, n0, n1, sd, whole, status, CASE WHEN status = 'ok' THEN CASE WHEN y = 1 THEN (n1 * m1 - x) / (n1 - 1) - m0 ELSE m1 - (n0 * m0 - x) / (n0 - 1) END END AS loo FROM r JOIN w USING (source)) SELECT source, row_pos, status, round(loo / sd, 6) AS coefficient, round((loo - whole) / sd, 6) AS change, sign(loo) <> sign(whole) AS sign_changed, CASE WHEN status = 'ok' THEN round(CASE WHEN y = 1 THEN 1 / n1 ELSE 1 / n0 END, 9) END AS leverage, CASE WHEN status = 'ok' THEN 1.0::DOUBLE END AS vif FROM l")
 def q_influence_rows(spark, d):
-    from cohortloom.plans.prediction import influence_rows
+    from cohortloom.operators.least_squares import influence_rows
 
-    out = influence_rows(two_groups(spark, d), ["source"], "log_chars", "y", [])
-    return out.select("source", "row_pos", F.round("coefficient", 6).alias("coefficient"), F.round("change", 6).alias("change"), "sign_changed", F.round("leverage", 9).alias("leverage"), F.round("vif", 6).alias("vif"))
+    out = influence_rows(sources(spark, d), ["source"], "log_chars", "y", [], with_status=True)
+    return out.select("source", "row_pos", "status", F.round("coefficient", 6).alias("coefficient"), F.round("change", 6).alias("change"), "sign_changed", F.round("leverage", 9).alias("leverage"), F.round("vif", 6).alias("vif"))
 
 
 @query("SELECT doc_id, round((n_chars - avg(n_chars) OVER ()) / stddev_samp(n_chars) OVER (), 6) AS z_n_chars, round((log_chars - avg(log_chars) OVER ()) / stddev_samp(log_chars) OVER (), 6) AS z_log_chars FROM (SELECT doc_id, n_chars, ln(1 + n_chars) AS log_chars FROM documents)")

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators.assembly import standardized
 from cohortloom.operators.contracts import ContractError
+from cohortloom.operators.least_squares import associations
 from cohortloom.operators.ranking import benjamini_hochberg
-from cohortloom.plans.prediction import associations
 
 #: Processing variants, the original first, and those that predictions are made from.
 VARIANTS = ("original", "wholeBrain", "cerebellarCortex", "petprep", "same_seg_noPVC", "PVC4", "PVC5.4", "PVC6")

@@ -155,62 +155,6 @@ def calibration_table(df: DataFrame, by: list[str]) -> DataFrame:
     return df.groupBy(*by).applyInPandas(run, f"{schema}, status string, offset double, intercept double, slope double")
 
 
-ASSOCIATION = "estimate double, se double, lo double, hi double, p double, standardized double, max_cooks double, max_leverage double, loo_min double, loo_max double, sign_changes int, n int"
-
-
-def associations(df: DataFrame, by: list[str], value: str, response: str, covariates: list[str], with_influence: bool = True, with_status: bool = False) -> DataFrame:
-    """by and ASSOCIATION: HC3 effect of the response on each group's value given covariates, also over the pooled standard deviation.
-
-    with_status: a group whose fit is refused doesn't fail the query; it has null figures, n, and the reason in
-    the further column status ("ok" for all others).
-    """
-    schema = ", ".join(f"{c} {t}" for c, t in df.dtypes if c in by)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if not with_status:
-            return fit(pdf)
-        try:
-            out = fit(pdf)
-            if not np.isfinite(out["standardized"].iloc[0]):
-                raise ValueError("the pooled standard deviation isn't positive")
-            return out.assign(status="ok")
-        except (ValueError, ArithmeticError) as e:
-            return pd.DataFrame([{c: pdf[c].iloc[0] for c in by}]).assign(**{x.split()[0]: None for x in ASSOCIATION.split(", ")}).assign(n=len(pdf), status=f"not estimable: {e}")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, v = pdf[response].to_numpy(float), pdf[value].to_numpy(float)
-        a = np.column_stack([np.ones(len(y)), y, pdf[covariates].to_numpy(float)]) if covariates else np.column_stack([np.ones(len(y)), y])
-        f = linear.hc3(a, v)
-        n1, n0 = (y == 1).sum(), (y == 0).sum()
-        sd = np.sqrt(((n1 - 1) * v[y == 1].var(ddof=1) + (n0 - 1) * v[y == 0].var(ddof=1)) / (n1 + n0 - 2))
-        out = {"estimate": f["beta"][1], "se": f["se"][1], "lo": f["lo"][1], "hi": f["hi"][1], "p": f["p"][1], "standardized": f["beta"][1] / sd, "max_cooks": f["cooks"].max(), "max_leverage": f["leverage"].max(), "n": len(y), "loo_min": None, "loo_max": None, "sign_changes": None}
-        if with_influence:
-            i = linear.influence(a, v, sd)
-            out |= {k: i[k] for k in ("loo_min", "loo_max", "sign_changes")}
-        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, **out}])
-
-    return df.groupBy(*by).applyInPandas(run, f"{schema}, {ASSOCIATION}" + (", status string" if with_status else ""))
-
-
-INFLUENCE = "row_pos long, coefficient double, change double, sign_changed boolean, leverage double, cooks double, vif double"
-
-
-def influence_rows(df: DataFrame, by: list[str], value: str, response: str, covariates: list[str]) -> DataFrame:
-    """by and INFLUENCE: for each person the response's standardized coefficient without them, its change, leverage and Cook's distance; the response's variance inflation."""
-    schema = ", ".join(f"{c} {t}" for c, t in df.dtypes if c in by)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_pos", kind="stable")
-        y, v = pdf[response].to_numpy(float), pdf[value].to_numpy(float)
-        a = np.column_stack([np.ones(len(y)), y, *([pdf[covariates].to_numpy(float)] if covariates else [])])
-        f, sd = linear.hc3(a, v), linear.pooled_sd(v, y)
-        loo, whole = linear.leave_one_out(a, v) / sd, f["beta"][1] / sd
-        out = {"row_pos": pdf["row_pos"].to_numpy(), "coefficient": loo, "change": loo - whole, "sign_changed": np.sign(loo) != np.sign(whole), "leverage": f["leverage"], "cooks": f["cooks"], "vif": linear.inflation(a)[0]}
-        return pd.DataFrame({c: pdf[c].iloc[0] for c in by} | out)
-
-    return df.groupBy(*by).applyInPandas(run, f"{schema}, {INFLUENCE}")
-
-
 DEVELOPMENT = "draw long, model string, bag_auc double, bag_brier double, original_auc double, original_brier double, oob_auc double, oob_brier double, people int, c double, l1 double, status string"
 
 
