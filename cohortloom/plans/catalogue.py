@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.functions import columns as C
-from cohortloom.operators import assembly, contracts, metrics, ranking, regional, resampling, spatial, splits
+from cohortloom.operators import assembly, contracts, metrics, ranking, regional, resampling, spatial, splits, weights
 from cohortloom.sources import sinks, stats_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -672,8 +672,8 @@ def q_development_bootstrap(spark, d):
     from cohortloom.plans.prediction import Settings, development_bootstrap
 
     cohort = dense(design(spark, d))
-    draws = resampling.numpy_draws(spark, 8, cohort.count(), 20260921)
-    return development_bootstrap(draws, cohort, {m: COLUMNS[m] for m in ("C", "CP")}, BINARY, Settings(c_grid=(0.1, 1.0), l1_grid=(0.0, 0.5, 1.0)))
+    drawn = weights.weights(spark, cohort.count(), 8, 20260921)
+    return development_bootstrap(drawn, 8, cohort, {m: COLUMNS[m] for m in ("C", "CP")}, BINARY, Settings(c_grid=(0.1, 1.0), l1_grid=(0.0, 0.5, 1.0)))
 
 
 #: HC3 of v on y given english, a 0/1 column: residuals of y and v from their means by english have all that is needed. Group columns: {by}.
@@ -713,21 +713,6 @@ def q_influence(spark, d):
     return rounded(out, "estimate", "se", "standardized", "loo_min", "loo_max", "max_leverage", "max_cooks")
 
 
-def _maps(spark, d):
-    import numpy as np
-
-    # one study's matrix: 64 regions of each vector, as a kernel's argument
-    e = table(spark, d, "embeddings").orderBy("vec_id").select("embedding").toPandas()
-    return np.exp(np.array(e["embedding"].tolist(), float))
-
-
-def _clr(x):
-    import numpy as np
-
-    z = np.log(x)
-    return z - z.mean(axis=1, keepdims=True)
-
-
 def _centred(spark, d) -> DataFrame:
     """z: each vector's centred log ratios, the vector being the logarithms of a composition."""
     e = F.col("embedding").cast("array<double>")
@@ -744,80 +729,6 @@ def q_pc1(spark, d):
     return spark.createDataFrame([(k, round(float(v * s), 9), f["eigen1"], f["explained"]) for k, v in enumerate(f["loading"])], "region_pos long, loading double, eigen1 double, explained double")
 
 
-@query(None)
-def q_pc1_bootstrap(spark, d):
-    import numpy as np
-
-    from cohortloom.operators import pattern
-
-    x = _clr(_maps(spark, d))
-    f = pattern.first_component(x)
-    indices = np.random.default_rng(20260910).integers(0, len(x), (100, len(x)))
-    return pattern.bootstrap_components(spark, x, f["loading"] * pattern.sign_by_largest(f["loading"]), indices)
-
-
-def _atlas(spark, d):
-    """(coordinates, graph of one hemisphere, map) of 68 parcels made of the vectors' means by label and coordinate."""
-    import numpy as np
-
-    x = np.array([r.m for r in table(spark, d, "embeddings").select(F.posexplode("embedding").alias("k", "v")).groupBy("k").agg(F.avg(F.exp(F.col("v").cast("double"))).alias("m")).orderBy("k").collect()])
-    angle = np.linspace(0, 5 * np.pi, 34)
-    height = np.linspace(-0.95, 0.95, 34)
-    right = np.column_stack([np.sqrt(1 - height**2) * np.cos(angle), np.sqrt(1 - height**2) * np.sin(angle), height])
-    gap = np.linalg.norm(right[:, None] - right[None], axis=2)
-    np.fill_diagonal(gap, np.inf)
-    near = np.argsort(gap, axis=1, kind="stable")[:, :5]
-    w = np.zeros((34, 34))
-    w[np.arange(34)[:, None], near] = 1
-    return np.vstack([right, right * [-1, 1, 1]]), np.maximum(w, w.T), np.resize(np.log(x), 68)
-
-
-@query(None)
-def q_msr(spark, d):
-    """Spectral nulls of a map: each draw's correlation with it, and Moran's I of its halves."""
-    import numpy as np
-
-    from cohortloom.operators import pattern
-
-    _, w, x = _atlas(spark, d)
-    maps = pattern.hemisphere_nulls(x, w, pattern.random_signs(200, 33, 20260912))
-    rows = [(k, float(np.corrcoef(m, x)[0, 1]), float(pattern.moran(m[:34], w)[0]), float(pattern.moran(m[34:], w)[0])) for k, m in enumerate(maps)]
-    return spark.createDataFrame(rows, "draw long, r double, moran_right double, moran_left double")
-
-
-@query(None)
-def q_spin(spark, d):
-    """Spun maps' Spearman correlations with a fixed gradient and the tail probability of the unspun one."""
-    import numpy as np
-
-    from cohortloom.operators import pattern
-    from cohortloom.operators.linear import ranks
-
-    coords, _, x = _atlas(spark, d)
-    target = ranks(coords[:, 1])
-    values = spark.createDataFrame([(k, float(v)) for k, v in enumerate(ranks(x))], "pos int, value double")
-    t = spark.createDataFrame([("anterior", k, float(v)) for k, v in enumerate(target)], "target string, pos int, t double")
-    null = spatial.map_correlations(spatial.gather_spins(values, pattern.spins(spark, coords, 100, 20260913)), F.broadcast(t))
-    observed = float(np.corrcoef(ranks(x), target)[0, 1])
-    return null.groupBy("target").agg(F.lit(observed).alias("observed"), ranking.tail_p(F.col("r"), F.lit(observed)).alias("p"), F.avg("r").alias("null_mean"))
-
-
-@query(None)
-def q_dat_condition(spark, d):
-    """Partial Spearman correlations given hemisphere and gradients, with what the design leaves of each map."""
-    import numpy as np
-
-    from cohortloom.operators import pattern
-    from cohortloom.operators.linear import partial_spearman
-
-    coords, _, x = _atlas(spark, d)
-    z = pattern.nuisance(coords[:, 1:], 34)
-    others = np.column_stack([np.roll(x, k) for k in (1, 5, 9)])
-    r = partial_spearman(x, others, z)
-    kept = [pattern.retained(c, z) for c in others.T]
-    return spark.createDataFrame([(k, float(v), m["retained"], m["vif"]) for k, (v, m) in enumerate(zip(r, kept))], "target long, partial_rho double, retained double, vif double")
-
-
 @query(None)
 def q_profile_odds(spark, d):
     """Odds ratio of toxic text with profile bounds on each scanner, or why there is none."""
@@ -836,4 +747,4 @@ def q_profile_odds(spark, d):
     return design(spark, d).withColumn("one", F.lit(1.0)).groupBy("scanner").applyInPandas(run, "scanner double, status string, log_or double, lo double, hi double, lr double, p double")
 
 
-from cohortloom.plans import catalogue_more  # noqa: E402, F401  it adds its queries to QUERIES and SQL
+from cohortloom.plans import catalogue_more, catalogue_spatial  # noqa: E402, F401  they add their queries to QUERIES and SQL

@@ -218,21 +218,6 @@ def q_component_moments(spark, d):
     return rounded(spark.createDataFrame(rows, "i long, j long, cov double"), "cov")
 
 
-@query("SELECT draw, true AS norm_kept, true AS centred, true AS moran_kept FROM (SELECT unnest(range(200)) AS draw)")
-def q_msr_invariants(spark, d):
-    """Each spectral null keeps a hemisphere's mean, norm and spatial autocorrelation."""
-    import numpy as np
-
-    _, w, x = catalogue._atlas(spark, d)
-    maps = pattern.hemisphere_nulls(x, w, pattern.random_signs(200, 33, 20260912))
-    rows = []
-    for k, m in enumerate(maps):
-        halves = [(m[:34], x[:34]), (m[34:], x[34:])]
-        kept = lambda f: bool(all(np.isclose(f(a), f(b), rtol=1e-8, atol=1e-8) for a, b in halves))
-        rows.append((k, kept(lambda v: np.linalg.norm(v - v.mean())), kept(np.mean), kept(lambda v: float(pattern.moran(v, w)[0]))))
-    return spark.createDataFrame(rows, "draw long, norm_kept boolean, centred boolean, moran_kept boolean")
-
-
 @query("SELECT quantity, 60 AS valid, 60 AS total, true AS ordered FROM (SELECT unnest(['type_1', 'type_2', 'type_difference', 'response', 'region_0', 'region_1']) AS quantity)")
 def q_bridge_intervals(spark, d):
     """Sixty draws of a bridge: all fits valid, and each interval in order."""

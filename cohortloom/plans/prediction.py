@@ -158,17 +158,19 @@ def calibration_table(df: DataFrame, by: list[str]) -> DataFrame:
 DEVELOPMENT = "draw long, model string, bag_auc double, bag_brier double, original_auc double, original_brier double, oob_auc double, oob_brier double, people int, c double, l1 double, status string"
 
 
-def development_bootstrap(draws: DataFrame, cohort: DataFrame, columns: dict[str, list[str]], binary: set[str], settings: Settings = Settings()) -> DataFrame:
+def development_bootstrap(weights: DataFrame, draws: int, cohort: DataFrame, columns: dict[str, list[str]], binary: set[str], settings: Settings = Settings()) -> DataFrame:
     """DEVELOPMENT rows: each draw tunes (inner folds by person, copies together) and refits each model, and is judged on its bag, on all rows and out of the bag.
 
-    draws: draw, pos, row_pos. A draw with fewer than three people of a class is recorded with its reason, not redrawn.
-    The cohort, one study's table, is collected and goes along with the tasks.
+    weights: draw (0 to draws - 1), row_pos, weight, how often a draw has a row; rows of weight 0 may be left out. A draw
+    with fewer than three people of a class is recorded with its reason, not redrawn. The cohort meets the weights in
+    one join, and a task has the rows of one draw.
     """
-    whole = cohort.orderBy("row_pos").toPandas()
-    y_all, ids = whole["y"].to_numpy(int), whole["row_pos"].to_numpy()
-    where = {r: k for k, r in enumerate(ids)}
+    needed = sorted({c for names in columns.values() for c in names})
+    every = cohort.select("row_pos", "y", *[F.col(c).cast("double").alias(c) for c in needed]).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))))
+    rows = every.join(weights.select("draw", "row_pos", "weight"), ["draw", "row_pos"], "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
 
-    def one(draw: int, at: np.ndarray, model: str) -> dict:
+    def one(draw: int, whole: pd.DataFrame, at: np.ndarray, model: str) -> dict:
+        y_all = whole["y"].to_numpy(int)
         base = {"draw": draw, "model": model, "people": len(set(at))} | dict.fromkeys(("bag_auc", "bag_brier", "original_auc", "original_brier", "oob_auc", "oob_brier", "c", "l1"))
         names, began = columns[model], time.monotonic()
         kinds, x = np.array([c in binary for c in names]), whole[names].to_numpy(float)
@@ -205,7 +207,8 @@ def development_bootstrap(draws: DataFrame, cohort: DataFrame, columns: dict[str
         return base | {"bag_auc": none(ba), "bag_brier": bb, "original_auc": none(oa), "original_brier": ob, "oob_auc": none(xa), "oob_brier": xb, "c": best[1], "l1": best[2], "status": "PASS"}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = np.array([where[r] for r in pdf.sort_values("pos")["row_pos"]])
-        return pd.DataFrame([one(int(pdf["draw"].iloc[0]), at, m) for m in columns])
+        pdf = pdf.sort_values("row_pos", kind="stable").reset_index(drop=True)
+        at = np.repeat(np.arange(len(pdf)), pdf["weight"].to_numpy(int))
+        return pd.DataFrame([one(int(pdf["draw"].iloc[0]), pdf, at, m) for m in columns])
 
-    return draws.groupBy("draw").applyInPandas(run, DEVELOPMENT)
+    return rows.groupBy("draw").applyInPandas(run, DEVELOPMENT)
