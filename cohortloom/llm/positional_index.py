@@ -74,17 +74,49 @@ def build_index(docs: DataFrame, terms: DataFrame | None, folder: str) -> DataFr
 
 
 def _near(both: DataFrame, windows: DataFrame, items: DataFrame, postings: DataFrame, slop: int, folder: str) -> DataFrame:
-    """k1, k2, item of proximity matches: alignments at which NEAR_PERCENT of a window's terms are within slop places."""
+    """k1, k2, item of proximity matches: alignments at which NEAR_PERCENT of a window's terms are within slop places.
+
+    Windows of one alignment share their terms: each term is looked up once, in the one or two stretches of 2 slop + 1
+    places that hold the places near its own.
+    """
+    width, group = 2 * slop + 1, [*DOC, "item", "text_no", "delta"]
     at = both.join(runtime.if_small(windows.select("item", "text_no", "p1", "p2", "s", "len"), SMALL), ["item", "text_no", "p1", "p2"])
-    at = at.select(*DOC, "item", "text_no", "s", "len", "delta").distinct()
-    wanted = at.withColumn("q", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("len") - 1)))
-    wanted = wanted.join(runtime.if_small(items.select("item", "text_no", "q", "term"), SMALL), ["item", "text_no", "q"])
-    wanted = wanted.withColumn("off", F.explode(F.sequence(F.lit(-slop), F.lit(slop)))).withColumn("pos", F.col("delta") + F.col("q") + F.col("off"))
-    asked = runtime.written(both.select(*DOC).distinct(), folder, "near-asked")
-    there = postings.join(runtime.if_small(asked), DOC, "left_semi").select(*DOC, "pos", "term").distinct()
-    group = [*DOC, "item", "text_no", "s", "len", "delta"]
-    met = wanted.join(there, [*DOC, "pos", "term"]).select(*group, "q").distinct().groupBy(*group).agg(F.count(F.lit(1)).alias("met"))
-    return met.where(100 * F.col("met") >= NEAR_PERCENT * F.col("len")).select(*DOC, "item").distinct()
+    at = runtime.written(at.groupBy(*group).agg(F.collect_set("s").alias("starts"), F.first("len").alias("len")), folder, "near-windows")
+    terms = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("len") - 1))))
+    wanted = at.select(*group, F.explode(terms).alias("q"))
+    wanted = wanted.join(runtime.if_small(items.select("item", "text_no", "q", "term"), SMALL), ["item", "text_no", "q"]).withColumn("place", F.col("delta") + F.col("q"))
+    stretch = lambda x: F.floor(x / width).cast("int")
+    wanted = wanted.withColumn("stretch", F.explode(F.array_distinct(F.array(stretch(F.col("place") - slop), stretch(F.col("place") + slop)))))
+    asked = runtime.written(at.select(*DOC).distinct(), folder, "near-asked")
+    there = postings.join(runtime.if_small(asked), DOC, "left_semi").select(*DOC, "term", stretch(F.col("pos")).alias("stretch"), "pos").distinct()
+    met = wanted.join(there, [*DOC, "term", "stretch"]).where(F.abs(F.col("pos") - F.col("place")) <= slop)
+    met = met.groupBy(*group).agg(F.collect_set("q").alias("met")).join(at, group)
+    enough = F.exists("starts", lambda s: 100 * F.size(F.filter("met", lambda q: (q >= s) & (q < s + F.col("len")))) >= NEAR_PERCENT * F.col("len"))
+    return met.where(enough).select(*DOC, "item").distinct()
+
+
+def _aligned(lists: DataFrame, slop: int) -> DataFrame:
+    """k1, k2, item, text_no, p1, p2, delta, bits of alignments of the first anchor's list (side 1) that have a place of the second's
+    (side 2) within slop; bits 7: exactly there.
+
+    Alignments meet in stretches of 2 slop + 1. In a stretch's number the lowest bits say which of its alignments the
+    first list has, the next which from slop before to slop after it the second has: a bitwise or adds lists up.
+    """
+    width = 2 * slop + 1
+    if 2 * width + 2 * slop > 62:
+        raise ValueError("slop is at most 9")
+    key = [*DOC, "item", "text_no", "p1", "p2"]
+    stretch = lambda x: F.floor(x / width)
+    near = F.array_distinct(F.array(stretch(F.col("delta") - slop), stretch(F.col("delta") + slop)))
+    lists = lists.withColumn("stretch", F.explode(F.when(F.col("side") == 1, F.array(stretch(F.col("delta")))).otherwise(near)))
+    off = (F.col("delta") - F.col("stretch") * width).cast("int")
+    bit = F.expr("shiftleft(1L, _off)")
+    marked = lists.withColumn("_off", F.when(F.col("side") == 1, off).otherwise(off + slop + width)).select(*key, "stretch", bit.alias("bits"))
+    met = marked.groupBy(*key, "stretch").agg(F.bit_or("bits").alias("bits")).where(f"bits & {(1 << width) - 1} <> 0 and bits >> {width} <> 0")
+    each = met.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    each = each.where("shiftright(bits, k) & 1 = 1").where(f"shiftright(bits, k + {width}) & {(1 << width) - 1} <> 0")
+    exact = F.expr(f"shiftright(bits, k + {width + slop}) & 1 = 1")
+    return each.select(*key, (F.col("stretch") * width + F.col("k")).cast("int").alias("delta"), F.when(exact, 7).otherwise(3).alias("bits"))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP) -> DataFrame:
@@ -105,10 +137,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: i
     anchors = windows.select("item", "text_no", "p1", "p2", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("t1").alias("term"), F.col("p1").alias("q")), F.struct(F.lit(2).alias("side"), F.col("t2").alias("term"), F.col("p2").alias("q")))).alias("a")).select("item", "text_no", "p1", "p2", "a.*").distinct()
     anchors = runtime.written(anchors, folder, "anchors")
     lists = postings.join(runtime.if_small(anchors, SMALL), "term").withColumn("delta", F.col("pos") - F.col("q"))
-    # the second list is laid out over the places near its own, for proximity; bit 4: exactly there
-    off = F.explode(F.when(F.col("side") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(-slop), F.lit(slop))))
-    lists = lists.withColumn("off", off).select("item", "text_no", "p1", "p2", *DOC, (F.col("delta") + F.col("off")).alias("delta"), F.when(F.col("side") == 1, 1).when(F.col("off") == 0, 6).otherwise(2).alias("bits"))
-    both = lists.groupBy(*DOC, "item", "text_no", "p1", "p2", "delta").agg(F.bit_or("bits").alias("bits")).where("bits & 3 = 3")
+    both = _aligned(lists, slop)
     both = runtime.written(both, folder, "aligned")
     # the other terms of the windows that are aligned: what must be where
     aligned = both.where("bits = 7").join(runtime.if_small(windows.where("whole").select("item", "text_no", "p1", "p2", "s", "len"), SMALL), ["item", "text_no", "p1", "p2"])
