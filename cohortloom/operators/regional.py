@@ -68,14 +68,14 @@ def state_of(severity_: Column) -> Column:
     return F.element_at(F.array(F.lit("pass"), F.lit("attention"), F.lit("missing")), severity_ + 1)
 
 
-def label_sums(voxels: DataFrame, by: list[str], value: str = "pet", total: str = "double") -> DataFrame:
-    """by, label, n, k, s: measurements, valid ones (finite and above zero) and their sum. Sums of sums are sums: parts of a table can be summed apart.
+def label_sums(voxels: DataFrame, by: list[str], value: str = "pet", kind: str = "double") -> DataFrame:
+    """by, label, measured, valid, total: measurements, valid ones (finite and above zero) and their sum. Sums of sums are sums: parts of a table can be summed apart.
 
-    total: the sum's type; a decimal makes it independent of the order of rows and parts.
+    kind: the sum's type; a decimal makes it independent of the order of rows and parts.
     """
     v = F.col(value).cast("double")
     valid = F.when(finite(v) & (v > 0), v)
-    return voxels.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n"), F.count(valid).alias("k"), F.sum(valid.cast(total)).alias("s"))
+    return voxels.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("measured"), F.count(valid).alias("valid"), F.sum(valid.cast(kind)).alias("total"))
 
 
 def node_stats(voxels: DataFrame, hierarchy: DataFrame, by: list[str], value: str = "pet") -> DataFrame:
@@ -86,10 +86,10 @@ def node_stats(voxels: DataFrame, hierarchy: DataFrame, by: list[str], value: st
 def nodes_of(labels: DataFrame, hierarchy: DataFrame, by: list[str]) -> DataFrame:
     """For each group and node: left, right and pooled means, asymmetry and worst status.
 
-    labels: by, label, n, k, s as of label_sums(); hierarchy: label, side (L or R), node, composite. Pooled sums add
+    labels: by, label, measured, valid, total as of label_sums(); hierarchy: label, side (L or R), node, composite. Pooled sums add
     both sides' measurements. The hierarchy is broadcast where its size allows, as Spark decides.
     """
-    labels = labels.select(*by, "label", *[F.col(c).alias(f"_{c}") for c in "nks"]).join(hierarchy, "label")
+    labels = labels.select(*by, "label", F.col("measured").alias("_n"), F.col("valid").alias("_k"), F.col("total").alias("_s")).join(hierarchy, "label")
     sides = {"left": F.col("side") == "L", "right": F.col("side") == "R", "pooled": F.lit(True)}
     sums = [F.sum(F.when(m, F.col(f"_{c}"))).alias(f"_{c}_{name}") for name, m in sides.items() for c in ("n", "k", "s")]
     # nodes without any voxel stay, as missing

@@ -2,24 +2,80 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.functions.columns import correlation, required
+from cohortloom.functions.columns import correlation, finite, required
 from cohortloom.operators.ranking import average_ranks
 
 
+#: Halvings of a group's box: cells of the finest level are this power of two to a side.
+LEVELS = 20
+
+
 def nearest(points: DataFrame, k: int, by: list[str], pos: str = "pos", coords: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """by, src, dst, distance, rank: the k nearest others of each point within its group, ties by dst.
 
-    Groups are atlas hemispheres or other blocks of bounded size: all pairs within one are compared.
+    Exact, by cells. Each group's box is halved LEVELS times. A place looks one level (in more than four dimensions,
+    some levels) above the finest one at which its own cell has more than k points: those are within that cell's
+    diagonal, which is less than the side of a cell up there, so that the cells around its own have all that it looks
+    for. Points with a coordinate that isn't finite are left out. Points of one place are
+    one place with its k + 1 smallest dst, which are all that ties can ask for. Groups of any size and density are
+    compared cell with cell; a place in a sparse part meets the points of the cells around it, not the group's.
     """
-    a = points.select(*by, F.col(pos).alias("src"), *[F.col(c).alias(f"_a{i}") for i, c in enumerate(coords)])
-    b = points.select(*by, F.col(pos).alias("dst"), *[F.col(c).alias(f"_b{i}") for i, c in enumerate(coords)])
-    d2 = sum(((F.col(f"_a{i}") - F.col(f"_b{i}")) * (F.col(f"_a{i}") - F.col(f"_b{i}")) for i in range(1, len(coords))), (F.col("_a0") - F.col("_b0")) * (F.col("_a0") - F.col("_b0")))
-    pairs = a.join(b, by).where("src <> dst").withColumn("distance", F.sqrt(d2))
-    w = Window.partitionBy(*by, "src").orderBy("distance", "dst")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(*by, "src", "dst", "distance", "rank")
+    axes = [f"_c{i}" for i in range(len(coords))]
+    lift = math.ceil(math.log2(len(coords)) / 2)
+    flat = points.select(*by, F.col(pos).alias("_pos"), *[F.col(c).cast("double").alias(a) for c, a in zip(coords, axes)])
+    for a in axes:
+        flat = flat.where(finite(F.col(a)))
+    # the k + 1 smallest of each place: row numbers up to a limit are kept map-side
+    first = Window.partitionBy(*by, *axes).orderBy("_pos")
+    few = flat.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1).drop("_r")
+    sizes = flat.groupBy(*by, *axes).agg(F.count(F.lit(1)).alias("_n"))
+    box = sizes.groupBy(*by).agg(*[F.min(a).alias(f"_low{a}") for a in axes], F.greatest(*[F.max(a) - F.min(a) for a in axes], F.lit(0.0), F.lit(0.0)).alias("_side"))
+    placed = _same(sizes, box, by)
+    cell = lambda a: F.coalesce(F.least(F.floor((F.col(a) - F.col(f"_low{a}")) / F.nullif(F.col("_side"), F.lit(0.0)) * (1 << LEVELS)), F.lit((1 << LEVELS) - 1)), F.lit(0)).cast("long")
+    placed = placed.select(*by, *axes, "_n", *[cell(a).alias(f"_f{a}") for a in axes])
+    fine = [f"_f{a}" for a in axes]
+    # the finest level at which a place's cell has more than k points
+    levels = placed.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    cells = [f"_g{f}" for f in fine]
+    levels = levels.select(*by, *axes, "_n", "_level", *fine, *[F.expr(f"shiftright({f}, {LEVELS} - _level)").alias(f"_g{f}") for f in fine])
+    full = levels.groupBy(*by, "_level", *cells).agg(F.sum("_n").alias("_m")).where(F.col("_m") > k)
+    own = _same(levels, full, [*by, "_level", *cells]).groupBy(*by, *axes, *fine).agg(F.max("_level").alias("_own"))
+    # a group of no more than k points is looked through whole
+    asks = _same(placed.select(*by, *axes, *fine), own.drop(*fine), [*by, *axes], "left").withColumn("_level", F.greatest(F.coalesce(F.col("_own"), F.lit(0)) - lift, F.lit(0)))
+    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    for f in fine:
+        asks = asks.withColumn(f"_s{f}", F.explode(steps))
+    asks = asks.select(*by, *[F.col(a).alias(f"_a{a}") for a in axes], "_level", *[(F.expr(f"shiftright({f}, {LEVELS} - _level)") + F.col(f"_s{f}")).alias(f"_g{f}") for f in fine])
+    there = levels.select(*by, "_level", *cells, *axes)
+    pairs = _same(asks, there, [*by, "_level", *cells])
+    gap = [F.col(f"_a{a}") - F.col(a) for a in axes]
+    d2 = gap[0] * gap[0]
+    for g in gap[1:]:
+        d2 = d2 + g * g
+    near = _same(pairs.select(*by, *[f"_a{a}" for a in axes], *axes, F.sqrt(d2).alias("distance")), few, [*by, *axes]).select(*by, *[f"_a{a}" for a in axes], F.col("_pos").alias("dst"), "distance")
+    # a point's own place is among them: one more than k, and then the point itself is left out
+    of_place = Window.partitionBy(*by, *[f"_a{a}" for a in axes]).orderBy("distance", "dst")
+    near = near.withColumn("_r", F.row_number().over(of_place)).where(F.col("_r") <= k + 1).drop("_r")
+    near = near.select(*by, *[F.col(f"_a{a}").alias(a) for a in axes], "dst", "distance")
+    each = _same(flat.withColumnRenamed("_pos", "src"), near, [*by, *axes]).where("src <> dst")
+    of_point = Window.partitionBy(*by, "src").orderBy("distance", "dst")
+    return each.withColumn("rank", F.row_number().over(of_point)).where(F.col("rank") <= k).select(*by, "src", "dst", "distance", "rank")
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """a with b's other columns where the keys are the same, nulls included."""
+    if not keys:
+        return a.crossJoin(b)
+    other = b.select(*[F.col(c).alias(f"_k_{c}") for c in keys], *[c for c in b.columns if c not in keys])
+    on = F.col(keys[0]).eqNullSafe(F.col(f"_k_{keys[0]}"))
+    for c in keys[1:]:
+        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return a.join(other, on, how).drop(*[f"_k_{c}" for c in keys])
 
 
 def distinct_points(points: DataFrame, by: list[str], coords: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:

@@ -660,11 +660,31 @@ def q_cross_scanner(spark, d):
     return run_nested(cohort, splits.nested(outer, "y", 3, 7), {m: COLUMNS[m] for m in ("C", "CP")}, BINARY)
 
 
-@query(None)
+def _newton_sql(rows: str, by: str, steps: int, start: str, tag: str) -> list[str]:
+    """CTEs of Newton steps for two coefficients on columns o and z of `rows` (by, y, o, z, f: an offset), from the CTE `start`; {tag}{steps} has b0 and b1."""
+    out, last = [], start
+    for k in range(1, steps + 1):
+        out += [
+            f"{tag}s{k} AS (SELECT {by}, any_value(b0) AS b0, any_value(b1) AS b1, sum(o * (y - q)) AS g0, sum(z * (y - q)) AS g1, sum(o * o * q * (1 - q)) AS a, sum(o * z * q * (1 - q)) AS b, sum(z * z * q * (1 - q)) AS c FROM (SELECT *, 1 / (1 + exp(-(f + b0 * o + b1 * z))) AS q FROM {rows} JOIN {last} USING ({by})) GROUP BY {by})",
+            f"{tag}{k} AS MATERIALIZED (SELECT {by}, b0 + (c * g0 - b * g1) / (a * c - b * b) AS b0, b1 + (a * g1 - b * g0) / (a * c - b * b) AS b1 FROM {tag}s{k})",
+        ]
+        last = f"{tag}{k}"
+    return out
+
+
+_CAL = PRED + ", d0 AS MATERIALIZED (SELECT model, repeat, y, 1.0::DOUBLE AS o, ln(greatest(least(p, 1 - 1e-6), 1e-6) / (1 - greatest(least(p, 1 - 1e-6), 1e-6))) AS z, 0.0::DOUBLE AS f FROM m), i0 AS (SELECT DISTINCT model, repeat, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1 FROM d0), "
+# the offset alone: its equation has the one coefficient, and Newton's steps are g / a
+_LARGE, _last = [], "i0"
+for _k in range(1, 13):
+    _LARGE.append(f"l{_k} AS MATERIALIZED (SELECT model, repeat, any_value(b0) + sum(y - q) / sum(q * (1 - q)) AS b0, 0.0::DOUBLE AS b1 FROM (SELECT *, 1 / (1 + exp(-(z + b0))) AS q FROM d0 JOIN {_last} USING (model, repeat)) GROUP BY model, repeat)")
+    _last = f"l{_k}"
+
+
+@query(_CAL + ", ".join([*_newton_sql("d0", "model, repeat", 12, "i0", "j"), *_LARGE]) + " SELECT model, repeat, 'ESTIMABLE' AS status, round(l12.b0, 6) AS \"offset\", round(j12.b0, 6) AS intercept, round(j12.b1, 6) AS slope FROM j12 JOIN l12 USING (model, repeat)")
 def q_calibration_fit(spark, d):
-    from cohortloom.plans.prediction import calibration_table
+    from cohortloom.operators.newton import calibration
 
-    return calibration_table(predicted(spark, d), ["model", "repeat"])
+    return rounded(calibration(predicted(spark, d), ["model", "repeat"]), "offset", "intercept", "slope")
 
 
 @query(None)
@@ -729,22 +749,52 @@ def q_pc1(spark, d):
     return spark.createDataFrame([(k, round(float(v * s), 9), f["eigen1"], f["explained"]) for k, v in enumerate(f["loading"])], "region_pos long, loading double, eigen1 double, explained double")
 
 
-@query(None)
-def q_profile_odds(spark, d):
-    """Odds ratio of toxic text with profile bounds on each scanner, or why there is none."""
-    import pandas as pd
+def _logistic_sql(x: list[str], start: str, tag: str, steps: int, update: str) -> list[str]:
+    """CTEs of steps for coefficients b0, b1, .. on columns x of r (g, y, x) from the CTE `start`, whose other columns go along: each step has
+    the log-likelihood l, scores s0.., and the inverse information i00, i01, .. of up to three coefficients by cofactors; `update` makes the next ones."""
+    p, out, last = len(x), [], start
+    entry = lambda i, j: f"a{min(i, j)}{max(i, j)}"
+
+    def minor(i: int, j: int) -> str:
+        rows, cols = [k for k in range(p) if k != i], [k for k in range(p) if k != j]
+        m = entry(rows[0], cols[0]) if p == 2 else f"({entry(rows[0], cols[0])} * {entry(rows[1], cols[1])} - {entry(rows[0], cols[1])} * {entry(rows[1], cols[0])})"
+        return f"{'-' if (i + j) % 2 else ''}{m}"
+
+    for k in range(1, steps + 1):
+        eta = " + ".join(f"b{j} * {c}" for j, c in enumerate(x))
+        out += [
+            f"{tag}e{k} AS (SELECT *, 1 / (1 + exp(-({eta}))) AS q, {eta} AS eta FROM r JOIN {last} USING (g))",
+            f"{tag}f{k} AS (SELECT g, side, any_value(top) AS top, {', '.join(f'any_value(b{j}) AS b{j}' for j in range(p))}, sum(CASE WHEN y = 1 THEN -ln(1 + exp(-eta)) ELSE -ln(1 + exp(eta)) END) AS l, {', '.join(f'sum({c} * (y - q)) AS s{j}' for j, c in enumerate(x))}, {', '.join(f'sum({x[i]} * {x[j]} * q * (1 - q)) AS a{i}{j}' for i in range(p) for j in range(i, p))} FROM {tag}e{k} GROUP BY g, side)",
+            f"{tag}d{k} AS (SELECT *, {' + '.join(f'{entry(0, j)} * ({minor(0, j)})' for j in range(p))} AS det FROM {tag}f{k})",
+            f"{tag}v{k} AS (SELECT *, {', '.join(f'({minor(i, j)}) / det AS i{i}{j}' for i in range(p) for j in range(p))} FROM {tag}d{k})",
+            f"{tag}{k} AS MATERIALIZED (SELECT g, side, top, l, {update} FROM {tag}v{k})",
+        ]
+        last = f"{tag}{k}"
+    return out
 
-    from cohortloom.operators.linear import profile_interval
 
-    def run(pdf):
-        x = pdf[["one", "english", "log_chars"]].to_numpy()
-        try:
-            out = profile_interval(x, pdf["toxic"].to_numpy(), 2)
-        except (ValueError, ArithmeticError) as e:
-            out = {"status": f"{type(e).__name__}: {e}"}
-        return pd.DataFrame([{"scanner": pdf["scanner"].iloc[0], "status": out["status"], **{k: out.get(k) for k in ("log_or", "lo", "hi", "lr", "p")}}])
+def _product(p: int, i: int, v) -> str:
+    return "(" + " + ".join(f"i{i}{j} * ({v(j)})" for j in range(p)) + ")"
+
+
+_X3 = ["x0", "x1", "x2"]
+_PLAIN = lambda p: ", ".join(f"b{i} + {_product(p, i, lambda j: f's{j}')} AS b{i}" for i in range(p))
+_GAIN = " + ".join(f"s{i} * {_product(3, i, lambda j: f's{j}')}" for i in range(3))
+#: Half the 95 % point of the chi-square distribution of one degree of freedom.
+_DROP = 1.9207294103470482
+_FORCE = f"side * sqrt(greatest(2 * (l - top + {_DROP} + 0.5 * ({_GAIN})) / i22, 0))"
+_BOUNDED = ", ".join(f"b{i} + {_product(3, i, lambda j: f's{j}' + (f' + {_FORCE}' if j == 2 else ''))} AS b{i}" for i in range(3))
+_ODDS = S + ", r0 AS (SELECT CAST(substr(source, 4, 2) AS INT) % 2 AS g, toxic AS y, 1.0::DOUBLE AS x0, (lang = 'en')::INT::DOUBLE AS x1, ln(1 + n_chars) AS x2 FROM s), c AS (SELECT g, CASE WHEN count(DISTINCT y) < 2 THEN 'not estimable: single class' WHEN least(count(*) FILTER (x1 = 0 AND y = 0), count(*) FILTER (x1 = 0 AND y = 1), count(*) FILTER (x1 = 1 AND y = 0), count(*) FILTER (x1 = 1 AND y = 1)) = 0 THEN 'nonestimable_separation' ELSE 'estimated' END AS status FROM r0 GROUP BY g), r AS MATERIALIZED (SELECT r0.* FROM r0 JOIN c USING (g) WHERE status = 'estimated'), t0 AS (SELECT DISTINCT g, 0 AS side, 0.0::DOUBLE AS top, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM r), "
+
+
+@query(_ODDS + ", ".join([*_logistic_sql(_X3, "t0", "m", 13, _PLAIN(3)), *_logistic_sql(_X3[:2], "t0", "n", 13, _PLAIN(2)), f"u0 AS (SELECT g, unnest([-1, 1]) AS side, l AS top, b0 + 0 AS b0, b1 + 0 AS b1, b2 + 0 AS b2 FROM m13)", *_logistic_sql(_X3, "u0", "p", 14, _BOUNDED)]) + " SELECT g::DOUBLE AS scanner, status, round(m13.b2, 5) AS log_or, round(lo.b2, 5) AS lo, round(hi.b2, 5) AS hi, round(2 * (m13.l - n13.l), 5) AS lr FROM c LEFT JOIN m13 USING (g) LEFT JOIN n13 USING (g) LEFT JOIN (SELECT g, b2 FROM p14 WHERE side = -1) lo USING (g) LEFT JOIN (SELECT g, b2 FROM p14 WHERE side = 1) hi USING (g)")
+def q_profile_odds(spark, d):
+    """Odds ratio of toxic text with profile bounds on each scanner, or why there is none."""
+    from cohortloom.operators.newton import profile
 
-    return design(spark, d).withColumn("one", F.lit(1.0)).groupBy("scanner").applyInPandas(run, "scanner double, status string, log_or double, lo double, hi double, lr double, p double")
+    rows = design(spark, d).withColumns({"one": F.lit(1.0), "toxic": F.col("toxic").cast("int")})
+    out = profile(rows, ["scanner"], "toxic", ["one", "english", "log_chars"], "log_chars")
+    return out.select("scanner", "status", *[F.round(c, 5).alias(c) for c in ("log_or", "lo", "hi", "lr")])
 
 
 from cohortloom.plans import catalogue_more, catalogue_spatial  # noqa: E402, F401  they add their queries to QUERIES and SQL

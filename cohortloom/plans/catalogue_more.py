@@ -202,10 +202,10 @@ def q_joint_inner(spark, d):
 @query(PRED + " SELECT model, repeat, true AS solved FROM m GROUP BY ALL")
 def q_calibration_solved(spark, d):
     """The fitted offsets and slopes solve their equations: shifted probabilities have the outcome's mean, residuals are orthogonal."""
-    from cohortloom.plans.prediction import calibration_table
+    from cohortloom.operators.newton import calibration
 
     rows = predicted(spark, d)
-    fits = calibration_table(rows, ["model", "repeat"]).where("status = 'ESTIMABLE'")
+    fits = calibration(rows, ["model", "repeat"]).where("status = 'ESTIMABLE'")
     z = C.logit(F.col("p"))
     both = rows.join(fits, ["model", "repeat"]).withColumns({"r1": F.col("y") - C.expit(z + F.col("offset")), "r2": F.col("y") - C.expit(F.col("intercept") + F.col("slope") * z)})
     return both.groupBy("model", "repeat").agg(((F.abs(F.avg("r1")) < 1e-8) & (F.abs(F.avg("r2")) < 1e-8) & (F.abs(F.avg(F.col("r2") * z)) < 1e-7)).alias("solved"))

@@ -145,16 +145,6 @@ def results(predictions: DataFrame) -> DataFrame:
     return predictions
 
 
-def calibration_table(df: DataFrame, by: list[str]) -> DataFrame:
-    """by, status, offset, intercept, slope of (y, p) in each group of one cohort's size."""
-    schema = ", ".join(f"{c} {t}" for c, t in df.dtypes if c in by)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in by}, **linear.calibrate(pdf["y"].to_numpy(), pdf["p"].to_numpy())}])
-
-    return df.groupBy(*by).applyInPandas(run, f"{schema}, status string, offset double, intercept double, slope double")
-
-
 DEVELOPMENT = "draw long, model string, bag_auc double, bag_brier double, original_auc double, original_brier double, oob_auc double, oob_brier double, people int, c double, l1 double, status string"
 
 

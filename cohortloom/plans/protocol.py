@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators import metrics, resampling, splits
 from cohortloom.operators.contracts import ContractError
-from cohortloom.plans.prediction import Settings, calibration_table, results, run_nested
+from cohortloom.operators.newton import calibration
+from cohortloom.plans.prediction import Settings, results, run_nested
 
 #: Pairs (base, added) that are compared.
 COMPARISONS = (("C", "CT"), ("C", "CP"), ("CP", "CPT"), ("CT", "CPT"))
@@ -80,7 +81,7 @@ def summarize(spark: SparkSession, folder: str, models: list[str], settings: Set
     return {
         "performance": metrics.measures(mean, "y", "p", ["model"]),
         "repeats": metrics.measures(got, "y", "p", ["model", "repeat"]),
-        "calibration": calibration_table(mean.select("model", "y", "p"), ["model"]),
+        "calibration": calibration(mean.select("model", "y", "p"), ["model"]),
         "decision": metrics.decision_curve(mean, "y", "p", list(settings.thresholds), ["model"]),
         "intervals": resampling.model_intervals(drawn),
         "comparisons": resampling.difference_intervals(resampling.paired_differences(drawn, pairs)),

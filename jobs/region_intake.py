@@ -29,7 +29,7 @@ from cohortloom.operators import regional
 
 log = logging.getLogger("jobs.region_intake")
 TOTAL = "decimal(38,6)"
-SUMS = f"subject string, label long, n long, k long, s {TOTAL}, batch long"
+SUMS = f"subject string, label long, measured long, valid long, total {TOTAL}, batch long"
 NODES = "subject string, node string, left double, right double, pooled double, asymmetry double, status string, composite string"
 
 
@@ -62,7 +62,7 @@ def take(spark: SparkSession, measurements: str, output: str, config: Config) ->
         taken = df.select(F.col(config.subject).cast("string").alias("subject"), F.col(config.label).cast("long").alias("label"), F.col(config.value).alias("value"))
         sums = regional.label_sums(taken, ["subject"], "value", TOTAL).withColumn("batch", F.lit(number))
         sums.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{output}/sums")
-        n = spark.read.schema(SUMS).parquet(f"{output}/sums").where(F.col("batch") == number).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        n = spark.read.schema(SUMS).parquet(f"{output}/sums").where(F.col("batch") == number).agg(F.coalesce(F.sum("measured"), F.lit(0))).first()[0]
         log.info("batch %s: %s measurements", number, n)
         rows += n
 
@@ -81,7 +81,7 @@ def hierarchy(spark: SparkSession, supplier: str, nation: str, region: str) -> D
 
 def nodes(sums: DataFrame, labels: DataFrame, digits: int) -> DataFrame:
     """NODES of all batches' sums."""
-    whole = sums.groupBy("subject", "label").agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum("s").cast(TOTAL).alias("s"))
+    whole = sums.groupBy("subject", "label").agg(F.sum("measured").alias("measured"), F.sum("valid").alias("valid"), F.sum("total").cast(TOTAL).alias("total"))
     return regional.nodes_of(whole, labels, ["subject"]).withColumns({c: F.round(c, digits) for c in ("left", "right", "pooled")} | {"asymmetry": F.round("asymmetry", digits + 2)})
 
 

@@ -49,7 +49,7 @@ def test_intake_takes_only_what_is_new(spark, tmp_path, caplog):
     told = [r.getMessage() for r in caplog.records if "new measurements" in r.getMessage()]
     assert [int(m.split()[1]) for m in told] == [0, first.count(), second.count(), 0]
     sums = spark.read.schema(region_intake.SUMS).parquet(f"{output}/sums")
-    assert sums.select("batch").distinct().count() == 3 and sums.agg(F.sum("n")).first()[0] == rows.count()
+    assert sums.select("batch").distinct().count() == 3 and sums.agg(F.sum("measured")).first()[0] == rows.count()
     assert half != whole == same(nodes(spark, output))
     # at once, in one batch: the same
     region_intake.run(spark, f"{DIR}/lineitem.parquet", *hierarchy(), f"{output}-once")
@@ -66,13 +66,13 @@ def test_a_batch_that_is_repeated_counts_once(spark, tmp_path):
         f.unlink()
     run()
     assert same(nodes(spark, f"file://{output}")) == before
-    assert spark.read.schema(region_intake.SUMS).parquet(f"file://{output}/sums").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{DIR}/lineitem.parquet").count()
+    assert spark.read.schema(region_intake.SUMS).parquet(f"file://{output}/sums").agg(F.sum("measured")).first()[0] == spark.read.parquet(f"{DIR}/lineitem.parquet").count()
 
 
 def test_sums_of_parts_are_sums(spark):
     rows = spark.createDataFrame([("a", 1, 0.1), ("a", 1, 0.2), ("a", 1, 0.3), ("a", 1, 0.0), ("a", 1, float("nan")), ("a", 1, None), ("a", 2, -5.0)], "subject string, label long, pet double")
-    whole = regional.label_sums(rows, ["subject"], total="decimal(38,6)")
-    assert sorted(map(tuple, whole.select("label", "n", "k", F.col("s").cast("double")).collect())) == [(1, 6, 3, 0.6), (2, 1, 0, None)]
+    whole = regional.label_sums(rows, ["subject"], kind="decimal(38,6)")
+    assert sorted(map(tuple, whole.select("label", "measured", "valid", F.col("total").cast("double")).collect())) == [(1, 6, 3, 0.6), (2, 1, 0, None)]
 
 
 def test_a_file_s_pattern_matches_it_alone():
