@@ -3,8 +3,8 @@
 Objective: mean log-loss + a sum|b| + (b'b) c / 2 over penalized coefficients,
 a = l1 / (C n), c = (1 - l1) / (C n); the intercept and unpenalized columns
 carry no penalty. Each outer step minimizes the penalized quadratic model by
-coordinate descent, then exactly on the support that it found, and searches
-along the line to it. A fit counts only with its first-order residual and its
+coordinate descent, then exactly on the support that it found, and goes along
+the line to it as far as the gain keeps up with what the slope promises. A fit counts only with its first-order residual and its
 duality gap within fixed bounds.
 """
 
@@ -73,6 +73,21 @@ class _Problem:
         free = (self.a == 0) & (self.c == 0)
         return self.value(w) - float(entropy - conjugate), float(np.max(np.abs(score[free]), initial=0.0))
 
+    def along(self, w: np.ndarray, value: float, g: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, float] | None:
+        """(point, value) of the longest of d, d / 2, .. that gains a tenth of what the slope along it promises; None if none does.
+
+        Where the promise is smaller than values can tell apart, the whole step counts if it lowers the first-order residual.
+        """
+        promise = float(g @ d + self.a @ (np.abs(w + d) - np.abs(w)))
+        if promise > -1e-13 * (1 + abs(value)):
+            whole = w + d
+            return (whole, self.value(whole)) if self.residual(whole, self.slope(whole)) < self.residual(w, g) else None
+        for share in 0.5 ** np.arange(40):
+            here = self.value(w + share * d)
+            if here <= value + 0.1 * share * promise:
+                return w + share * d, here
+        return None
+
     def model_minimum(self, w: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
         """The minimizer of the quadratic model at w plus the absolute values."""
         v, pull = w.copy(), g.copy()  # pull: the model's slope at v
@@ -109,33 +124,17 @@ def fit(x: np.ndarray, y: np.ndarray, c: float, l1: float, penalized: np.ndarray
     p = _Problem(x - middle, y, l1 * weight, (1 - l1) * weight)
     w = np.zeros(x.shape[1] + 1)
     w[0] = np.log(y.mean() / (1 - y.mean()))
-    steps, value = 0, p.value(w)
-    while True:
-        g = p.slope(w)
-        r = p.residual(w, g)
-        if r <= TARGET or steps >= limit:
-            break
-        q = _expit(p.x @ w)
-        h = (p.x * (q * (1 - q))[:, None]).T @ p.x / n + np.diag(p.c)
-        to = p.model_minimum(w, g, h)
-        size, steps = 1.0, steps + 1
-        while size > 1e-10:
-            new = to if size == 1 else w + size * (to - w)
-            next_value = p.value(new)
-            if next_value < value or (next_value <= value + 4e-16 and p.residual(new, p.slope(new)) < r):
-                break
-            size /= 2
-        else:
-            break
-        w, value = new, next_value
-    # the unpenalized part alone, so that predictions balance to the last digits
     free = (p.a == 0) & (p.c == 0)
-    for _ in range(20):
+    steps, value, g = 0, p.value(w), p.slope(w)
+    # columns without a penalty are held to their own, closer bound: predictions balance to the last digits
+    while steps < limit and not (p.residual(w, g) <= TARGET and np.abs(g[free]).max() <= BALANCE / 4):
         q = _expit(p.x @ w)
-        off = p.x[:, free].T @ (q - y) / n
-        if np.abs(off).max() < 2e-16:
+        h = (p.x * (q * (1 - q))[:, None]).T @ p.x / n + np.diag(p.c)
+        taken = p.along(w, value, g, p.model_minimum(w, g, h) - w)
+        if taken is None:
             break
-        w[free] -= np.linalg.solve((p.x[:, free] * (q * (1 - q))[:, None]).T @ p.x[:, free] / n, off)
+        (w, value), steps = taken, steps + 1
+        g = p.slope(w)
     gap, balance = p.gap(w)
     kkt = p.residual(w, p.slope(w))
     if not (kkt <= ACCEPT and -1e-12 <= gap <= GAP and balance <= BALANCE):
@@ -143,22 +142,40 @@ def fit(x: np.ndarray, y: np.ndarray, c: float, l1: float, penalized: np.ndarray
     return Fit(float(w[0] - middle @ w[1:]), w[1:].copy(), kkt, gap, value, steps)
 
 
-def proximal(x: np.ndarray, y: np.ndarray, c: float, l1: float, rounds: int = 20_000) -> Fit:
-    """The same objective by accelerated proximal gradients from zero: an independent check, never used to choose."""
+def proximal(x: np.ndarray, y: np.ndarray, c: float, l1: float, penalized: np.ndarray | None = None, rounds: int = 20_000) -> Fit:
+    """The same objective by another route, an independent check that is never used to choose: the intercept and unpenalized
+    columns are minimized out at every point by Newton steps of their own, and the function that is left, of penalized
+    coefficients alone, by accelerated proximal gradients from zero."""
     x, y = np.asarray(x, float), np.asarray(y, float)
-    n = len(y)
-    middle, scale = x.mean(axis=0), 1.0
-    weight = np.concatenate(([0.0], np.full(x.shape[1], 1 / (c * n))))
-    p = _Problem((x - middle) * scale, y, l1 * weight, (1 - l1) * weight)
-    rate = 1 / (np.linalg.norm(p.x, 2) ** 2 / (4 * n) + p.c.max())
-    w = last = np.zeros(x.shape[1] + 1)
-    t = 1.0
+    n, mask = len(y), np.ones(x.shape[1], bool) if penalized is None else np.asarray(penalized, bool)
+    middle = x.mean(axis=0)
+    weight = np.concatenate(([0.0], mask / (c * n)))
+    p = _Problem(x - middle, y, l1 * weight, (1 - l1) * weight)
+    free, held = np.flatnonzero(weight == 0), np.flatnonzero(weight > 0)
+
+    def settled(w: np.ndarray) -> np.ndarray:
+        """w with its free part at the minimum for its penalized part."""
+        w = w.copy()
+        for _ in range(30):
+            q = _expit(p.x @ w)
+            off = p.x[:, free].T @ (q - y) / n
+            if np.abs(off).max() < 1e-13:
+                break
+            w[free] -= np.linalg.solve((p.x[:, free] * (q * (1 - q))[:, None]).T @ p.x[:, free] / n, off)
+        return w
+
+    rate = 1 / (np.linalg.norm(p.x[:, held], 2) ** 2 / (4 * n) + p.c.max(initial=0.0)) if len(held) else 0.0
+    w = last = settled(np.zeros(x.shape[1] + 1))
+    t, k = 1.0, 0
     for k in range(rounds):
         t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        z = w + (t - 1) / t_next * (w - last)
-        g = p.slope(z)
-        last, w, t = w, _shrink(z - rate * g, rate * p.a), t_next
-        if (w - last) @ (z - w) > 0:  # overshot: forget the momentum
+        z = w.copy()
+        z[held] += (t - 1) / t_next * (w[held] - last[held])
+        z = settled(z)
+        new = z.copy()
+        new[held] = _shrink(z[held] - rate * p.slope(z)[held], rate * p.a[held])
+        last, w, t = w, settled(new), t_next
+        if (w - last)[held] @ (z - w)[held] > 0:  # overshot: forget the momentum
             t = 1.0
         if k % 50 == 0 and p.residual(w, p.slope(w)) < 1e-10:
             break

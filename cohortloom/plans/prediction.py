@@ -73,6 +73,7 @@ def ablations(pet: list[str], drop: tuple[int, ...] = (0, 4)) -> dict[str, list[
     return {"full": pet, **{f"without_{pet[k]}": [c for i, c in enumerate(pet) if i != k] for k in drop}, "without_both": [c for i, c in enumerate(pet) if i not in drop]}
 
 
+#: audit: training positions and coefficients of a task, in the first of its rows.
 RESULT = "model string, repeat int, fold int, row_pos long, y int, p double, c double, l1 double, inner_brier double, kkt double, gap double, fits int, agreement double, status string, audit string"
 
 
@@ -115,13 +116,13 @@ def task_kernel(columns: dict[str, list[str]], binary: set[str], c_grid, l1_grid
             again = elastic_net.fit(prep(x), y, c, l1, m)
             if not np.array_equal(again.coef, final.coef) or again.intercept != final.intercept:
                 raise ArithmeticError("a repeated fit differs")
-            if verify and m is None:
-                other = elastic_net.proximal(prep(x), y, c, l1)
+            if verify:
+                other = elastic_net.proximal(prep(x), y, c, l1, m)
                 agreement = float(np.max(np.abs(other.probabilities(prep(tx)) - p)))
                 if agreement > 1e-5 or abs(other.objective - final.objective) > 1e-10:
                     raise ArithmeticError(f"an independent fit differs by {agreement:.3g}")
             audit = json.dumps({"train": train["row_pos"].tolist(), "dropped": [n for n, keep in zip(names, prep.keep) if not keep], "coefficients": dict(zip(np.array(names)[prep.keep].tolist(), final.coef.tolist())), "intercept": final.intercept})
-            return pd.DataFrame(base | {"p": p, "c": c, "l1": l1, "inner_brier": score, "kkt": final.kkt, "gap": final.gap, "fits": fits + 1, "agreement": agreement, "status": "PASS", "audit": audit})
+            return pd.DataFrame(base | {"p": p, "c": c, "l1": l1, "inner_brier": score, "kkt": final.kkt, "gap": final.gap, "fits": fits + 1, "agreement": agreement, "status": "PASS", "audit": [audit] + [None] * (len(test) - 1)})
         except (ValueError, ArithmeticError, TimeoutError) as e:
             none = {k: None for k in ("p", "c", "l1", "inner_brier", "kkt", "gap", "agreement", "audit")}
             return pd.DataFrame(base | none | {"fits": 0, "status": f"{type(e).__name__}: {e}"})

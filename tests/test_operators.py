@@ -116,6 +116,11 @@ def test_elastic_net_masks_and_separation():
     z = np.column_stack([x, scanner])
     free = elastic_net.fit(z, y, 0.001, 1.0, np.array([True] * 6 + [False]))
     assert (free.coef[:6] == 0).all() and free.coef[6] != 0
+    mask = np.array([True, True, False, True, True, True, False])
+    for c in (0.001, 0.1, 3.0):
+        for l1 in (0.0, 0.5, 1.0):
+            f, g = elastic_net.fit(z, y, c, l1, mask), elastic_net.proximal(z, y, c, l1, mask)
+            assert f.kkt <= 1e-8 and np.abs(f.probabilities(z) - g.probabilities(z)).max() < 1e-5 and abs(f.objective - g.objective) < 1e-10
     everything = elastic_net.fit(z, y, 0.3, 0.5, np.ones(7, bool))
     assert np.allclose(everything.coef, elastic_net.fit(z, y, 0.3, 0.5).coef, atol=1e-12)
     with pytest.raises(elastic_net.NotCertified):
