@@ -177,7 +177,7 @@ def proximal(x: np.ndarray, y: np.ndarray, c: float, l1: float, penalized: np.nd
         last, w, t = w, settled(new), t_next
         if (w - last)[held] @ (z - w)[held] > 0:  # overshot: forget the momentum
             t = 1.0
-        if k % 50 == 0 and p.residual(w, p.slope(w)) < 1e-10:
+        if k % 10 == 0 and p.residual(w, p.slope(w)) < 1e-10:
             break
     return Fit(float(w[0] - middle @ w[1:]), w[1:].copy(), p.residual(w, p.slope(w)), float("nan"), p.value(w), k)
 

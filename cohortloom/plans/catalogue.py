@@ -417,11 +417,11 @@ def q_two_family_q(spark, d):
     return df.select("family", "part", "doc_id", F.round("q", 9).alias("q"), F.round("q_joint", 9).alias("q_joint"))
 
 
-@query("WITH g AS (SELECT f, pow(10.0::DOUBLE, c - 3) AS c, l / 4.0::DOUBLE AS l1, round(((f + 3) * (c + 1) * (l + 2)) % 7 / 10.0::DOUBLE, 1) + 1e-9 * l AS mean_brier FROM range(20) a(f), range(6) b(c), range(5) e(l)), m AS (SELECT *, min(mean_brier) OVER (PARTITION BY f) AS best FROM g) SELECT f, c, l1, round(mean_brier, 6) AS mean_brier FROM m WHERE mean_brier <= best + 1e-8 QUALIFY row_number() OVER (PARTITION BY f ORDER BY c, l1) = 1")
+@query("WITH g AS (SELECT l_suppkey AS f, CAST(l_quantity AS BIGINT) % 6 AS c, l_linenumber AS l1, sum(CAST(round(l_discount * 100) AS BIGINT)) % 7 / 10.0::DOUBLE + 1e-9 * any_value(l_linenumber) AS mean_brier FROM lineitem GROUP BY 1, 2, 3), m AS (SELECT *, min(mean_brier) OVER (PARTITION BY f) AS best FROM g) SELECT f, c, l1, round(mean_brier, 6) AS mean_brier FROM m WHERE mean_brier <= best + 1e-8 QUALIFY row_number() OVER (PARTITION BY f ORDER BY c, l1) = 1")
 def q_argmin_tie(spark, d):
-    g = spark.range(600).select(F.expr("id div 30").alias("f"), F.expr("id div 5 % 6").alias("c"), (F.col("id") % 5).alias("l"))
-    v = F.round(((F.col("f") + 3) * (F.col("c") + 1) * (F.col("l") + 2)) % 7 / 10.0, 1) + 1e-9 * F.col("l")
-    g = g.select("f", F.pow(F.lit(10.0), F.col("c") - 3).alias("c"), (F.col("l") / 4.0).alias("l1"), v.alias("mean_brier"))
+    """Candidates of each supplier, many of them tied within the tolerance: the smallest c, then l1."""
+    li = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("f"), (F.col("l_quantity").cast("long") % 6).alias("c"), F.col("l_linenumber").alias("l1"))
+    g = li.agg((F.sum(F.round(F.col("l_discount") * 100).cast("long")) % 7 / 10.0 + 1e-9 * F.col("l1")).alias("mean_brier"))
     return rounded(ranking.tolerant_minimum(g, "mean_brier", ["f"], ["c", "l1"]), "mean_brier")
 
 
@@ -505,10 +505,13 @@ def q_spearman(spark, d):
     return rounded(spatial.spearman(x, "n_chars", "b", ["source"]), "rho")
 
 
-@query("SELECT 20 AS draws, 20 AS distinct_permutations, 1 AS identities, 0 AS not_permutations")
+@query("WITH s AS (SELECT vec_id, CASE vec_id % 50 WHEN 0 THEN range(64) WHEN 1 THEN list_concat([0, 0], range(2, 64)) ELSE (SELECT list(k ORDER BY v, k) FROM (SELECT unnest(range(64)) AS k, unnest(embedding) AS v)) END AS perm FROM embeddings) SELECT count(*) AS draws, count(DISTINCT perm) AS distinct_permutations, count(*) FILTER (perm = range(64)) AS identities, count(*) FILTER (list_sort(perm) <> range(64)) AS not_permutations FROM s")
 def q_permutations(spark, d):
-    spins = spark.range(20).select(F.col("id").alias("draw"), F.transform(F.sequence(F.lit(0), F.lit(33)), lambda k: ((k * (2 * F.expr("id % 2") + 1) + F.expr("id")) % 34).cast("smallint")).alias("perm"))
-    return spatial.permutation_counts(spins, 34).select(*[F.col(c).cast("int").alias(c) for c in ("draws", "distinct_permutations", "identities", "not_permutations")])
+    """Orders of each vector's components as permutations; some are the identity, some have a place twice."""
+    order = F.transform(F.array_sort(F.transform("embedding", lambda v, k: F.struct(v.alias("v"), k.alias("k")))), lambda x: x["k"])
+    whole, twice = F.sequence(F.lit(0), F.lit(63)), F.concat(F.array(F.lit(0), F.lit(0)), F.sequence(F.lit(2), F.lit(63)))
+    spins = table(spark, d, "embeddings").select(F.col("vec_id").alias("draw"), F.when(F.col("vec_id") % 50 == 0, whole).when(F.col("vec_id") % 50 == 1, twice).otherwise(order).alias("perm"))
+    return spatial.permutation_counts(spins, 64)
 
 
 # --- resampling and splits
@@ -535,10 +538,10 @@ def q_bootstrap_paired(spark, d):
     return out.withColumns({"lo": F.round("lo", 9), "hi": F.round("hi", 9)})
 
 
-@query("WITH d AS (SELECT 0.7 + 0.01 * g AS ba, 0.68 + 0.008 * g AS oa, 0.2 - 0.002 * g AS bb, 0.21 - 0.001 * g AS ob FROM range(10) a(g)) SELECT round(avg(ba - oa), 9) AS auc_optimism, round(avg(ob - bb), 9) AS brier_optimism, round(0.75 - avg(ba - oa), 9) AS corrected_auc, round(0.19 + avg(ob - bb), 9) AS corrected_brier FROM d")
+@query("WITH d AS (SELECT l_suppkey, avg(l_quantity) / 50 AS ba, avg(l_tax) * 10 AS oa, avg(l_discount) AS bb, avg(l_tax) AS ob FROM lineitem GROUP BY 1) SELECT round(avg(ba - oa), 9) AS auc_optimism, round(avg(ob - bb), 9) AS brier_optimism, round(0.75 - avg(ba - oa), 9) AS corrected_auc, round(0.19 + avg(ob - bb), 9) AS corrected_brier FROM d")
 def q_optimism_arith(spark, d):
-    g = F.col("id")
-    rows = spark.range(10).select((0.7 + 0.01 * g).alias("bag_auc"), (0.68 + 0.008 * g).alias("original_auc"), (0.2 - 0.002 * g).alias("bag_brier"), (0.21 - 0.001 * g).alias("original_brier"))
+    """Suppliers play draws, their means the measures of bag and original."""
+    rows = table(spark, d, "lineitem").groupBy("l_suppkey").agg((F.avg("l_quantity") / 50).alias("bag_auc"), (F.avg("l_tax") * 10).alias("original_auc"), F.avg("l_discount").alias("bag_brier"), F.avg("l_tax").alias("original_brier"))
     out = resampling.optimism(rows, 0.75, 0.19)
     return out.withColumns({c: F.round(c, 9) for c in out.columns})
 

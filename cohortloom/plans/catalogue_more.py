@@ -154,14 +154,27 @@ def q_design_table(spark, d):
     return rounded(families.design_table(cohort, ["n_chars"], ["log_chars"]).select("doc_id", "z_n_chars", "z_log_chars"), "z_n_chars", "z_log_chars")
 
 
-@query("WITH v AS (SELECT unnest(range(1, 8)) AS i, unnest(['wholeBrain', 'cerebellarCortex', 'petprep', 'same_seg_noPVC', 'PVC4', 'PVC5.4', 'PVC6']) AS v), m AS (SELECT unnest(['CP', 'CPT']) AS m), f AS (SELECT v || '_' || m AS a, 'CORE_' || m AS b FROM v, m WHERE i <= 4 UNION ALL SELECT v || '_' || m, 'same_seg_noPVC_' || m FROM v, m WHERE i <= 3), o AS (SELECT v || '_CP' AS a, 'CORE_C' AS b FROM v UNION ALL SELECT v || '_CPT', v || '_CP' FROM v) SELECT a, b FROM f UNION ALL SELECT a, b FROM o")
+VARIANT_SQL = "WITH v AS (SELECT unnest(range(1, 8)) AS i, unnest(['wholeBrain', 'cerebellarCortex', 'petprep', 'same_seg_noPVC', 'PVC4', 'PVC5.4', 'PVC6']) AS v), m AS (SELECT unnest(['CP', 'CPT']) AS m), f AS (SELECT v || '_' || m AS a, 'CORE_' || m AS b FROM v, m WHERE i <= 4 UNION ALL SELECT v || '_' || m, 'same_seg_noPVC_' || m FROM v, m WHERE i <= 3), o AS (SELECT v || '_CP' AS a, 'CORE_C' AS b FROM v UNION ALL SELECT v || '_CPT', v || '_CP' FROM v), p AS (SELECT a, b FROM f UNION ALL SELECT a, b FROM o)"
+
+
+@query(VARIANT_SQL + ", n AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS k FROM (SELECT a AS name FROM p UNION SELECT b FROM p)), x AS (SELECT p_partkey % (SELECT count(*) FROM n) AS k, avg(p_retailprice) AS v FROM part GROUP BY 1), y AS (SELECT name, v FROM n JOIN x USING (k)) SELECT p.a, p.b, round(ya.v - yb.v, 6) AS difference FROM p JOIN y ya ON ya.name = p.a JOIN y yb ON yb.name = p.b")
 def q_comparison_list(spark, d):
-    return spark.createDataFrame(families.processing_comparisons(), "a string, b string")
+    """The 28 comparisons of models, parts' mean prices playing the models' results."""
+    pairs = families.processing_comparisons()
+    names = sorted({n for p in pairs for n in p})
+    numbered = spark.createDataFrame(list(enumerate(names)), "k long, name string")
+    values = table(spark, d, "part").groupBy((F.col("p_partkey") % len(names)).alias("k")).agg(F.avg("p_retailprice").alias("v")).join(numbered, "k")
+    one, two = (values.select(F.col("name").alias(c), F.col("v").alias(f"v{c}")) for c in "ab")
+    listed = spark.createDataFrame(pairs, "a string, b string").join(one, "a").join(two, "b")
+    return listed.select("a", "b", F.round(F.col("va") - F.col("vb"), 6).alias("difference"))
 
 
-@query("SELECT v || '_' || m AS name, v AS variant, m AS model, n AS n_columns FROM (SELECT unnest(['wholeBrain', 'cerebellarCortex', 'petprep', 'same_seg_noPVC', 'PVC4', 'PVC5.4', 'PVC6']) AS v), (SELECT unnest(['CP', 'CPT']) AS m, unnest([4, 5]) AS n)")
+@query("SELECT v || '_' || m AS name, v AS variant, m AS model, n AS n_columns, (SELECT count(*) FROM part WHERE p_partkey % 14 = 2 * i + j) AS parts FROM (SELECT unnest(range(7)) AS i, unnest(['wholeBrain', 'cerebellarCortex', 'petprep', 'same_seg_noPVC', 'PVC4', 'PVC5.4', 'PVC6']) AS v), (SELECT unnest(range(2)) AS j, unnest(['CP', 'CPT']) AS m, unnest([4, 5]) AS n)")
 def q_processing_models(spark, d):
-    return spark.createDataFrame([(n, v, m, len(c)) for n, v, m, c in families.processing_models(COLUMNS)], "name string, variant string, model string, n_columns int")
+    """The 14 models of the processing engine, each with the parts that fall to it."""
+    models = spark.createDataFrame([(k, n, v, m, len(c)) for k, (n, v, m, c) in enumerate(families.processing_models(COLUMNS))], "k long, name string, variant string, model string, n_columns int")
+    parts = table(spark, d, "part").groupBy((F.col("p_partkey") % 14).alias("k")).agg(F.count(F.lit(1)).alias("parts"))
+    return models.join(parts, "k", "left").select("name", "variant", "model", "n_columns", F.coalesce("parts", F.lit(0)).cast("long").alias("parts"))
 
 
 @query("SELECT base, added, metric, CASE WHEN metric = 'brier' THEN -hi ELSE lo END AS lo, CASE WHEN metric = 'brier' THEN -lo ELSE hi END AS hi FROM (SELECT r_name AS base, n_name AS added, CASE WHEN n_nationkey % 2 = 0 THEN 'auc' ELSE 'brier' END AS metric, n_nationkey / 10 - 1 AS lo, n_nationkey / 10 + 1 AS hi FROM nation JOIN region ON n_regionkey = r_regionkey)")
@@ -376,11 +389,15 @@ def q_shared_draws(spark, d):
     return drawn.agg(F.count_distinct("draw").cast("int").alias("draws"), F.count_distinct("pos").alias("rows_"), F.count(F.lit(1)).alias("total"))
 
 
-@query("SELECT (i * 7 + 3) % 34 AS pos, 0 AS draw, CAST((i * 7 + 3) % 34 AS DOUBLE) * 2 AS value FROM range(34) t(i)")
+@query("WITH v AS (SELECT n_nationkey AS pos, avg(s_acctbal) AS value FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1) SELECT r_regionkey AS draw, CAST(k AS BIGINT) AS pos, round(value, 6) AS value FROM region, range(25) t(k) JOIN v ON v.pos = (k * (2 * r_regionkey + 3) * (2 * r_regionkey + 3) + r_regionkey) % 25 WHERE r_regionkey <> 1")
 def q_gather_identity(spark, d):
-    values = spark.range(34).select(F.col("id").cast("int").alias("pos"), (F.col("id") * 2.0).alias("value"))
-    spins = spark.createDataFrame([(0, list(range(34)))], "draw int, perm array<int>")
-    return spatial.gather_spins(values, spins).select(F.col("pos").cast("long").alias("pos"), "draw", "value")
+    """Nations' mean balances, taken along a permutation for each region (a step without common divisor with 25)."""
+    n, s = table(spark, d, "nation"), table(spark, d, "supplier")
+    values = n.join(s, n["n_nationkey"] == s["s_nationkey"], "left").groupBy(F.col("n_nationkey").cast("int").alias("pos")).agg(F.avg("s_acctbal").alias("value"))
+    r = F.col("r_regionkey")
+    step = (2 * r + 3) * (2 * r + 3)
+    spins = table(spark, d, "region").where("r_regionkey <> 1").select(r.alias("draw"), F.transform(F.sequence(F.lit(0).cast("long"), F.lit(24).cast("long")), lambda k: ((k * step + r) % 25).cast("int")).alias("perm"))
+    return rounded(spatial.gather_spins(values, spins).select(F.col("pos").cast("long").alias("pos"), "draw", "value"), "value")
 
 
 QUERIES, SQL = catalogue.QUERIES, catalogue.SQL
