@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.columns import wilson
+from cohortloom.operators.quantiles import quantiles
 from cohortloom.operators.ranking import rank_table, running_sums
 
 #: Five bins in two roundings: halves of a fifth of one, and decimal fractions.
@@ -87,21 +88,37 @@ def calibration_bins(df: DataFrame, y: str, p: str, by: list[str], edges: tuple[
     return out.select(*by, "bin", "n", "responders", "mean_p", F.when(F.col("n") > 0, F.col("responders") / F.col("n")).alias("observed"), low.alias("low"), high.alias("high"))
 
 
-def percentile_interval(df: DataFrame, x: str, by: list[str]) -> DataFrame:
-    """by, lo, hi: exact 2.5 and 97.5 percentiles, linearly interpolated."""
-    q = F.percentile(x, F.array(F.lit(0.025), F.lit(0.975)))
-    return df.groupBy(*by).agg(q.alias("_q")).select(*by, F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
+def percentile_interval(df: DataFrame, x: str, by: list[str], bounded: bool = False) -> DataFrame:
+    """by, lo, hi: exact 2.5 and 97.5 percentiles, linearly interpolated. bounded: groups are of few values, such as draws, and one task may have one."""
+    probs = [0.025, 0.975]
+    found = df.groupBy(*by).agg(F.percentile(x, F.array(*[F.lit(p) for p in probs])).alias("_q")) if bounded else quantiles(df, x, by, probs, "_q")
+    return found.select(*by, F.col("_q")[0].alias("lo"), F.col("_q")[1].alias("hi"))
 
 
-def distribution(df: DataFrame, x: str, by: list[str]) -> DataFrame:
-    """by, n_finite, n_other, min, q025, median, q975, max, mcse (standard error of the mean), positive (share), negative."""
+def distribution(df: DataFrame, x: str, by: list[str], bounded: bool = False) -> DataFrame:
+    """by, n_finite, n_other, min, q025, median, q975, max, mcse (standard error of the mean), positive (share), negative; bounded as in percentile_interval()."""
     v = F.col(x).cast("double")
     ok = F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")), v)
-    q = F.percentile(ok, F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    rows = df.groupBy(*by).agg(F.count(ok).alias("n_finite"), (F.count(F.lit(1)) - F.count(ok)).alias("n_other"), F.min(ok).alias("min"), q.alias("_q"), F.max(ok).alias("max"), (F.stddev_samp(ok) / F.sqrt(F.count(ok))).alias("mcse"), F.avg((ok > 0).cast("double")).alias("positive"), F.avg((ok < 0).cast("double")).alias("negative"))
+    probs = [0.025, 0.5, 0.975]
+    cells = [F.count(ok).alias("n_finite"), (F.count(F.lit(1)) - F.count(ok)).alias("n_other"), F.min(ok).alias("min"), F.max(ok).alias("max"), (F.stddev_samp(ok) / F.sqrt(F.count(ok))).alias("mcse"), F.avg((ok > 0).cast("double")).alias("positive"), F.avg((ok < 0).cast("double")).alias("negative")]
+    if bounded:
+        rows = df.groupBy(*by).agg(*cells, F.percentile(ok, F.array(*[F.lit(p) for p in probs])).alias("_q"))
+    else:
+        rows = _joined(df.groupBy(*by).agg(*cells), quantiles(df, x, by, probs, "_q").drop("n"), by)
     return rows.select(*by, "n_finite", "n_other", "min", *[F.col("_q")[k].alias(n) for k, n in enumerate(("q025", "median", "q975"))], "max", "mcse", "positive", "negative")
 
 
+def _joined(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """Two tables with a row a group side by side; null keys meet null keys."""
+    if not by:
+        return a.crossJoin(b)
+    other = b.select(*[F.col(c).alias(f"_k_{c}") for c in by], *[c for c in b.columns if c not in by])
+    on = F.col(by[0]).eqNullSafe(F.col(f"_k_{by[0]}"))
+    for c in by[1:]:
+        on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return a.join(other, on, "left").drop(*[f"_k_{c}" for c in by])
+
+
 _STATS = ("n", "mean", "sd", "median", "q1", "q3", "min", "max")
 
 
@@ -110,9 +127,11 @@ def descriptives(df: DataFrame, y: str, continuous: list[str], categorical: list
     numbers, one for categories; levels that a group lacks count 0."""
     name = lambda flag: F.when(flag == 1, "all").when(F.col(y) == 1, "responder").otherwise("nonresponder")
     long = df.select(y, F.explode(F.create_map(*[x for c in continuous for x in (F.lit(c), F.col(c).cast("double"))]))).toDF(y, "field", "v")
-    q = F.percentile("v", F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75)))
     sets = long.groupingSets([["field"], ["field", y]], "field", y)
-    numbers = sets.agg(F.grouping(y).alias("_g"), F.count("v").cast("double").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), q.alias("_q"), F.min("v").alias("min"), F.max("v").alias("max"))
+    numbers = sets.agg(F.grouping(y).alias("_g"), F.count("v").cast("double").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("min"), F.max("v").alias("max"))
+    # every value in its own group and in that of all, as the grouping sets have them
+    twice = long.withColumn("_g", F.explode(F.array(F.lit(0), F.lit(1)))).select("field", F.when(F.col("_g") == 0, F.col(y)).alias(y), F.col("_g").cast("byte").alias("_g"), "v")
+    numbers = _joined(numbers, quantiles(twice, "v", ["field", y, "_g"], [0.5, 0.25, 0.75], "_q").drop("n"), ["field", y, "_g"])
     numbers = numbers.select(name(F.col("_g")).alias("group_name"), "field", F.lit(None).cast("string").alias("level"), "n", "mean", "sd", *[F.col("_q")[k].alias(c) for k, c in enumerate(("median", "q1", "q3"))], "min", "max")
     numbers = numbers.unpivot(["group_name", "field", "level"], list(_STATS), "statistic", "value")
     if not categorical:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.columns import finite, required
+from cohortloom.operators.metrics import _joined
+from cohortloom.operators.quantiles import quantiles
 
 #: Fixed values of the region rules.
 HARD_MINIMUM, ATTENTION_MAXIMUM, VALID_PASS, VALID_ATTENTION, COVERAGE = 10, 24, 0.95, 0.80, 0.95
@@ -48,12 +50,14 @@ def _state(count: Column, share: Column) -> Column:
 def region_stats(voxels: DataFrame, by: list[str], value: str = "pet", with_median: bool = True) -> DataFrame:
     """For each group: label_voxels, valid_voxels (finite and above zero), valid_fraction, mean, median, status.
 
-    The exact median keeps a group's distinct values in one task; without it all is combined map-side.
+    The exact median comes by selection, in two passes more; without it all is combined map-side.
     """
     v = F.col(value).cast("double")
     valid = F.when(finite(v) & (v > 0), v)
     cells = [F.count(F.lit(1)).alias("label_voxels"), F.count(valid).alias("valid_voxels"), F.avg(valid).alias("mean")]
-    out = voxels.groupBy(*by).agg(*cells, *([F.median(valid).alias("median")] if with_median else []))
+    out = voxels.groupBy(*by).agg(*cells)
+    if with_median:
+        out = _joined(out, quantiles(voxels.where(v > 0), value, by, [0.5], "_q").select(*by, F.col("_q")[0].alias("median")), by)
     out = out.withColumn("valid_fraction", F.col("valid_voxels") / F.col("label_voxels")).withColumn("status", _state(F.col("label_voxels"), F.col("valid_fraction")))
     gone = F.col("status").startswith("missing")
     return out.withColumns({c: F.when(~gone, F.col(c)) for c in ("mean", *(["median"] if with_median else []))})

@@ -46,7 +46,7 @@ def model_intervals(metrics: DataFrame) -> DataFrame:
     """model, metric, valid_draws, skipped, lo, hi: draws with a null AUC (one class) are skipped for both metrics."""
     counts = metrics.groupBy("model").agg(F.count("auc").alias("valid_draws"), F.count_if(F.col("auc").isNull()).alias("skipped"))
     long = metrics.where("auc is not null").unpivot(["draw", "model"], ["auc", "brier"], "metric", "value")
-    return percentile_interval(long, "value", ["model", "metric"]).join(counts, "model")
+    return percentile_interval(long, "value", ["model", "metric"], bounded=True).join(counts, "model")
 
 
 def paired_differences(metrics: DataFrame, pairs: DataFrame, brier_sign: int = -1) -> DataFrame:
@@ -61,7 +61,7 @@ def paired_differences(metrics: DataFrame, pairs: DataFrame, brier_sign: int = -
 
 def difference_intervals(differences: DataFrame) -> DataFrame:
     long = differences.unpivot(["base", "added", "draw"], ["auc", "brier"], "metric", "value")
-    return percentile_interval(long, "value", ["base", "added", "metric"])
+    return percentile_interval(long, "value", ["base", "added", "metric"], bounded=True)
 
 
 def optimism(draws: DataFrame, apparent_auc: float, apparent_brier: float) -> DataFrame:

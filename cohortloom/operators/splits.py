@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.columns import required
+from cohortloom.operators.quantiles import quantiles
 from cohortloom.operators.ranking import numbered
 
 
@@ -93,7 +94,7 @@ def isolation_faults(fitted: DataFrame, plan: DataFrame, row: str = "row_pos") -
 def fold_state(train: DataFrame, by: list[str], numeric: list[str]) -> DataFrame:
     """by, field, fill (median), mean, scale, dropped: moments are of filled values, deviation divides by n, 0 becomes 1; a column of one value is dropped."""
     long = train.select(*by, F.explode(F.create_map(*[x for c in numeric for x in (F.lit(c), F.col(c).cast("double"))]))).toDF(*by, "field", "v")
-    fill = long.groupBy(*by, "field").agg(F.median("v").alias("fill"))
+    fill = quantiles(long, "v", [*by, "field"], [0.5], "_q").select(*by, "field", F.col("_q")[0].alias("fill"))
     filled = long.join(fill, [*by, "field"]).withColumn("x", F.coalesce("v", "fill"))
     sd = F.stddev_pop("x")
     return filled.groupBy(*by, "field").agg(F.first("fill").alias("fill"), F.avg("x").alias("mean"), F.when(sd > 0, sd).otherwise(1.0).alias("scale"), (F.max("x") == F.min("x")).alias("dropped"))

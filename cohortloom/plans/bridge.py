@@ -71,7 +71,7 @@ def bridge_intervals(rows: DataFrame, total: int) -> DataFrame:
     """quantity, lo, hi, valid, total, scope of bridge_draws() (a written table)."""
     valid = rows.where("status = 'PASS'")
     n = valid.groupBy("quantity").agg(F.count(F.lit(1)).alias("valid"))
-    out = percentile_interval(valid, "value", ["quantity"]).join(n, "quantity").withColumn("total", F.lit(total))
+    out = percentile_interval(valid, "value", ["quantity"], bounded=True).join(n, "quantity").withColumn("total", F.lit(total))
     full = F.lit("percentile over people with reestimated components")
     diagnostic = F.when(F.col("quantity") == "response", "diagnostic only: over 5 % of fits are invalid").otherwise("percentile conditional on valid fits")
     return out.withColumn("scope", F.when(F.col("valid") >= VALID_SHARE * total, full).otherwise(diagnostic))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import columns as C
 from cohortloom.operators import assembly, contracts, metrics, ranking, regional, resampling, spatial, splits, weights
+from cohortloom.operators.quantiles import quantiles
 from cohortloom.sources import sinks, stats_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -432,7 +433,7 @@ def q_rank_average(spark, d):
 
 @query("WITH m AS (SELECT user_id, median(value) AS p50, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM events GROUP BY user_id) SELECT user_id, round(p50, 6) AS p50, round(lo, 6) AS lo, round(hi, 6) AS hi, row_number() OVER (ORDER BY p50, user_id) AS rank FROM m")
 def q_median_order(spark, d):
-    m = table(spark, d, "events").groupBy("user_id").agg(F.percentile("value", F.array(F.lit(0.5), F.lit(0.025), F.lit(0.975))).alias("q"))
+    m = quantiles(table(spark, d, "events"), "value", ["user_id"], [0.5, 0.025, 0.975])
     m = ranking.numbered(m.withColumn("p50", F.col("q")[0]), [], "p50", ["user_id"], "rank")
     return m.select("user_id", *[r6(F.col("q")[k], n) for k, n in enumerate(("p50", "lo", "hi"))], "rank")
 

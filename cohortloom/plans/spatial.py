@@ -45,7 +45,7 @@ def spatial_family(nulls: DataFrame, observed: DataFrame, count: int, method: st
         raise ContractError(f"the family must have {count} targets")
     joined = nulls.join(F.broadcast(observed), "target")
     p = joined.groupBy("target", "observed").agg(ranking.tail_p(F.col("r"), F.col("observed")).alias("p"))
-    p = p.join(metrics.distribution(nulls, "r", ["target"]), "target").withColumn("_f", F.lit(1))
+    p = p.join(metrics.distribution(nulls, "r", ["target"], bounded=True), "target").withColumn("_f", F.lit(1))
     adjust = ranking.benjamini_hochberg if method == "bh" else ranking.holm
     return adjust(p, "p", ["_f"], ["target"], "q").drop("_f")
 
@@ -72,7 +72,7 @@ def paired_strength(draws: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame
     table = draws.sparkSession.createDataFrame(pairs, "a string, b string")
     one, two = draws.select("draw", F.col("target").alias("a"), F.col("r").alias("ra")), draws.select("draw", F.col("target").alias("b"), F.col("r").alias("rb"))
     both = F.broadcast(table).join(one, "a").join(two, ["draw", "b"]).withColumn("d", F.abs("ra") - F.abs("rb"))
-    return metrics.distribution(both, "d", ["a", "b"])
+    return metrics.distribution(both, "d", ["a", "b"], bounded=True)
 
 
 def direction_share(draws: DataFrame, observed: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def external_cohort(spark: SparkSession, raw: np.ndarray, regions: list[str], an
     return {
         "pattern": spark.createDataFrame([(r, float(v), f["eigen1"], f["explained"], rule) for r, v in zip(regions, loading)], "region string, loading double, eigen1 double, explained double, sign_rule string"),
         "bootstrap": boot,
-        "intervals": metrics.distribution(draws, "r", ["target"]).join(direction_share(draws, seen), "target"),
+        "intervals": metrics.distribution(draws, "r", ["target"], bounded=True).join(direction_share(draws, seen), "target"),
         "spectral": spatial_family(spatial.map_correlations(long_maps(spark, free), F.broadcast(t)), seen, len(names)),
         "conditional": spatial_family(spatial.map_correlations(long_maps(spark, held), F.broadcast(long_targets(spark, rest, names))), effects(e, rest, names, spark), len(names)),
         "spins": spin_statistics(spark, x, targets, names, pattern.spins(spark, coords, nulls, seeds[3])),
@@ -146,7 +146,7 @@ def diagnostics(nulls: DataFrame, plan: nulls_.Plan, targets: np.ndarray) -> Dat
     original = [seen["norm2"] ** 0.5, seen["nuisance"], seen["cosine"], *seen["moran"]]
     cells = F.concat(F.array(F.sqrt("norm2"), F.col("nuisance"), F.col("cosine")), F.col("moran"))
     long = nulls.select(F.posexplode(cells).alias("k", "v")).select(F.element_at(F.array(*[F.lit(n) for n in names]), F.col("k") + 1).alias("quantity"), "v")
-    told = metrics.distribution(long, "v", ["quantity"]).select("quantity", "min", "q025", "median", "q975", "max")
+    told = metrics.distribution(long, "v", ["quantity"], bounded=True).select("quantity", "min", "q025", "median", "q975", "max")
     return told.join(nulls.sparkSession.createDataFrame(list(zip(names, original)), "quantity string, original double"), "quantity")
 
 
@@ -226,7 +226,7 @@ def three_targets(rows: DataFrame, regions: list[str], anchors: tuple[str, str],
     known = spark.createDataFrame([(k, a, t, float(v), direction.get(t) if a == "primary" else None) for k, ((a, t), v) in enumerate(zip(kinds, seen))], "k int, analysis string, target string, observed double, direction int")
     boot = weights.component_draws(rows, loading, f["centre"], f["n"], boots, seeds["bootstrap"])
     long = boot.where("not degenerate").select("draw", "loading").mapInArrow(run, "draw long, v array<double>").select("draw", F.posexplode("v").alias("k", "r"))
-    spread = metrics.distribution(long, "r", ["k"])
+    spread = metrics.distribution(long, "r", ["k"], bounded=True)
     shares = long.join(F.broadcast(known), "k").groupBy("k").agg(F.avg(((F.col("r") * F.col("direction")) > 0).cast("double")).alias("expected_direction"))
     out = {
         "pattern": spark.createDataFrame([(r, float(v), f["eigen1"], f["explained"], f["sign_rule"]) for r, v in zip(regions, loading)], "region string, loading double, eigen1 double, explained double, sign_rule string"),
