@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +50,51 @@ def panel(stats: DataFrame, pairs: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("name", "side", "mean"))), lambda x: x["mean"]).alias("regions"))
 
 
+def orientation(images: DataFrame) -> DataFrame:
+    """images (affine: the 9 entries of a 3 x 3 matrix, row by row, world from voxel axes) with axes (the voxel axis closest to each
+    world axis) and flips (whether it runs against it): of all six assignments that with the largest sum of absolute cosines, the
+    first in order where two are equal. A voxel axis without length fails."""
+    a = F.col("affine")
+    size = [F.sqrt(sum((a[3 * w + v] * a[3 * w + v] for w in (1, 2)), a[v] * a[v])) for v in range(3)]
+    cosine = lambda w, v: F.abs(a[3 * w + v]) / required(F.coalesce(size[v] > 0, F.lit(False)), size[v], "a voxel axis has no length")
+    orders = list(permutations(range(3)))
+    scored = [F.struct(F.round(cosine(0, o[0]) + cosine(1, o[1]) + cosine(2, o[2]), 9).alias("score"), F.lit(-k).alias("k"), F.array(*[F.lit(v) for v in o]).alias("axes")) for k, o in enumerate(orders)]
+    best = images.withColumn("axes", F.greatest(*scored)["axes"])
+    return best.withColumn("flips", F.array(*[F.element_at(a, F.lit(3 * w + 1) + F.col("axes")[w]) < 0 for w in range(3)]))
+
+
+def canonical(voxels: DataFrame, images: DataFrame, by: list[str]) -> DataFrame:
+    """voxels with x, y, z: their places along the world's axes, which point right, forward and up.
+
+    voxels: by, i, j, k from 0; images: by, affine, shape (voxels along i, j, k). A signed permutation of axes, so
+    that nothing is resampled: values stay, and each voxel is a row of its own. A voxel outside its image fails.
+    """
+    turned = orientation(images).select(*by, "axes", "flips", "shape")
+    met = voxels.join(turned, by)
+    place = F.array(*[F.col(c).cast("int") for c in "ijk"])
+    inside = (F.col("i") >= 0) & (F.col("j") >= 0) & (F.col("k") >= 0) & (F.col("i") < F.col("shape")[0]) & (F.col("j") < F.col("shape")[1]) & (F.col("k") < F.col("shape")[2])
+
+    def along(w: int) -> Column:
+        axis = F.col("axes")[w] + 1
+        at = F.element_at(place, axis)
+        return F.when(F.col("flips")[w], F.element_at("shape", axis).cast("int") - 1 - at).otherwise(at)
+
+    first = required(F.coalesce(inside, F.lit(False)), along(0), "a voxel is outside its image")
+    return met.select(*voxels.columns, first.alias("x"), along(1).alias("y"), along(2).alias("z"))
+
+
+def bundle_residuals(products: DataFrame, cross: DataFrame, beta: DataFrame, by: list[str]) -> DataFrame:
+    """by, i, residual: how far coefficients are from solving their normal equations, row by row, as one join and sum.
+
+    products: by, i, j, v (entries that aren't there are 0); cross: by, i, v; beta: by, label, b. A product's column
+    without a coefficient fails.
+    """
+    fits = products.join(beta.select(*by, F.col("label").alias("j"), "b"), [*by, "j"], "left")
+    term = required(finite(F.col("b")), F.col("v") * F.col("b"), "a column has no coefficient")
+    left = fits.groupBy(*by, "i").agg(F.sum(term).alias("_left"))
+    return cross.join(left, [*by, "i"], "left").select(*by, "i", (F.coalesce("_left", F.lit(0.0)) - F.col("v")).alias("residual"))
+
+
 def normal_equations(xtx: np.ndarray, xty: np.ndarray, beta: np.ndarray) -> dict:
     """How well coefficients solve their normal equations: relative residual, condition and largest difference from a solution."""
     xtx, xty, beta = (np.asarray(v, float) for v in (xtx, xty, beta))

@@ -1,8 +1,9 @@
 """Ranks, multiplicity adjustments, ordered selections and tail counts.
 
 Groups of rows may be of any size: their ranks and running sums are made in two
-levels, so that no task has a whole group, unless most of its rows have one value. A family is a declared list of tests
-and is corrected in one window.
+levels, so that no task has a whole group, unless most of its rows have one value and
+their order within it is asked for. A family's correction ranks its distinct p in the
+same way.
 """
 
 from __future__ import annotations
@@ -83,21 +84,42 @@ def _probabilities(df: DataFrame, p: str) -> DataFrame:
     return df.withColumn(p, required(F.coalesce(F.col(p).between(0.0, 1.0), F.lit(False)), F.col(p), f"{p} must lie between 0 and 1"))
 
 
-def benjamini_hochberg(df: DataFrame, p: str, family: list[str], tie: list[str], out: str = "q") -> DataFrame:
-    """Step-up adjusted p: from the largest on, the smallest of p x m / rank so far, at most 1."""
-    df = _probabilities(df, p)
-    up = Window.partitionBy(*family).orderBy(p, *tie)
-    down = up.rowsBetween(0, Window.unboundedFollowing)
-    m = F.count(F.lit(1)).over(Window.partitionBy(*family))
-    return df.withColumn("_r", F.row_number().over(up)).withColumn("_m", m).withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_r")).over(down))).drop("_r", "_m")
+def running_extreme(df: DataFrame, by: list[str], x: str, value: str, out: str, largest: bool) -> DataFrame:
+    """df, one row for each x of a group, with the largest value of all x up to its own (largest), or the smallest from its own on.
+
+    In two levels as running_sums().
+    """
+    placed = _bucketed(df, by, x)
+    best, order = (F.max, F.col("_bucket").asc()) if largest else (F.min, F.col("_bucket").desc())
+    totals = placed.groupBy(*by, "_bucket").agg(best(value).alias("_best"))
+    upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_bucket").alias("_at"), best("_best").over(upto).alias("_so_far"))
+    inside = Window.partitionBy(*by, "_bucket").orderBy(F.col(x).asc() if largest else F.col(x).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    on = [F.col("_bucket") == F.col("_at"), *[F.col(c).eqNullSafe(F.col(f"_b_{c}")) for c in by]]
+    pick = F.greatest if largest else F.least  # both pass over nulls
+    return placed.join(before, on).withColumn(out, pick(F.col("_so_far"), best(value).over(inside))).select(*df.columns, out)
 
 
-def holm(df: DataFrame, p: str, family: list[str], tie: list[str], out: str = "p_holm") -> DataFrame:
-    """Step-down adjusted p: the largest of p x (m - rank + 1), at most 1, so far."""
+def _adjusted(df: DataFrame, p: str, family: list[str], out: str, value, largest: bool) -> DataFrame:
+    """df with the adjusted p of its family: rows of one p share it, so that only distinct p are ranked, however many rows have one."""
     df = _probabilities(df, p)
-    up = Window.partitionBy(*family).orderBy(p, *tie)
-    m = F.count(F.lit(1)).over(Window.partitionBy(*family))
-    return df.withColumn("_r", F.row_number().over(up)).withColumn("_m", m).withColumn("_s", F.least(F.lit(1.0), F.col(p) * (F.col("_m") - F.col("_r") + 1))).withColumn(out, F.max("_s").over(up.rowsBetween(Window.unboundedPreceding, 0))).drop("_r", "_m", "_s")
+    counts = df.groupBy(*family, p).agg(F.count(F.lit(1)).alias("_n"))
+    whole = counts.groupBy(*[F.col(c).alias(f"_w_{c}") for c in family]).agg(F.sum("_n").alias("_m"))
+    ranked = running_sums(counts, family, p, {"_before": "_n"})
+    ranked = ranked.join(whole, [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in family]) if family else ranked.crossJoin(whole)
+    ranked = running_extreme(ranked.select(*family, p, F.least(F.lit(1.0), value(F.col(p))).alias("_v")), family, p, "_v", "_q", largest)
+    other = ranked.select(*[F.col(c).alias(f"_q_{c}") for c in (*family, p)], F.col("_q").alias(out))
+    return df.join(other, [F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in (*family, p)]).drop(*[f"_q_{c}" for c in (*family, p)])
+
+
+def benjamini_hochberg(df: DataFrame, p: str, family: list[str], tie: list[str] | None = None, out: str = "q") -> DataFrame:
+    """Step-up adjusted p: from the largest on, the smallest of p x m / rank so far, at most 1. Equal p have one adjusted p, whatever order `tie` gives them."""
+    return _adjusted(df, p, family, out, lambda x: x * F.col("_m") / (F.col("_before") + F.col("_n")), False)
+
+
+def holm(df: DataFrame, p: str, family: list[str], tie: list[str] | None = None, out: str = "p_holm") -> DataFrame:
+    """Step-down adjusted p: the largest of p x (m - rank + 1), at most 1, so far. Equal p have one adjusted p, whatever order `tie` gives them."""
+    return _adjusted(df, p, family, out, lambda x: x * (F.col("_m") - F.col("_before")), True)
 
 
 def roc_points(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:

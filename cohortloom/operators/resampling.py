@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.operators.metrics import auc, brier, percentile_interval
+from cohortloom.operators.ranking import numbered
+from cohortloom.operators.weights import weights
 
 
 def numpy_draws(spark: SparkSession, draws: int, n: int, seed: int) -> DataFrame:
@@ -27,6 +29,13 @@ def congruential_draws(spark: SparkSession, draws: int, n: int, a: int = 7919, b
     return base.withColumn("row_pos", (a * F.col("draw") + b * F.col("pos") + c * F.col("draw") * F.col("pos")) % n)
 
 
+def weighted_draws(ids: DataFrame, draws: int, seed: int) -> DataFrame:
+    """draw, pos, row_pos: multinomial draws of the rows of ids (row_pos, of any numbers), each made by the task that has the row's block; pos numbers a person's copies."""
+    numbered_ids = numbered(ids.select("row_pos"), [], "row_pos", [], "_k").select((F.col("_k") - 1).alias("_at"), "row_pos")
+    made = weights(ids.sparkSession, ids.count(), draws, seed).withColumnRenamed("row_pos", "_at")
+    return made.join(numbered_ids, "_at").select("draw", F.explode(F.sequence(F.lit(1).cast("long"), F.col("weight"))).alias("pos"), "row_pos")
+
+
 def out_of_bag(draws: DataFrame, rows: DataFrame) -> DataFrame:
     """draw, row_pos of rows that a draw doesn't have."""
     # one row with the draws' numbers, as many as the analysis asks for, meets every row

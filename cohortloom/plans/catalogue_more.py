@@ -271,6 +271,49 @@ def q_bounding_boxes(spark, d):
     return imaging.bounding_boxes(grid(spark, d))
 
 
+_ORDERS = "[[0, 1, 2], [0, 2, 1], [1, 0, 2], [1, 2, 0], [2, 0, 1], [2, 1, 0]]"
+_PLACE = "CASE WHEN m % 8 & {b} > 0 THEN [50, 40, 8][o[{w}] + 1] - 1 - [i, j, k][o[{w}] + 1] ELSE [i, j, k][o[{w}] + 1] END"
+
+
+@query("WITH v AS (SELECT l_partkey % 50 AS i, l_orderkey % 40 AS j, l_linenumber AS k FROM lineitem), m AS (SELECT m, " + _ORDERS + "[m // 8 + 1] AS o FROM range(48) t(m)), c AS (SELECT m, " + ", ".join(f"{_PLACE.format(b=1 << w, w=w + 1)} AS {n}" for w, n in enumerate("xyz")) + " FROM v, m) SELECT m AS image, count(*) AS voxels, CAST(sum(x) AS BIGINT) AS x, CAST(sum(y) AS BIGINT) AS y, CAST(sum(z) AS BIGINT) AS z, CAST(sum(x * y + y * z * 3 + z * x * 7) AS BIGINT) AS mixed FROM c GROUP BY m")
+def q_orientations(spark, d):
+    """The same voxels in images of all 48 orientations, slightly oblique, brought to the world's axes."""
+    from itertools import permutations
+
+    rows = []
+    for m in range(48):
+        order = list(permutations(range(3)))[m // 8]
+        affine = [[(-2.0 if m % 8 & 1 << w else 2.0) if order[w] == v else 0.1 * (w - v) for v in range(3)] for w in range(3)]
+        rows.append((m, [x for r in affine for x in r], [50, 40, 8]))
+    images = spark.createDataFrame(rows, "image long, affine array<double>, shape array<int>")
+    voxels = table(spark, d, "lineitem").select((F.col("l_partkey") % 50).alias("i"), (F.col("l_orderkey") % 40).alias("j"), F.col("l_linenumber").alias("k"))
+    voxels = voxels.withColumn("image", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(47).cast("long"))))
+    x, y, z = (F.col(c).cast("long") for c in "xyz")
+    return imaging.canonical(voxels, images, ["image"]).groupBy("image").agg(F.count(F.lit(1)).alias("voxels"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(z).alias("z"), F.sum(x * y + y * z * 3 + z * x * 7).alias("mixed"))
+
+
+@query("WITH p AS (SELECT l_returnflag AS subject, l_linenumber AS i, l_suppkey % 7 + 1 AS j, sum(l_quantity) AS v FROM lineitem GROUP BY ALL), c AS (SELECT l_returnflag AS subject, l_linenumber AS i, sum(l_extendedprice) AS v FROM lineitem GROUP BY ALL), b AS (SELECT l_returnflag AS subject, l_suppkey % 7 + 1 AS label, avg(l_extendedprice) / 25 AS b FROM lineitem GROUP BY ALL) SELECT subject, i, round(s.l - c.v, 2) AS residual FROM c JOIN (SELECT p.subject, p.i, sum(p.v * b) AS l FROM p JOIN b ON b.subject = p.subject AND b.label = p.j GROUP BY ALL) s USING (subject, i)")
+def q_bundle_residuals(spark, d):
+    """Normal equations of line numbers by suppliers' classes, a coefficient a class, for each return flag."""
+    li = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("subject"), F.col("l_linenumber").alias("i"), (F.col("l_suppkey") % 7 + 1).alias("j"), "l_quantity", "l_extendedprice")
+    products = li.groupBy("subject", "i", "j").agg(F.sum("l_quantity").alias("v"))
+    cross = li.groupBy("subject", "i").agg(F.sum("l_extendedprice").alias("v"))
+    beta = li.groupBy("subject", F.col("j").alias("label")).agg((F.avg("l_extendedprice") / 25).alias("b"))
+    return imaging.bundle_residuals(products, cross, beta, ["subject"]).withColumn("residual", F.round("residual", 2))
+
+
+@query("SELECT model, base, metric, (SELECT count(*) FROM labels) AS n, (SELECT count(*) FROM labels) AS people, 0 AS failed, true AS certified, true AS between FROM (SELECT unnest(['full', 'without_x1', 'without_x2', 'without_both']) AS model, unnest([NULL, 'without_x1', 'without_x2', 'without_both']) AS base), (SELECT unnest(['auc', 'brier']) AS metric) WHERE base IS NOT NULL")
+def q_ablations(spark, d):
+    """The full model against those without x1, x2 and both on one supplied plan: everyone is predicted once by certified fits, and each difference lies within its interval's reach."""
+    from cohortloom.plans.prediction import Settings, run_ablations
+
+    out = run_ablations(design(spark, d), _plan(spark, d), COLUMNS["C"], {"x1": ["x1"], "x2": ["x2"]}, BINARY, Settings(c_grid=(0.1, 1.0), l1_grid=(0.0, 1.0), seconds=600.0), draws=200)
+    n = lambda c, name: F.count_if(c).cast("int").alias(name)
+    told = out["predictions"].groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_pos").alias("people"), n(F.col("status") != "PASS", "failed"), F.coalesce((F.max("kkt") <= 1e-8) & (F.max("gap") <= 1e-10) & (F.max("agreement") <= 1e-5), F.lit(False)).alias("certified"))
+    differences = out["comparisons"].select("base", "metric", ((F.col("lo") <= F.col("hi")) & (F.col("difference") >= F.col("lo") - (F.col("hi") - F.col("lo"))) & (F.col("difference") <= F.col("hi") + (F.col("hi") - F.col("lo")))).alias("between"))
+    return told.join(differences, told["model"] == differences["base"]).select("model", "base", "metric", "n", "people", "failed", "certified", "between")
+
+
 @query(VOXELS + ", g AS (SELECT s_suppkey AS label, s_nationkey % 4 AS g FROM supplier UNION ALL SELECT -1, 9) SELECT g.g AS \"group\", count(x.label) AS voxels FROM g LEFT JOIN x ON x.label = g.label AND x.i = 7 GROUP BY g.g")
 def q_overlay_counts(spark, d):
     groups = table(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("label"), (F.col("s_nationkey") % 4).cast("long").alias("group")).union(spark.createDataFrame([(-1, 9)], "label int, group long"))

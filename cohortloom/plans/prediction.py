@@ -17,8 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.operators import elastic_net, linear
+from cohortloom.operators import elastic_net, linear, metrics, resampling
 from cohortloom.operators.contracts import ContractError
+from cohortloom.sources.workspace import shared_folder
 
 
 @dataclass(frozen=True)
@@ -138,6 +139,32 @@ def run_nested(cohort: DataFrame, plan: DataFrame, columns: dict[str, list[str]]
     return tasks.groupBy("model", "repeat", "fold").applyInPandas(task_kernel(columns, binary, settings.c_grid, settings.l1_grid, unpenalized, verify, settings.seconds), RESULT)
 
 
+def run_ablations(cohort: DataFrame, plan: DataFrame, kept: list[str], removable: dict[str, list[str]], binary: set[str], settings: Settings = Settings(), draws: int = 2000, seed: int = 20260910, folder: str | None = None) -> dict[str, DataFrame]:
+    """The full model and those without each of two groups of columns, and without both, all tuned again on the supplied plan.
+
+    Tables: predictions, performance (of mean predictions), repeats, intervals and comparisons; a comparison is full less
+    the other for both measures, its interval that of people drawn once for all models.
+    """
+    if len(removable) != 2 or not all(removable.values()):
+        raise ContractError("two groups of columns are taken out")
+    one, two = removable
+    columns = {"full": [*kept, *removable[one], *removable[two]], f"without_{one}": [*kept, *removable[two]], f"without_{two}": [*kept, *removable[one]], "without_both": list(kept)}
+    folder = folder or shared_folder(cohort.sparkSession, "ablations")
+    # the fits are dear: they are made once, and every table reads what they wrote
+    run_nested(cohort, plan, columns, binary, settings).write.mode("overwrite").parquet(f"{folder}/predictions")
+    got = results(cohort.sparkSession.read.schema(RESULT).parquet(f"{folder}/predictions"))
+    people = cohort.select("row_pos", "y")
+    mean = metrics.mean_predictions(got).join(people, "row_pos")
+    drawn = resampling.draw_metrics(resampling.weighted_draws(people, draws, seed), mean)
+    others = [m for m in columns if m != "full"]
+    pairs = cohort.sparkSession.createDataFrame([(m, "full") for m in others], "base string, added string")
+    intervals = resampling.difference_intervals(resampling.paired_differences(drawn, pairs, brier_sign=1))
+    performance = metrics.measures(mean, "y", "p", ["model"])
+    full, other = (performance.where(c).unpivot(["model"], ["auc", "brier"], "metric", "value") for c in (F.col("model") == "full", F.col("model") != "full"))
+    seen = other.select(F.col("model").alias("base"), "metric", F.col("value").alias("_o")).join(full.select("metric", F.col("value").alias("_f")), "metric").select("base", "metric", (F.col("_f") - F.col("_o")).alias("difference"))
+    return {"predictions": got, "performance": performance, "repeats": metrics.measures(got, "y", "p", ["model", "repeat"]), "intervals": resampling.model_intervals(drawn), "comparisons": seen.join(intervals.select("base", "metric", "lo", "hi"), ["base", "metric"], "left")}
+
+
 def results(predictions: DataFrame) -> DataFrame:
     """predictions (written or cached before), if every task passed."""
     failed = predictions.where("status <> 'PASS'").select("model", "repeat", "fold", "status").distinct().limit(5).collect()

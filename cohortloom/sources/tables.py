@@ -186,14 +186,19 @@ def _check_plan(plan, n: int, y: list[int]) -> None:
     def positions(x) -> set:
         if not isinstance(x, list) or any(type(v) is not int or not 0 <= v < n for v in x) or len(set(x)) != len(x):
             raise ContractError("a plan's positions must be distinct integers of the cohort")
+        if not x:
+            raise ContractError("a part of a plan has no one in it")
         return set(x)
 
-    everyone, tested = set(range(n)), {}
+    everyone, tested, named = set(range(n)), {}, set()
     if not isinstance(plan, list) or not plan:
         raise ContractError("a plan is a list of splits")
     for split in plan:
         if not isinstance(split, dict) or set(split) != {"repeat", "fold", "train", "test", "inner_seed", "inner"} or any(type(split[k]) is not int or split[k] < 0 for k in ("repeat", "fold", "inner_seed")):
             raise ContractError("a split has repeat, fold, train, test, inner_seed and inner")
+        if (split["repeat"], split["fold"]) in named:
+            raise ContractError("a repeat has a fold twice")
+        named.add((split["repeat"], split["fold"]))
         train, test = positions(split["train"]), positions(split["test"])
         if train | test != everyone or train & test:
             raise ContractError("train and test must divide the cohort")
@@ -212,3 +217,6 @@ def _check_plan(plan, n: int, y: list[int]) -> None:
             raise ContractError("inner parts must validate every training row")
     if any(t != everyone for t in tested.values()):
         raise ContractError("a repeat doesn't test everyone")
+    repeats, folds = (1 + max(x[k] for x in named) for k in (0, 1))
+    if len(named) != repeats * folds or len({len(split["inner"]) for split in plan}) != 1:
+        raise ContractError("a plan has the same folds, from 0 on, in each of its repeats, from 0 on, and as many inner parts in each")

@@ -153,4 +153,8 @@ def test_model_input_checks_its_plan():
     broken(lambda p: p[0]["inner"][0]["validation"].append(p[0]["inner"][0]["train"][0]))
     broken(lambda p: p[0]["inner"].pop())
     broken(lambda p: p[0].update(test=[0, 1, 2, 3.0]))
+    broken(lambda p: p[1].update(fold=0))  # a fold twice
+    broken(lambda p: p[2].update(fold=5))  # a gap
+    broken(lambda p: p[0]["inner"].append({"train": p[0]["train"], "validation": []}))
+    broken(lambda p: p.extend({**x, "repeat": 2} for x in list(p)))  # no repeat 1
     broken(lambda p: p[1].update(test=[0, 1, 2, 3], train=rest([0, 1, 2, 3])))
