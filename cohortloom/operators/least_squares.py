@@ -98,6 +98,37 @@ def influence_of_rows(df: DataFrame, by: list[str], value: str, columns: list[st
     return out.select(*by, *keep, "_h", "_e", ((F.col("_b")[0] - step) / s0).alias("_loo"), (F.col("_b")[0] / s0).alias("_b0"), (step / s0).alias("_step"), (g(0, 0) * F.col("_n")).alias("_inflation"), "_n", "_status")
 
 
+def gram(df: DataFrame, by: list[str], columns: list[Column], weight: Column) -> DataFrame:
+    """by, products: the weighted sums of products of all pairs of columns, row by row."""
+    p = len(columns)
+    named = df.select(*by, weight.cast("double").alias("_m"), *[c.cast("double").alias(f"_x{j}") for j, c in enumerate(columns)])
+    cells = [F.sum(F.col("_m") * F.col(f"_x{j}") * F.col(f"_x{k}")).alias(f"_p{j}_{k}") for j in range(p) for k in range(j, p)]
+    return named.groupBy(*by).agg(*cells).select(*by, F.array(*[F.col(f"_p{min(j, k)}_{max(j, k)}") for j in range(p) for k in range(p)]).alias("products"))
+
+
+def full_rank(s: np.ndarray) -> bool:
+    """Whether a matrix of products is finite and has the rank of its size, whatever the columns' scales."""
+    d = np.sqrt(np.diag(s))
+    return bool(np.isfinite(s).all() and (d > 0).all() and np.linalg.eigvalsh(s / np.outer(d, d))[0] > RANK * len(s))
+
+
+def coefficients(df: DataFrame, by: list[str], value: str, columns: list[str], weight: Column) -> DataFrame:
+    """by, beta (the intercept first), status (ok or rank) of each group's weighted least-squares fit."""
+    p = 1 + len(columns)
+    sums = gram(df, by, [F.lit(1.0), *[F.col(c) for c in columns], F.col(value)], weight)
+    kinds = ", ".join([*(f"{c} {t}" for c, t in sums.dtypes if c in by), "beta array<double>", "status string"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for entries in b["products"]:
+                s = np.array(entries, float).reshape(p + 1, p + 1)
+                rows.append((np.linalg.solve(s[:p, :p], s[:p, p]).tolist(), OK) if np.isfinite(s).all() and full_rank(s[:p, :p]) else (None, "rank"))
+            yield pd.concat([b[by].reset_index(drop=True), pd.DataFrame(rows, columns=["beta", "status"])], axis=1)
+
+    return sums.mapInPandas(run, kinds)
+
+
 def _deviation(df: DataFrame, by: list[str], value: str, response: str) -> DataFrame:
     """by, _sd: deviation of value within the response's groups, each of which needs two rows."""
     y, v = F.col(response), F.col(value).cast("double")

@@ -49,7 +49,8 @@ def _figures(rows: DataFrame, by: list[str], p: int, state: DataFrame) -> DataFr
     eta = F.col("_offset") + _sum([x[j] * F.col("trial")[j] for j in range(p)])
     met = met.withColumn("_eta", eta).withColumn("_p", expit(F.col("_eta"))).withColumn("_w", F.col("_p") * (1 - F.col("_p")))
     signed = F.when(F.col("_y") == 1, -F.col("_eta")).otherwise(F.col("_eta"))
-    cells = [F.sum(-softplus(signed)).alias("_l"), *[F.sum(x[j] * (F.col("_y") - F.col("_p"))).alias(f"_g{j}") for j in range(p)], *[F.sum(x[j] * x[k] * F.col("_w")).alias(f"_a{j}_{k}") for j in range(p) for k in range(j, p)]]
+    m = F.col("_m")
+    cells = [F.sum(-softplus(signed) * m).alias("_l"), *[F.sum(x[j] * (F.col("_y") - F.col("_p")) * m).alias(f"_g{j}") for j in range(p)], *[F.sum(x[j] * x[k] * F.col("_w") * m).alias(f"_a{j}_{k}") for j in range(p) for k in range(j, p)]]
     got = met.groupBy(*by).agg(*cells)
     return got.select(*by, "_l", F.array(*[F.col(f"_g{j}") for j in range(p)]).alias("_g"), F.array(*[F.col(f"_a{min(j, k)}_{max(j, k)}") for j in range(p) for k in range(p)]).alias("_a"))
 
@@ -59,10 +60,11 @@ def _written(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
-def _numeric(df: DataFrame, by: list[str], y: str, columns: list[str], offset: Column | None) -> DataFrame:
+def _numeric(df: DataFrame, by: list[str], y: str, columns: list[str], offset: Column | None, weight: Column | None = None) -> DataFrame:
     x = [F.col(c).cast("double") for c in columns]
-    good = reduce(lambda a, b: a & b, [finite(c) for c in (*x, F.lit(0.0) if offset is None else offset)]) & F.coalesce(F.col(y).isin(0, 1), F.lit(False))
-    return df.select(*by, F.col(y).cast("int").alias("_y"), (F.lit(0.0) if offset is None else offset.cast("double")).alias("_offset"), *[c.alias(f"_x{j}") for j, c in enumerate(x)], (~good).alias("_odd"))
+    m = F.lit(1.0) if weight is None else weight.cast("double")
+    good = reduce(lambda a, b: a & b, [finite(c) for c in (*x, m, F.lit(0.0) if offset is None else offset)]) & F.coalesce(F.col(y).isin(0, 1), F.lit(False))
+    return df.select(*by, F.col(y).cast("int").alias("_y"), (F.lit(0.0) if offset is None else offset.cast("double")).alias("_offset"), m.alias("_m"), *[c.alias(f"_x{j}") for j, c in enumerate(x)], (~good).alias("_odd"))
 
 
 def _beginning(rows: DataFrame, by: list[str], p: int) -> DataFrame:
@@ -125,10 +127,11 @@ def _rounds(rows: DataFrame, by: list[str], p: int, state: DataFrame, folder: st
     return state.withColumn("status", F.when(F.col("status") == MOVING, "no convergence").otherwise(F.col("status")))
 
 
-def fits(df: DataFrame, by: list[str], y: str, columns: list[str], offset: Column | None = None) -> DataFrame:
-    """by, beta, value (log-likelihood), info (row by row), status: the maximum-likelihood fit of each group. Rows are written once and read in each round."""
+def fits(df: DataFrame, by: list[str], y: str, columns: list[str], offset: Column | None = None, weight: Column | None = None) -> DataFrame:
+    """by, beta, value (log-likelihood), info (row by row), status: the maximum-likelihood fit of each group. Rows are written once and
+    read in each round; a row counts `weight` times, which is above 0."""
     folder, p = shared_folder(df.sparkSession, "newton"), len(columns)
-    rows = _written(_numeric(df, by, y, columns, offset), folder, "rows")
+    rows = _written(_numeric(df, by, y, columns, offset, weight), folder, "rows")
     return _rounds(rows, by, p, _beginning(rows, by, p), folder, "state", STATE, lambda r: _advanced(r, p)).select(*by, "beta", "value", "info", "status")
 
 

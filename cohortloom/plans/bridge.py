@@ -1,19 +1,28 @@
 """The clinical bridge: component scores against epilepsy type, response and regions, over fixed resamples.
 
-A draw is one kernel call; a fit that a draw does not allow is counted under its
-reason, never redrawn, and an interval says when fewer than 95 % of draws are valid.
+A fit that a draw does not allow is counted under its reason, never redrawn, and an
+interval says when fewer than 95 % of draws are valid. bridge_draws() has a draw as
+one kernel call, for a small study's arrays; adjusted_draws() has all draws as
+tables: people's scores are made where the people are, and each analysis is an
+aggregation by draw.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.operators import linear
+from cohortloom.operators import least_squares, linear, newton
 from cohortloom.operators.metrics import percentile_interval
-from cohortloom.operators.ranking import holm
+from cohortloom.operators.ranking import holm, running_sums
+from cohortloom.operators.weights import BLOCK, SLICE, block_weights
+from cohortloom.sources.workspace import shared_folder
 
 VALID_SHARE = 0.95
 
@@ -85,3 +94,107 @@ def failures(rows: DataFrame) -> DataFrame:
 def primary_tests(rows: DataFrame) -> DataFrame:
     """(test, p) of the primary tests with Holm's adjusted p."""
     return holm(rows.withColumn("_f", F.lit(1)), "p", ["_f"], ["test"]).drop("_f")
+
+
+#: Entries of all draws' loadings at most: 64 MB go along with the tasks.
+BUNDLE = 8_000_000
+
+
+def draw_scores(rows: DataFrame, loadings: DataFrame, n: int, draws: int, seed: int, scale: float, folder: str, size: int = BLOCK) -> DataFrame:
+    """draw, row_pos, weight, score of every person that a draw has: (z - the draw's mean) times its loading, over scale.
+
+    rows: row_pos from 0 to n - 1 and z; loadings: draw, loading, of the same draws and seed. Copies of a person are one
+    row with a weight and so have the very same score.
+    """
+    known = {r["draw"]: r["loading"] for r in loadings.where("loading is not null").select("draw", "loading").collect()}
+    if sum(map(len, known.values())) > BUNDLE:
+        raise ValueError("the loadings of all draws are too large a bundle")
+    at = np.array(sorted(known), int)
+    table = np.array([known[d] for d in at.tolist()], float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pos = b.column(0).to_numpy()
+            x = np.array(b.column(1).flatten().to_numpy(zero_copy_only=False), float).reshape(len(pos), -1)
+            for block in np.unique(pos // size):
+                mine = np.flatnonzero(pos // size == block)
+                w = block_weights(int(block), n, draws, seed, size)[:, pos[mine] - block * size]
+                for k in range(0, len(at), SLICE):
+                    part = at[k : k + SLICE]
+                    d, j = np.nonzero(w[part])
+                    u = table[k : k + SLICE] @ x[mine].T
+                    yield pa.RecordBatch.from_arrays([pa.array(part[d]), pa.array(pos[mine][j]), pa.array(w[part][d, j]), pa.array(u[d, j])], ["draw", "row_pos", "weight", "u"])
+
+    made = rows.select(F.col("row_pos").cast("long"), F.col("z").cast("array<double>")).mapInArrow(run, "draw long, row_pos long, weight long, u double") if len(at) else rows.sparkSession.createDataFrame([], "draw long, row_pos long, weight long, u double")
+    made.write.mode("overwrite").parquet(f"{folder}/u")
+    made = rows.sparkSession.read.schema(made.schema).parquet(f"{folder}/u")
+    mean = made.groupBy("draw").agg((F.sum(F.col("weight") * F.col("u")) / F.sum("weight")).alias("_mean"))
+    return made.join(mean, "draw").select("draw", "row_pos", "weight", ((F.col("u") - F.col("_mean")) / scale).alias("score"))
+
+
+def drawn_ranks(people: DataFrame, columns: list[str]) -> DataFrame:
+    """draw, row_pos, weight and r_<column>: average ranks within each draw, in which a row counts as often as its weight says."""
+    long = people.select("draw", "row_pos", "weight", F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("variable", "v"))
+    counts = long.groupBy("draw", "variable", "v").agg(F.sum("weight").alias("_c"))
+    ranked = running_sums(counts, ["draw", "variable"], "v", {"_before": "_c"}).select("draw", "variable", "v", (F.col("_before") + (F.col("_c") + 1) / 2).alias("_r"))
+    met = long.join(ranked, ["draw", "variable", "v"])
+    return met.groupBy("draw", "row_pos").agg(F.first("weight").alias("weight"), *[F.max(F.when(F.col("variable") == c, F.col("_r"))).alias(f"r_{c}") for c in columns])
+
+
+def drawn_correlations(people: DataFrame, regions: list[str], ranked: list[str], plain: list[str]) -> DataFrame:
+    """DRAW rows raw_<region> and partial_<region>: Spearman correlation of the score with each region, and that of what a design of
+    1, ranks of `ranked` and the columns `plain` leaves of both rankings."""
+    ranks = drawn_ranks(people, ["score", *regions, *ranked]).join(people.select("draw", "row_pos", *plain), ["draw", "row_pos"])
+    design = [F.lit(1.0), *[F.col(f"r_{c}") for c in ranked], *[F.col(c) for c in plain]]
+    sums = least_squares.gram(ranks, ["draw"], [*design, F.col("r_score"), *[F.col(f"r_{c}") for c in regions]], F.col("weight"))
+    q = len(design)
+
+    def left(s: np.ndarray, used: list[int]) -> np.ndarray:
+        """Correlations of the first of the others with the rest, given the columns used."""
+        t = s[q:, q:] - s[q:, used] @ np.linalg.solve(s[np.ix_(used, used)], s[np.ix_(used, range(q, len(s)))])
+        d = np.sqrt(np.maximum(np.diag(t), 0))
+        if (d <= 1e-9 * np.sqrt(np.diag(s)[q:])).any():
+            raise ValueError("a ranking has no spread")
+        return np.clip(t[0, 1:] / (d[0] * d[1:]), -1, 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for draw, entries in zip(b["draw"], b["products"]):
+                s = np.array(entries, float).reshape(q + 1 + len(regions), -1)
+                for kind, used in (("raw", [0]), ("partial", list(range(q)))):
+                    try:
+                        if not least_squares.full_rank(s[np.ix_(used, used)]):
+                            raise ValueError("the design's columns depend on each other")
+                        rows += [(draw, f"{kind}_{r}", float(v), "PASS") for r, v in zip(regions, left(s, used))]
+                    except ValueError as e:
+                        rows += [(draw, f"{kind}_{r}", None, f"ValueError: {e}") for r in regions]
+            yield pd.DataFrame(rows, columns=["draw", "quantity", "value", "status"])
+
+    return sums.mapInPandas(run, DRAW)
+
+
+def adjusted_draws(scores: DataFrame, cohort: DataFrame, types: dict[str, tuple[list[str], list[str]]], responses: dict[str, list[str]], regions: list[str], ranked: list[str], plain: list[str], folder: str | None = None) -> DataFrame:
+    """DRAW rows of every analysis of every draw, a written table.
+
+    scores: as of draw_scores(); cohort: row_pos, y and numeric columns. types: for each design its covariates and the
+    two 0/1 columns of a three-level factor, whose contrasts and their difference are told; responses: for each design
+    the covariates beside the score, whose log odds is told; regions: as in drawn_correlations().
+    """
+    folder = folder or shared_folder(cohort.sparkSession, "bridge")
+    scores.join(cohort, "row_pos").withColumn("_one", F.lit(1.0)).write.mode("overwrite").parquet(f"{folder}/people")
+    people = cohort.sparkSession.read.parquet(f"{folder}/people")
+    parts = []
+    state = lambda c, ok: F.when(c == ok, "PASS").otherwise(c)
+    for name, (covariates, levels) in types.items():
+        found = least_squares.coefficients(people, ["draw"], "score", [*covariates, *levels], F.col("weight"))
+        at = len(covariates) + 1
+        one, two = F.get("beta", F.lit(at)), F.get("beta", F.lit(at + 1))
+        cells = F.array(*[F.struct(F.lit(f"{name}_{q}").alias("quantity"), v.alias("value")) for q, v in (("type_1", one), ("type_2", two), ("type_difference", one - two))])
+        parts.append(found.select("draw", F.explode(cells).alias("c"), state(F.col("status"), least_squares.OK).alias("status")).select("draw", "c.quantity", "c.value", "status"))
+    for name, covariates in responses.items():
+        found = newton.fits(people, ["draw"], "y", ["_one", "score", *covariates], weight=F.col("weight"))
+        parts.append(found.select("draw", F.lit(f"{name}_response").alias("quantity"), F.when(F.col("status") == newton.OK, F.col("beta")[1]).alias("value"), state(F.col("status"), newton.OK).alias("status")))
+    parts.append(drawn_correlations(people, regions, ranked, plain))
+    reduce(DataFrame.unionByName, parts).write.mode("overwrite").parquet(f"{folder}/draws")
+    return cohort.sparkSession.read.schema(DRAW).parquet(f"{folder}/draws")
