@@ -224,7 +224,7 @@ def q_calibration_solved(spark, d):
     return both.groupBy("model", "repeat").agg(((F.abs(F.avg("r1")) < 1e-8) & (F.abs(F.avg("r2")) < 1e-8) & (F.abs(F.avg(F.col("r2") * z)) < 1e-7)).alias("solved"))
 
 
-@query("WITH z AS (SELECT vec_id, unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE AS e FROM embeddings), c AS (SELECT vec_id, k, e - avg(e) OVER (PARTITION BY vec_id) AS z FROM z) SELECT a.k AS i, b.k AS j, round(covar_samp(a.z, b.z), 6) AS cov FROM c a JOIN c b ON a.vec_id = b.vec_id AND b.k IN (0, 1) GROUP BY a.k, b.k")
+@query("WITH z AS (SELECT vec_id, unnest(range(len(embedding))) AS k, unnest(embedding)::DOUBLE AS e FROM embeddings), c AS (SELECT vec_id, k, e - avg(e) OVER (PARTITION BY vec_id) AS z FROM z) SELECT a.k AS i, b.k AS j, round(covar_samp(a.z, b.z), 6) + 0 AS cov FROM c a JOIN c b ON a.vec_id = b.vec_id AND b.k IN (0, 1) GROUP BY a.k, b.k")
 def q_component_moments(spark, d):
     n, total, products = pattern.moments(_centred(spark, d), "z")
     rows = [(i, j, float((products[i, j] - total[i] * total[j] / n) / (n - 1))) for i in range(len(total)) for j in (0, 1)]
