@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions.columns import required
+from cohortloom.sources.workspace import shared_folder
 
 
 BUCKETS = 1024
@@ -103,7 +104,10 @@ def running_extreme(df: DataFrame, by: list[str], x: str, value: str, out: str,
 def _adjusted(df: DataFrame, p: str, family: list[str], out: str, value, largest: bool) -> DataFrame:
     """df with the adjusted p of its family: rows of one p share it, so that only distinct p are ranked, however many rows have one."""
     df = _probabilities(df, p)
-    counts = df.groupBy(*family, p).agg(F.count(F.lit(1)).alias("_n"))
+    # ranks refer to the counts many times over: they are written, so that plans of corrections upon corrections stay small
+    counts, folder = df.groupBy(*family, p).agg(F.count(F.lit(1)).alias("_n")), shared_folder(df.sparkSession, "families")
+    counts.write.parquet(folder)
+    counts = df.sparkSession.read.schema(counts.schema).parquet(folder)
     whole = counts.groupBy(*[F.col(c).alias(f"_w_{c}") for c in family]).agg(F.sum("_n").alias("_m"))
     ranked = running_sums(counts, family, p, {"_before": "_n"})
     ranked = ranked.join(whole, [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in family]) if family else ranked.crossJoin(whole)
