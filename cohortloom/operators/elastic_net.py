@@ -90,6 +90,20 @@ class _Problem:
 
     def model_minimum(self, w: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
         """The minimizer of the quadratic model at w plus the absolute values."""
+        taxed = self.a > 0
+
+        def solved(signs: np.ndarray) -> tuple[np.ndarray, bool]:
+            """(the model's minimum over points whose penalized entries have these signs, whether it has them itself)."""
+            on = (signs != 0) | ~taxed
+            point = np.zeros_like(w)
+            point[on] = np.linalg.lstsq(h[np.ix_(on, on)], (h @ w - g - self.a * signs)[on], rcond=None)[0]
+            return point, bool((np.sign(point) == signs)[taxed].all())
+
+        # close to the end the signs stay: if those of w solve the model, no search is needed
+        point, same = solved(np.sign(w))
+        out = taxed & (w == 0)
+        if same and (np.abs(g + h @ (point - w)) <= self.a)[out].all():
+            return point
         v, pull = w.copy(), g.copy()  # pull: the model's slope at v
         diagonal = np.diag(h)
         for _ in range(200):
@@ -102,15 +116,15 @@ class _Problem:
                     v[j] = new
             if moved < 1e-9 * (1 + np.max(np.abs(v))):
                 break
-        on = (v != 0) | (self.a == 0)
-        exact = np.zeros_like(v)
-        rhs = (h @ w - g - self.a * np.sign(v))[on]
-        exact[on] = np.linalg.lstsq(h[np.ix_(on, on)], rhs, rcond=None)[0]
-        return exact if (np.sign(exact[self.a > 0]) == np.sign(v[self.a > 0])).all() else v
+        point, same = solved(np.sign(v))
+        return point if same else v
 
 
-def fit(x: np.ndarray, y: np.ndarray, c: float, l1: float, penalized: np.ndarray | None = None, limit: int = 200) -> Fit:
-    """The certified fit of y (0 and 1) on the columns of x; penalized: which columns are (all, if None)."""
+def fit(x: np.ndarray, y: np.ndarray, c: float, l1: float, penalized: np.ndarray | None = None, limit: int = 200, start: Fit | None = None) -> Fit:
+    """The certified fit of y (0 and 1) on the columns of x; penalized: which columns are (all, if None).
+
+    start: a fit of the same rows with another penalty, to begin from; the bounds of acceptance are the same.
+    """
     x, y = np.asarray(x, float), np.asarray(y, float)
     if x.ndim != 2 or len(x) != len(y) or not np.isfinite(x).all() or set(np.unique(y)) != {0.0, 1.0} or not c > 0 or not 0 <= l1 <= 1:
         raise ValueError("not a two-class problem with finite columns and a valid penalty")
@@ -124,6 +138,8 @@ def fit(x: np.ndarray, y: np.ndarray, c: float, l1: float, penalized: np.ndarray
     p = _Problem(x - middle, y, l1 * weight, (1 - l1) * weight)
     w = np.zeros(x.shape[1] + 1)
     w[0] = np.log(y.mean() / (1 - y.mean()))
+    if start is not None:
+        w[0], w[1:] = start.intercept + middle @ start.coef, start.coef
     free = (p.a == 0) & (p.c == 0)
     steps, value, g = 0, p.value(w), p.slope(w)
     # columns without a penalty are held to their own, closer bound: predictions balance to the last digits

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions.columns import required
 from cohortloom.operators.quantiles import quantiles
 from cohortloom.operators.ranking import numbered
+from cohortloom.sources.workspace import written
 
 
 def fold_count(df: DataFrame, y: str) -> DataFrame:
@@ -37,7 +38,8 @@ def stratified(df: DataFrame, y: str, folds: int, repeats: int, seed: int, row:
 
 
 def nested(outer: DataFrame, y: str, inner_folds: int, seed: int, row: str = "row_pos") -> DataFrame:
-    """The whole plan of outer (repeat, row, y, fold): roles of every row in every outer and inner split."""
+    """The whole plan of outer (repeat, row, y, fold): roles of every row in every outer and inner split. outer is written once, as its rows are read for each part."""
+    outer = written(outer.select("repeat", row, y, "fold"), "outer")
     folds = outer.groupBy("repeat").agg((F.max("fold") + 1).alias("_n"))
     every = outer.join(folds, "repeat").withColumn("_k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
     rows = every.select("repeat", F.col("_k").alias("fold"), F.lit(None).cast("int").alias("inner_fold"), F.when(F.col("fold") == F.col("_k"), "test").otherwise("train").alias("role"), row, y)

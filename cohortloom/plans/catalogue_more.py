@@ -322,6 +322,28 @@ def q_ablations(spark, d):
     return told.join(differences, told["model"] == differences["base"]).select("model", "base", "metric", "n", "people", "failed", "certified", "between")
 
 
+@query(VARIANT_SQL + ", c AS (SELECT a, count(*) AS comparisons FROM p GROUP BY a), n AS (SELECT count(*) AS n, sum(quality)::BIGINT AS positives FROM labels) SELECT v || '_' || m AS model, n, n AS people, positives, 12 AS candidates, 36 AS inner_scores, 3 AS tasks, 0 AS wrong, true AS certified, true AS agree, comparisons FROM v, m, n JOIN c ON c.a = v || '_' || m")
+def q_processing_engine(spark, d):
+    """The 14 models of seven variants of x1 and x2 on one plan: people predicted once, grids of 2 x 2 with every inner score kept, the choice that the scores
+    call for, fits that agree with independent ones in training and tested rows, and how many comparisons a model leads."""
+    from cohortloom.plans import processing
+    from cohortloom.plans.prediction import Settings
+    from cohortloom.sources.workspace import written
+
+    cohort = written(design(spark, d), "cohort")
+    k = F.col("row_pos")
+    made = F.explode(F.array(*[F.struct(F.lit(v).alias("variant"), F.coalesce(F.col("x1"), k % (90 + i)).cast("double").alias("x1"), F.sin(k + F.lit(0.1 * i)).alias("x2")) for i, v in enumerate(families.VARIANTS[1:])]))
+    variants = cohort.select("row_pos", made.alias("_v")).select("row_pos", "_v.*")
+    got = processing.run_processing(cohort, variants, _plan(spark, d), COLUMNS, ["x1", "x2"], BINARY, Settings(c_grid=(0.1, 1.0), l1_grid=(0.0, 1.0), seconds=600.0))
+    grid = processing.candidates(got)
+    told = got.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_pos").alias("people"), F.sum("y").cast("long").alias("positives"), ((F.max("kkt") <= 1e-8) & (F.max("gap") <= 1e-10)).alias("certified"))
+    scores = grid.groupBy("model").agg(F.count(F.lit(1)).cast("int").alias("candidates"), F.sum(F.size("briers")).cast("int").alias("inner_scores"))
+    chosen = processing.choice_faults(grid).select("model", F.col("tasks").cast("int").alias("tasks"), F.col("wrong").cast("int").alias("wrong"))
+    agree = processing.agreements(got).select("model", ((F.col("tests") <= 1e-5) & (F.col("train") <= 1e-5) & (F.col("objective") <= 1e-10)).alias("agree"))
+    leads = spark.createDataFrame(families.processing_comparisons(), "model string, other string").groupBy("model").agg(F.count(F.lit(1)).alias("comparisons"))
+    return told.join(scores, "model").join(chosen, "model").join(agree, "model").join(leads, "model")
+
+
 @query(VOXELS + ", g AS (SELECT s_suppkey AS label, s_nationkey % 4 AS g FROM supplier UNION ALL SELECT -1, 9) SELECT g.g AS \"group\", count(x.label) AS voxels FROM g LEFT JOIN x ON x.label = g.label AND x.i = 7 GROUP BY g.g")
 def q_overlay_counts(spark, d):
     groups = table(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("label"), (F.col("s_nationkey") % 4).cast("long").alias("group")).union(spark.createDataFrame([(-1, 9)], "label int, group long"))

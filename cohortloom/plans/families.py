@@ -13,7 +13,7 @@ from cohortloom.operators.assembly import standardized
 from cohortloom.operators.contracts import ContractError
 from cohortloom.operators.least_squares import associations
 from cohortloom.operators.ranking import benjamini_hochberg
-from cohortloom.sources.workspace import shared_folder
+from cohortloom.sources.workspace import written
 
 #: Processing variants, the original first, and those that predictions are made from.
 VARIANTS = ("original", "wholeBrain", "cerebellarCortex", "petprep", "same_seg_noPVC", "PVC4", "PVC5.4", "PVC6")
@@ -42,9 +42,7 @@ def tests(long: DataFrame, cohort: DataFrame, adjustments: dict[str, list[str]],
 def corrected(rows: DataFrame, count: int, out: str = "q_family") -> DataFrame:
     """rows with the family's adjusted p; another number of rows than declared fails."""
     # a family's fits are made once: its correction and all that follows read their table
-    folder = shared_folder(rows.sparkSession, "family")
-    rows.write.parquet(folder)
-    rows = rows.sparkSession.read.schema(rows.schema).parquet(folder)
+    rows = written(rows, "family")
     n = rows.count()
     if n != count:
         raise ContractError(f"{n} tests of a family of {count}")

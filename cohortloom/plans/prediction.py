@@ -17,9 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions.columns import required
 from cohortloom.operators import elastic_net, linear, metrics, resampling
 from cohortloom.operators.contracts import ContractError
-from cohortloom.sources.workspace import shared_folder
+from cohortloom.sources.workspace import shared_folder, written
 
 
 @dataclass(frozen=True)
@@ -74,69 +75,109 @@ def ablations(pet: list[str], drop: tuple[int, ...] = (0, 4)) -> dict[str, list[
     return {"full": pet, **{f"without_{pet[k]}": [c for i, c in enumerate(pet) if i != k] for k in drop}, "without_both": [c for i, c in enumerate(pet) if i not in drop]}
 
 
-#: audit: training positions and coefficients of a task, in the first of its rows.
-RESULT = "model string, repeat int, fold int, row_pos long, y int, p double, c double, l1 double, inner_brier double, kkt double, gap double, fits int, agreement double, status string, audit string"
+#: Of a task: audit (training positions and coefficients) and candidates (each pair of the grid with its inner scores), in the first of its rows;
+#: the largest differences from an independent fit in tested and training probabilities, and that of the objectives, in all.
+RESULT = (
+    "model string, repeat int, fold int, row_pos long, y int, p double, c double, l1 double, inner_brier double, kkt double, gap double, fits int, agreement double, train_agreement double, "
+    "objective_difference double, status string, audit string, candidates array<struct<c:double,l1:double,brier:double,auc:double,briers:array<double>,aucs:array<double>>>"
+)
 
 
 def task_kernel(columns: dict[str, list[str]], binary: set[str], c_grid, l1_grid, unpenalized: set[str] = frozenset(), verify: bool = True, seconds: float = 3600):
-    """The function of one task's rows: tune on inner parts by mean Brier score (ties within 1e-8: smaller C, then l1), refit, predict, audit."""
+    """The function of one task's rows: tune on inner parts by mean Brier score (ties within 1e-8: smaller C, then l1), refit, predict, audit.
+
+    Rows are those of placed(), with values x in the order of the model's columns. Along the grid a fit begins from that of the
+    C before it with the same l1; the one that is kept begins from nothing.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         began = time.monotonic()
+        pdf = pdf.sort_values("row_pos", kind="stable")
         model, repeat, fold = pdf["model"].iloc[0], int(pdf["repeat"].iloc[0]), int(pdf["fold"].iloc[0])
         names = columns[model]
         kinds = np.array([c in binary for c in names])
         mask = np.array([c not in unpenalized for c in names])
-        part = lambda role, inner=None: pdf[(pdf["role"] == role) & (pdf["inner_fold"].isna() if inner is None else pdf["inner_fold"] == inner)].sort_values("row_pos", kind="stable")
-        take = lambda q: (q[names].to_numpy(float), q["y"].to_numpy(int))
-        train, test = part("train"), part("test")
-        base = {"model": model, "repeat": repeat, "fold": fold, "row_pos": test["row_pos"].to_numpy(), "y": test["y"].to_numpy(int)}
+        every, outcome = np.stack(pdf["x"].to_numpy()).astype(float), pdf["y"].to_numpy(int)
+        fits_in, judged_in = pdf["fits_in"].to_numpy(np.int64), pdf["judged_in"].to_numpy(np.int64)
+        part = lambda at: (every[at], outcome[at])
+        train, test = pdf["trains"].to_numpy(bool), pdf["tests"].to_numpy(bool)
+        where = pdf["row_pos"].to_numpy()
+        base = {"model": model, "repeat": repeat, "fold": fold, "row_pos": where[test], "y": outcome[test]}
         try:
-            inner = []
-            for k in sorted(pdf["inner_fold"].dropna().unique()):
-                (x, y), (vx, vy) = take(part("inner_train", k)), take(part("validation", k))
+            grid, fits = {(c, l1): ([], []) for c in c_grid for l1 in l1_grid}, 0
+            for k in range(int(np.bitwise_or.reduce(judged_in)).bit_length()):
+                fitted, judged = fits_in >> k & 1 == 1, judged_in >> k & 1 == 1
+                if not judged.any():
+                    continue
+                (x, y), (vx, vy) = part(fitted), part(judged)
                 prep = elastic_net.prepare(x, kinds)
-                inner.append((prep(x), y, prep(vx), vy, mask[prep.keep] if not mask.all() else None))
-            grid, fits = [], 0
-            for c in c_grid:
+                x, vx = prep(x), prep(vx)
+                m = mask[prep.keep] if not mask.all() else None
                 for l1 in l1_grid:
-                    scores = []
-                    for x, y, vx, vy, m in inner:
+                    last = None
+                    for c in sorted(c_grid):
                         if time.monotonic() - began > seconds:
                             raise TimeoutError("the time for a task is over")
-                        scores.append(np.mean((elastic_net.fit(x, y, c, l1, m).probabilities(vx) - vy) ** 2))
+                        last = elastic_net.fit(x, y, c, l1, m, start=last)
+                        p = last.probabilities(vx)
+                        grid[c, l1][0].append(float(np.mean((p - vy) ** 2)))
+                        grid[c, l1][1].append(float(linear.rank_auc(vy, p)))
                         fits += 1
-                    grid.append((float(np.mean(scores)), c, l1))
-            low = min(g[0] for g in grid)
-            score, c, l1 = min((g for g in grid if g[0] <= low + 1e-8), key=lambda g: (g[1], g[2]))
-            (x, y), (tx, _) = take(train), take(test)
+            candidates = [{"c": c, "l1": l1, "brier": float(np.mean(b)), "auc": float(np.mean(a)), "briers": b, "aucs": a} for (c, l1), (b, a) in grid.items()]
+            low = min(g["brier"] for g in candidates)
+            best = min((g for g in candidates if g["brier"] <= low + 1e-8), key=lambda g: (g["c"], g["l1"]))
+            score, c, l1 = best["brier"], best["c"], best["l1"]
+            (x, y), (tx, _) = part(train), part(test)
             prep = elastic_net.prepare(x, kinds)
+            x, tx = prep(x), prep(tx)
             m = mask[prep.keep] if not mask.all() else None
-            final = elastic_net.fit(prep(x), y, c, l1, m)
-            p, agreement = final.probabilities(prep(tx)), None
-            again = elastic_net.fit(prep(x), y, c, l1, m)
+            final = elastic_net.fit(x, y, c, l1, m)
+            p, told = final.probabilities(tx), dict.fromkeys(("agreement", "train_agreement", "objective_difference"))
+            again = elastic_net.fit(x, y, c, l1, m)
             if not np.array_equal(again.coef, final.coef) or again.intercept != final.intercept:
                 raise ArithmeticError("a repeated fit differs")
             if verify:
-                other = elastic_net.proximal(prep(x), y, c, l1, m)
-                agreement = float(np.max(np.abs(other.probabilities(prep(tx)) - p)))
-                if agreement > 1e-5 or abs(other.objective - final.objective) > 1e-10:
-                    raise ArithmeticError(f"an independent fit differs by {agreement:.3g}")
-            audit = json.dumps({"train": train["row_pos"].tolist(), "dropped": [n for n, keep in zip(names, prep.keep) if not keep], "coefficients": dict(zip(np.array(names)[prep.keep].tolist(), final.coef.tolist())), "intercept": final.intercept})
-            return pd.DataFrame(base | {"p": p, "c": c, "l1": l1, "inner_brier": score, "kkt": final.kkt, "gap": final.gap, "fits": fits + 1, "agreement": agreement, "status": "PASS", "audit": [audit] + [None] * (len(test) - 1)})
+                other = elastic_net.proximal(x, y, c, l1, m)
+                apart = [float(np.max(np.abs(other.probabilities(q) - final.probabilities(q)), initial=0.0)) for q in (tx, x)]
+                told = dict(zip(told, [*apart, abs(other.objective - final.objective)]))
+                if max(apart) > 1e-5 or told["objective_difference"] > 1e-10:
+                    raise ArithmeticError(f"an independent fit differs by {max(apart):.3g}")
+            audit = json.dumps({"train": where[train].tolist(), "dropped": [n for n, keep in zip(names, prep.keep) if not keep], "coefficients": dict(zip(np.array(names)[prep.keep].tolist(), final.coef.tolist())), "intercept": final.intercept})
+            rest = [None] * (int(test.sum()) - 1)
+            return pd.DataFrame(base | told | {"p": p, "c": c, "l1": l1, "inner_brier": score, "kkt": final.kkt, "gap": final.gap, "fits": fits + 1, "status": "PASS", "audit": [audit, *rest], "candidates": [candidates, *rest]})
         except (ValueError, ArithmeticError, TimeoutError) as e:
-            none = {k: None for k in ("p", "c", "l1", "inner_brier", "kkt", "gap", "agreement", "audit")}
+            none = {k: None for k in ("p", "c", "l1", "inner_brier", "kkt", "gap", "agreement", "train_agreement", "objective_difference", "audit", "candidates")}
             return pd.DataFrame(base | none | {"fits": 0, "status": f"{type(e).__name__}: {e}"})
 
     return run
 
 
-def run_nested(cohort: DataFrame, plan: DataFrame, columns: dict[str, list[str]], binary: set[str], settings: Settings = Settings(), unpenalized: set[str] = frozenset(), verify: bool = True) -> DataFrame:
-    """RESULT rows of every model and outer test row. cohort: row_pos, y and numeric columns (categories as 0/1, gaps null); plan as in operators.splits."""
-    needed = sorted({c for names in columns.values() for c in names})
-    rows = plan.select("repeat", "fold", "inner_fold", "role", "row_pos").join(cohort.select("row_pos", "y", *[F.col(c).cast("double") for c in needed]), "row_pos")
-    tasks = rows.withColumn("model", F.explode(F.array(*[F.lit(m) for m in columns]))).withColumns({"repeat": F.col("repeat").cast("int"), "fold": F.col("fold").cast("int"), "inner_fold": F.col("inner_fold").cast("int")})
-    return tasks.groupBy("model", "repeat", "fold").applyInPandas(task_kernel(columns, binary, settings.c_grid, settings.l1_grid, unpenalized, verify, settings.seconds), RESULT)
+def placed(plan: DataFrame) -> DataFrame:
+    """repeat, fold, row_pos, trains, tests, fits_in, judged_in: one row for each of a plan's rows in an outer split.
+
+    The last two have bit k set where the row is fitted or judged in inner fold k, so that a cohort's values meet a split
+    once instead of once for each of its parts. Inner folds are numbered 0 to 62; a repeated row of the plan counts once.
+    """
+    inner, role = F.col("inner_fold"), F.col("role")
+    bit = F.expr("shiftleft(1L, CAST(inner_fold AS INT))")
+    bits = lambda r: F.coalesce(F.bit_or(F.when(role == r, required(inner.between(0, 62), bit, "inner folds are numbered 0 to 62"))), F.lit(0).cast("long"))
+    outer = lambda r: F.coalesce(F.bool_or(inner.isNull() & (role == r)), F.lit(False))
+    keys = [F.col("repeat").cast("int").alias("repeat"), F.col("fold").cast("int").alias("fold"), "row_pos"]
+    return plan.groupBy(*keys).agg(outer("train").alias("trains"), outer("test").alias("tests"), bits("inner_train").alias("fits_in"), bits("validation").alias("judged_in"))
+
+
+def run_nested(cohort: DataFrame, plan: DataFrame, columns: dict[str, list[str] | dict[str, str]], binary: set[str], settings: Settings = Settings(), unpenalized: set[str] = frozenset(), verify: bool = True) -> DataFrame:
+    """RESULT rows of every model and outer test row. cohort: row_pos, y and numeric columns (categories as 0/1, gaps null); plan as in operators.splits.
+
+    columns: a model's columns, or names of its columns with those of the cohort that they are taken from.
+    """
+    taken = {m: c if isinstance(c, dict) else {n: n for n in c} for m, c in columns.items()}
+    gap = F.lit(float("nan"))
+    models = [F.struct(F.lit(m).alias("model"), F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), gap) for c in t.values()]).alias("x")) for m, t in taken.items()]
+    rows = placed(plan).join(cohort.select("row_pos", "y", F.array(*models).alias("_models")), "row_pos")
+    tasks = rows.withColumn("_m", F.explode("_models")).select("repeat", "fold", "row_pos", "y", "trains", "tests", "fits_in", "judged_in", "_m.model", "_m.x")
+    run = task_kernel({m: list(t) for m, t in taken.items()}, binary, settings.c_grid, settings.l1_grid, unpenalized, verify, settings.seconds)
+    return tasks.groupBy("model", "repeat", "fold").applyInPandas(run, RESULT)
 
 
 def run_ablations(cohort: DataFrame, plan: DataFrame, kept: list[str], removable: dict[str, list[str]], binary: set[str], settings: Settings = Settings(), draws: int = 2000, seed: int = 20260910, folder: str | None = None) -> dict[str, DataFrame]:
@@ -150,6 +191,7 @@ def run_ablations(cohort: DataFrame, plan: DataFrame, kept: list[str], removable
     one, two = removable
     columns = {"full": [*kept, *removable[one], *removable[two]], f"without_{one}": [*kept, *removable[two]], f"without_{two}": [*kept, *removable[one]], "without_both": list(kept)}
     folder = folder or shared_folder(cohort.sparkSession, "ablations")
+    cohort = written(cohort, "cohort")
     # the fits are dear: they are made once, and every table reads what they wrote
     run_nested(cohort, plan, columns, binary, settings).write.mode("overwrite").parquet(f"{folder}/predictions")
     got = results(cohort.sparkSession.read.schema(RESULT).parquet(f"{folder}/predictions"))

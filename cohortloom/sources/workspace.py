@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -30,3 +30,10 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
             _own[app] = f"file://{path}"
         root = _own[app]
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df, made once: read back from a new folder of the shared ones. For rows that a plan would otherwise make many times."""
+    folder = shared_folder(df.sparkSession, tag)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
