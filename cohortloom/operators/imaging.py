@@ -127,10 +127,10 @@ def grid_step(subjects: DataFrame, threads: int = 4) -> DataFrame:
     return coreg.unionByName(grid).unionByName(sample)
 
 
-def overlay_counts(voxels: DataFrame, groups: DataFrame, axis: str, at: int) -> DataFrame:
-    """group, voxels of a plane's labelled voxels; groups (label, group) that it doesn't meet count 0."""
+def overlay_counts(voxels: DataFrame, groups: DataFrame, axis: str, at: int, complete: bool = False) -> DataFrame:
+    """group, voxels of a plane's labelled voxels; groups (label, group) that it doesn't meet count 0 or, if all must be met, fail."""
     plane = voxels.where(F.col(axis) == at).join(F.broadcast(groups), "label").groupBy("group").agg(F.count(F.lit(1)).alias("voxels"))
-    return groups.select("group").distinct().join(plane, "group", "left").withColumn("voxels", F.coalesce("voxels", F.lit(0)))
+    return groups.select("group").distinct().join(plane, "group", "left").withColumn("voxels", required(F.col("voxels").isNotNull(), F.col("voxels"), "a group isn't on the plane") if complete else F.coalesce("voxels", F.lit(0)))
 
 
 def bounding_boxes(voxels: DataFrame) -> DataFrame:

@@ -141,3 +141,15 @@ def weighted_reference(labels: DataFrame, by: list[str], node: str, beta: str, v
 def face_labels(faces: DataFrame) -> DataFrame:
     """Of (face, v1, v2, v3), labels of three corners: the label of at least two, else that of the first."""
     return faces.withColumn("label", F.when(F.col("v2") == F.col("v3"), F.col("v2")).otherwise(F.col("v1")))
+
+
+def parcel_faces(faces: DataFrame, values: DataFrame, parcels: int = 34) -> DataFrame:
+    """hemisphere, label, value, faces: how many of a hemisphere's faces (hemisphere, v1, v2, v3) have each label that has a value (hemisphere, label, value).
+
+    A label without faces fails, and so does a hemisphere with another number of labels than `parcels`. Faces whose label has no value are left out.
+    """
+    counts = face_labels(faces).groupBy("hemisphere", "label").agg(F.count(F.lit(1)).alias("_faces"))
+    listed = values.groupBy("hemisphere").agg(F.count_distinct("label").alias("_labels"), F.count(F.lit(1)).alias("_rows"))
+    met = values.join(listed, "hemisphere").join(counts, ["hemisphere", "label"], "left")
+    whole = required((F.col("_labels") == parcels) & (F.col("_rows") == parcels), F.col("_faces"), f"a hemisphere needs {parcels} labels")
+    return met.select("hemisphere", "label", "value", required(F.col("_faces").isNotNull(), whole, "a label has no faces").alias("faces"))

@@ -106,9 +106,14 @@ def moran(values: DataFrame, edges: DataFrame, by: list[str], pos: str = "pos",
     return cross.join(spread, by).select(*by, (F.col("_n") / F.col("_w") * F.col("_c") / F.col("_ss")).alias("moran"))
 
 
-def map_correlations(maps: DataFrame, targets: DataFrame) -> DataFrame:
-    """draw, target, r: Pearson correlation of every map (draw, pos, value) with every target (target, pos, t), within -1 and 1; null without spread."""
-    return maps.join(targets, "pos").groupBy("draw", "target").agg(correlation(F.col("value"), F.col("t")).alias("r"))
+def map_correlations(maps: DataFrame, targets: DataFrame, strict: bool = False) -> DataFrame:
+    """draw, target, r: Pearson correlation of every map (draw, pos, value) with every target (target, pos, t), within -1 and 1; null without spread.
+
+    strict: a map or target without spread, or with a value that isn't finite, fails.
+    """
+    r = correlation(F.col("value"), F.col("t"))
+    whole = F.count_if(~finite(F.col("value")) | ~finite(F.col("t"))) == 0
+    return maps.join(targets, "pos").groupBy("draw", "target").agg((required(whole & finite(r), r, "a map or target has no spread or isn't finite") if strict else r).alias("r"))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ of one number a draw: no table of draws is made, shipped or joined.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.operators.pattern import Degenerate, component_of_moments
+from cohortloom.operators.contracts import ContractError
+from cohortloom.operators.pattern import Degenerate, component_of_moments, moments
+from cohortloom.operators.ranking import numbered
+from cohortloom.sources.workspace import written
 
 #: Rows of a block: weights of a block, draws x BLOCK integers, are in memory at once.
 BLOCK = 1024
@@ -100,14 +104,8 @@ def weighted_moments(rows: DataFrame, centre: np.ndarray, n: int, draws: int, se
 COMPONENT = "draw long, loading array<double>, eigen1 double, eigen2 double, explained double, cosine double, near_tie boolean, ambiguous boolean, degenerate boolean"
 
 
-def component_draws(rows: DataFrame, loading: np.ndarray, centre: np.ndarray, n: int, draws: int, seed: int, size: int = BLOCK) -> DataFrame:
-    """COMPONENT of each of `draws` bootstrap draws of the rows (row_pos, z): the first component of its weighted covariance, its sign
-    that of its product with `loading`. Degenerate draws stay, as nulls.
-
-    A draw's task has one vector of moments from each task of rows. Loadings come from products: eigenvalues have an
-    absolute error of about 1e-16 times the largest product.
-    """
-    p = len(centre)
+def _components(summed: DataFrame, loading: np.ndarray, p: int) -> DataFrame:
+    """COMPONENT of each draw's vectors of moments (draw, m)."""
     i, j = _triangle(p)
     length = float(np.linalg.norm(loading))
 
@@ -123,4 +121,38 @@ def component_draws(rows: DataFrame, loading: np.ndarray, centre: np.ndarray, n:
         dot = float(f["loading"] @ loading)
         return pd.DataFrame([row | {"loading": (f["loading"] * (-1 if dot < 0 else 1)).tolist(), "eigen1": f["eigen1"], "eigen2": f["eigen2"], "explained": f["explained"], "cosine": abs(dot) / length, "near_tie": f["eigen1"] - f["eigen2"] <= 1e-10 * f["eigen1"], "ambiguous": abs(dot) <= 1e-12}])
 
-    return weighted_moments(rows, centre, n, draws, seed, size).groupBy("draw").applyInPandas(one, COMPONENT)
+    return summed.groupBy("draw").applyInPandas(one, COMPONENT)
+
+
+def component_draws(rows: DataFrame, loading: np.ndarray, centre: np.ndarray, n: int, draws: int, seed: int, size: int = BLOCK) -> DataFrame:
+    """COMPONENT of each of `draws` bootstrap draws of the rows (row_pos, z): the first component of its weighted covariance, its sign
+    that of its product with `loading`. Degenerate draws stay, as nulls.
+
+    A draw's task has one vector of moments from each task of rows. Loadings come from products: eigenvalues have an
+    absolute error of about 1e-16 times the largest product.
+    """
+    return _components(weighted_moments(rows, centre, n, draws, seed, size), loading, len(centre))
+
+
+def stratified_component_draws(rows: DataFrame, stratum: str, reference: np.ndarray, draws: int, seed: int, size: int = BLOCK, most: int = 64) -> DataFrame:
+    """COMPONENT of draws that keep every stratum's number of rows; written once. rows: row_pos, z and the stratum's column.
+
+    Strata, at most `most` of them, are drawn one by one in their order, the k-th with the seed plus k, and a draw's moments are
+    the sums of theirs. The rows' own component must be the reference (of length 1, up to sign) to 1e-9, and a draw without
+    a component fails the whole: it is neither redrawn nor left out. Rows without a stratum fail too.
+    """
+    reference = np.asarray(reference, float)
+    whole = component_of_moments(*moments(rows.select("z"), "z"))
+    seen = whole["loading"] * (-1 if whole["loading"] @ reference < 0 else 1)
+    if abs(np.linalg.norm(reference) - 1) > 1e-12 or not np.allclose(seen, reference, rtol=0, atol=1e-9):
+        raise ContractError("the rows' own component isn't the reference")
+    sizes = rows.groupBy(stratum).agg(F.count(F.lit(1)).alias("n")).orderBy(stratum).limit(most + 1).collect()
+    if len(sizes) > most or any(r[0] is None for r in sizes):
+        raise ContractError(f"over {most} strata, or rows without one")
+    placed = written(numbered(rows.select("row_pos", "z", stratum), [stratum], "row_pos", [], "_k").select(stratum, (F.col("_k") - 1).alias("row_pos"), "z"), "strata")
+    parts = [weighted_moments(placed.where(F.col(stratum) == F.lit(r[0])), whole["centre"], int(r["n"]), draws, seed + k, size) for k, r in enumerate(sizes)]
+    out = written(_components(reduce(DataFrame.unionByName, parts), reference, len(reference)), "stratified")
+    lost = out.where("degenerate").agg(F.min("draw"), F.count(F.lit(1))).first()
+    if lost[1]:
+        raise ContractError(f"{lost[1]} draws have no component, draw {lost[0]} first")
+    return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortloom.functions import columns as C
-from cohortloom.operators import assembly, contracts, display, imaging, metrics, pattern, resampling, spatial, splits
+from cohortloom.operators import assembly, contracts, display, imaging, metrics, pattern, regional, resampling, spatial, splits
 from cohortloom.plans import catalogue, families, protocol
 from cohortloom.plans.catalogue import COLUMNS, BINARY, PRED, S, _centred, _plan, design, predicted, query, rounded, scored, table
 from cohortloom.sources import sinks, stats_text, tables
@@ -344,6 +344,26 @@ def q_processing_engine(spark, d):
     return told.join(scores, "model").join(chosen, "model").join(agree, "model").join(leads, "model")
 
 
+@query("WITH f AS (SELECT l_orderkey % 2 AS hemisphere, CASE WHEN l_suppkey % 34 = l_linenumber % 34 THEN l_suppkey % 34 ELSE l_partkey % 34 END AS label FROM lineitem), v AS (SELECT p_partkey % 2 AS hemisphere, (p_partkey // 2)::BIGINT % 34 AS label, avg(p_retailprice) AS value FROM part GROUP BY ALL) SELECT v.hemisphere, v.label, round(value, 6) AS value, count(*) AS faces FROM v JOIN f USING (hemisphere, label) GROUP BY ALL")
+def q_parcel_faces(spark, d):
+    """Line items as faces of two hemispheres with 34 parcels each, whose values are parts' mean prices."""
+    faces = table(spark, d, "lineitem").select((F.col("l_orderkey") % 2).alias("hemisphere"), (F.col("l_partkey") % 34).alias("v1"), (F.col("l_suppkey") % 34).alias("v2"), (F.col("l_linenumber").cast("long") % 34).alias("v3"))
+    values = table(spark, d, "part").groupBy((F.col("p_partkey") % 2).alias("hemisphere"), (F.expr("p_partkey div 2") % 34).alias("label")).agg(F.avg("p_retailprice").alias("value"))
+    return rounded(regional.parcel_faces(faces, values), "value")
+
+
+@query("SELECT l.doc_id AS row_pos, l.quality AS y, coalesce(nullif(d.lang, ''), 'none') AS epilepsy_classification, coalesce(nullif(d.source, ''), 'none') AS etiology_group, 'S' || (l.doc_id % 2) AS scanner, round(d.n_chars::DOUBLE, 6) AS baseline FROM labels l JOIN documents d USING (doc_id)")
+def q_first_table(spark, d):
+    """Labelled documents as the cohort, all documents' languages and sources as its metadata."""
+    docs = table(spark, d, "documents")
+    name = F.concat(F.lit("S"), F.col("doc_id").cast("string"))
+    word = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("none"))
+    metadata = docs.select(name.alias("study_id"), word("lang").alias("epilepsy_type"), word("source").alias("etiology_detailed"), F.concat(F.lit("S"), (F.col("doc_id") % 2).cast("string")).alias("scanner_source_key"))
+    cohort = table(spark, d, "labels").join(docs.select("doc_id", "n_chars"), "doc_id").select(name.alias("study_id"), F.col("doc_id").alias("row_pos"), F.col("quality").alias("y"), F.log1p(F.col("n_chars").cast("double")).alias("log1p_baseline_monthly_frequency"))
+    rows = tables.first_table(cohort, metadata)
+    return rows.select("row_pos", "y", "epilepsy_classification", "etiology_group", "scanner", F.round("baseline_monthly_frequency_reconstructed", 6).alias("baseline"))
+
+
 @query(VOXELS + ", g AS (SELECT s_suppkey AS label, s_nationkey % 4 AS g FROM supplier UNION ALL SELECT -1, 9) SELECT g.g AS \"group\", count(x.label) AS voxels FROM g LEFT JOIN x ON x.label = g.label AND x.i = 7 GROUP BY g.g")
 def q_overlay_counts(spark, d):
     groups = table(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("label"), (F.col("s_nationkey") % 4).cast("long").alias("group")).union(spark.createDataFrame([(-1, 9)], "label int, group long"))

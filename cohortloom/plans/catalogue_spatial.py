@@ -137,6 +137,17 @@ def q_pc1_bootstrap(spark, d):
     return weights.component_draws(rows, f["loading"] * pattern.sign_by_largest(f["loading"]), f["centre"], int(n), BOOTS, 20260910)
 
 
+@query(f"SELECT {BOOTS} AS draws, 0 AS degenerate, true AS unit, true AS ordered, true AS aligned, (SELECT count(*) FROM embeddings) AS n")
+def q_stratified_bootstrap(spark, d):
+    """2,000 draws within even and odd vectors: every draw has a component of length 1, ordered eigenvalues and the reference's direction."""
+    rows = rows_of(spark, d).withColumn("scanner", F.col("row_pos") % 2)
+    n, total, products = pattern.moments(rows, "z")
+    f = pattern.component_of_moments(n, total, products)
+    out = weights.stratified_component_draws(rows, "scanner", f["loading"] * pattern.sign_by_largest(f["loading"]), BOOTS, 20261025)
+    length = F.aggregate("loading", F.lit(0.0), lambda s, v: s + v * v)
+    return out.agg(F.count(F.lit(1)).cast("int").alias("draws"), F.count_if("degenerate").cast("int").alias("degenerate"), (F.max(F.abs(length - 1)) < 1e-11).alias("unit"), (F.min(F.col("eigen1") - F.col("eigen2")) >= 0).alias("ordered"), (F.min("cosine") >= 0).alias("aligned"), F.lit(int(n)).cast("long").alias("n"))
+
+
 @query(None)
 def q_three_targets(spark, d):
     """The vectors' pattern against a map taken as the original pattern and two as receptors: effects with 2,000 bootstrap draws and families of 9,999 nulls."""

@@ -11,6 +11,7 @@ from cohortloom.operators import metrics, resampling, splits
 from cohortloom.operators.contracts import ContractError
 from cohortloom.operators.newton import calibration
 from cohortloom.plans.prediction import Settings, results, run_nested
+from cohortloom.sources.workspace import written
 
 #: Pairs (base, added) that are compared.
 COMPARISONS = (("C", "CT"), ("C", "CP"), ("CP", "CPT"), ("CT", "CPT"))
@@ -70,20 +71,34 @@ def collected(spark: SparkSession, folder: str, models: list[str], settings: Set
     return got
 
 
+def four_model_intervals(people: DataFrame, mean: DataFrame, draws: int, seed: int, core: tuple[str, ...] = ("C", "CP", "CPT")) -> tuple[DataFrame, DataFrame]:
+    """(draw_metrics() of all models, written once; their intervals): people are drawn once for all models, and the core models drawn by
+    themselves must have the same intervals, to 1e-12, and numbers of draws."""
+    metric = written(resampling.draw_metrics(resampling.weighted_draws(people, draws, seed), mean), "draws")
+    every = written(resampling.model_intervals(metric), "intervals")
+    alone = resampling.model_intervals(resampling.draw_metrics(resampling.weighted_draws(people, draws, seed), mean.where(F.col("model").isin(*core))))
+    one, two = (df.select("model", "metric", F.struct("lo", "hi", "valid_draws", "skipped").alias(c)) for df, c in ((every.where(F.col("model").isin(*core)), "a"), (alone, "b")))
+    near = lambda c: F.coalesce(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) <= 1e-12, F.col(f"a.{c}").isNull() & F.col(f"b.{c}").isNull())
+    same = near("lo") & near("hi") & (F.col("a.valid_draws") == F.col("b.valid_draws")) & (F.col("a.skipped") == F.col("b.skipped"))
+    off = one.join(two, ["model", "metric"], "full").where(~F.coalesce(same, F.lit(False))).select("model", "metric").limit(5).collect()
+    if off:
+        raise ContractError(f"intervals differ between runs: {[tuple(r) for r in off]}")
+    return metric, every
+
+
 def summarize(spark: SparkSession, folder: str, models: list[str], settings: Settings, draws: int = 2000, seed: int = 20260910) -> dict[str, DataFrame]:
     """performance, calibration, decision, intervals, comparisons and numerics tables of a complete run."""
     got = collected(spark, folder, models, settings)
     y = got.select("row_pos", "y").distinct()
     mean = metrics.mean_predictions(got).join(y, "row_pos")
-    n = y.count()
-    drawn = resampling.draw_metrics(resampling.numpy_draws(spark, draws, n, seed), mean)
+    drawn, intervals = four_model_intervals(y, mean, draws, seed)
     pairs = spark.createDataFrame([p for p in COMPARISONS if set(p) <= set(models)], "base string, added string")
     return {
         "performance": metrics.measures(mean, "y", "p", ["model"]),
         "repeats": metrics.measures(got, "y", "p", ["model", "repeat"]),
         "calibration": calibration(mean.select("model", "y", "p"), ["model"]),
         "decision": metrics.decision_curve(mean, "y", "p", list(settings.thresholds), ["model"]),
-        "intervals": resampling.model_intervals(drawn),
+        "intervals": intervals,
         "comparisons": resampling.difference_intervals(resampling.paired_differences(drawn, pairs)),
         "numerics": got.groupBy("model").agg(F.max("kkt").alias("max_kkt"), F.max("gap").alias("max_gap"), F.max("agreement").alias("max_agreement"), F.sum("fits").alias("fits"), F.count_distinct("c", "l1").alias("choices")),
     }

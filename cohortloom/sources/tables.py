@@ -220,3 +220,20 @@ def _check_plan(plan, n: int, y: list[int]) -> None:
     repeats, folds = (1 + max(x[k] for x in named) for k in (0, 1))
     if len(named) != repeats * folds or len({len(split["inner"]) for split in plan}) != 1:
         raise ContractError("a plan has the same folds, from 0 on, in each of its repeats, from 0 on, and as many inner parts in each")
+
+
+#: Categorical columns of the metadata and their names in the first table.
+FIRST_TABLE = {"epilepsy_type": "epilepsy_classification", "etiology_detailed": "etiology_group", "scanner_source_key": "scanner"}
+
+
+def first_table(cohort: DataFrame, metadata: DataFrame, frequency: str = "log1p_baseline_monthly_frequency") -> DataFrame:
+    """Rows of the descriptive table: the cohort's columns, its categories from the metadata (strings by study_id), and the frequency that the logarithm was made of.
+
+    People of the metadata alone are left out; a person twice in it, one of the cohort who isn't in it, and an empty or missing category fail.
+    """
+    if metadata.groupBy("study_id").count().where("count > 1 or study_id is null").limit(1).count():
+        raise ContractError("metadata needs one row for each study_id")
+    told = metadata.select("study_id", *[F.col(c).alias(f"_{n}") for c, n in FIRST_TABLE.items()], F.lit(True).alias("_there"))
+    met = cohort.join(told, "study_id", "left")
+    there = lambda n: required(F.coalesce(F.col("_there"), F.lit(False)), required(F.coalesce(F.col(f"_{n}") != "", F.lit(False)), F.col(f"_{n}"), f"{n} has no value"), "a person of the cohort has no metadata").alias(n)
+    return met.select(*cohort.columns, *[there(n) for n in FIRST_TABLE.values()], F.expm1(frequency).alias("baseline_monthly_frequency_reconstructed"))
