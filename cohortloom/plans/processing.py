@@ -89,7 +89,7 @@ def compared(predictions: DataFrame, core: DataFrame, people: DataFrame, draws:
     lost = {m for p in pairs for m in p} - {r[0] for r in mean.select("model").distinct().limit(100).collect()}
     if lost:
         raise ContractError(f"no predictions of {sorted(lost)}")
-    drawn = resampling.draw_metrics(resampling.weighted_draws(people, draws, seed), mean)
+    drawn = resampling.weighted_metrics(mean, people, draws, seed)
     listed = spark.createDataFrame([(b, a) for a, b in pairs], "base string, added string")
     intervals = resampling.difference_intervals(resampling.paired_differences(drawn, listed, brier_sign=1))
     seen = metrics.measures(mean, "y", "p", ["model"]).unpivot(["model"], ["auc", "brier"], "metric", "value")

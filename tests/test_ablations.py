@@ -58,3 +58,27 @@ def test_families_with_ties_and_gaps_in_keys(spark):
         bh = np.minimum.accumulate((p[order] * m / np.arange(1, m + 1))[::-1])[::-1].clip(max=1)
         holm = np.maximum.accumulate(np.minimum(1, p[order] * np.arange(m, 0, -1)))
         assert [up[g, int(k)] for k in order] == pytest.approx(bh.tolist()) and [down[g, int(k)] for k in order] == pytest.approx(holm.tolist())
+
+
+@pytest.mark.parametrize("stretch", [3, 1024])
+def test_weighted_metrics_equal_those_of_drawn_rows(spark, monkeypatch, stretch):
+    """Ties within and across stretches and buckets, gaps in row numbers, draws of one class."""
+    monkeypatch.setattr(resampling, "STRETCH", stretch)
+    rng = np.random.default_rng(12)
+    y = (rng.random(50) < 0.1).astype(int)
+    p = {"a": rng.random(50).round(1), "b": np.full(50, 0.25), "c": rng.random(50) ** 9}
+    rows = spark.createDataFrame([(m, 11 * k + 3, int(y[k]), float(v[k])) for m, v in p.items() for k in range(50)], "model string, row_pos long, y int, p double")
+    people = rows.select("row_pos").distinct()
+    got = {(r.draw, r.model): (r.auc, r.brier) for r in resampling.weighted_metrics(rows, people, 40, 2).collect()}
+    want = {(r.draw, r.model): (r.auc, r.brier) for r in resampling.draw_metrics(resampling.weighted_draws(people, 40, 2), rows).collect()}
+    assert got.keys() == want.keys() and len(got) == 120 and any(a is None for a, _ in got.values())
+    for k, (a, b) in got.items():
+        assert (a is None) == (want[k][0] is None) and b == pytest.approx(want[k][1]) and (a is None or a == pytest.approx(want[k][0]))
+
+
+def test_draws_are_not_broadcast(spark):
+    """Spark takes weights for small, whatever their number: a join with them must not go through the driver."""
+    ids = spark.createDataFrame([(k,) for k in range(25)], "row_pos long")
+    plan = resampling.weighted_draws(ids, 6, 3)._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "_at" in line and "_bucket" not in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
