@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions.columns import finite, required
+from cohortloom.sources.workspace import written
 
 #: Fixed values of the geometry checks.
 SAME_GRID, VOXEL_SIZE, HEADER, IDENTITY = 1e-5, 1e-4, 1e-4, 1e-6
@@ -63,14 +64,24 @@ def orientation(images: DataFrame) -> DataFrame:
     return best.withColumn("flips", F.array(*[F.element_at(a, F.lit(3 * w + 1) + F.col("axes")[w]) < 0 for w in range(3)]))
 
 
+#: Images at most whose axes go to every task, and tasks over which the voxels of one of more images are dealt.
+IMAGES, DEALT = 100_000, 32
+
+
 def canonical(voxels: DataFrame, images: DataFrame, by: list[str]) -> DataFrame:
     """voxels with x, y, z: their places along the world's axes, which point right, forward and up.
 
     voxels: by, i, j, k from 0; images: by, affine, shape (voxels along i, j, k). A signed permutation of axes, so
     that nothing is resampled: values stay, and each voxel is a row of its own. A voxel outside its image fails.
+    Voxels stay where they are and images go to them; of very many images, each one's voxels are dealt over DEALT tasks.
     """
-    turned = orientation(images).select(*by, "axes", "flips", "shape")
-    met = voxels.join(turned, by)
+    # counted first, as Spark can't tell how few they are
+    turned = written(orientation(images).select(*by, "axes", "flips", "shape"), "images")
+    if turned.limit(IMAGES + 1).count() <= IMAGES:
+        met = voxels.join(F.broadcast(turned), by)
+    else:
+        copies = turned.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))))
+        met = voxels.withColumn("_part", F.pmod(F.xxhash64("i", "j", "k"), F.lit(DEALT))).join(copies.hint("merge"), [*by, "_part"])
     place = F.array(*[F.col(c).cast("int") for c in "ijk"])
     inside = (F.col("i") >= 0) & (F.col("j") >= 0) & (F.col("k") >= 0) & (F.col("i") < F.col("shape")[0]) & (F.col("j") < F.col("shape")[1]) & (F.col("k") < F.col("shape")[2])
 

@@ -53,3 +53,16 @@ def test_residuals_of_a_bundle(spark):
     assert [got[k] for k in range(6)] == pytest.approx((xtx @ b - xty).tolist(), abs=1e-9)
     with pytest.raises(Exception, match="no coefficient"):
         imaging.bundle_residuals(products, cross, beta.where("label < 5"), ["subject"]).collect()
+
+
+@pytest.mark.parametrize("most", [100_000, 1])
+def test_voxels_of_an_image_are_not_one_task(spark, monkeypatch, most):
+    """Few images go to the voxels; of many, each one's voxels are dealt over several tasks."""
+    monkeypatch.setattr(imaging, "IMAGES", most)
+    images = spark.createDataFrame([(m, np.eye(3).ravel().tolist(), [40, 40, 40]) for m in (1, 2)], "image int, affine array<double>, shape array<int>")
+    voxels = spark.createDataFrame([(1, n % 40, n // 40, 3) for n in range(40 * 40)], "image int, i int, j int, k int")
+    got = imaging.canonical(voxels, images, ["image"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("BroadcastHashJoin" in plan) == (most > 1) and ("SortMergeJoin" in plan and "_part" in plan) == (most == 1)
+    rows = got.collect()
+    assert len(rows) == 1600 and all((r.x, r.y, r.z) == (r.i, r.j, r.k) for r in rows)
