@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions.columns import correlation, finite, required
 from cohortloom.operators.ranking import average_ranks
+from cohortloom.sources.workspace import written
 
 
 #: Halvings of a group's box: cells of the finest level are this power of two to a side.
@@ -18,46 +19,59 @@ LEVELS = 20
 def nearest(points: DataFrame, k: int, by: list[str], pos: str = "pos", coords: tuple[str, ...] = ("x", "y", "z")) -> DataFrame:
     """by, src, dst, distance, rank: the k nearest others of each point within its group, ties by dst.
 
-    Exact, by cells. Each group's box is halved LEVELS times. A place looks one level (in more than four dimensions,
-    some levels) above the finest one at which its own cell has more than k points: those are within that cell's
-    diagonal, which is less than the side of a cell up there, so that the cells around its own have all that it looks
-    for. Points with a coordinate that isn't finite are left out. Points of one place are
-    one place with its k + 1 smallest dst, which are all that ties can ask for. Groups of any size and density are
-    compared cell with cell; a place in a sparse part meets the points of the cells around it, not the group's.
+    Exact, by cells. Each group's box is halved LEVELS times. The finest cell of a place that has more than k points bounds
+    its distance to the k-th other: it looks at the coarser level at which this distance reaches into at most two cells
+    along each axis, and only pairs within the distance go on from where they met. Points with a coordinate that isn't finite
+    are left out. Points of one place are one place with its k + 1 smallest dst, which are all that ties can ask for. Groups
+    of any size and density are compared cell with cell; places and their bounds are written once.
     """
     axes = [f"_c{i}" for i in range(len(coords))]
-    lift = math.ceil(math.log2(len(coords)) / 2)
     flat = points.select(*by, F.col(pos).alias("_pos"), *[F.col(c).cast("double").alias(a) for c, a in zip(coords, axes)])
     for a in axes:
         flat = flat.where(finite(F.col(a)))
     # the k + 1 smallest of each place: row numbers up to a limit are kept map-side
     first = Window.partitionBy(*by, *axes).orderBy("_pos")
-    few = flat.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1).drop("_r")
+    few = flat.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1).groupBy(*by, *axes).agg(F.collect_list("_pos").alias("_few"))
     sizes = flat.groupBy(*by, *axes).agg(F.count(F.lit(1)).alias("_n"))
     box = sizes.groupBy(*by).agg(*[F.min(a).alias(f"_low{a}") for a in axes], F.greatest(*[F.max(a) - F.min(a) for a in axes], F.lit(0.0), F.lit(0.0)).alias("_side"))
-    placed = _same(sizes, box, by)
-    cell = lambda a: F.coalesce(F.least(F.floor((F.col(a) - F.col(f"_low{a}")) / F.nullif(F.col("_side"), F.lit(0.0)) * (1 << LEVELS)), F.lit((1 << LEVELS) - 1)), F.lit(0)).cast("long")
-    placed = placed.select(*by, *axes, "_n", *[cell(a).alias(f"_f{a}") for a in axes])
+    placed = _same(_same(few, sizes, [*by, *axes]), box, by)
+
+    def cell(a: str, v: Column) -> Column:
+        steps = F.floor((v - F.col(f"_low{a}")) / F.nullif(F.col("_side"), F.lit(0.0)) * (1 << LEVELS))
+        return F.coalesce(F.greatest(F.least(steps, F.lit((1 << LEVELS) - 1)), F.lit(0)), F.lit(0)).cast("long")
+
     fine = [f"_f{a}" for a in axes]
-    # the finest level at which a place's cell has more than k points
-    levels = placed.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    placed = written(placed.select("*", *[cell(a, F.col(a)).alias(f) for a, f in zip(axes, fine)]), "places")
+    # the finest level at which a place's cell has more than k points; at level 0 it is the group
     cells = [f"_g{f}" for f in fine]
-    levels = levels.select(*by, *axes, "_n", "_level", *fine, *[F.expr(f"shiftright({f}, {LEVELS} - _level)").alias(f"_g{f}") for f in fine])
-    full = levels.groupBy(*by, "_level", *cells).agg(F.sum("_n").alias("_m")).where(F.col("_m") > k)
-    own = _same(levels, full, [*by, "_level", *cells]).groupBy(*by, *axes, *fine).agg(F.max("_level").alias("_own"))
-    # a group of no more than k points is looked through whole
-    asks = _same(placed.select(*by, *axes, *fine), own.drop(*fine), [*by, *axes], "left").withColumn("_level", F.greatest(F.coalesce(F.col("_own"), F.lit(0)) - lift, F.lit(0)))
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    for f in fine:
-        asks = asks.withColumn(f"_s{f}", F.explode(steps))
-    asks = asks.select(*by, *[F.col(a).alias(f"_a{a}") for a in axes], "_level", *[(F.expr(f"shiftright({f}, {LEVELS} - _level)") + F.col(f"_s{f}")).alias(f"_g{f}") for f in fine])
-    there = levels.select(*by, "_level", *cells, *axes)
-    pairs = _same(asks, there, [*by, "_level", *cells])
-    gap = [F.col(f"_a{a}") - F.col(a) for a in axes]
-    d2 = gap[0] * gap[0]
-    for g in gap[1:]:
-        d2 = d2 + g * g
-    near = _same(pairs.select(*by, *[f"_a{a}" for a in axes], *axes, F.sqrt(d2).alias("distance")), few, [*by, *axes]).select(*by, *[f"_a{a}" for a in axes], F.col("_pos").alias("dst"), "distance")
+    up = lambda f: F.expr(f"shiftright({f}, {LEVELS} - _level)").alias(f"_g{f}")
+    levels = placed.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS))))
+    full = levels.select(*by, "_n", "_level", *map(up, fine)).groupBy(*by, "_level", *cells).agg(F.sum("_n").alias("_m")).where(F.col("_m") > k)
+    keyed = levels.where("_level > 0").select(*by, *axes, "_level", *map(up, fine))
+    own = _same(keyed, full, [*by, "_level", *cells]).groupBy(*by, *axes).agg(F.max("_level").alias("_level"))
+    homes = written(_same(placed, own, [*by, *axes], "left").withColumn("_level", F.coalesce("_level", F.lit(0))), "homes")
+    # within it, the distance at which so many points are reached: a bound, or none if the whole group hasn't as many
+    gap = lambda: reduce(lambda s, g: s + g, [(F.col(f"_a{a}") - F.col(a)) * (F.col(f"_a{a}") - F.col(a)) for a in axes])
+    asked = [F.col(a).alias(f"_a{a}") for a in axes]
+    there = _asked(placed, homes.where(F.col("_n") <= k), by).select(*by, "_level", *map(up, fine), *axes, "_n")
+    inside = _same(homes.where(F.col("_n") <= k).select(*by, *asked, "_level", *map(up, fine)), there, [*by, "_level", *cells]).select(*by, *[f"_a{a}" for a in axes], "_n", F.sqrt(gap()).alias("_d"))
+    of_place = Window.partitionBy(*by, *[f"_a{a}" for a in axes]).orderBy("_d")
+    inside = inside.withColumn("_r", F.row_number().over(of_place)).where(F.col("_r") <= k + 1)
+    inside = inside.withColumn("_met", F.sum("_n").over(of_place.rowsBetween(Window.unboundedPreceding, 0)))
+    bounds = inside.groupBy(*by, *[F.col(f"_a{a}").alias(a) for a in axes]).agg(F.min(F.when(F.col("_met") > k, F.col("_d"))).alias("_reach"))
+    asks = _same(homes.drop("_level"), bounds, [*by, *axes], "left")
+    asks = asks.withColumn("_reach", F.when(F.col("_n") > k, 0.0).otherwise(F.coalesce("_reach", F.lit(float("inf")))))
+    # a little farther, for what rounding may hide
+    far = lambda a: F.col("_reach") * (1 + 1e-12) + (F.abs(F.col(a)) + F.col("_reach")) * 1e-15 + 1e-150
+    asks = asks.select("*", *[cell(a, F.col(a) - far(a)).alias(f"_l{a}") for a in axes], *[cell(a, F.col(a) + far(a)).alias(f"_h{a}") for a in axes])
+    widest = F.greatest(*[F.col(f"_h{a}") - F.col(f"_l{a}") for a in axes], F.lit(1), F.lit(1))
+    asks = written(asks.withColumn("_level", F.lit(LEVELS) - F.ceil(F.log2(widest)).cast("int")).drop("_n", "_few", *fine), "asks")
+    there = _asked(placed, asks, by).select(*by, "_level", *map(up, fine), *axes, "_few")
+    wide = asks.select(*by, *asked, "_reach", "_level", *[F.expr(f"sequence(shiftright(_l{a}, {LEVELS} - _level), shiftright(_h{a}, {LEVELS} - _level))").alias(f"_s{a}") for a in axes])
+    for a, c in zip(axes, cells):
+        wide = wide.withColumn(c, F.explode(f"_s{a}")).drop(f"_s{a}")
+    pairs = _same(wide, there, [*by, "_level", *cells]).withColumn("distance", F.sqrt(gap())).where(F.col("distance") <= F.col("_reach"))
+    near = pairs.select(*by, *[f"_a{a}" for a in axes], F.explode("_few").alias("dst"), "distance")
     # a point's own place is among them: one more than k, and then the point itself is left out
     of_place = Window.partitionBy(*by, *[f"_a{a}" for a in axes]).orderBy("distance", "dst")
     near = near.withColumn("_r", F.row_number().over(of_place)).where(F.col("_r") <= k + 1).drop("_r")
@@ -67,6 +81,11 @@ def nearest(points: DataFrame, k: int, by: list[str], pos: str = "pos", coords:
     return each.withColumn("rank", F.row_number().over(of_point)).where(F.col("rank") <= k).select(*by, "src", "dst", "distance", "rank")
 
 
+def _asked(placed: DataFrame, asks: DataFrame, by: list[str]) -> DataFrame:
+    """placed at each level at which its group is asked for anything: one row each."""
+    return _same(placed, asks.groupBy(*by).agg(F.collect_set("_level").alias("_levels")), by).withColumn("_level", F.explode("_levels"))
+
+
 def _same(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """a with b's other columns where the keys are the same, nulls included."""
     if not keys:

@@ -53,3 +53,17 @@ def test_no_join_of_all_points_of_a_group(spark):
     assert "Cartesian" not in plan and "Cross" not in plan
     joins = [line for line in plan.splitlines() if "Join Inner" in line]
     assert any("_level" in j and "_g_f" in j for j in joins)
+
+
+def test_only_pairs_within_a_bound_go_on(spark):
+    """Where places meet, pairs farther apart than the k nearest can be are left out; they are not dealt first."""
+    rng = np.random.default_rng(8)
+    even = [("even", k, *map(float, x)) for k, x in enumerate(rng.random((300, 3)))]
+    grid = [("grid", k, float(k % 6), float(k // 6 % 6), float(k // 36)) for k in range(216)]
+    copies = [("copies", k, float(k % 20), 1e6 * (k % 3), -1.0) for k in range(200)]
+    rows = even + grid + copies
+    df = spark.createDataFrame(rows, "g string, pos long, x double, y double, z double")
+    got = spatial.nearest(df, 5, ["g"])
+    joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line and "_g_f" in line]
+    assert joins and all("_reach" in j for j in joins)
+    assert found(got) == brute(rows, 5, 3)
