@@ -15,12 +15,12 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.operators import least_squares, linear, newton
 from cohortloom.operators.metrics import percentile_interval
-from cohortloom.operators.ranking import holm, running_sums
+from cohortloom.operators.ranking import _bucketed, holm
 from cohortloom.operators.weights import BLOCK, SLICE, block_weights
 from cohortloom.sources.workspace import shared_folder
 
@@ -129,15 +129,22 @@ def draw_scores(rows: DataFrame, loadings: DataFrame, n: int, draws: int, seed:
     made.write.mode("overwrite").parquet(f"{folder}/u")
     made = rows.sparkSession.read.schema(made.schema).parquet(f"{folder}/u")
     mean = made.groupBy("draw").agg((F.sum(F.col("weight") * F.col("u")) / F.sum("weight")).alias("_mean"))
-    return made.join(mean, "draw").select("draw", "row_pos", "weight", ((F.col("u") - F.col("_mean")) / scale).alias("score"))
+    # a row a draw, of as many draws as there are loadings
+    return made.join(F.broadcast(mean), "draw").select("draw", "row_pos", "weight", ((F.col("u") - F.col("_mean")) / scale).alias("score"))
 
 
 def drawn_ranks(people: DataFrame, columns: list[str]) -> DataFrame:
     """draw, row_pos, weight and r_<column>: average ranks within each draw, in which a row counts as often as its weight says."""
-    long = people.select("draw", "row_pos", "weight", F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("double"))])).alias("variable", "v"))
-    counts = long.groupBy("draw", "variable", "v").agg(F.sum("weight").alias("_c"))
-    ranked = running_sums(counts, ["draw", "variable"], "v", {"_before": "_c"}).select("draw", "variable", "v", (F.col("_before") + (F.col("_c") + 1) / 2).alias("_r"))
-    met = long.join(ranked, ["draw", "variable", "v"])
+    # rows go to their bucket of values once, and once back to their person
+    long = people.select("draw", "row_pos", "weight", F.explode(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("double") + F.lit(0.0))])).alias("variable", "v"))
+    placed = _bucketed(long, ["draw", "variable"], "v", True)
+    totals = placed.groupBy("draw", "variable", "_bucket").agg(F.sum("weight").alias("_t"))
+    upto = Window.partitionBy("draw", "variable").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select("draw", "variable", "_bucket", F.coalesce(F.sum("_t").over(upto), F.lit(0)).alias("_s"))
+    inside = Window.partitionBy("draw", "variable", "_bucket").orderBy("v").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ties = F.sum("weight").over(Window.partitionBy("draw", "variable", "_bucket", "v"))
+    met = placed.join(before.hint("merge"), ["draw", "variable", "_bucket"])
+    met = met.select("draw", "variable", "row_pos", "weight", F.when(F.col("v").isNotNull(), F.col("_s") + F.sum("weight").over(inside) - (ties - 1) / 2).alias("_r"))
     return met.groupBy("draw", "row_pos").agg(F.first("weight").alias("weight"), *[F.max(F.when(F.col("variable") == c, F.col("_r"))).alias(f"r_{c}") for c in columns])
 
 

@@ -1,5 +1,7 @@
 """The adjusted bridge against plain loops over repeated rows."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -61,3 +63,20 @@ def test_failed_fits_are_counted_under_their_reason(spark, tmp_path):
     assert {r.draw for r in got} == {1, 2} and all(r.value is None and r.status != "PASS" for r in got)
     why = {r.quantity: r.status for r in bridge.failures(told).collect()}
     assert why["a_type_1"] == "rank" and why["p_response"] == "single class" and why["raw_r0"] == "ValueError: a ranking has no spread"
+
+
+def test_ranks_go_to_their_bucket_once(spark):
+    """Weighted average ranks with ties, and no join of rows with ranks by their values."""
+    rng = np.random.default_rng(5)
+    w, v, s = rng.integers(1, 4, (2, 40)), rng.integers(-3, 4, 40).astype(float), rng.normal(size=(2, 40))
+    people = spark.createDataFrame([(d, k, int(w[d, k]), float(s[d, k]), float(v[k])) for d in range(2) for k in range(40)], "draw long, row_pos long, weight long, score double, r0 double")
+    got = bridge.drawn_ranks(people, ["score", "r0"])
+    joins = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert joins and not any(re.search(r"\bv#\d+ = v#\d+", j) for j in joins)
+    rows = {(r.draw, r.row_pos): r for r in got.collect()}
+    for d in range(2):
+        at = np.repeat(np.arange(40), w[d])
+        for name, x in (("r_score", s[d]), ("r_r0", v)):
+            ranks = dict(zip(at.tolist(), linear.ranks(x[at])))
+            assert [rows[d, k][name] for k in range(40)] == pytest.approx([ranks[k] for k in range(40)])
+            assert [rows[d, k].weight for k in range(40)] == w[d].tolist()
