@@ -4,7 +4,8 @@ A fit that a draw does not allow is counted under its reason, never redrawn, and
 interval says when fewer than 95 % of draws are valid. bridge_draws() has a draw as
 one kernel call, for a small study's arrays; adjusted_draws() has all draws as
 tables: people's scores are made where the people are, and each analysis is an
-aggregation by draw.
+aggregation by draw. block_draws() has the same rows without a table of draws and
+people, for thousands of draws of large cohorts (see operators.drawn).
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.operators import least_squares, linear, newton
+from cohortloom.operators import drawn, least_squares, linear, newton
 from cohortloom.operators.metrics import percentile_interval
 from cohortloom.operators.ranking import _bucketed, holm
 from cohortloom.operators.weights import BLOCK, SLICE, block_weights
@@ -148,15 +149,10 @@ def drawn_ranks(people: DataFrame, columns: list[str]) -> DataFrame:
     return met.groupBy("draw", "row_pos").agg(F.first("weight").alias("weight"), *[F.max(F.when(F.col("variable") == c, F.col("_r"))).alias(f"r_{c}") for c in columns])
 
 
-def drawn_correlations(people: DataFrame, regions: list[str], ranked: list[str], plain: list[str]) -> DataFrame:
-    """DRAW rows raw_<region> and partial_<region>: Spearman correlation of the score with each region, and that of what a design of
-    1, ranks of `ranked` and the columns `plain` leaves of both rankings."""
-    ranks = drawn_ranks(people, ["score", *regions, *ranked]).join(people.select("draw", "row_pos", *plain), ["draw", "row_pos"])
-    design = [F.lit(1.0), *[F.col(f"r_{c}") for c in ranked], *[F.col(c) for c in plain]]
-    sums = least_squares.gram(ranks, ["draw"], [*design, F.col("r_score"), *[F.col(f"r_{c}") for c in regions]], F.col("weight"))
-    q = len(design)
+def _correlations(draw: int, s: np.ndarray, q: int, regions: list[str]) -> list[tuple]:
+    """DRAW rows raw_<region> and partial_<region> from products of a design's q columns (1 first), the score's ranks and the regions'."""
 
-    def left(s: np.ndarray, used: list[int]) -> np.ndarray:
+    def left(used: list[int]) -> np.ndarray:
         """Correlations of the first of the others with the rest, given the columns used."""
         t = s[q:, q:] - s[q:, used] @ np.linalg.solve(s[np.ix_(used, used)], s[np.ix_(used, range(q, len(s)))])
         d = np.sqrt(np.maximum(np.diag(t), 0))
@@ -164,18 +160,30 @@ def drawn_correlations(people: DataFrame, regions: list[str], ranked: list[str],
             raise ValueError("a ranking has no spread")
         return np.clip(t[0, 1:] / (d[0] * d[1:]), -1, 1)
 
+    rows = []
+    for kind, used in (("raw", [0]), ("partial", list(range(q)))):
+        try:
+            if not least_squares.full_rank(s[np.ix_(used, used)]):
+                raise ValueError("the design's columns depend on each other")
+            rows += [(draw, f"{kind}_{r}", float(v), "PASS") for r, v in zip(regions, left(used))]
+        except ValueError as e:
+            rows += [(draw, f"{kind}_{r}", None, f"ValueError: {e}") for r in regions]
+    return rows
+
+
+def drawn_correlations(people: DataFrame, regions: list[str], ranked: list[str], plain: list[str]) -> DataFrame:
+    """DRAW rows raw_<region> and partial_<region>: Spearman correlation of the score with each region, and that of what a design of
+    1, ranks of `ranked` and the columns `plain` leaves of both rankings."""
+    ranks = drawn_ranks(people, ["score", *regions, *ranked]).join(people.select("draw", "row_pos", *plain), ["draw", "row_pos"])
+    design = [F.lit(1.0), *[F.col(f"r_{c}") for c in ranked], *[F.col(c) for c in plain]]
+    sums = least_squares.gram(ranks, ["draw"], [*design, F.col("r_score"), *[F.col(f"r_{c}") for c in regions]], F.col("weight"))
+    q = len(design)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for draw, entries in zip(b["draw"], b["products"]):
-                s = np.array(entries, float).reshape(q + 1 + len(regions), -1)
-                for kind, used in (("raw", [0]), ("partial", list(range(q)))):
-                    try:
-                        if not least_squares.full_rank(s[np.ix_(used, used)]):
-                            raise ValueError("the design's columns depend on each other")
-                        rows += [(draw, f"{kind}_{r}", float(v), "PASS") for r, v in zip(regions, left(s, used))]
-                    except ValueError as e:
-                        rows += [(draw, f"{kind}_{r}", None, f"ValueError: {e}") for r in regions]
+                rows += _correlations(draw, np.array(entries, float).reshape(q + 1 + len(regions), -1), q, regions)
             yield pd.DataFrame(rows, columns=["draw", "quantity", "value", "status"])
 
     return sums.mapInPandas(run, DRAW)
@@ -205,3 +213,58 @@ def adjusted_draws(scores: DataFrame, cohort: DataFrame, types: dict[str, tuple[
     parts.append(drawn_correlations(people, regions, ranked, plain))
     reduce(DataFrame.unionByName, parts).write.mode("overwrite").parquet(f"{folder}/draws")
     return cohort.sparkSession.read.schema(DRAW).parquet(f"{folder}/draws")
+
+
+def block_draws(rows: DataFrame, draws: drawn.Draws, types: dict[str, tuple[list[str], list[str]]], responses: dict[str, list[str]], regions: list[str], ranked: list[str], plain: list[str], folder: str | None = None) -> DataFrame:
+    """As adjusted_draws(), a written table, of rows (row_pos from 0 to n - 1, z, y and numeric columns) and their draws. A value that
+    isn't finite fails each analysis with its column in the draws that have it."""
+    spark = rows.sparkSession
+    folder = folder or shared_folder(spark, "bridge")
+    used = [*(c for x, levels in types.values() for c in (*x, *levels)), *(c for x in responses.values() for c in x), *regions, *ranked, *plain]
+    names = ["y", *dict.fromkeys(c for c in used if c != "y")]
+    at = {c: k for k, c in enumerate(names)}
+    if not len(draws.at):
+        spark.createDataFrame([], DRAW).write.mode("overwrite").parquet(f"{folder}/draws")
+        return spark.read.schema(DRAW).parquet(f"{folder}/draws")
+    blocks = drawn.dealt(rows.withColumn("y", F.when(F.col("y").isin(0, 1), F.col("y"))), names, draws.size, folder)
+    sums = drawn.products(blocks, draws, len(names))
+    draws = drawn.with_means(draws, sums)
+    odd = lambda columns: (sums.odd[:, [at[c] for c in columns]] > 0).any(axis=1)
+    out = []
+    for name, (covariates, levels) in types.items():
+        x, bad = [0, *(1 + at[c] for c in (*covariates, *levels))], odd([*covariates, *levels])
+        for k, draw in enumerate(draws.at.tolist()):
+            s = sums.xx[k][np.ix_(x, x)]
+            if bad[k] or not np.isfinite(s).all() or not least_squares.full_rank(s):
+                out += [(draw, f"{name}_{q}", None, "rank") for q in ("type_1", "type_2", "type_difference")]
+                continue
+            b = np.linalg.solve(s, (sums.xu[k, x] - draws.mean[k] * sums.xx[k, x, 0]) / draws.scale)[-2:].tolist()
+            out += [(draw, f"{name}_{q}", v, "PASS") for q, v in (("type_1", b[0]), ("type_2", b[1]), ("type_difference", b[0] - b[1]))]
+    ones, all_ = sums.xx[:, 0, 1], sums.xx[:, 0, 0]
+    one_class = (ones == 0) | (ones == all_)
+    begin = np.array([np.where(odd(["y", *x]), "rank", np.where(one_class, "single class", newton.MOVING)) for x in responses.values()], object).reshape(len(responses), len(draws.at)).T
+    status, beta = drawn.logistic(blocks, draws, at["y"], [[at[c] for c in x] for x in responses.values()], begin)
+    for g, name in enumerate(responses):
+        for k, draw in enumerate(draws.at.tolist()):
+            fine = status[k, g] == newton.OK
+            out.append((draw, f"{name}_response", float(beta[g][k, 1]) if fine else None, "PASS" if fine else status[k, g]))
+    told = spark.createDataFrame(out, DRAW)
+    if regions:
+        columns, p = [*regions, *ranked], len(plain)
+        # the design's columns, the score, the regions
+        order = [0, *range(2 + p + len(regions), 2 + p + len(columns)), *range(1, 1 + p), 1 + p, *range(2 + p, 2 + p + len(regions))]
+        q = 1 + len(ranked) + p
+        none = {"raw": [odd([r]) for r in regions], "partial": [odd([r, *ranked, *plain]) for r in regions]}
+        places = draws.at.tolist()
+
+        def finish(first: int, m: np.ndarray) -> pd.DataFrame:
+            made = []
+            for k, s in enumerate(m, first):
+                for j, r in enumerate(_correlations(places[k], s[np.ix_(order, order)], q, regions)):
+                    kind, region = ("raw", j) if j < len(regions) else ("partial", j - len(regions))
+                    made.append((*r[:2], None, "ValueError: a value isn't finite") if none[kind][region][k] else r)
+            return pd.DataFrame(made, columns=["draw", "quantity", "value", "status"])
+
+        told = told.unionByName(drawn.rank_products(blocks, draws, [at[c] for c in columns], [at[c] for c in plain], finish, DRAW))
+    told.write.mode("overwrite").parquet(f"{folder}/draws")
+    return spark.read.schema(DRAW).parquet(f"{folder}/draws")
